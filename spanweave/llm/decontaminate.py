@@ -34,12 +34,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles_of(words: Column, k: int) -> Column:
     """Hashes of the runs of k words; of all words, if they are fewer; none of none."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words)
-    runs = F.transform(hashed, lambda h, i: F.xxhash64(h, *[F.get(hashed, i + j) for j in range(1, k)]))
-    return F.slice(runs, F.lit(1), F.when(n > k, n - (k - 1)).otherwise(F.least(n, F.lit(1))))
+
+    def runs(hashed: Column) -> Column:
+        n = F.size(hashed)
+        each = F.transform(hashed, lambda h, i: F.xxhash64(h, *[F.get(hashed, i + j) for j in range(1, k)]))
+        return F.slice(each, F.lit(1), F.when(n > k, n - (k - 1)).otherwise(F.least(n, F.lit(1))))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def _bit(b: int) -> int:
@@ -105,29 +113,24 @@ def leaks(
     for n in short:
         found = found.union(hits(n, seeds.where(F.col("n") == n)))
     found = written(found.groupBy("did", "tk").agg(F.collect_set(F.struct("n", "start")).alias("places")), "places")
-    laid = (
-        texts.join(found, ["did", "tk"]).dropDuplicates(["did", "tk"])
-        .select("id", "places", words_of(F.col("text")).alias("words"))
-    )
-    whole = shingles_of(F.col("words"), k)
-    total = F.size("words")
-
-    def cut(place: Column) -> Column:
-        n, start = place["n"], F.greatest(F.least(place["start"], total - place["n"]), F.lit(0))
-        size = F.least(n, total)
-        run = F.when(size >= k, F.slice(F.col("shingles"), start + 1, F.greatest(size - (k - 1), F.lit(1))))
-        if short:
-            run = run.otherwise(shingles_of(F.slice(F.col("words"), start + 1, size), k))
-        else:
-            run = run.otherwise(F.col("shingles"))
-        return F.struct(n.alias("n"), start.alias("start"), run.alias("shingles"))
-
-    windows = written(
-        laid.withColumn("shingles", whole)
-        .select("id", F.explode(F.array_distinct(F.transform("places", lambda x: F.struct(x["n"].alias("n"), F.greatest(F.least(x["start"], total - x["n"]), F.lit(0)).alias("start"))))).alias("place"), "shingles", "words")
-        .select("id", F.inline(F.array(cut(F.col("place"))))),
-        "windows",
-    ).withColumn("fp", fingerprint(F.col("shingles")))
+    laid = texts.join(found, ["did", "tk"]).dropDuplicates(["did", "tk"])
+
+    def lay(words: Column) -> Column:
+        total = F.size(words)
+
+        def cut(shingles: Column):
+            def at(n: Column, start: Column) -> Column:
+                run = F.slice(shingles, start + 1, F.greatest(F.least(n, total) - (k - 1), F.lit(1)))
+                if short:
+                    run = F.when(F.least(n, total) < k, shingles_of(F.slice(words, start + 1, F.least(n, total)), k)).otherwise(run)
+                return F.struct(n.alias("n"), start.alias("start"), run.alias("shingles"))
+
+            moved = F.transform("places", lambda x: F.struct(x["n"].alias("n"), F.greatest(F.least(x["start"], total - x["n"]), F.lit(0)).alias("start")))
+            return F.transform(F.array_distinct(moved), lambda x: at(x["n"], x["start"]))
+
+        return let(shingles_of(words, k), cut)
+
+    windows = written(laid.select("id", F.inline(let(words_of(F.col("text")), lay))), "windows").withColumn("fp", fingerprint(F.col("shingles")))
     indexed = of_items.select("item", "n", "item_fp", "item_shingles", F.inline(_blocks(F.col("item_fp"), radius)))
     pairs = (
         windows.select("*", F.inline(_blocks(F.col("fp"), radius)))

@@ -36,13 +36,14 @@ _SYMBOL = re.compile(rb"[#*$%&|<>]")
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, list[float]]:
-    """Hashes of the distinct lower-case words, and ratios of form."""
+    """Hashes of the distinct lower-case words and of their first four bytes, and ratios of form."""
     text = text or b""
     words = text.split()
     n, chars = max(1, len(words)), max(1, sum(map(len, words)))
     folded = {w.strip(_STRIP) for w in text.lower().split()}
     folded.discard(b"")
-    hashed = np.fromiter((zlib.crc32(w) >> (32 - BITS) for w in folded), np.int32, len(folded))
+    folded |= {w[:4] + b"*" for w in folded}
+    hashed = np.unique(np.fromiter((zlib.crc32(w) >> (32 - BITS) for w in folded), np.int32, len(folded)))
     lines = [x for x in text.split(b"\n") if x.strip()]
     form = [
         min(1.0, 8 * len(_SYMBOL.findall(text)) / chars), min(1.0, text.count(b"!") / n), min(1.0, 2 * text.count(b" | ") / n),
@@ -52,11 +53,19 @@ def features(text: bytes | None) -> tuple[np.ndarray, list[float]]:
     return hashed, form
 
 
-def fit(rows: list[tuple[np.ndarray, list[float]]], good: np.ndarray, rounds: int = 150, least_rows: int = 4, l2: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the hashed words (zero for those in fewer than least_rows rows) and of the form, by Adagrad."""
+def fit(rows: list[tuple[np.ndarray, list[float]]], good: np.ndarray, rounds: int = 300, least_z: float = 5.0, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the hashed words and of the form, by Adagrad.
+
+    Words whose shares of good and of other rows differ by less than least_z standard errors get none.
+    """
     sizes = np.array([len(h) for h, _ in rows])
     cols = np.concatenate([h for h, _ in rows]) if len(rows) else np.zeros(0, np.int32)
-    often = np.bincount(cols, minlength=1 << BITS) >= least_rows
+    with_good = np.bincount(cols, np.repeat(good, sizes), 1 << BITS)
+    with_any = np.bincount(cols, minlength=1 << BITS)
+    n_good, n = max(1, int(good.sum())), max(2, len(rows))
+    n_bad, p = max(1, n - n_good), with_any / n
+    apart = with_good / n_good - (with_any - with_good) / n_bad
+    often = (with_any >= 3) & (np.abs(apart) >= least_z * np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_good + 1 / n_bad)))
     place = np.cumsum(often) - 1
     keep = often[cols]
     at, cols = np.repeat(np.arange(len(rows)), sizes)[keep], place[cols[keep]]
@@ -116,7 +125,7 @@ def document_odds(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Data
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-    fit_rows: int = 20_000, keep_from: float = 0.5, site_weight: float = 0.25, broadcast_sites: int = 100_000,
+    fit_rows: int = 20_000, keep_from: float = 0.4, site_weight: float = 0.25, broadcast_sites: int = 100_000,
 ) -> DataFrame:
     """(did, tk, p_document, p_site, p_good, kept) of each row; did and tk as in common.doc_key."""
     named = docs.select(

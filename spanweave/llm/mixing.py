@@ -104,7 +104,7 @@ def _numbered(docs: DataFrame, source_col: str, id_col: str, bucket_rows: int) -
 
 def mix(
     docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id",
-    block_rows: int = 16, quantum: int = 1000, bucket_rows: int = 20_000, temperature: float = 0.5,
+    block_rows: int = 16, quantum: int = 1000, bucket_rows: int = 2_000, temperature: float = 0.5,
 ) -> DataFrame:
     """docs with block, slot, offset (in the block) and position (in the mix, from 0).
 

@@ -58,17 +58,18 @@ def fit(rows: list[tuple[np.ndarray, list[float]]], good: np.ndarray, rounds: in
 
     Words whose shares of good and of other rows differ by less than least_z standard errors get none.
     """
-    sizes = np.array([len(h) for h, _ in rows])
-    cols = np.concatenate([h for h, _ in rows]) if len(rows) else np.zeros(0, np.int32)
-    with_good = np.bincount(cols, np.repeat(good, sizes), 1 << BITS)
-    with_any = np.bincount(cols, minlength=1 << BITS)
+    with_good, with_any = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for i, (h, _) in enumerate(rows):
+        with_any[h] += 1  # a row's hashes are distinct
+        with_good[h] += good[i]
     n_good, n = max(1, int(good.sum())), max(2, len(rows))
     n_bad, p = max(1, n - n_good), with_any / n
     apart = with_good / n_good - (with_any - with_good) / n_bad
     often = (with_any >= 3) & (np.abs(apart) >= least_z * np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_good + 1 / n_bad)))
     place = np.cumsum(often) - 1
-    keep = often[cols]
-    at, cols = np.repeat(np.arange(len(rows)), sizes)[keep], place[cols[keep]]
+    kept = [h[often[h]] for h, _ in rows]
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h in kept])
+    cols = place[np.concatenate(kept)] if kept else np.zeros(0, np.int64)
     form, y, m = np.array([f for _, f in rows]), good.astype(float), int(often.sum())
     w, v = np.zeros(m), np.zeros(form.shape[1])
     gw, gv = np.full(m, 1e-8), np.full(form.shape[1], 1e-8)

@@ -1,7 +1,484 @@
-"""The registered queries over the driver's tables, each with its SQL."""
+"""The registered queries over the driver's tables, each with its SQL.
+
+The tables are not of this library's domain; inputs are derived from them by the
+same common table expressions in both engines:
+
+* edges: customers who bought the same parts, with some reversed, repeated and
+  self rows; cov is the Jaccard share of common parts.
+* fragments: runs of one event type in windows of eight events of a user.
+* cells: the lines of an order, placed by two orders of sorting.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanweave.functions import scalars
+from spanweave.operators import affinity, graph, hits, intervals, scoring
+from spanweave.operators.components import connected_components
+
+EDGES = """
+pc as (select distinct o_custkey as c, l_partkey as p from orders join lineitem on o_orderkey = l_orderkey),
+deg as (select c, count(*) as n from pc group by c),
+sh as (select x.c as a, y.c as b, count(*) as s from pc x join pc y on x.p = y.p where x.c < y.c and x.c % 10 = y.c % 10 group by x.c, y.c),
+jac as (select a, b, cast(s as double) / cast(da.n + db.n - s as double) as cov from sh join deg da on da.c = a join deg db on db.c = b),
+base as (select a, b, cov from jac where cov >= 0.02),
+rows_ as (
+  select a as src, b as dst, cast(1 + (a * 7 + b * 13) % 100 as double) / 100 as w, cov, a * 1000000 + b as line_no from base
+  union all select b, a, cast(1 + (a * 5 + b * 3) % 100 as double) / 100, cov, 100000000000000 + a * 1000000 + b from base where (a + b) % 3 = 0
+  union all select a, b, cast(1 + (a + b) % 100 as double) / 100, cast(null as double), 200000000000000 + a * 1000000 + b from base where (a + b) % 5 = 0
+  union all select a, a, cast(0.5 as double), cov, 300000000000000 + a * 1000000 + b from base where a % 7 = 0
+)"""
+SYM = EDGES + """,
+kept as (select src, dst, w, line_no from rows_ where src <> dst and (cov is null or cov > 0.0)),
+last as (select src, dst, max_by(w, line_no) as w from kept group by src, dst),
+both_ as (select src, dst, w from last union all select dst, src, w from last),
+sym as (select src, dst, max(w) as w from both_ group by src, dst)"""
+FRAGMENTS = """
+numbered as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as spot from events),
+win as (select user_id, event_type, spot, cast(user_id as string) || ':' || cast(cast(floor((spot - 1) / 8) as bigint) as string) as seq from numbered),
+isl as (select user_id, seq, event_type, spot, spot - row_number() over (partition by seq, event_type order by spot) as g from win),
+frag as (select seq, user_id, event_type as domain, cast(min(spot) as bigint) as s, cast(max(spot) as bigint) as e from isl group by seq, user_id, event_type, g),
+placed as (select seq, user_id, domain, s, e, row_number() over (partition by seq order by s, e) as pos from frag)"""
+CELLS = """
+lines_ as (
+  select l_orderkey as ali, l_partkey as pk, l_linenumber as ln,
+    cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as int) as q,
+    cast(row_number() over (partition by l_orderkey order by l_partkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) as int) as t
+  from lineitem
+),
+coded as (
+  select ali, 'B' as kind, q, t, cast(192 + (pk * 7 + ln * 13) % 49 as int) as c from lines_
+  union all select ali, 'F', q, t, cast(192 + (pk * 11 + ln * 5) % 49 as int) from lines_
+  union all select ali, 'P', q, t, cast(192 + (pk * 3 + ln * 17) % 49 as int) from lines_
+)"""
+#: Domains of each order's alignment, the same for all.
+PAIRS = "pairs as (select distinct l_orderkey as ali, 1 as qs, 3 as qe, 1 as ts, 3 as te, 2 as off from lineitem)"
+
+
+def _tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+
+
+def _derived(spark: SparkSession, sf_dir: str, with_: str, select: str, *names: str) -> DataFrame:
+    """A statement over tables given as frames, so that no view is left in the session."""
+    text = f"with {with_} {select}"
+    for n in names:
+        text = _bare(text, n)
+    return spark.sql(text, **_tables(spark, sf_dir, *names))
+
+
+def _bare(text: str, name: str) -> str:
+    import re
+
+    return re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", text)
+
+
+def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, EDGES, "select * from rows_", "orders", "lineitem")
+
+
+def _symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.symmetrize(graph.scan_edges(edge_rows(spark, sf_dir)).edges)
+
+
+def fragment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, FRAGMENTS, "select seq, user_id, domain, s as start, e as end from frag", "events")
+
+
+def _members(spark: SparkSession, sf_dir: str, buckets: int = 1) -> DataFrame:
+    """Clusters: event types, apart for each remainder of the user's id."""
+    found = fragment_rows(spark, sf_dir)
+    bucket = found.select("seq", (F.col("user_id") % buckets).alias("bucket")).distinct()
+    own = intervals.domains(found).join(bucket, "seq")
+    return own.select(F.concat_ws("-", "domain", F.col("bucket").cast("string")).alias("cluster"), "seq", "domain", "frags")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = _derived(spark, sf_dir, CELLS, "select * from coded", "lineitem")
+    return coded.select("ali", "kind", F.lit(0).alias("ord"), "q", "t", scalars.minifloat8(F.col("c")).alias("p"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, PAIRS, "select * from pairs", "lineitem")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "graph_symmetrize"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- scans and graph normal forms
+
+
+@query(f"with {EDGES} select src, dst, max_by(w, line_no) as w from rows_ where src <> dst and (cov is null or cov > 0.03) group by src, dst")
+def edge_scan_coverage(spark, sf_dir):
+    return graph.scan_edges(edge_rows(spark, sf_dir), 0.03).edges
+
+
+@query(f"with {EDGES} select src, dst, max_by(w, line_no) as w from rows_ where src <> dst group by src, dst")
+def edge_last_wins(spark, sf_dir):
+    return graph.scan_edges(edge_rows(spark, sf_dir)).edges
+
+
+@query(f"with {EDGES} select src as id from rows_ union select dst from rows_")
+def graph_nodes(spark, sf_dir):
+    return graph.scan_edges(edge_rows(spark, sf_dir)).nodes
+
+
+@query(f"with {SYM} select * from sym")
+def graph_symmetrize(spark, sf_dir):
+    return _symmetric(spark, sf_dir)
+
+
+@query(f"with {SYM} select * from sym where w >= 0.5")
+def graph_clean(spark, sf_dir):
+    return graph.clean(_symmetric(spark, sf_dir), 0.5)
+
+
+@query(f"""with {EDGES}, top as (select least(src, dst) as a, greatest(src, dst) as b, max(w) as w from rows_ where src <> dst group by 1, 2)
+select a as src, b as dst, w from top union all select b, a, w from top""")
+def undirected_max(spark, sf_dir):
+    return graph.undirected_max(edge_rows(spark, sf_dir))
+
+
+@query(f"""with {SYM}, n as (select src as id from rows_ union select dst from rows_), cut as (select * from last where w >= 0.5)
+select (select count(*) from n) as n_nodes, (select count(*) from last) as n_edges, (select count(*) from cut) as n_after_cut,
+(select count(*) from (select src, dst from cut union select dst, src from cut)) as n_symmetric""")
+def graph_stats(spark, sf_dir):
+    return graph.stats(graph.scan_edges(edge_rows(spark, sf_dir)), 0.5)
+
+
+@query(f"with {SYM} select id from (select src as id from rows_ union select dst from rows_) anti join (select distinct src as id from last where cast(src as bigint) % 4 <> 1) using (id)")
+def isolated_nodes(spark, sf_dir):
+    g = graph.scan_edges(edge_rows(spark, sf_dir))
+    return graph.isolated_nodes(graph.Graph(g.nodes, g.edges.where("src % 4 <> 1")))
+
+
+@query(f"with {SYM} select src, dst, cast(trunc(w * 10000) as integer) as w from sym")
+def fixed_point_weight(spark, sf_dir):
+    return _symmetric(spark, sf_dir).select("src", "dst", scalars.fixed_point(F.col("w")).alias("w"))
+
+
+# --- triangles, closure, components
+
+_TRI = "tri as (select e.src as i, x.dst as m, e.dst as t from sym e join sym x on x.src = e.src join sym y on y.src = x.dst and y.dst = e.dst where e.src < e.dst)"
+
+
+@query(f"with {SYM}, {_TRI} select * from tri")
+def triangles(spark, sf_dir):
+    return graph.triangles(_symmetric(spark, sf_dir))
+
+
+@query(f"""with {SYM}, {_TRI}, best as (select i, t, max(a.w * b.w) as p from tri join sym a on a.src = i and a.dst = m join sym b on b.src = m and b.dst = t group by 1, 2)
+select src, dst, round(greatest(w, coalesce(p, w)), 9) as w from sym left join best on i = least(src, dst) and t = greatest(src, dst)""")
+def closure_step(spark, sf_dir):
+    edges = _symmetric(spark, sf_dir)
+    return graph.closure_step(edges, graph.triangles(edges)).select("src", "dst", F.round("w", 9).alias("w"))
+
+
+@query(f"""with recursive {SYM}, {_TRI}, steps(k, src, dst, w) as (
+  select 0, src, dst, w from sym
+  union all
+  select k + 1, src, dst, max(w) from (
+    with now as (select * from steps where k < 20)
+    select k, src, dst, w from now
+    union all
+    select a.k, unnest([i, t]), unnest([t, i]), a.w * b.w from tri join now a on a.src = i and a.dst = m join now b on b.src = m and b.dst = t
+  ) group by k, src, dst
+) select src, dst, round(w, 9) as w from steps where k = 20""")
+def triangle_closure(spark, sf_dir):
+    return graph.triangle_closure(_symmetric(spark, sf_dir)).select("src", "dst", F.round("w", 9).alias("w"))
+
+
+_REACH = "reach(node, seen) as (select distinct src, src from sym union select r.node, s.dst from reach r join sym s on s.src = r.seen), comp as (select node, min(seen) as component from reach group by node)"
+
+
+@query(f"with recursive {SYM}, {_REACH} select * from comp")
+def connected_component_labels(spark, sf_dir):
+    return connected_components(_symmetric(spark, sf_dir))
+
+
+@query(f"with recursive {SYM}, {_REACH} select component, src, dst, w from sym join comp on node = src")
+def component_edges(spark, sf_dir):
+    return graph.component_edges(_symmetric(spark, sf_dir))
+
+
+@query(f"with recursive {SYM}, {_REACH} select count(distinct component) as n_components from comp")
+def component_count(spark, sf_dir):
+    return connected_components(_symmetric(spark, sf_dir)).agg(F.countDistinct("component").alias("n_components"))
+
+
+# --- affinity propagation
+
+
+def _blocks(spark, sf_dir):
+    """Small components: edges among customers of one hundred."""
+    edges = _symmetric(spark, sf_dir).where("floor(src / 100) = floor(dst / 100)")
+    return edges.select(F.concat_ws(":", F.floor(F.col("src") / 100).cast("string"), (F.col("src") % 10).cast("string")).alias("component"), "src", "dst", "w")
+
+
+_BLOCKS = "blocks as (select cast(cast(floor(src / 100) as bigint) as string) || ':' || cast(src % 10 as string) as component, src, dst, w from sym where floor(src / 100) = floor(dst / 100))"
+
+
+@query(f"""with {SYM}, {_BLOCKS}, ids as (select distinct component, src as id from blocks),
+grid as (select i.component, coalesce(w, 0.0) as w from ids i join ids k on i.component = k.component left join blocks b on b.src = i.id and b.dst = k.id)
+select component, median(w) as preference from grid group by component""")
+def ap_preference_median(spark, sf_dir):
+    return affinity.preference(_blocks(spark, sf_dir))
+
+
+@query()
+def affinity_propagation(spark, sf_dir):
+    return affinity.affinity_clusters(_blocks(spark, sf_dir), iterations=200)
+
+
+@query(f"""with {SYM}, c as (select min(dst) as exemplar, src as member from sym where src % 3 = 0 group by src)
+select exemplar, member from c union all
+select id, id from (select distinct c_custkey as id from customer) where id not in (select exemplar from c union select member from c)""")
+def singleton_fill(spark, sf_dir):
+    c = _symmetric(spark, sf_dir).where("src % 3 = 0").groupBy(F.col("src").alias("member")).agg(F.min("dst").alias("exemplar"))
+    return affinity.fill_singletons(c, _tables(spark, sf_dir, "customer")["customer"].select("c_custkey")).select("exemplar", "member")
+
+
+# --- scalars
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, power(2.0, floor(c / 16) - 15) * (1 + (c % 16) / 16.0) as p from (select *, 1 + (l_partkey * 7 + l_linenumber * 13) % 240 as c from lineitem)")
+def minifloat8_decode(spark, sf_dir):
+    c = (1 + (F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % 240).cast("int")
+    return _tables(spark, sf_dir, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", scalars.minifloat8(c).alias("p"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, power(2.0, floor(c / 1024) - 63) * (1 + (floor(c / 2) % 512) * 2 / 1024.0) as p from (select *, (l_partkey * 31 + l_linenumber * 977) % 65536 as c from lineitem)")
+def minifloat16_decode(spark, sf_dir):
+    c = ((F.col("l_partkey") * 31 + F.col("l_linenumber") * 977) % 65536).cast("int")
+    return _tables(spark, sf_dir, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", scalars.minifloat16(c).alias("p"))
+
+
+@query("""with x as (select c_custkey, upper(substr(md5(c_name), 1, 24)) as h from customer)
+select c_custkey, array_to_string(list_concat(regexp_extract_all(h, '([A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})', 1), regexp_extract_all(h, '[OPQ][0-9][A-Z0-9]{3}[0-9]')), ' ') as accession from x""")
+def accession_extract(spark, sf_dir):
+    h = F.upper(F.substring(F.md5("c_name"), 1, 24))
+    return _tables(spark, sf_dir, "customer")["customer"].select("c_custkey", scalars.accessions(h).alias("accession"))
+
+
+# --- masses, shells, scores
+
+_P = CELLS + ", cells as (select ali, kind, q, t, power(2.0, floor(c / 16) - 15) * (1 + (c % 16) / 16.0) as p from coded)"
+
+
+@query("""with f as (select n_nationkey as seq, 1 as domain_no, unnest([1, 4]) as s, unnest([2 + n_nationkey % 2, 9 + n_nationkey]) as e from nation)
+select seq, domain_no, min(s) as first, arg_max(e, s) as last, sum(e - s + 1)::bigint as len, greatest(1, least(abs(ceil((sum(e - s + 1) - 10) / 2.0)), ceil(sum(e - s + 1) * (1 - 0.8::double))))::int as off from f group by seq, domain_no""")
+def domain_bounds(spark, sf_dir):
+    n = F.col("n_nationkey")
+    f = _tables(spark, sf_dir, "nation")["nation"].select(n.alias("seq"), F.lit(1).alias("domain_no"), F.lit(0).alias("line_no"), F.posexplode(F.array(F.struct(F.lit(1).alias("start"), (2 + n % 2).alias("end")), F.struct(F.lit(4).alias("start"), (9 + n).alias("end")))).alias("frag_no", "f"))
+    b = scoring.domain_bounds(f.select("seq", "domain_no", "line_no", "frag_no", "f.start", "f.end"))
+    return b.select("seq", "domain_no", "first", "last", "len", scoring.match_offset(F.col("len")).alias("off"))
+
+
+@query(f"""with {_P}, {PAIRS} select ali, coalesce(sum(case when kind = 'B' and q <= qs + off then p end), 0) as qstart, coalesce(sum(case when kind = 'F' and q >= qe - off then p end), 0) as qend,
+coalesce(sum(case when kind = 'B' and t <= ts + off then p end), 0) as tstart, coalesce(sum(case when kind = 'F' and t >= te - off then p end), 0) as tend from pairs join cells using (ali) group by ali""")
+def start_end_mass(spark, sf_dir):
+    return scoring.masses(_pairs(spark, sf_dir), _cells(spark, sf_dir)).select("ali", "qstart", "qend", "tstart", "tend")
+
+
+@query(f"with {_P}, s as (select ali, q, sum(p) as s from cells where kind = 'B' group by ali, q) select ali, q, s / sum(s) over (partition by ali) as p from s")
+def position_profile(spark, sf_dir):
+    return scoring.position_profile(_cells(spark, sf_dir).where("kind = 'B'"))
+
+
+def _shell_sql(k: str, r: str, c: str, guard: str, edge: str, name: str) -> str:
+    return f"""with {_P}, {PAIRS}, post as (select ali, q, t, p, max(q) over (partition by ali) as ncol, max(t) over (partition by ali) as nrow from cells where kind = 'P'),
+sized as (select *, {k} as k from pairs join post using (ali)), block as (select ali, p, {r} as r, {c} as c from sized where {guard} and {r} >= 0 and {c} >= 0 and {r} < k and {c} < k),
+shells as (select ali, {edge}(r, c) as i, sum(p) as s from block group by 1, 2), best as (select ali, max(s) as s from shells group by ali)
+select ali, coalesce(s, 0) as {name} from pairs left join best using (ali)"""
+
+
+@query(_shell_sql("least(off, ncol - qs + 1, nrow - ts + 1)", "(t - ts)", "(q - qs)", "true", "greatest", "sa"))
+def shell_starts_after(spark, sf_dir):
+    return scoring.starts_after(_pairs(spark, sf_dir), scoring.posterior(_cells(spark, sf_dir))).select("ali", "sa")
+
+
+@query(_shell_sql("least(off, qe, te)", "(t - 1 - te + k)", "(q - 1 - qe + k)", "qe < ncol and te < nrow", "least", "eb"))
+def shell_ends_before(spark, sf_dir):
+    return scoring.ends_before(_pairs(spark, sf_dir), scoring.posterior(_cells(spark, sf_dir))).select("ali", "eb")
+
+
+@query(_shell_sql("least(off, qs, ts)", "(t - 1 - ts + k)", "(q - 1 - qs + k)", "true", "least", "sb"))
+def shell_starts_before(spark, sf_dir):
+    return scoring.starts_before(_pairs(spark, sf_dir), scoring.posterior(_cells(spark, sf_dir))).select("ali", "sb")
+
+
+@query(_shell_sql("least(off, ncol - qe + 1, nrow - te + 1)", "(t - te)", "(q - qe)", "true", "greatest", "ea"))
+def shell_ends_after(spark, sf_dir):
+    return scoring.ends_after(_pairs(spark, sf_dir), scoring.posterior(_cells(spark, sf_dir))).select("ali", "ea")
+
+
+_HITS = "h as (select o_custkey as entry, o_orderkey as idx, o_custkey as query, o_orderkey % 40 as template, cast(o_orderkey * 37 % 101 as int) as probability from orders)"
+
+
+@query(f"with {_HITS}, m as (select *, max(case when query = template or probability / 100.0 < 0.1 then 1 else 0 end) over (partition by entry order by idx) as stop from h) select entry, idx, query, template, probability from m where stop = 0")
+def prefix_stop_alignments(spark, sf_dir):
+    return scoring.prefix_stop(_derived(spark, sf_dir, _HITS, "select * from h", "orders"))
+
+
+_ALI = "al as (select o_orderkey as ali, o_orderkey % 50 as query, o_orderkey % 30 as template, cast(60 + o_orderkey % 41 as int) as probability from orders)"
+#: seq, domain, order of visit, bounds, length
+_DOMAINS = "d(seq, dom, visit, s, e, len) as (select g, 1, 1, 1, 2 + g % 2, 2 + g % 2 from range(50) r(g) union all select g, 2, 2, 4, 5 + g % 3, 2 + g % 3 from range(50) r(g))"
+
+
+@query(f"""with {_P}, {_ALI}, {_DOMAINS}, full_ as (select ali from cells group by ali having count(distinct kind) = 3),
+pairs as (select ali, probability / 100.0::double as prob, q.dom as q_domain, t.dom as t_domain, q.visit as qv, t.visit as tv, q.s as qs, q.e as qe, t.s as ts, t.e as te,
+  greatest(1, least(abs(ceil((q.len - 10) / 2.0)), ceil(q.len * (1 - 0.8::double))))::int as off
+  from al join full_ using (ali) join d q on q.seq = query join d t on t.seq = template),
+m as (select ali, prob, q_domain, t_domain, qv, tv, qs, qe, ts, te, off, coalesce(sum(case when kind = 'B' and q <= qs + off then p end), 0) as qstart, coalesce(sum(case when kind = 'F' and q >= qe - off then p end), 0) as qend,
+  coalesce(sum(case when kind = 'B' and t <= ts + off then p end), 0) as tstart, coalesce(sum(case when kind = 'F' and t >= te - off then p end), 0) as tend from pairs join cells using (ali) group by all),
+n as (select *, prob * qend as s1, prob * qend * qstart as s2, prob * qend * qstart * tend as s3, prob * qend * qstart * tend * tstart as s4 from m),
+o as (select *, max((s1 < 0.1)::int) over (partition by ali order by qv) as q_stop, max((s3 < 0.1)::int) over (partition by ali, q_domain order by tv) as t_stop from n),
+live as (select * from o where q_stop = 0 and t_stop = 0 and s2 >= 0.1 and s4 >= 0.1),
+post as (select ali, q, t, p, max(q) over (partition by ali) as ncol, max(t) over (partition by ali) as nrow from cells where kind = 'P'),
+x as (select l.*, q, t, p, ncol, nrow, least(off, ncol - qs + 1, nrow - ts + 1) as ka, least(off, qe, te) as kb from live l join post using (ali)),
+sa as (select ali, q_domain, t_domain, max(v) as sa from (select ali, q_domain, t_domain, greatest(t - ts, q - qs) as i, sum(p) as v from x where t >= ts and q >= qs and t - ts < ka and q - qs < ka group by 1, 2, 3, 4) group by 1, 2, 3),
+eb as (select ali, q_domain, t_domain, max(v) as eb from (select ali, q_domain, t_domain, least(t - te + kb, q - qe + kb) as i, sum(p) as v from x where qe < ncol and te < nrow and t > te - kb and q > qe - kb and t <= te and q <= qe group by 1, 2, 3, 4) group by 1, 2, 3)
+select ali, q_domain, t_domain, round(s4 * sa * eb, 9) as score from live join sa using (ali, q_domain, t_domain) join eb using (ali, q_domain, t_domain) where s4 * sa * eb <> 0""")
+def pair_score(spark, sf_dir):
+    al = _derived(spark, sf_dir, _ALI, "select * from al", "orders")
+    g = F.col("id").cast("int")
+    parts = F.array(F.struct(F.lit(1).alias("domain_no"), F.lit(1).alias("start"), (2 + g % 2).alias("end")), F.struct(F.lit(2).alias("domain_no"), F.lit(4).alias("start"), (5 + g % 3).alias("end")))
+    frags = spark.range(50).select(F.col("id").alias("seq"), F.inline(parts)).withColumn("line_no", F.col("domain_no")).withColumn("frag_no", F.lit(0))
+    out = scoring.pair_scores(al, frags, _cells(spark, sf_dir))
+    return out.select("ali", "q_domain", "t_domain", F.round("score", 9).alias("score"))
+
+
+# --- intervals
+
+
+@query(f"with {FRAGMENTS} select seq, user_id, domain, s as start, e as \"end\", pos from placed")
+def fragment_positions(spark, sf_dir):
+    return intervals.positions(fragment_rows(spark, sf_dir))
+
+
+@query(f"with {FRAGMENTS} select seq, user_id, domain, s as start, e as \"end\", lag(domain) over w as up, lead(domain) over w as down from placed window w as (partition by seq order by s, e)")
+def fragment_neighbors(spark, sf_dir):
+    return intervals.neighbours(fragment_rows(spark, sf_dir))
+
+
+def _rel_sql(buckets: int) -> str:
+    return f"""{FRAGMENTS},
+mem as (select seq, domain, domain || '-' || (user_id % {buckets})::varchar as cluster, min(s) as s, max(e) as e, min(pos) as p1, max(pos) as p2 from placed group by seq, domain, user_id),
+pr as (select a.seq, a.cluster as cluster_a, a.domain as domain_a, b.cluster as cluster_b, b.domain as domain_b, a.p1 as ap1, a.p2 as ap2, b.p1 as bp1, b.p2 as bp2,
+  (select count(*) from placed f where f.seq = b.seq and f.domain = b.domain) as nb, (select count(*) from placed f where f.seq = a.seq and f.domain = a.domain) as na,
+  (select count(*) from placed f where f.seq = b.seq and f.domain = b.domain and f.e < a.s) as b_before, (select count(*) from placed f where f.seq = b.seq and f.domain = b.domain and f.s > a.e) as b_after,
+  (select max(pos) from placed f where f.seq = b.seq and f.domain = b.domain and f.e < a.s) as b_left, (select min(pos) from placed f where f.seq = b.seq and f.domain = b.domain and f.s > a.e) as b_right,
+  (select count(*) from placed f where f.seq = a.seq and f.domain = a.domain and f.e < b.s) as a_before, (select count(*) from placed f where f.seq = a.seq and f.domain = a.domain and f.s > b.e) as a_after,
+  (select max(pos) from placed f where f.seq = a.seq and f.domain = a.domain and f.e < b.s) as a_left, (select min(pos) from placed f where f.seq = a.seq and f.domain = a.domain and f.s > b.e) as a_right
+  from mem a join mem b on a.seq = b.seq and a.cluster <> b.cluster),
+rel as (select seq, cluster_a, domain_a, cluster_b, domain_b, case
+  when b_before + b_after <> nb then case when a_before + a_after = na and a_left + 1 = bp1 and bp2 = a_right - 1 then 3 end
+  when b_left is null then case when ap2 = b_right - 1 then 0 end
+  when b_right is null then case when b_left + 1 = ap1 then 1 end
+  else case when b_left + 1 = ap1 and ap2 = b_right - 1 then 2 end end as relation from pr)"""
+
+
+@query(f"with {_rel_sql(1)} select seq, cluster_a, domain_a, cluster_b, domain_b, relation::integer as relation from rel")
+def interval_relation(spark, sf_dir):
+    return intervals.member_pairs(_members(spark, sf_dir))
+
+
+_SHARES = "size_ as (select cluster as cluster_b, count(*) as n from mem group by 1), sh as (select cluster_a, cluster_b, count(*) filter (relation = 0) / n as p_up, count(*) filter (relation = 1) / n as p_down, count(*) filter (relation = 2) / n as p_inc, count(*) filter (relation = 3) / n as p_enc from rel join size_ using (cluster_b) group by cluster_a, cluster_b, n)"
+
+
+@query(f"with {_rel_sql(4)}, {_SHARES} select * from sh")
+def cluster_relation_prob(spark, sf_dir):
+    return intervals.relation_shares(_members(spark, sf_dir, 4))
+
+
+@query(f"""with {_rel_sql(4)}, {_SHARES} select cluster_a, cluster_b, (case when p_up = m then 0 when p_down = m then 1 when p_inc = m then 2 else 3 end)::integer as relation, m as share
+from (select *, greatest(p_up, p_down, p_inc, p_enc) as m from sh) where m > 0.05""")
+def cluster_best_relation(spark, sf_dir):
+    return intervals.best_relation(intervals.relation_shares(_members(spark, sf_dir, 4)), 0.05)
+
+
+@query(f"with {_rel_sql(4)} select distinct cluster_a, cluster_b from rel")
+def cluster_intersections(spark, sf_dir):
+    return intervals.cluster_intersections(_members(spark, sf_dir, 4))
+
+
+def _two(spark, sf_dir):
+    """The first two event types by name."""
+    m = _members(spark, sf_dir)
+    names = [r[0] for r in m.select("cluster").distinct().orderBy("cluster").limit(2).collect()]
+    return m, names
+
+
+@query(f"""with {_rel_sql(1)}, names as (select min(cluster) as a, (select min(cluster) from mem where cluster > (select min(cluster) from mem)) as b from mem),
+hit as (select rel.* from rel, names where cluster_a = a and cluster_b = b and relation = 0),
+merged as (select cluster_a || '+' || cluster_b as cluster, h.seq, domain_a || '+' || domain_b as domain, array_to_string(list(p.s::varchar || '-' || p.e::varchar order by p.s), ',') as intervals
+  from hit h join placed p on p.seq = h.seq and p.domain in (domain_a, domain_b) group by 1, 2, 3),
+rest as (select cluster, m.seq, m.domain, array_to_string(list(p.s::varchar || '-' || p.e::varchar order by p.s), ',') as intervals from mem m join placed p on p.seq = m.seq and p.domain = m.domain
+  where not exists (select 1 from hit h where h.seq = m.seq and m.domain in (h.domain_a, h.domain_b)) group by 1, 2, 3)
+select * from merged union all select * from rest""")
+def cluster_merge_once(spark, sf_dir):
+    m, names = _two(spark, sf_dir)
+    return intervals.merge_once(m, *names, 0).select("cluster", "seq", "domain", scalars.intervals_text(F.col("frags")).alias("intervals"))
+
+
+@query()
+def cluster_merge_fixpoint(spark, sf_dir):
+    done = intervals.merge_clusters(_members(spark, sf_dir, 16), 0.2)
+    return done.select("grp", "cluster", "seq", "domain", scalars.intervals_text(F.col("frags")).alias("intervals"))
+
+
+@query(f"""with {_rel_sql(1)}, t as (select m.seq, m.cluster, m.domain, min(p.s) as s1, array_to_string(list(p.s::varchar || '-' || p.e::varchar order by p.s), ',') as intervals from mem m join placed p on p.seq = m.seq and p.domain = m.domain group by 1, 2, 3)
+select seq, seq || '_' || (row_number() over (partition by seq order by cluster, s1, domain))::varchar as seq_n, intervals from t""")
+def domain_renumbering(spark, sf_dir):
+    return intervals.renumbered(_members(spark, sf_dir))
+
+
+# --- search hits
+
+_SEARCH = """hit as (select o_custkey as query_id, cast(20 + o_custkey % 30 as int) as query_length, 'sp|T' || cast(l_partkey % 25 as string) || '|x' as template_id, cast(20 + l_partkey % 30 as int) as aligned_cols,
+l_discount / 50 as evalue, l_tax * 12.5 as similarity, cast(l_linenumber as int) as t_start, cast(l_linenumber + 15 + l_suppkey % 40 as int) as t_end,
+row_number() over (order by o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as ord from orders join lineitem on o_orderkey = l_orderkey)"""
+
+
+@query(f"""with {_SEARCH}, good as (select * from hit where aligned_cols / query_length > 0.9 and evalue < 0.001 and similarity > 0.6 and (t_end - t_start + 1) / query_length - 1 < 0.1)
+select query_id, split_part(template_id, '|', 2) as template, arg_max(t_start, ord) as start, arg_max(t_end, ord) as "end" from good group by 1, 2""")
+def hit_filter(spark, sf_dir):
+    return hits.filter_hits(_search_rows(spark, sf_dir))
+
+
+@query(f"with {_SEARCH} select distinct template_id from hit where similarity > 0.9")
+def templates_over(spark, sf_dir):
+    return hits.templates_over(_search_rows(spark, sf_dir).withColumn("probability", F.col("similarity")), 0.9)
+
+
+def _search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As _SEARCH, but a hit's place is a struct, so no global numbering is needed."""
+    t = _tables(spark, sf_dir, "orders", "lineitem")
+    j = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.select(
+        F.col("o_custkey").alias("query_id"), (20 + F.col("o_custkey") % 30).cast("int").alias("query_length"), F.concat(F.lit("sp|T"), (F.col("l_partkey") % 25).cast("string"), F.lit("|x")).alias("template_id"),
+        (20 + F.col("l_partkey") % 30).cast("int").alias("aligned_cols"), (F.col("l_discount") / 50).alias("evalue"), (F.col("l_tax") * 12.5).alias("similarity"),
+        F.col("l_linenumber").cast("int").alias("t_start"), (F.col("l_linenumber") + 15 + F.col("l_suppkey") % 40).cast("int").alias("t_end"),
+        F.struct("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("ord"),
+    )
+
+
+@query("select o_custkey as cluster, o_orderkey as ord, row_number() over (partition by o_custkey order by o_orderkey)::integer as n from orders")
+def cluster_running_number(spark, sf_dir):
+    return hits.running_numbers(_tables(spark, sf_dir, "orders")["orders"].select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("ord")))

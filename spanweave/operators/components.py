@@ -72,8 +72,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
 
     nodes: optional frame whose first column adds nodes without edges.
     """
-    stars = star_forest(edges, src, dst)
-    own = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node")))
+    given = materialize(edges.select(src, dst), "cc-edges")
+    stars = star_forest(given, src, dst)
+    own = given.select(F.explode(F.array(src, dst)).alias("node"))
     if nodes is not None:
         own = own.union(nodes.select(F.col(nodes.columns[0]).alias("node")))
     return (

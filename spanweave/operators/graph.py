@@ -117,11 +117,11 @@ def closure_step(edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 def triangle_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """closure_step until no weight changes; adds no edges. Weights over 1 are refused, for they need not settle."""
-    if not edges.where("w > 1").isEmpty():
+    now = materialize(edges.select("src", "dst", "w"), "closure")
+    if not now.where("w > 1").isEmpty():
         raise ValueError("closure needs weights up to 1")
-    if not edges.where("src = dst").isEmpty():
+    if not now.where("src = dst").isEmpty():
         raise ValueError("closure needs edges between different nodes")
-    now = materialize(edges.select("src", "dst", "w"), "closure")
     paths = materialize(triangles(now), "triangles")
     for _ in range(max_rounds):
         new = materialize(closure_step(now, paths), "closure")
@@ -143,6 +143,7 @@ def closure(rows: DataFrame, coverage_cut: float = 0.0, pre_cut: float = 0.0, po
 
 def component_edges(edges: DataFrame, quantize: bool = False) -> DataFrame:
     """(component, src, dst, w); quantize: weights truncated to four decimals, as fixed-point files have them."""
+    edges = materialize(edges.select("src", "dst", "w"), "edges")
     comp = connected_components(edges)
     w = (F.col("w") * F.lit(10000.0)).cast("int") / F.lit(10000.0) if quantize else F.col("w")
     return edges.join(comp.withColumnsRenamed({"node": "src"}), "src").select("component", "src", "dst", w.alias("w"))

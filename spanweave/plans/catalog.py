@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import scalars
 from spanweave.operators import affinity, graph, hits, intervals, scoring
-from spanweave.operators.components import connected_components
+from spanweave.operators.components import connected_components, materialize
 
 EDGES = """
 pc as (select distinct o_custkey as c, l_partkey as p from orders join lineitem on o_orderkey = l_orderkey),
@@ -180,13 +180,13 @@ _TRI = "tri as (select e.src as i, x.dst as m, e.dst as t from sym e join sym x
 
 @query(f"with {SYM}, {_TRI} select * from tri")
 def triangles(spark, sf_dir):
-    return graph.triangles(_symmetric(spark, sf_dir))
+    return graph.triangles(materialize(_symmetric(spark, sf_dir), "edges"))
 
 
 @query(f"""with {SYM}, {_TRI}, best as (select i, t, max(a.w * b.w) as p from tri join sym a on a.src = i and a.dst = m join sym b on b.src = m and b.dst = t group by 1, 2)
 select src, dst, round(greatest(w, coalesce(p, w)), 9) as w from sym left join best on i = least(src, dst) and t = greatest(src, dst)""")
 def closure_step(spark, sf_dir):
-    edges = _symmetric(spark, sf_dir)
+    edges = materialize(_symmetric(spark, sf_dir), "edges")
     return graph.closure_step(edges, graph.triangles(edges)).select("src", "dst", F.round("w", 9).alias("w"))
 
 

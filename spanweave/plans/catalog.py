@@ -3,8 +3,8 @@
 The tables are not of this library's domain; inputs are derived from them by the
 same common table expressions in both engines:
 
-* edges: customers who bought the same parts, with some reversed, repeated and
-  self rows; cov is the Jaccard share of common parts.
+* edges: customers who bought the same quantity of the same part, with some
+  reversed, repeated and self rows; cov is the Jaccard share of such purchases.
 * fragments: runs of one event type in windows of eight events of a user.
 * cells: the lines of an order, placed by two orders of sorting.
 """
@@ -21,11 +21,10 @@ from spanweave.operators import affinity, graph, hits, intervals, scoring
 from spanweave.operators.components import connected_components, materialize
 
 EDGES = """
-pc as (select distinct o_custkey as c, l_partkey as p from orders join lineitem on o_orderkey = l_orderkey),
+pc as (select distinct o_custkey as c, l_partkey as p, l_quantity as n from orders join lineitem on o_orderkey = l_orderkey),
 deg as (select c, count(*) as n from pc group by c),
-sh as (select x.c as a, y.c as b, count(*) as s from pc x join pc y on x.p = y.p where x.c < y.c and x.c % 10 = y.c % 10 group by x.c, y.c),
-jac as (select a, b, cast(s as double) / cast(da.n + db.n - s as double) as cov from sh join deg da on da.c = a join deg db on db.c = b),
-base as (select a, b, cov from jac where cov >= 0.02),
+sh as (select x.c as a, y.c as b, count(*) as s from pc x join pc y on x.p = y.p and x.n = y.n where x.c < y.c group by x.c, y.c),
+base as (select a, b, cast(s as double) / cast(da.n + db.n - s as double) as cov from sh join deg da on da.c = a join deg db on db.c = b),
 rows_ as (
   select a as src, b as dst, cast(1 + (a * 7 + b * 13) % 100 as double) / 100 as w, cov, a * 1000000 + b as line_no from base
   union all select b, a, cast(1 + (a * 5 + b * 3) % 100 as double) / 100, cov, 100000000000000 + a * 1000000 + b from base where (a + b) % 3 = 0
@@ -85,6 +84,11 @@ def _symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.symmetrize(graph.scan_edges(edge_rows(spark, sf_dir)).edges)
 
 
+def _strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges after a cut that leaves many components."""
+    return graph.clean(_symmetric(spark, sf_dir), 0.97)
+
+
 def fragment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, FRAGMENTS, "select seq, user_id, domain, s as start, e as end from frag", "events")
 
@@ -124,9 +128,9 @@ def query(sql: str | None = None):
 # --- scans and graph normal forms
 
 
-@query(f"with {EDGES} select src, dst, max_by(w, line_no) as w from rows_ where src <> dst and (cov is null or cov > 0.03) group by src, dst")
+@query(f"with {EDGES} select src, dst, max_by(w, line_no) as w from rows_ where src <> dst and (cov is null or cov > 0.0125) group by src, dst")
 def edge_scan_coverage(spark, sf_dir):
-    return graph.scan_edges(edge_rows(spark, sf_dir), 0.03).edges
+    return graph.scan_edges(edge_rows(spark, sf_dir), 0.0125).edges
 
 
 @query(f"with {EDGES} select src, dst, max_by(w, line_no) as w from rows_ where src <> dst group by src, dst")
@@ -162,10 +166,10 @@ def graph_stats(spark, sf_dir):
     return graph.stats(graph.scan_edges(edge_rows(spark, sf_dir)), 0.5)
 
 
-@query(f"with {SYM} select id from (select src as id from rows_ union select dst from rows_) anti join (select distinct src as id from last where cast(src as bigint) % 4 <> 1) using (id)")
+@query(f"with {SYM} select id from (select src as id from rows_ union select dst from rows_) anti join (select distinct src as id from last where w >= 0.9) using (id)")
 def isolated_nodes(spark, sf_dir):
     g = graph.scan_edges(edge_rows(spark, sf_dir))
-    return graph.isolated_nodes(graph.Graph(g.nodes, g.edges.where("src % 4 <> 1")))
+    return graph.isolated_nodes(graph.Graph(g.nodes, graph.clean(g.edges, 0.9)))
 
 
 @query(f"with {SYM} select src, dst, cast(trunc(w * 10000) as integer) as w from sym")
@@ -204,34 +208,36 @@ def triangle_closure(spark, sf_dir):
     return graph.triangle_closure(_symmetric(spark, sf_dir)).select("src", "dst", F.round("w", 9).alias("w"))
 
 
-_REACH = "reach(node, seen) as (select distinct src, src from sym union select r.node, s.dst from reach r join sym s on s.src = r.seen), comp as (select node, min(seen) as component from reach group by node)"
+_REACH = "strong as (select * from sym where w >= 0.97), reach(node, seen) as (select distinct src, src from strong union select r.node, s.dst from reach r join strong s on s.src = r.seen), comp as (select node, min(seen) as component from reach group by node)"
 
 
 @query(f"with recursive {SYM}, {_REACH} select * from comp")
 def connected_component_labels(spark, sf_dir):
-    return connected_components(_symmetric(spark, sf_dir))
+    return connected_components(_strong(spark, sf_dir))
 
 
-@query(f"with recursive {SYM}, {_REACH} select component, src, dst, w from sym join comp on node = src")
+@query(f"with recursive {SYM}, {_REACH} select component, src, dst, w from strong join comp on node = src")
 def component_edges(spark, sf_dir):
-    return graph.component_edges(_symmetric(spark, sf_dir))
+    return graph.component_edges(_strong(spark, sf_dir))
 
 
 @query(f"with recursive {SYM}, {_REACH} select count(distinct component) as n_components from comp")
 def component_count(spark, sf_dir):
-    return connected_components(_symmetric(spark, sf_dir)).agg(F.countDistinct("component").alias("n_components"))
+    return connected_components(_strong(spark, sf_dir)).agg(F.countDistinct("component").alias("n_components"))
 
 
 # --- affinity propagation
 
 
 def _blocks(spark, sf_dir):
-    """Small components: edges among customers of one hundred."""
-    edges = _symmetric(spark, sf_dir).where("floor(src / 100) = floor(dst / 100)")
-    return edges.select(F.concat_ws(":", F.floor(F.col("src") / 100).cast("string"), (F.col("src") % 10).cast("string")).alias("component"), "src", "dst", "w")
+    """Components: edges among customers of one nation."""
+    nation = _tables(spark, sf_dir, "customer")["customer"]
+    of = lambda end: nation.select(F.col("c_custkey").alias(end), F.col("c_nationkey").alias(f"{end}_nation"))
+    edges = _symmetric(spark, sf_dir).join(of("src"), "src").join(of("dst"), "dst").where("src_nation = dst_nation")
+    return edges.select(F.col("src_nation").cast("string").alias("component"), "src", "dst", "w")
 
 
-_BLOCKS = "blocks as (select cast(cast(floor(src / 100) as bigint) as string) || ':' || cast(src % 10 as string) as component, src, dst, w from sym where floor(src / 100) = floor(dst / 100))"
+_BLOCKS = "blocks as (select cast(a.c_nationkey as string) as component, src, dst, w from sym join customer a on a.c_custkey = src join customer b on b.c_custkey = dst where a.c_nationkey = b.c_nationkey)"
 
 
 @query(f"""with {SYM}, {_BLOCKS}, ids as (select distinct component, src as id from blocks),
@@ -246,11 +252,11 @@ def affinity_propagation(spark, sf_dir):
     return affinity.affinity_clusters(_blocks(spark, sf_dir), iterations=200)
 
 
-@query(f"""with {SYM}, c as (select min(dst) as exemplar, src as member from sym where src % 3 = 0 group by src)
+@query(f"""with {SYM}, c as (select min(dst) as exemplar, src as member from sym where w >= 0.97 group by src)
 select exemplar, member from c union all
 select id, id from (select distinct c_custkey as id from customer) where id not in (select exemplar from c union select member from c)""")
 def singleton_fill(spark, sf_dir):
-    c = _symmetric(spark, sf_dir).where("src % 3 = 0").groupBy(F.col("src").alias("member")).agg(F.min("dst").alias("exemplar"))
+    c = _strong(spark, sf_dir).groupBy(F.col("src").alias("member")).agg(F.min("dst").alias("exemplar"))
     return affinity.fill_singletons(c, _tables(spark, sf_dir, "customer")["customer"].select("c_custkey")).select("exemplar", "member")
 
 

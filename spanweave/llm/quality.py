@@ -53,62 +53,86 @@ def features(text: bytes | None) -> tuple[np.ndarray, list[float]]:
     return hashed, form
 
 
-def fit(rows: list[tuple[np.ndarray, list[float]]], good: np.ndarray, rounds: int = 300, least_z: float = 5.0, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the hashed words and of the form, by Adagrad.
-
-    Words whose shares of good and of other rows differ by less than least_z standard errors get none.
-    """
-    with_good, with_any = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for i, (h, _) in enumerate(rows):
-        with_any[h] += 1  # a row's hashes are distinct
-        with_good[h] += good[i]
-    n_good, n = max(1, int(good.sum())), max(2, len(rows))
+def telling_words(with_any: np.ndarray, with_good: np.ndarray, n: int, n_good: int, least_z: float = 5.0) -> np.ndarray:
+    """Which words differ in their shares of good and of other rows by least_z standard errors."""
+    n, n_good = max(2, n), max(1, n_good)
     n_bad, p = max(1, n - n_good), with_any / n
     apart = with_good / n_good - (with_any - with_good) / n_bad
-    often = (with_any >= 3) & (np.abs(apart) >= least_z * np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_good + 1 / n_bad)))
-    place = np.cumsum(often) - 1
-    kept = [h[often[h]] for h, _ in rows]
-    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h in kept])
-    cols = place[np.concatenate(kept)] if kept else np.zeros(0, np.int64)
-    form, y, m = np.array([f for _, f in rows]), good.astype(float), int(often.sum())
+    return (with_any >= 3) & (np.abs(apart) >= least_z * np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_good + 1 / n_bad)))
+
+
+def fit(at: np.ndarray, cols: np.ndarray, form: np.ndarray, good: np.ndarray, m: int, rounds: int = 300, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of m words and of the form, by Adagrad; row at[i] has word cols[i]."""
+    y = good.astype(float)
     w, v = np.zeros(m), np.zeros(form.shape[1])
     gw, gv = np.full(m, 1e-8), np.full(form.shape[1], 1e-8)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both kinds count alike
     for _ in range(rounds):
-        z = np.bincount(at, w[cols], len(rows)) + form @ v
+        z = np.bincount(at, w[cols], len(y)) + form @ v
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         dw, dv = np.bincount(cols, err[at], m) + l2 * w, form.T @ err + l2 * v
         gw += dw * dw
         gv += dv * dv
         w -= 0.3 * dw / np.sqrt(gw)
         v -= 0.3 * dv / np.sqrt(gv)
-    full = np.zeros(1 << BITS, np.float32)
-    full[often] = w
-    return full, v
+    return w, v
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[np.ndarray, np.ndarray] | None:
-    """The document model, or None if the labels are of one kind."""
+    """The document model, or None if the labels are of one kind.
+
+    The rows' words are counted where they are; the driver gets 2 ** BITS counts
+    at most and, of each row, the words that tell.
+    """
     told = (
         labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
         .agg(F.min((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t.as_py()) for t in b.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("good"), pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([f for _, f in got], pa.list_(pa.float64()))], ["good", "words", "form"])
-
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").mapInArrow(run, "good boolean, words binary, form array<double>").toArrow()
-    )
-    good = rows.column("good").to_numpy().astype(bool)
-    if good.all() or not good.any():
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("tk"), b.column("good"), pa.array([h for h, _ in got], pa.list_(pa.int32())), pa.array([f for _, f in got], pa.list_(pa.float64()))],
+                ["doc_id", "tk", "good", "words", "form"],
+            )
+
+    schema = "doc_id long, tk long, good boolean, words array<int>, form array<double>"
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
+    rows = written(named.join(F.broadcast(told), "doc_id").mapInArrow(featured, schema), "features")
+    kinds = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
+    if len(kinds) < 2:
         return None
-    order = np.lexsort((rows.column("words").to_numpy(), good))  # the same sums whatever order the rows come in
-    got = [(np.frombuffer(w, np.int32), f) for w, f in zip(rows.column("words").to_pylist(), rows.column("form").to_pylist())]
-    return fit([got[i] for i in order], good[order])
+    counts = (
+        rows.select("good", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.count_if("good").alias("n_good")).toArrow()
+    )
+    with_any, with_good = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    with_any[counts.column("w").to_numpy()] = counts.column("n").to_numpy()
+    with_good[counts.column("w").to_numpy()] = counts.column("n_good").to_numpy()
+    telling = telling_words(with_any, with_good, sum(kinds.values()), kinds[True])
+
+    def only_telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column("words")
+            keep = telling[words.flatten().to_numpy()]
+            ends = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(words.value_lengths().to_numpy())))]
+            kept = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.flatten().to_numpy()[keep]))
+            yield pa.RecordBatch.from_arrays([kept if c == "words" else b.column(c) for c in b.schema.names], b.schema.names)
+
+    got = rows.mapInArrow(only_telling, schema).toArrow().combine_chunks()
+    # the same sums whatever order the rows come in
+    order = np.lexsort((got.column("tk").to_numpy(), got.column("doc_id").to_numpy()))
+    got = got.select(["good", "words", "form"]).take(pa.array(order)).combine_chunks()
+    words = got.column("words").chunk(0)
+    at = np.repeat(np.arange(len(order), dtype=np.int32), words.value_lengths().to_numpy())
+    place = np.cumsum(telling, dtype=np.int32) - 1
+    form = got.column("form").chunk(0).flatten().to_numpy().reshape(len(order), -1)
+    good = got.column("good").to_numpy().astype(bool)
+    w, v = fit(at, place[words.flatten().to_numpy()], form, good, int(telling.sum()))
+    full = np.zeros(1 << BITS, np.float32)
+    full[telling] = w
+    return full, v
 
 
 def document_odds(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:

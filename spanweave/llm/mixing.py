@@ -9,9 +9,10 @@ from its block's number. At any slot a source is less than one block from its
 share. When a source has no block left, a new phase begins with the weights of
 the others, so that every row gets a place and none comes twice.
 
-No task holds a source: rows are dealt to (source, bucket) groups of about
-``bucket_rows``, numbered there, and moved up by the sizes of earlier buckets. The
-driver gets a row for each source, of which there may be ``quantum`` at most.
+No task holds a source: a source's rows are dealt to buckets of about
+``bucket_rows``, numbered there, and moved up by the sizes of earlier buckets, which
+are summed in two levels, so that a task sums the square root of a source's buckets.
+The driver gets a row for each source, of which there may be ``quantum`` at most.
 
 A null source is a source of its own; a source without a weight, or with one of
 zero, comes after all others. Rows that repeat an id have places of their own.
@@ -83,28 +84,44 @@ def phases(blocks: dict, weights: dict, quantum: int) -> list[tuple[int, int, di
     return out
 
 
-def _numbered(docs: DataFrame, source_col: str, id_col: str, bucket_rows: int) -> DataFrame:
-    """docs with __n: the row's place in its source, from 0."""
-    n = max(1, math.ceil(docs.count() / bucket_rows))
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    dealt = docs.withColumn("__s", F.col(source_col).cast("string")).withColumn("__h", key).withColumn("__b", F.pmod("__h", F.lit(n)))
-    sizes = dealt.groupBy("__s", "__b").count()
-    before = sizes.select(
-        F.col("__s").alias("__s2"), F.col("__b").alias("__b2"),
-        (F.sum("count").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("__before"),
+def _before(sizes: DataFrame) -> DataFrame:
+    """(s, b, before): rows of a source in the buckets before b; sizes(s, b, run, count), runs being of following buckets."""
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    runs = sizes.groupBy("s", "run").agg(F.sum("count").alias("size"))
+    runs = runs.select(
+        F.col("s").alias("s3"), F.col("run").alias("run3"),
+        F.coalesce(F.sum("size").over(earlier(Window.partitionBy("s").orderBy("run"))), zero).alias("before_run"),
     )
+    inside = F.coalesce(F.sum("count").over(earlier(Window.partitionBy("s", "run").orderBy("b"))), zero)
+    return (
+        sizes.withColumn("inside", inside).join(runs, F.col("s").eqNullSafe(F.col("s3")) & (F.col("run") == F.col("run3")))
+        .select(F.col("s").alias("__s2"), F.col("b").alias("__b2"), (F.col("before_run") + F.col("inside")).alias("__before"))
+    )
+
+
+def _numbered(docs: DataFrame, sizes: dict, source_col: str, id_col: str, bucket_rows: int) -> DataFrame:
+    """docs with __s, the source, and __n, the row's place in it from 0; sizes: rows of each source."""
+    buckets = [(s, math.ceil(n / bucket_rows)) for s, n in sizes.items()]
+    buckets = docs.sparkSession.createDataFrame([(s, n, math.isqrt(n - 1) + 1) for s, n in buckets], "__s1 string, __buckets long, __run long")
+    dealt = (
+        docs.withColumn("__s", F.col(source_col).cast("string")).withColumn("__h", F.xxhash64(F.col(id_col).cast("string")))
+        .join(F.broadcast(buckets), F.col("__s").eqNullSafe(F.col("__s1")))  # a row for each source, quantum at most
+        .withColumn("__b", F.pmod("__h", "__buckets")).withColumn("__run", F.floor(F.col("__b") / F.col("__run")))
+    )
+    before = _before(dealt.groupBy(F.col("__s").alias("s"), F.col("__b").alias("b"), F.col("__run").alias("run")).count())
     order = Window.partitionBy("__s", "__b").orderBy("__h", F.col(id_col), *([F.col("__tie")] if "__tie" in docs.columns else []))
     placed = dealt.withColumn("__r", F.row_number().over(order) - 1)
     return (
         placed.join(before, placed["__s"].eqNullSafe(before["__s2"]) & (placed["__b"] == before["__b2"]))
         .withColumn("__n", F.col("__r") + F.col("__before"))
-        .drop("__s2", "__b2", "__before", "__r", "__b", "__h")
+        .drop("__s1", "__buckets", "__run", "__s2", "__b2", "__before", "__r", "__b", "__h")
     )
 
 
 def mix(
     docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id",
-    block_rows: int = 16, quantum: int = 1000, bucket_rows: int = 2_000, temperature: float = 0.5,
+    block_rows: int = 16, quantum: int = 1000, bucket_rows: int = 256, temperature: float = 0.5,
 ) -> DataFrame:
     """docs with block, slot, offset (in the block) and position (in the mix, from 0).
 
@@ -118,7 +135,7 @@ def mix(
         weights = {s: n**temperature for s, n in sizes.items()}
     plan = phases({s: -(-n // block_rows) for s, n in sizes.items()}, weights, quantum)
     spark = docs.sparkSession
-    numbered = _numbered(docs, source_col, id_col, bucket_rows).withColumn("block", F.floor(F.col("__n") / block_rows)).withColumn("offset", F.col("__n") % block_rows)
+    numbered = _numbered(docs, sizes, source_col, id_col, bucket_rows).withColumn("block", F.floor(F.col("__n") / block_rows)).withColumn("offset", F.col("__n") % block_rows)
     if not plan:
         return numbered.drop("__n", "__s").select("*", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("position")).select(*docs.columns, *RESULT)
     # rows (source, from block, to block, first slot, share, slots of a period): phases times sources, bounded by quantum

@@ -56,3 +56,10 @@ def doc_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
         F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("did"),
         F.xxhash64(F.col(text_col)).alias("tk"),
     ]
+
+
+def join_by_key(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs joined to keys(did, tk, ...), whose columns get the prefix "__", so that none clashes."""
+    keys = keys.toDF(*[f"__{c}" for c in keys.columns])
+    did, tk = doc_key(docs, id_col, text_col)
+    return docs.join(keys, (did == keys["__did"]) & (tk == keys["__tk"]), how)

@@ -3,6 +3,8 @@
 Any null or blank text has the fingerprint zero and is linked like every other.
 Rows that repeat a doc_id keep a row each; a null doc_id is never a
 component's name unless no other member has an id. Extra columns are ignored.
+Of a component, deduplicated() keeps the row of least doc_id, of equals that of
+least text hash; rows without an id stay only where no other member has one.
 
 The trees are not broadcast: all fingerprints of a corpus have no size bound.
 A shard holds the fingerprints that agree on one of radius + 1 bit blocks (two
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import written
+from spanweave.llm.common import NO_ID, doc_key, join_by_key, written
 from spanweave.operators.components import star_forest
 
 SEED = 42
@@ -54,15 +56,16 @@ def simhash(text: bytes | None, shingle_words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    """(doc_id, tk, fp): fp is the fingerprint's bits as a signed long, tk the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = b.column(2).cast(pa.binary())
             fps = np.fromiter((simhash(t.as_py(), shingle_words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tk", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    tk = doc_key(docs, id_col, text_col)[1]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), tk, F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tk long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -228,6 +231,15 @@ def near_links(fps: DataFrame, radius: int = 4, shard_limit: int = 16_384, fp_co
             rows = more if rows is None else rows.union(more)
 
 
+def _components(fps: DataFrame, radius: int, shard_limit: int) -> DataFrame:
+    """(fp, root, first) of each fingerprint of fps; first: the least row (no_id, doc_id, tk) that has it."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk"))
+    classes = written(fps.groupBy("fp").agg(least.alias("first")), "classes")
+    stars = star_forest(near_links(classes.select("fp"), radius, shard_limit))
+    rooted = classes.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return written(rooted, "rooted")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4, shard_limit: int = 16_384
 ) -> DataFrame:
@@ -237,12 +249,19 @@ def near_duplicates(
     ``radius`` or fewer differing bits) reach from this one.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    stars = star_forest(near_links(classes.select("fp"), radius, shard_limit))
-    rooted = classes.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "rooted")
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = _components(fps, radius, shard_limit)
+    names = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     named = written(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select(
+    return fps.select("doc_id", "fp").join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4, shard_limit: int = 16_384
+) -> DataFrame:
+    """docs with one row of each component."""
+    fps = written(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
+    first = F.min("first").alias("first")
+    stay = written(_components(fps, radius, shard_limit).groupBy("root").agg(first).select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("did"), "first.tk"), "stay")
+    return join_by_key(docs, stay, "inner", id_col, text_col).dropDuplicates(["__did", "__tk"]).drop("__did", "__tk")

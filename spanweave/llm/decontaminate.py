@@ -17,7 +17,8 @@ the greater weights) of ``similarity`` or more to the item.
 3. The exact weighted similarity decides.
 
 Null, blank and wordless texts, in documents or items, leak nothing. Rows that
-repeat a doc_id and text give one result; items with equal texts each give one.
+repeat a doc_id and text give one result; the same doc_id, or none, with another
+text is another document. Items with equal texts each give one result.
 Extra columns are ignored. The items' shingles are broadcast only if they are
 ``broadcast_shingles`` at most (counted first), else both sides are shuffled.
 """
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import doc_key, written
+from spanweave.llm.common import doc_key, join_by_key, written
 
 
 def words_of(text: Column) -> Column:
@@ -82,11 +83,16 @@ def _blocks(fp: Column, radius: int) -> Column:
     ])
 
 
-def leaks(
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, hamming, similarity): of each pair the best window, the first of equals."""
+    return keyed_leaks(docs, items, id_col, text_col, **options).drop("did", "tk")
+
+
+def keyed_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     shingle_words: int = 5, similarity: float = 0.8, radius: int = 22, broadcast_shingles: int = 2_000_000,
 ) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, hamming, similarity): of each pair the best window, the first of equals."""
+    """leaks() with the documents' keys (did, tk)."""
     k = shingle_words
     of_items = (
         items.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words"))
@@ -130,25 +136,25 @@ def leaks(
 
         return let(shingles_of(words, k), cut)
 
-    windows = written(laid.select("id", F.inline(let(words_of(F.col("text")), lay))), "windows").withColumn("fp", fingerprint(F.col("shingles")))
+    windows = written(laid.select("id", "did", "tk", F.inline(let(words_of(F.col("text")), lay))), "windows").withColumn("fp", fingerprint(F.col("shingles")))
     indexed = of_items.select("item", "n", "item_fp", "item_shingles", F.inline(_blocks(F.col("item_fp"), radius)))
     pairs = (
         windows.select("*", F.inline(_blocks(F.col("fp"), radius)))
         .join(F.broadcast(indexed) if small else indexed, ["n", "block", "value"])
         .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
         .where(F.col("hamming") <= radius)
-        .dropDuplicates(["id", "start", "n", "item"])
+        .dropDuplicates(["did", "tk", "start", "n", "item"])
         .withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles")))
         .where(F.col("similarity") >= similarity)
     )
     best = F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
-    return pairs.groupBy("id", "item").agg(best.alias("b")).select(
-        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"),
+    return pairs.groupBy("id", "did", "tk", "item").agg(best.alias("b")).select(
+        "did", "tk", F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"),
         F.col("b.hamming").cast("int").alias("hamming"), F.col("b.similarity").alias("similarity"),
     )
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that leak an item; rows with a null id stay unless a row of null id leaks."""
-    bad = written(leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "leaks")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+    """docs without the rows that leak an item."""
+    bad = written(keyed_leaks(docs, items, id_col, text_col, **options).select("did", "tk").distinct(), "leaks")
+    return join_by_key(docs, bad, "left_anti", id_col, text_col)

@@ -18,7 +18,8 @@ Documents with the word sequence of an earlier document lose all words, if a
 window fits, and take no part in steps 1 to 3. Null texts have no words. A null
 doc_id counts as the smallest. Rows that repeat a doc_id and text are one
 document and get equal results; the same doc_id with another text is another
-document, placed by the text's hash. Extra columns are ignored.
+document, placed by the text's hash. Extra columns stay, but for those named like a
+result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import doc_key, written
+from spanweave.llm.common import doc_key, join_by_key, written
 
 PHRASE = 8
 SHARD_BYTES = 1_000_000
@@ -210,17 +211,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept_text: the text as it was if nothing goes; else the kept stretches of
     it, joined by one space. kept_sha256: of the kept words joined by one space.
     """
-    clash = {"did", "tk", "whole", "starts", "n_words", "n_removed", "kept_sha256", "kept_text"} & set(docs.columns)
-    docs = docs.drop(*clash)
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
     lost = repeated_windows(docs, id_col, text_col, window)
-    joined = docs.select("*", *doc_key(docs, id_col, text_col)).join(lost, ["did", "tk"], "left").drop("did", "tk")
+    joined = join_by_key(docs, lost, "left", id_col, text_col).drop("__did", "__tk")
     fields = docs.schema.fieldNames()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, sha, kept = [], [], [], []
-            for text, whole, starts in zip(b.column(text_col).cast(pa.binary()), b.column("whole").to_pylist(), b.column("starts")):
+            for text, whole, starts in zip(b.column(text_col).cast(pa.binary()), b.column("__whole").to_pylist(), b.column("__starts")):
                 text = text.as_py()
                 w = Words(text)
                 stay = np.ones(w.n, bool)

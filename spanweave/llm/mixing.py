@@ -147,12 +147,12 @@ def mix(
                 rows.append((s, done[s], following[s], start, share[s], slots[s]))
                 b = following[s] - 1 - done[s]
                 last[s] = start + b // share[s] * quantum + slots[s][b % share[s]]
-    table = spark.createDataFrame(rows, "s2 string, lo long, hi long, start long, share long, slots array<int>")
+    table = spark.createDataFrame(rows, "__s2 string, __lo long, __hi long, __start long, __share long, __slots array<int>")
     placed = numbered.join(
-        F.broadcast(table), numbered["__s"].eqNullSafe(table["s2"]) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))
+        F.broadcast(table), numbered["__s"].eqNullSafe(table["__s2"]) & (F.col("block") >= F.col("__lo")) & (F.col("block") < F.col("__hi"))
     )
-    nth = F.col("block") - F.col("lo")
-    slot = F.col("start") + F.floor(nth / F.col("share")) * quantum + F.get("slots", (nth % F.col("share")).cast("int"))
+    nth = F.col("block") - F.col("__lo")
+    slot = F.col("__start") + F.floor(nth / F.col("__share")) * quantum + F.get("__slots", (nth % F.col("__share")).cast("int"))
     # blocks are full but for the last of each source
     short = sorted((last[s], block_rows - (n - 1) % block_rows - 1) for s, n in sizes.items() if s in last and n % block_rows)
     missing = F.aggregate(

@@ -10,35 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import decontaminate, mixing, quality, simhash, substring
-from spanweave.llm.common import doc_key, table, written
+from spanweave.llm.common import join_by_key, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go."""
     said = quality.classify(docs, table(spark, sf_dir, "labels"))
     rejected = said.where(~F.col("kept")).select("did", "tk").distinct()
-    return docs.select("*", *doc_key(docs)).join(rejected, ["did", "tk"], "left_anti").select(*docs.columns)
+    return join_by_key(docs, rejected, "left_anti")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component stays, once; a component without ids stays whole."""
-    said = simhash.near_duplicates(docs)
-    others = said.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did")).distinct()
-    keyed = docs.withColumn("did", F.coalesce("doc_id", F.lit(-(2**63))))
-    return keyed.join(others, "did", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One document of each component stays."""
+    return simhash.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated words are cut out; a document that loses all its words goes."""
-    done = substring.substring_dedup(docs).where("n_removed = 0 or n_removed < n_words")
+    own = {c: f"in{i}" for i, c in enumerate(docs.columns)}  # no column of the input clashes with a result
+    done = substring.substring_dedup(docs.withColumnsRenamed(own), own["doc_id"], own["text"]).where("n_removed = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*[(F.when(changed, new[c]).otherwise(F.col(x)) if c in new else F.col(x)).alias(c) for c, x in own.items()])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

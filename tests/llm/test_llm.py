@@ -113,8 +113,28 @@ def test_near_duplicates_of_random_fingerprints(spark):
         assert {frozenset(f for f in fps if find(f) == r) for r in map(find, fps)} == {frozenset(f for f in fps if want[f] == r) for r in want.values()}
 
 
+def test_deduplicated_keeps_one_row_of_each_component(docs, frame):
+    got = simhash.deduplicated(frame)
+    assert got.columns == frame.columns
+    root = brute_components({brute_fp(d[1]) for d in docs})
+    groups = {}
+    for d in docs:
+        groups.setdefault(root[brute_fp(d[1])], []).append(d)
+    kept = {root[brute_fp(r.text)]: r.doc_id for r in got.collect()}
+    assert got.count() == len(groups)
+    assert kept == {k: min((d[0] for d in g if d[0] is not None), default=None) for k, g in groups.items()}
+
+
+def test_deduplicated_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(11)
+    texts = [prose(rng, 60, 9000) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[0]), (None, texts[1])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, did int, root string")
+    assert Counter((r.doc_id, r.text) for r in simhash.deduplicated(df).collect()) == Counter([(3, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])])
+
+
 def test_near_duplicates_of_nothing(spark):
-    assert simhash.near_duplicates(empty(spark)).collect() == []
+    assert simhash.near_duplicates(empty(spark)).collect() == [] and simhash.deduplicated(empty(spark)).collect() == []
 
 
 # --- substring dedup
@@ -134,9 +154,9 @@ def test_substring_dedup(spark, docs, frame):
 
 
 def test_substring_dedup_keeps_unchanged_text(spark):
-    df = spark.createDataFrame([(1, "  a\tb\n c ", "k")], "doc_id long, text string, n_removed string")
+    df = spark.createDataFrame([(1, "  a\tb\n c ", "k", "l")], "doc_id long, text string, n_removed string, starts string")
     r = substring.substring_dedup(df).first()
-    assert r.kept_text == "  a\tb\n c " and r.n_removed == 0
+    assert r.kept_text == "  a\tb\n c " and r.n_removed == 0 and r.starts == "l"
     assert substring.substring_dedup(empty(spark)).collect() == []
 
 
@@ -189,6 +209,8 @@ def test_leaks(spark):
         assert len(got) == len(want)
     clean = decontaminate.decontaminated(df, it)
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    more = spark.createDataFrame([(None, items[0][1], 1), (None, "clean", 2), (0, "clean", 3), (0, items[0][1], 4)], "doc_id long, text string, did int")
+    assert {r.did for r in decontaminate.decontaminated(more, it).collect()} == {2, 3}
     assert decontaminate.leaks(empty(spark), it).collect() == []
     assert decontaminate.leaks(df, it.limit(0)).collect() == []
 
@@ -264,8 +286,8 @@ def test_cascade_is_exact():
 @pytest.mark.parametrize("weights", [None, {"a": 5, "b": 3, "c": 1, None: 1}, {"a": 1, "b": 1e-9}, {}])
 def test_mix(spark, weights):
     sizes = {"a": 700, "b": 333, "c": 10, None: 57}
-    rows = [(1000 * k + i, s, "t", 7) for k, (s, n) in enumerate(sizes.items()) for i in range(n)] + [(None, "a", "t", 7)] * 2
-    df = spark.createDataFrame(rows, "doc_id long, source string, slot string, position int")
+    rows = [(1000 * k + i, s, "t", 7, "u", "v") for k, (s, n) in enumerate(sizes.items()) for i in range(n)] + [(None, "a", "t", 7, "u", "v")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string, slot string, position int, start string, share string")
     got = mixing.mix(df, weights, block_rows=4, quantum=100, bucket_rows=100).collect()
     assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[1]) for r in rows)
     order = sorted(got, key=lambda r: r.position)
@@ -415,3 +437,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["substring_dedup"] - ids["benchmark_decontamination"] == {201} & ids["substring_dedup"]
     assert ids["mix_sources"] == ids["benchmark_decontamination"]
     assert {r.doc_id: r.position for r in pipeline.run(spark, str(tmp_path)).collect()} == {i: r.position for i, r in seen["mix_sources"].items()}
+
+
+def test_pipeline_keeps_rows_of_no_or_of_one_id(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    item = prose(rng, 50, 5000)
+    texts = [prose(rng, 90, 5000) for _ in range(6)] + [f"{prose(rng, 40, 5000)} {item}"]
+    ids = [None, None, None, 4, 4, 5, None]
+    rows = [(i, t, None, None, None, 1, "s", "h", "k") for i, t in zip(ids, texts)] + [(None, texts[0], None, None, None, 1, "s", "h", "k"), (9, texts[0], None, None, None, 1, "s", "h", "k")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, did int, starts string, n_words string, lo string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = pipeline.run(spark, str(tmp_path))
+    assert got.columns[:9] == [c.split()[0] for c in schema.split(", ")]
+    assert Counter((r.doc_id, r.text, r.n_words) for r in got.collect()) == Counter([(9, texts[0], "h"), *[(i, t, "h") for i, t in zip(ids[1:6], texts[1:6])]])

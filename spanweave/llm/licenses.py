@@ -2,7 +2,8 @@
 
 A text is cut into sentences at line ends and after . ! ? ; before white space.
 A sentence is normalised (lower case, runs of other than letters and digits made
-one space) and looked up among the known licence sentences. The identifiers
+one space, so that comment marks and bullets do not count) and looked up among the
+known licence sentences. The identifiers
 found, in the order of the text, are matched against the rules, the longest rule
 first: a rule needs its identifiers next to each other in that order, sentences
 that are not known aside, and takes them, so that no other rule counts them.
@@ -53,6 +54,7 @@ LICENSES = [
 ]
 _END = re.compile(r"(?<=[.!?;])\s+|\n+")
 _OTHER = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def normalised(sentence: str) -> str:
@@ -70,13 +72,13 @@ def known_sentences(sentences: list[tuple[str, str]]) -> dict[str, list[str]]:
 
 def identifiers(text: str | None, table: dict) -> list[tuple[str, int]]:
     """(identifier, number of the sentence) in the order of the text."""
-    pieces = _END.split(text) if text else []
+    pieces = _END.split(text.lower()) if text else []
     first = {k.split(" ", 1)[0] for k in table}
     out, i = [], 0
     while i < len(pieces):
-        head = pieces[i].split(None, 1)
+        head = _WORD.search(pieces[i])  # comment marks and bullets before it aside
         step = 1
-        if head and (normalised(head[0]) or " ").split(" ", 1)[0] in first:
+        if head and head.group() in first:
             for name, rest in table.get(normalised(pieces[i]), ()):
                 if all(i + 1 + j < len(pieces) and normalised(pieces[i + 1 + j]) == r for j, r in enumerate(rest)):
                     out.append((name, i))

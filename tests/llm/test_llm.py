@@ -361,6 +361,22 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("mark", ["# ", "// ", "/* ", " * ", "-- ", "<!-- ", "- ", "> ", ";; ", "#", '"', "• ", "_"])
+def test_licenses_in_comments(mark):
+    table = licenses.known_sentences(licenses.SENTENCES)
+    for name, sentence in licenses.SENTENCES:
+        assert [n for n, _ in licenses.identifiers(f"x\n{mark}{sentence}\n{mark}y", table)] == [name]
+
+
+def test_licenses_are_those_of_a_brute_force_scan():
+    table, rng = licenses.known_sentences(licenses.SENTENCES), random.Random(12)
+    known = {licenses.normalised(t): n for n, t in licenses.SENTENCES if not re.search(r"[.!?;]\s", t)}
+    for _ in range(200):
+        lines = [rng.choice(["", "# ", "* ", "<!-- ", "... "]) + rng.choice([prose(rng, 4), "İΑΣ licensed", *(t for n, t in licenses.SENTENCES if n in known.values())]) for _ in range(8)]
+        want = [known[p] for p in map(licenses.normalised, re.split(r"(?<=[.!?;])\s+|\n+", "\n".join(lines))) if p in known]
+        assert [n for n, _ in licenses.identifiers("\n".join(lines), table)] == want
+
+
 # --- quality classifier
 
 

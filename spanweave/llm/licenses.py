@@ -1,9 +1,10 @@
 """License scan by sentence rules.
 
-A text is cut into sentences at line ends and after . ! ? ; before white space.
-A sentence is normalised (lower case, runs of other than letters and digits made
-one space, so that comment marks and bullets do not count) and looked up among the
-known licence sentences. The identifiers
+A text is cut into pieces at line ends and after . ! ? ; before white space.
+Pieces are normalised (lower case, runs of other than letters and digits made one
+space, so that comment marks and bullets do not count). A known licence sentence is
+found where one piece, or several that follow each other, make it up: wrapped lines
+do, with empty and comment-only lines between them or not. The identifiers
 found, in the order of the text, are matched against the rules, the longest rule
 first: a rule needs its identifiers next to each other in that order, sentences
 that are not known aside, and takes them, so that no other rule counts them.
@@ -61,29 +62,45 @@ def normalised(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
-def known_sentences(sentences: list[tuple[str, str]]) -> dict[str, list[str]]:
-    """Normalised piece -> identifiers it opens, as tuples (identifier, pieces that follow)."""
+def known_sentences(sentences: list[tuple[str, str]]) -> dict[str, list[tuple[str, str]]]:
+    """First word -> (identifier, normalised sentence), the longest first."""
     table: dict[str, list] = {}
     for name, text in sentences:
-        pieces = [p for p in map(normalised, _END.split(text)) if p]
-        table.setdefault(pieces[0], []).append((name, pieces[1:]))
+        if known := normalised(text):
+            table.setdefault(known.split(" ", 1)[0], []).append((name, known))
     return {k: sorted(v, key=lambda x: -len(x[1])) for k, v in table.items()}
 
 
+def _taken(pieces: list[str], i: int, sentence: str) -> int:
+    """How many pieces from the i-th on make up the sentence; 0: they do not."""
+    at = 0
+    for j in range(i, len(pieces)):
+        piece = normalised(pieces[j])
+        if not piece:
+            continue
+        if not sentence.startswith(piece, at):
+            return 0
+        at += len(piece)
+        if at == len(sentence):
+            return j + 1 - i
+        if sentence[at] != " ":
+            return 0
+        at += 1
+    return 0
+
+
 def identifiers(text: str | None, table: dict) -> list[tuple[str, int]]:
-    """(identifier, number of the sentence) in the order of the text."""
+    """(identifier, number of the piece it begins at) in the order of the text."""
     pieces = _END.split(text.lower()) if text else []
-    first = {k.split(" ", 1)[0] for k in table}
     out, i = [], 0
     while i < len(pieces):
         head = _WORD.search(pieces[i])  # comment marks and bullets before it aside
         step = 1
-        if head and head.group() in first:
-            for name, rest in table.get(normalised(pieces[i]), ()):
-                if all(i + 1 + j < len(pieces) and normalised(pieces[i + 1 + j]) == r for j, r in enumerate(rest)):
-                    out.append((name, i))
-                    step = 1 + len(rest)
-                    break
+        for name, sentence in table.get(head.group(), ()) if head else ():
+            if taken := _taken(pieces, i, sentence):
+                out.append((name, i))
+                step = taken
+                break
         i += step
     return out
 

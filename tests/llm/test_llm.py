@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -377,6 +378,22 @@ def test_licenses_are_those_of_a_brute_force_scan():
         assert [n for n, _ in licenses.identifiers("\n".join(lines), table)] == want
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; ", "    "])
+def test_wrapped_licenses(mark):
+    table, of = licenses.known_sentences(licenses.SENTENCES), dict(licenses.SENTENCES)
+    cases = {("mit-grant", "mit-include"): "MIT", ("bsd-grant", "bsd-source", "bsd-binary"): "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"): "BSD-3-Clause", ("gpl-free",): "GPL-3.0-or-later", ("gpl2-free",): "GPL-2.0-or-later", ("apache2-grant", "apache2-use", "apache2-obtain"): "Apache-2.0"}
+    for names, licence in cases.items():
+        for width in (30, 72, 80):
+            for end in ("\n", "\r\n"):
+                wrapped = [line for n in names for line in [*textwrap.wrap(of[n], width, break_long_words=False, break_on_hyphens=False), ""]]
+                text = end.join(mark + x for x in ["A title", *wrapped, "Other words."])
+                found = [n for n, _ in licenses.identifiers(text, table)]
+                assert found == list(names) and [x for _, x in licenses.matched(found, licenses.LICENSES)] == [licence]
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required'
+    assert [n for n, _ in licenses.identifiers("\n".join(mark + x for x in apache.split("\n")), table)] == ["apache2-grant", "apache2-use", "apache2-obtain"]
+    assert licenses.identifiers(f"{mark}Permission is hereby granted, free\n{mark}of cost, to any person\n{mark}Released under the MIT\n{mark}Licenses.", table) == []
+
+
 # --- quality classifier
 
 

@@ -3,11 +3,11 @@
 Each source's rows, in the order of a hash of their id, form blocks. With
 share w of the slots, block k of a source is released at slot floor(k / w) and
 is due by slot ceil((k + 1) / w); each slot goes to the released block that is due
-first. Shares are whole numbers of ``quantum`` slots, so the pattern repeats
-after quantum slots: the driver works out one period, and a row's slot follows
-from its block's number. At any slot a source is less than one block from its
-share. When a source has no block left, a new phase begins with the weights of
-the others, so that every row gets a place and none comes twice.
+first. Shares are the weights themselves, in whole-number arithmetic, so that at
+any slot of the mix a source is less than one block from its target. When a source
+has its blocks, the others share its slots by their weights, from that time on and
+with what they had; so every row gets a place and none comes twice. The driver works
+out the slots, of a few microseconds and 16 bytes a block; the rows look theirs up.
 
 No task holds a source: a source's rows are dealt to buckets of about
 ``bucket_rows``, numbered there, and moved up by the sizes of earlier buckets, which
@@ -21,19 +21,26 @@ Columns of the input that clash with the result's are replaced.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
+from array import array
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.llm.common import written
 
 RESULT = ["block", "slot", "offset", "position"]
+#: Above so many blocks the schedule is joined by shuffle.
+BROADCAST_BLOCKS = 4_000_000
 
 
 def shares(weights: dict, quantum: int) -> dict:
-    """Whole slots of a period for each source, at least one each; the largest remainders get what is left."""
+    """Whole slots of a period for each source, at least one each; the largest remainders get what is left. Not used by mix()."""
     if len(weights) > quantum:
         raise ValueError(f"{len(weights)} sources do not fit a period of {quantum} slots")
     total = sum(weights.values())
@@ -45,43 +52,67 @@ def shares(weights: dict, quantum: int) -> dict:
 
 
 def period(share: dict, quantum: int) -> dict:
-    """For each source the slots of its blocks in one period: earliest deadline first among the released."""
-    due = lambda s, k: -(-(k + 1) * quantum // share[s])
-    waiting = [(k * quantum // share[s], due(s, k), str(s), s) for s in share for k in range(share[s])]
-    waiting.sort(key=lambda x: x[:3])
-    ready, at, slots = [], 0, {s: [] for s in share}
-    for t in range(quantum):
-        while at < len(waiting) and waiting[at][0] <= t:
-            heapq.heappush(ready, (waiting[at][1], waiting[at][2], at))
-            at += 1
-        deadline, _, i = heapq.heappop(ready)
-        assert t < deadline, "a block missed its deadline"
-        slots[waiting[i][3]].append(t)
-    return slots
-
-
-def phases(blocks: dict, weights: dict, quantum: int) -> list[tuple[int, int, dict, dict, dict]]:
-    """(first slot, length, blocks done before, slots of a period, shares) of each phase."""
-    left, done, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        active = {s: weights.get(s) or 0 for s in left}
-        if not any(active.values()):
-            active = {s: 1 for s in left}  # the sources without a weight come last, evenly
-        active = {s: w for s, w in active.items() if w > 0}
-        share = shares(active, quantum)
-        slots = period(share, quantum)
-        # the slot of the last block of each source, and the first source that ends
-        ends = {s: (left[s] - 1) // share[s] * quantum + slots[s][(left[s] - 1) % share[s]] for s in active}
-        length = min(ends.values()) + 1
-        out.append((start, length, dict(done), slots, share))
-        for s in active:
-            taken = length // quantum * share[s] + sum(x < length % quantum for x in slots[s])
-            done[s] += taken
-            left[s] -= taken
-            if not left[s]:
-                del left[s]
-        start += length
-    return out
+    """For each source the slots of its blocks in one period of whole shares."""
+    return {s: list(slots) for s, (slots, _) in schedule(dict(share), share, 1).items()}
+
+
+def whole_weights(weights: list) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = [Fraction(w) for w in weights]
+    common = math.lcm(*[x.denominator for x in exact])
+    return [x.numerator * (common // x.denominator) for x in exact]
+
+
+def due_slots(blocks: list[int], weights: list[int]):
+    """at(i, k): the time by which source i has its share of k blocks, times weights[i].
+
+    All sources have had v times their weight, or all their blocks, at time
+    sum(min(v * weight, blocks)); k blocks are due where v = k / weights[i].
+    """
+    order = sorted(range(len(blocks)), key=lambda i: Fraction(blocks[i], weights[i]))
+    ends = [blocks[i] / weights[i] for i in order]
+    ended = [0, *itertools.accumulate(blocks[i] for i in order)]  # blocks of the sources that have ended
+    going = [0, *itertools.accumulate(weights[i] for i in reversed(order))][::-1]  # weights of those that have not
+
+    def at(i: int, k: int) -> int:
+        w = weights[i]
+        j = bisect.bisect_right(ends, k / w)
+        while j < len(order) and blocks[order[j]] * w <= k * weights[order[j]]:  # what the floats rounded
+            j += 1
+        while j and blocks[order[j - 1]] * w > k * weights[order[j - 1]]:
+            j -= 1
+        return ended[j] * w + going[j] * k
+
+    return at
+
+
+def schedule(sizes: dict, weights: dict, block_rows: int) -> dict:
+    """For each source the slots of its blocks and the positions of their first rows."""
+    slots_of = {s: (array("q"), array("q")) for s in sizes}
+    slot = position = 0
+    weighted = [s for s, n in sizes.items() if n and (weights.get(s) or 0) > 0]
+    rest = [s for s, n in sizes.items() if n and not (weights.get(s) or 0) > 0]
+    for sources, parts in ((weighted, [weights[s] for s in weighted]), (rest, [1] * len(rest))):
+        if not sources:
+            continue
+        sources, parts = zip(*sorted(zip(sources, parts), key=lambda x: (x[0] is None, str(x[0]))))
+        blocks, parts, start = [-(-sizes[s] // block_rows) for s in sources], whole_weights(parts), slot
+        at = due_slots(blocks, parts)
+        waiting, ready = [(0, i, 0) for i in range(len(sources))], []  # the next block of each: (release, source, block)
+        for t in range(sum(blocks)):
+            while waiting and waiting[0][0] <= t:
+                _, i, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-at(i, k + 1) // parts[i]), i, k))
+            due, i, k = heapq.heappop(ready)
+            assert t < due, "a block missed its deadline"
+            slots, positions = slots_of[sources[i]]
+            slots.append(start + t)
+            positions.append(position)
+            position += min(block_rows, sizes[sources[i]] - k * block_rows)
+            if k + 1 < blocks[i]:
+                heapq.heappush(waiting, (at(i, k + 1) // parts[i], i, k + 1))
+        slot += sum(blocks)
+    return slots_of
 
 
 def _before(sizes: DataFrame) -> DataFrame:
@@ -133,30 +164,15 @@ def mix(
         raise ValueError(f"more than {quantum} sources")
     if weights is None:
         weights = {s: n**temperature for s, n in sizes.items()}
-    plan = phases({s: -(-n // block_rows) for s, n in sizes.items()}, weights, quantum)
+    plan = schedule(sizes, weights, block_rows)
     spark = docs.sparkSession
     numbered = _numbered(docs, sizes, source_col, id_col, bucket_rows).withColumn("block", F.floor(F.col("__n") / block_rows)).withColumn("offset", F.col("__n") % block_rows)
-    if not plan:
-        return numbered.drop("__n", "__s").select("*", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("position")).select(*docs.columns, *RESULT)
-    # rows (source, from block, to block, first slot, share, slots of a period): phases times sources, bounded by quantum
-    rows, last = [], {}
-    for k, (start, _, done, slots, share) in enumerate(plan):
-        following = plan[k + 1][2] if k + 1 < len(plan) else {s: -(-n // block_rows) for s, n in sizes.items()}
-        for s in share:
-            if following[s] > done[s]:
-                rows.append((s, done[s], following[s], start, share[s], slots[s]))
-                b = following[s] - 1 - done[s]
-                last[s] = start + b // share[s] * quantum + slots[s][b % share[s]]
-    table = spark.createDataFrame(rows, "__s2 string, __lo long, __hi long, __start long, __share long, __slots array<int>")
-    placed = numbered.join(
-        F.broadcast(table), numbered["__s"].eqNullSafe(table["__s2"]) & (F.col("block") >= F.col("__lo")) & (F.col("block") < F.col("__hi"))
-    )
-    nth = F.col("block") - F.col("__lo")
-    slot = F.col("__start") + F.floor(nth / F.col("__share")) * quantum + F.get("__slots", (nth % F.col("__share")).cast("int"))
-    # blocks are full but for the last of each source
-    short = sorted((last[s], block_rows - (n - 1) % block_rows - 1) for s, n in sizes.items() if s in last and n % block_rows)
-    missing = F.aggregate(
-        F.array(*[F.struct(F.lit(a).cast("long").alias("at"), F.lit(m).cast("long").alias("by")) for a, m in short]) if short else F.array().cast("array<struct<at:long,by:long>>"),
-        F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["at"] < F.col("slot"), x["by"]).otherwise(F.lit(0).cast("long")),
-    )
-    return placed.withColumn("slot", slot).withColumn("position", F.col("slot") * block_rows + F.col("offset") - missing).select(*docs.columns, *RESULT)
+    # a row for ``quantum`` blocks of a source
+    parts = [(s, c, slots[c * quantum : (c + 1) * quantum], places[c * quantum : (c + 1) * quantum]) for s, (slots, places) in plan.items() for c in range(-(-len(slots) // quantum))]
+    columns = zip(("__s2", "__part", "__slots", "__places"), (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))
+    table = spark.createDataFrame(pa.table({c: pa.array([x[i] for x in parts], t) for i, (c, t) in enumerate(columns)}))
+    if sum(len(slots) for slots, _ in plan.values()) <= BROADCAST_BLOCKS:
+        table = F.broadcast(table)
+    placed = numbered.withColumn("__part1", F.floor(F.col("block") / quantum)).join(table, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__part1") == F.col("__part")))
+    nth = (F.col("block") % quantum).cast("int")
+    return placed.withColumn("slot", F.get("__slots", nth)).withColumn("position", F.get("__places", nth) + F.col("offset")).select(*docs.columns, *RESULT)

@@ -7,6 +7,7 @@ import random
 import re
 import textwrap
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -306,6 +307,56 @@ def test_mix_stays_within_a_block_of_its_shares():
             assert abs(sum(x < t for x in slots[s]) - t * share[s] / 100) < 1
 
 
+def fluid(sizes, weights, blocks):
+    """Targets at each slot: the exact shares, in the weights of the sources that have blocks left."""
+    left, have, out = dict(blocks), dict.fromkeys(blocks, Fraction(0)), []
+    w = {s: Fraction(weights[s]) for s in blocks}
+    for _ in range(sum(blocks.values())):
+        out.append(dict(have))
+        time = Fraction(1)
+        while time:
+            going = [s for s in blocks if have[s] < left[s]]
+            total = sum(w[s] for s in going)
+            step = min([time, *((left[s] - have[s]) * total / w[s] for s in going)])
+            for s in going:
+                have[s] += step * w[s] / total
+            time -= step
+    return [*out, have]
+
+
+@pytest.mark.parametrize("case", ["half and 19", "a third", "half and 199", "uneven"])
+def test_mix_stays_within_a_block_of_its_target_weights(case):
+    if case == "half and 19":
+        sizes = {"big": 16 * 8000} | {f"s{i}": 16 * 600 for i in range(19)}
+        weights = {s: 0.5 if s == "big" else 0.5 / 19 for s in sizes}
+    elif case == "a third":
+        sizes = {"big": 16 * 4000} | {f"s{i}": 16 * 421 for i in range(19)}
+        weights = {s: n**0.5 for s, n in sizes.items()}
+    elif case == "half and 199":
+        sizes = {"big": 16 * 3000} | {f"s{i}": 16 * 20 for i in range(199)}
+        weights = {s: 199 if s == "big" else 1 for s in sizes}
+    else:
+        sizes = {s: 16 * n for s, n in zip("abcdef", (5, 900, 31, 1, 250, 77))}
+        weights = {"a": 1e-9, "b": 0.3, "c": 7, "d": 1e9, "e": 2, "f": 2}
+    blocks = {s: n // 16 for s, n in sizes.items()}
+    plan, at = mixing.schedule(sizes, weights, 16), dict.fromkeys(sizes, 0)
+    by_slot = {t: s for s, (slots, _) in plan.items() for t in slots}
+    assert sorted(by_slot) == list(range(sum(blocks.values())))
+    if case != "uneven":  # the targets as long as no source has ended
+        total = sum(Fraction(w) for w in weights.values())
+        share = {s: Fraction(w) / total for s, w in weights.items()}
+        last = min(slots[-1] for slots, _ in plan.values())
+        assert last > 3000
+        for t in range(last):
+            at[by_slot[t]] += 1
+            assert all(abs(at[s] - (t + 1) * share[s]) < 1 for s in (by_slot[t], "big", f"s{t % 19}"))
+    else:
+        for t, target in enumerate(fluid(sizes, weights, blocks)):
+            assert all(abs(at[s] - target[s]) < 1 for s in sizes)
+            if t in by_slot:
+                at[by_slot[t]] += 1
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(empty(spark, "doc_id long, source string")).collect() == []
 

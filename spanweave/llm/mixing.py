@@ -12,7 +12,7 @@ out the slots, of a few microseconds and 16 bytes a block; the rows look theirs
 No task holds a source: a source's rows are dealt to buckets of about
 ``bucket_rows``, numbered there, and moved up by the sizes of earlier buckets, which
 are summed in two levels, so that a task sums the square root of a source's buckets.
-The driver gets a row for each source, of which there may be ``quantum`` at most.
+The driver gets a row for each source, of which there may be any number.
 
 A null source is a source of its own; a source without a weight, or with one of
 zero, comes after all others. Rows that repeat an id have places of their own.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from spanweave.llm.common import written
 
 RESULT = ["block", "slot", "offset", "position"]
-#: Above so many blocks the schedule is joined by shuffle.
-BROADCAST_BLOCKS = 4_000_000
+#: Above so many sources, or blocks, the tables of sources and of slots are joined by shuffle.
+BROADCAST_SOURCES, BROADCAST_BLOCKS = 100_000, 4_000_000
 
 
 def shares(weights: dict, quantum: int) -> dict:
@@ -134,10 +134,14 @@ def _before(sizes: DataFrame) -> DataFrame:
 def _numbered(docs: DataFrame, sizes: dict, source_col: str, id_col: str, bucket_rows: int) -> DataFrame:
     """docs with __s, the source, and __n, the row's place in it from 0; sizes: rows of each source."""
     buckets = [(s, math.ceil(n / bucket_rows)) for s, n in sizes.items()]
-    buckets = docs.sparkSession.createDataFrame([(s, n, math.isqrt(n - 1) + 1) for s, n in buckets], "__s1 string, __buckets long, __run long")
+    columns = zip(("__s1", "__buckets", "__run"), (pa.string(), pa.int64(), pa.int64()))
+    buckets = [(s, n, math.isqrt(n - 1) + 1) for s, n in buckets]
+    buckets = docs.sparkSession.createDataFrame(pa.table({c: pa.array([x[i] for x in buckets], t) for i, (c, t) in enumerate(columns)}))
+    if len(sizes) <= BROADCAST_SOURCES:
+        buckets = F.broadcast(buckets)
     dealt = (
         docs.withColumn("__s", F.col(source_col).cast("string")).withColumn("__h", F.xxhash64(F.col(id_col).cast("string")))
-        .join(F.broadcast(buckets), F.col("__s").eqNullSafe(F.col("__s1")))  # a row for each source, quantum at most
+        .join(buckets, F.col("__s").eqNullSafe(F.col("__s1")))  # a row for each source
         .withColumn("__b", F.pmod("__h", "__buckets")).withColumn("__run", F.floor(F.col("__b") / F.col("__run")))
     )
     before = _before(dealt.groupBy(F.col("__s").alias("s"), F.col("__b").alias("b"), F.col("__run").alias("run")).count())
@@ -159,9 +163,7 @@ def mix(
     weights: of each source (key None: null); None: size to the power ``temperature``.
     """
     docs = docs.drop(*RESULT)
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("n")).limit(quantum + 1).collect()}
-    if len(sizes) > quantum:
-        raise ValueError(f"more than {quantum} sources")
+    sizes = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("n")).collect()}
     if weights is None:
         weights = {s: n**temperature for s, n in sizes.items()}
     plan = schedule(sizes, weights, block_rows)

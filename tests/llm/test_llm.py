@@ -357,6 +357,20 @@ def test_mix_stays_within_a_block_of_its_target_weights(case):
                 at[by_slot[t]] += 1
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mix_of_many_sources(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+        monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    rows = [(i, f"host{i % 2500}" if i % 7 else None) for i in range(9000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=2).collect()
+    assert sorted((r.doc_id, r.source or "") for r in got) == sorted((i, s or "") for i, s in rows)
+    order = sorted(got, key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(len(rows)))
+    assert all((a.slot, a.offset) < (b.slot, b.offset) for a, b in zip(order, order[1:]))
+    assert all(r.offset < 2 for r in got) and len({(r.source, r.slot) for r in got}) == len({r.slot for r in got})
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(empty(spark, "doc_id long, source string")).collect() == []
 

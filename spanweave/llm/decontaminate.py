@@ -6,9 +6,12 @@ by how often they occur. A document leaks an item if one of its windows, as long
 as the item, has a weighted Jaccard similarity (sum of the lesser over sum of
 the greater weights) of ``similarity`` or more to the item.
 
-1. Only windows that share a shingle with an item can reach any similarity above
-   zero, so a document's windows are laid where one of its shingles is an item's:
-   at each place that brings the two shingles together, moved inside the document.
+1. Only windows that share ``similarity`` of an item's shingles can reach it. Each
+   shared shingle has the starts that align it with the item's, and the best window
+   starts between the least and the greatest of those it holds: moved toward them, a
+   window loses no shared shingle. So windows are laid at all starts from the least to
+   the greatest of the shared shingles that one window can hold, if these are enough;
+   moved inside the document.
 2. Each window gets a 64-bit SimHash of its weighted shingles and meets the items
    of its length in a multi-index: radius + 1 bit blocks, of which two
    fingerprints within the radius share one at least. Windows of similarity 0.8
@@ -100,24 +103,36 @@ def keyed_leaks(
         .where("n > 0")
     )
     of_items = written(of_items.withColumn("item_fp", fingerprint(F.col("item_shingles"))), "items")
-    seeds = of_items.select(F.col("n"), F.posexplode("item_shingles").alias("j", "h")).distinct()
+    at = of_items.select("n", F.xxhash64("item_shingles").alias("ik"), F.size("item_shingles").alias("m"), F.posexplode("item_shingles").alias("j", "h"))
+    seeds = at.groupBy("ik", "n", "m", "h").agg(F.min("j").alias("j0"), F.max("j").alias("j1"))
     short = [r["n"] for r in of_items.where(F.col("n") < k).select("n").distinct().collect()]  # k - 1 lengths at most
     seeds = written(seeds, "seeds")
     small = seeds.count() <= broadcast_shingles
     texts = docs.select(F.col(id_col).alias("id"), *doc_key(docs, id_col, text_col), F.col(text_col).alias("text"))
 
     def hits(kk: int, table: DataFrame) -> DataFrame:
-        """(did, tk, n, start): where a window of n words may begin."""
+        """(did, tk, ik, n, m, p, lo, hi): shingle p is in item ik and aligned with it by starts from lo to hi."""
         worded = texts.select("did", "tk", words_of(F.col("text")).alias("words"))
         each = worded.select("did", "tk", F.posexplode(shingles_of(F.col("words"), kk)).alias("p", "h"))
         known = table.select("h").distinct()
         if small:
             known, table = F.broadcast(known), F.broadcast(table)
-        return each.join(known, "h", "left_semi").join(table, "h").select("did", "tk", "n", (F.col("p") - F.col("j")).alias("start"))
+        return each.join(known, "h", "left_semi").join(table, "h").select("did", "tk", "ik", "n", "m", "p", (F.col("p") - F.col("j1")).alias("lo"), (F.col("p") - F.col("j0")).alias("hi"))
 
     found = hits(k, seeds.where(F.col("n") >= k))
     for n in short:
         found = found.union(hits(n, seeds.where(F.col("n") == n)))
+    found = found.groupBy("did", "tk", "ik", "n", "m").agg(F.sort_array(F.collect_set(F.struct("p", "lo", "hi"))).alias("hits"))
+    least = F.greatest(F.ceil(F.col("m") * similarity - 1e-9).cast("int"), F.lit(1))  # shared shingles that the similarity needs
+
+    def spans(hit: Column, i: Column) -> Column:
+        """The starts between those of the hits that a window with this hit first can hold; none if they are too few."""
+        held = F.filter(F.slice("hits", i + 1, F.col("m")), lambda x: x["p"] < hit["p"] + F.col("m"))
+        enough = F.get("hits", i + least - 1)["p"] < hit["p"] + F.col("m")
+        return F.when(enough, let(held, lambda x: F.struct(F.array_min(F.transform(x, lambda y: y["lo"])).alias("lo"), F.array_max(F.transform(x, lambda y: y["hi"])).alias("hi"))))
+
+    found = found.select("did", "tk", "n", F.explode(F.array_distinct(F.filter(F.transform("hits", spans), lambda x: x.isNotNull()))).alias("span"))
+    found = found.select("did", "tk", "n", F.explode(F.sequence("span.lo", "span.hi")).alias("start"))
     found = written(found.groupBy("did", "tk").agg(F.collect_set(F.struct("n", "start")).alias("places")), "places")
     laid = texts.join(found, ["did", "tk"]).dropDuplicates(["did", "tk"])
 

@@ -217,6 +217,24 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, it.limit(0)).collect() == []
 
 
+def test_leaks_between_two_alignments(spark):
+    rng = random.Random(11)
+    texts = [[f"w{i}x{j}" for j in range(n)] for i, n in enumerate((60, 64, 66, 80, 88))]
+    texts.append(prose(rng, 70, vocab=12).split(" "))
+    items = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    docs = []
+    for i, w in enumerate(texts):
+        for ends, new in ((1, 2), (1, 3), (2, 2), (2, 4), (0, 5)):
+            for at in (len(w) // 2, len(w) // 3):
+                edited = ["new"] * ends + w[ends:at] + ["put"] * new + w[at : len(w) - ends] + ["new"] * ends
+                docs += [(len(docs), " ".join(edited)), (len(docs) + 1, f"{prose(rng, 30)} {' '.join(edited)} {prose(rng, 30)}")]
+    want = brute_leaks(docs, items)
+    assert (0, 0) in want and 30 < len(want) < len(docs)
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.leaks(df, it).collect()}
+    assert got == {k: round(v, 9) for k, v in want.items()}
+
+
 # --- quality rules
 
 

@@ -53,7 +53,7 @@ def features(text: bytes | None) -> tuple[np.ndarray, list[float]]:
     return hashed, form
 
 
-def telling_words(with_any: np.ndarray, with_good: np.ndarray, n: int, n_good: int, least_z: float = 5.0) -> np.ndarray:
+def telling_words(with_any: np.ndarray, with_good: np.ndarray, n: int, n_good: int, least_z: float = 4.0) -> np.ndarray:
     """Which words differ in their shares of good and of other rows by least_z standard errors."""
     n, n_good = max(2, n), max(1, n_good)
     n_bad, p = max(1, n - n_good), with_any / n
@@ -150,7 +150,7 @@ def document_odds(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Data
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-    fit_rows: int = 20_000, keep_from: float = 0.4, site_weight: float = 0.25, broadcast_sites: int = 100_000,
+    fit_rows: int = 20_000, keep_from: float = 0.6, site_weight: float = 0.25, broadcast_sites: int = 100_000,
 ) -> DataFrame:
     """(did, tk, p_document, p_site, p_good, kept) of each row; did and tk as in common.doc_key."""
     named = docs.select(

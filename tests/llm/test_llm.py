@@ -499,6 +499,18 @@ def test_quality_classifier(spark, frame, docs):
     assert quality.classify(empty(spark), labels).collect() == []
 
 
+def test_quality_classifier_knows_markers_of_few_labelled_rows(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 40), "en", "s", 0) for i in range(3080)]
+    rows += [(10_000 + i, f"{prose(rng, 20)} {i // 10:02d}zzq {prose(rng, 20)}", "en", "s", 1) for i in range(700)]  # 5 labelled rows a marker
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows if r[0] % 2], "doc_id long, quality int, toxic int")
+    got = {r.did: r.kept for r in quality.classify(df, labels).collect()}
+    held = [r for r in rows if r[0] % 2 == 0]
+    assert sum(not got[r[0]] for r in held if r[4]) >= 0.95 * 350
+    assert sum(got[r[0]] for r in held if not r[4]) >= 0.95 * 1540
+
+
 # --- language ID
 
 

@@ -2,17 +2,19 @@
 
 A slot of the filter is a bit mask of languages. A language's n-grams (``gram``
 code points of the lower-cased text, whose runs of other than letters are one
-space) are put in if their share of the language's n-grams is ``least_share`` or
-more, so a language has 1 / least_share of them at most and the filter a proven
-size, which is broadcast. A look-up ANDs a gram's slots and so returns all
-languages that contain it. A language's share of a text's n-grams, corrected for
+space) are put in, all of them up to ``most_grams``; a language with more gives
+about the ``most_grams`` it uses most, by bands of frequency and, in the last band,
+by hash. So every language that was taught has n-grams, however evenly it uses
+them, and the filter, which is broadcast, a proven size. A look-up ANDs a gram's
+slots and so returns all languages that have it in the filter. A language's share of a text's n-grams, corrected for
 false positives ((share - f) / (1 - f), f being the filter's rate for that
 language), decides; ties go to the first language by name. Shares over texts
 of all learned documents are counted; nothing is sampled.
 
 Null texts and texts without a letter are ``und`` with score 0; so are all if
 nothing was learned. Null languages teach nothing. Rows that repeat a doc_id are
-learned and judged each. Extra columns are ignored.
+learned and judged each; very long texts are read whole, each n-gram of them counted.
+An empty table teaches nothing and gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.llm.common import written
@@ -96,7 +98,22 @@ class Filter:
         return self.languages[best], float(share[best])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_share: float = 5e-5) -> Filter:
+def most_used(counts: DataFrame, most_grams: int) -> DataFrame:
+    """(lang, h) of counts(lang, h, n): all of a language, or about its ``most_grams`` of greatest n.
+
+    The languages' bands (a sixteenth of a doubling of n) are counted; bands that fit
+    stay, of the first that does not the least hashes, in proportion to the room left.
+    No language's rows are sorted or gathered.
+    """
+    banded = counts.withColumn("band", F.floor(F.log2(F.col("n")) * 16))
+    sizes = banded.groupBy("lang", "band").count()
+    above = F.coalesce(F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = sizes.withColumn("room", (most_grams - above) / F.col("count")).where("room > 0").select("lang", "band", "room")  # a language has a few hundred bands
+    part = F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
+    return banded.join(F.broadcast(room), ["lang", "band"]).where(part < F.col("room")).select("lang", "h")
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_grams: int = 20_000) -> Filter:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[str, list] = {}
@@ -119,8 +136,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
 
     taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = written(taught.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    often = counts.join(totals, "lang").where(F.col("n") >= least_share * F.col("total")).select("lang", "h").toPandas()  # 1 / least_share rows a language at most
+    often = most_used(counts, most_grams).toPandas()  # about most_grams rows a language
     names = sorted(often["lang"].unique())
     return Filter(names, [np.sort(often.loc[often["lang"] == x, "h"].to_numpy(np.int64)).view(np.uint64) for x in names])
 
@@ -140,9 +156,9 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFram
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def identify_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_share: float = 5e-5) -> DataFrame:
+def identify_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_grams: int = 20_000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learns from the rows that are not held out (crc32 of the id mod 4 is 2)."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-    model = learn(docs.where(~held), text_col, lang_col, least_share)
+    model = learn(docs.where(~held), text_col, lang_col, most_grams)
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     return identify(rows, model).drop("text")

@@ -535,6 +535,53 @@ def test_language_id(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def han(rng, n):
+    return "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+
+
+def test_language_of_even_grams_is_learned(spark):
+    rng = random.Random(21)
+    latin = lambda: " ".join(rng.choice(["the", "river", "of", "stone", "walks", "under"]) for _ in range(40))
+    rows = [(i, han(rng, 120) if i % 2 else latin(), "zh" if i % 2 else "en") for i in range(800)]
+    got = {r.doc_id: r for r in langid.identify_held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(r.lang_pred == rows[i][2] for i, r in got.items() if not r.held_out)
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=50).languages == ["en", "zh"]
+    text = han(rng, 60_000)
+    long_ = spark.createDataFrame([(1, text, "zh"), (1, text, "zh"), (3, latin(), "en")], "doc_id long, text string, lang string")
+    model = langid.learn(long_, most_grams=1_000_000)
+    share = model.shares(langid.grams(text))
+    assert share[1] > 0.999 and share[0] < 0.01  # every gram of every learned text is in the filter
+
+
+def test_most_used_grams(spark):
+    rng = random.Random(22)
+    counts = {("a", h): 1 for h in range(3000)} | {("b", h): rng.randrange(1, 500) for h in range(4000)} | {("c", h): 7 for h in range(40)}
+    df = spark.createDataFrame([(*k, n) for k, n in counts.items()], "lang string, h long, n long")
+    got = Counter()
+    kept = {(r.lang, r.h) for r in langid.most_used(df, 1000).collect()}
+    for lang, _ in kept:
+        got[lang] += 1
+    assert 850 < got["a"] < 1150 and 850 < got["b"] < 1150 and got["c"] == 40
+    least = min(counts[k] for k in kept if k[0] == "b")
+    assert all(k in kept for k, n in counts.items() if k[0] == "b" and n > least * 1.05)
+
+
+def test_filter_returns_all_languages_of_a_gram(spark):
+    """Masks, popcounts and the decision against plain sets, for more languages than a slice has bits."""
+    rng = random.Random(23)
+    words = {f"l{k:02d}": [prose(rng, 1, 900).replace("w", rng.choice("abcdefg") * 2 + chr(97 + k % 26)).translate(str.maketrans("0123456789", "qrstuvwxyz")) for _ in range(12)] for k in range(70)}
+    texts = {k: " ".join(w) for k, w in words.items()}
+    rows = [(i, t, k) for i, (k, t) in enumerate(texts.items())]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sets = {k: set(langid.grams(t).tolist()) for k, t in texts.items()}
+    assert model.languages == sorted(texts)
+    for k, t in texts.items():
+        h = langid.grams(t)
+        exact = np.array([np.mean([x in sets[c] for x in h.tolist()]) for c in model.languages])
+        assert np.abs(model.shares(h) - exact).max() < 0.05
+        assert model.decide(t)[0] in [c for c, x in zip(model.languages, exact) if x == exact.max()]
+
+
 # --- pipeline
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Stand-in for a null doc_id inside joins.
 NO_ID = -(2**63)
+#: Keys (did, tk) up to so many are broadcast: 50 MB as a hash table. Beyond, both sides of a join are shuffled.
+BROADCAST_KEYS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,16 @@ def doc_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     ]
 
 
+def small(keys: DataFrame) -> bool:
+    """Whether a written table is of few enough rows to be broadcast as keys."""
+    return keys.count() <= BROADCAST_KEYS
+
+
+def only_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows, without those whose (did, tk) is not in keys if that is cheap to tell: a filter before a join, not instead of it."""
+    return rows.join(F.broadcast(keys), ["did", "tk"], "left_semi") if small(keys) else rows
+
+
 def join_by_key(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs joined to keys(did, tk, ...), whose columns get the prefix "__", so that none clashes."""
     keys = keys.toDF(*[f"__{c}" for c in keys.columns])

@@ -142,17 +142,54 @@ def test_near_duplicates_of_nothing(spark):
 # --- substring dedup
 
 
-def test_substring_dedup(spark, docs, frame):
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, tuple((r.kept_text or "").encode().split())) for r in substring.substring_dedup(frame).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect())
+def brute_substring(rows, window=20):
+    """(doc_id, text) -> (n_words, n_removed, sha256, kept words)."""
     seen, told = set(), {}
-    for i, t in sorted({(d[0] if d[0] is not None else -1, d[1]) for d in docs}, key=lambda x: (x[0], x[1] or "")):
+    for i, t in sorted({(d[0] if d[0] is not None else -1, d[1]) for d in rows}, key=lambda x: (x[0], x[1] or "")):
         w, gone = (t or "").encode().split(), set()
-        for k in range(len(w) - 19):
-            q = tuple(w[k : k + 20])
-            gone.update(range(k, k + 20)) if q in seen else seen.add(q)
+        for k in range(len(w) - window + 1):
+            q = tuple(w[k : k + window])
+            gone.update(range(k, k + window)) if q in seen else seen.add(q)
         kept = [x for k, x in enumerate(w) if k not in gone]
         told[i, t] = (len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest(), tuple(kept))
-    assert got == Counter((d[0], *told[d[0] if d[0] is not None else -1, d[1]]) for d in docs)
+    return Counter((d[0], *told[d[0] if d[0] is not None else -1, d[1]]) for d in rows)
+
+
+def substring_result(df, **options):
+    got = substring.substring_dedup(df, **options).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect()
+    return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, tuple((r.kept_text or "").encode().split())) for r in got)
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "shard_stretches": 7}, {"hot": 3}, {"shard_stretches": 5}])
+def test_substring_dedup(docs, frame, options):
+    assert substring_result(frame, **options) == brute_substring(docs)
+
+
+@pytest.mark.parametrize("window", [8, 9, 17, 31])
+def test_substring_dedup_of_other_windows(spark, window):
+    rng = random.Random(window)
+    parts = [prose(rng, n, 30) for n in (40, 25, 60, 12)]
+    rows = [(i, " ".join(rng.choice([*parts, prose(rng, 9, 30), "x y " * 12]) for _ in range(6)).strip()) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring_result(df, window=window, hot=4, shard_stretches=50) == brute_substring(rows, window)
+
+
+def test_substring_dedup_compares_words(spark):
+    """Texts that differ in one word, whose hashes as polynomials modulo a power of two are the same."""
+    thue_morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    words = [f"w{i}" for i in range(39)]
+    texts = [" ".join([*words[:19], x, *words[20:]]) for x in (thue_morse, thue_morse.translate(str.maketrans("ab", "ba")))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, f"head {texts[1]} tail")]
+    got = substring_result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_substring(rows) and {(k[0], k[2]) for k in got} == {(0, 0), (1, 0), (2, 39)}
+
+
+def test_phrases_are_confirmed_by_their_words():
+    text = b"a b c d e f g h i j k l m n o p q r s t"
+    assert substring.recurring_phrases([text, b"x" + text], [0, 0], [15, 16], [False, False]) == set()
+    assert substring.recurring_phrases([text, text], [2, 2], [17, 17], [False, False]) == {b"b c d e f g h i"}
+    found = substring.automaton_of({b"b c d", b"c d"}).iter(" ab c d b c d ")
+    assert [end for end, _ in found] == [7, 13, 13]
 
 
 def test_substring_dedup_keeps_unchanged_text(spark):

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows, in the order of a hash of their id, form blocks. With
+Each source's rows, in the order of a hash of their id and numbers, form blocks. With
 share w of the slots, block k of a source is released at slot floor(k / w) and
 is due by slot ceil((k + 1) / w); each slot goes to the released block that is due
 first. Shares are the weights themselves, in whole-number arithmetic, so that at
@@ -15,8 +15,10 @@ are summed in two levels, so that a task sums the square root of a source's buck
 The driver gets a row for each source, of which there may be any number.
 
 A null source is a source of its own; a source without a weight, or with one of
-zero, comes after all others. Rows that repeat an id have places of their own.
-Columns of the input that clash with the result's are replaced.
+zero, comes after all others. Rows that repeat an id have places of their own, in
+the order of a hash of their content; rows that are alike in all columns may change
+places. Texts, of any length, are carried along and count as rows; an empty table
+gives an empty result. Columns of the input that clash with the result's are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from array import array
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.llm.common import written
@@ -37,23 +39,8 @@ from spanweave.llm.common import written
 RESULT = ["block", "slot", "offset", "position"]
 #: Above so many sources, or blocks, the tables of sources and of slots are joined by shuffle.
 BROADCAST_SOURCES, BROADCAST_BLOCKS = 100_000, 4_000_000
-
-
-def shares(weights: dict, quantum: int) -> dict:
-    """Whole slots of a period for each source, at least one each; the largest remainders get what is left. Not used by mix()."""
-    if len(weights) > quantum:
-        raise ValueError(f"{len(weights)} sources do not fit a period of {quantum} slots")
-    total = sum(weights.values())
-    exact = {s: 1 + (quantum - len(weights)) * w / total for s, w in weights.items()}
-    whole = {s: math.floor(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (whole[s] - exact[s], str(s)))[: quantum - sum(whole.values())]:
-        whole[s] += 1
-    return whole
-
-
-def period(share: dict, quantum: int) -> dict:
-    """For each source the slots of its blocks in one period of whole shares."""
-    return {s: list(slots) for s, (slots, _) in schedule(dict(share), share, 1).items()}
+#: Above so many buckets their places are joined by shuffle, which moves the rows a second time.
+BROADCAST_BUCKETS = 500_000
 
 
 def whole_weights(weights: list) -> list[int]:
@@ -131,22 +118,32 @@ def _before(sizes: DataFrame) -> DataFrame:
     )
 
 
+def _hash(docs: DataFrame, fits) -> Column:
+    """Of the columns whose type fits; maps and variants have no hash."""
+    names = [f"`{f.name}`" for f in docs.schema.fields if fits(kind := f.dataType.simpleString()) and "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*names) if names else F.lit(0).cast("long")
+
+
 def _numbered(docs: DataFrame, sizes: dict, source_col: str, id_col: str, bucket_rows: int) -> DataFrame:
     """docs with __s, the source, and __n, the row's place in it from 0; sizes: rows of each source."""
-    buckets = [(s, math.ceil(n / bucket_rows)) for s, n in sizes.items()]
+    counts = [(s, math.ceil(n / bucket_rows)) for s, n in sizes.items()]
     columns = zip(("__s1", "__buckets", "__run"), (pa.string(), pa.int64(), pa.int64()))
-    buckets = [(s, n, math.isqrt(n - 1) + 1) for s, n in buckets]
-    buckets = docs.sparkSession.createDataFrame(pa.table({c: pa.array([x[i] for x in buckets], t) for i, (c, t) in enumerate(columns)}))
+    rows = [(s, n, math.isqrt(n - 1) + 1) for s, n in counts]
+    buckets = docs.sparkSession.createDataFrame(pa.table({c: pa.array([x[i] for x in rows], t) for i, (c, t) in enumerate(columns)}))
     if len(sizes) <= BROADCAST_SOURCES:
         buckets = F.broadcast(buckets)
+    # columns without strings are cheap to read, and tell apart rows that repeat an id
+    form = _hash(docs, lambda kind: not any(x in kind for x in ("string", "binary", "char")))
+    content = _hash(docs, lambda kind: True)
     dealt = (
-        docs.withColumn("__s", F.col(source_col).cast("string")).withColumn("__h", F.xxhash64(F.col(id_col).cast("string")))
+        docs.withColumn("__s", F.col(source_col).cast("string")).withColumn("__h", F.xxhash64(F.col(id_col).cast("string"), form))
         .join(buckets, F.col("__s").eqNullSafe(F.col("__s1")))  # a row for each source
         .withColumn("__b", F.pmod("__h", "__buckets")).withColumn("__run", F.floor(F.col("__b") / F.col("__run")))
     )
     before = _before(dealt.groupBy(F.col("__s").alias("s"), F.col("__b").alias("b"), F.col("__run").alias("run")).count())
-    order = Window.partitionBy("__s", "__b").orderBy("__h", F.col(id_col), *([F.col("__tie")] if "__tie" in docs.columns else []))
-    placed = dealt.withColumn("__r", F.row_number().over(order) - 1)
+    if sum(n for _, n in counts) <= BROADCAST_BUCKETS:
+        before = F.broadcast(before)
+    placed = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", F.col(id_col), content)) - 1)
     return (
         placed.join(before, placed["__s"].eqNullSafe(before["__s2"]) & (placed["__b"] == before["__b2"]))
         .withColumn("__n", F.col("__r") + F.col("__before"))

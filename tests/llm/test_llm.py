@@ -353,13 +353,38 @@ def test_mix(spark, weights):
     assert all(len({r.source for r in got if r.slot == s}) == 1 for s in {r.slot for r in got})
 
 
-def test_mix_stays_within_a_block_of_its_shares():
-    weights = {"a": 7, "b": 2, "c": 0.4, "d": 0.6}
-    share = mixing.shares(weights, 100)
-    slots = mixing.period(share, 100)
-    for s in weights:
-        for t in range(101):
-            assert abs(sum(x < t for x in slots[s]) - t * share[s] / 100) < 1
+def brute_edf(blocks, weights):
+    """Slot by slot over all blocks: of those released, the one due first, ties by source."""
+    whole = {s: Fraction(w) for s, w in weights.items()}
+
+    def time(s, k):  # when source s has its share of k blocks
+        v = k / whole[s]
+        return sum(min(v * whole[x], blocks[x]) for x in blocks)
+
+    todo = {(s, k): (math.floor(time(s, k)), math.ceil(time(s, k + 1))) for s in blocks for k in range(blocks[s])}
+    order = []
+    for t in range(len(todo)):
+        s, k = min((x for x, (release, _) in todo.items() if release <= t), key=lambda x: (todo[x][1], x[0]))
+        order.append(s)
+        del todo[s, k]
+    return order
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_is_earliest_deadline_first(seed):
+    rng = random.Random(seed)
+    blocks = {s: rng.randrange(1, 40) for s in "abcdefg"[: rng.randrange(1, 8)]}
+    weights = {s: rng.choice([1, 2, 0.5, rng.random() + 0.01, 7]) for s in blocks}
+    plan = mixing.schedule({s: n * 3 - rng.randrange(3) for s, n in blocks.items()}, weights, 3)
+    by_slot = {t: s for s, (slots, _) in plan.items() for t in slots}
+    assert [by_slot[t] for t in range(len(by_slot))] == brute_edf(blocks, weights)
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(None, "a", f"t{i}", i) for i in range(400)] + [(7, "a", f"u{i}", i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n long")
+    one, two = (sorted((r.position, r.text) for r in mixing.mix(x, bucket_rows=16).collect()) for x in (df.repartition(3), df.repartition(7, "text")))
+    assert one == two and [p for p, _ in one] == list(range(700)) and len({t for _, t in one}) == 700
 
 
 def fluid(sizes, weights, blocks):
@@ -417,6 +442,7 @@ def test_mix_of_many_sources(spark, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
         monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+        monkeypatch.setattr(mixing, "BROADCAST_BUCKETS", 0)
     rows = [(i, f"host{i % 2500}" if i % 7 else None) for i in range(9000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=2).collect()
     assert sorted((r.doc_id, r.source or "") for r in got) == sorted((i, s or "") for i, s in rows)

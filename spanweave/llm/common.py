@@ -70,8 +70,12 @@ def only_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys), ["did", "tk"], "left_semi") if small(keys) else rows
 
 
-def join_by_key(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs joined to keys(did, tk, ...), whose columns get the prefix "__", so that none clashes."""
+def join_by_key(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text", broadcast: bool | None = None) -> DataFrame:
+    """docs joined to the written table keys(did, tk, ...), whose columns get the prefix "__", so that none clashes.
+
+    keys are broadcast if they are few (``broadcast``: if the caller has found them small); else both sides are shuffled.
+    """
+    few = small(keys) if broadcast is None else broadcast
     keys = keys.toDF(*[f"__{c}" for c in keys.columns])
     did, tk = doc_key(docs, id_col, text_col)
-    return docs.join(keys, (did == keys["__did"]) & (tk == keys["__tk"]), how)
+    return docs.join(F.broadcast(keys) if few else keys, (did == keys["__did"]) & (tk == keys["__tk"]), how)

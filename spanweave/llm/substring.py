@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import doc_key, join_by_key, only_keys, written
+from spanweave.llm.common import BROADCAST_KEYS, doc_key, join_by_key, only_keys, written
 
 PHRASE = 8
 SHARD_STRETCHES = 20_000
@@ -332,7 +332,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
     lost = repeated_windows(docs, id_col, text_col, window, shard_stretches, hot)
-    joined = join_by_key(docs, lost, "left", id_col, text_col).drop("__did", "__tk")
+    size = lost.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("lo")), F.lit(0)).alias("runs")).first()
+    joined = join_by_key(docs, lost, "left", id_col, text_col, size["rows"] + size["runs"] <= BROADCAST_KEYS).drop("__did", "__tk")
     fields = docs.schema.fieldNames()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

@@ -13,17 +13,21 @@ the greater weights) of ``similarity`` or more to the item.
    the greatest of the shared shingles that one window can hold, if these are enough;
    moved inside the document.
 2. Each window gets a 64-bit SimHash of its weighted shingles and meets the items
-   of its length in a multi-index: radius + 1 bit blocks, of which two
-   fingerprints within the radius share one at least. Windows of similarity 0.8
+   it was laid for in a multi-index: radius + 1 bit blocks, of which two
+   fingerprints within the radius share one at least. (So wide a radius needs blocks
+   of two or three bits, which alone would let most pairs pass.) Windows of similarity 0.8
    share 8 of 9 shingles and differ in 10 bits, standard deviation 2.9; the
    default radius of 22 is over four of these away.
 3. The exact weighted similarity decides.
 
 Null, blank and wordless texts, in documents or items, leak nothing. Rows that
 repeat a doc_id and text give one result; the same doc_id, or none, with another
-text is another document. Items with equal texts each give one result.
-Extra columns are ignored. The items' shingles are broadcast only if they are
-``broadcast_shingles`` at most (counted first), else both sides are shuffled.
+text is another document. Items are told apart by id and text: equal texts of
+different ids each give one result, different texts of one id (or none) too, a
+repeated row none. Very long texts are read whole. Without documents, or items, there
+are no results. Extra columns are ignored. The items' shingles are broadcast only if
+they are ``broadcast_shingles`` at most (counted first, with the index), else both
+sides are shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import doc_key, join_by_key, written
+from spanweave.llm.common import doc_key, join_by_key, only_keys, written
 
 
 def words_of(text: Column) -> Column:
@@ -78,14 +82,24 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def _blocks(fp: Column, radius: int) -> Column:
+def _cuts(radius: int) -> list[tuple[int, int]]:
+    """Bits lo to hi of each of radius + 1 blocks."""
     cut = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
+    return list(zip(cut, cut[1:]))
+
+
+def _blocks(fp: Column, radius: int) -> Column:
     return F.array(*[
         F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"))
-        for i, (lo, hi) in enumerate(zip(cut, cut[1:]))
+        for i, (lo, hi) in enumerate(_cuts(radius))
     ])
 
 
+def _first_equal(apart: Column, radius: int) -> Column:
+    """The first block in which two fingerprints, apart in these bits, agree."""
+    return F.coalesce(*[F.when(F.shiftrightunsigned(apart, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) == 0, F.lit(i)) for i, (lo, hi) in enumerate(_cuts(radius))])
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): of each pair the best window, the first of equals."""
     return keyed_leaks(docs, items, id_col, text_col, **options).drop("did", "tk")
@@ -100,14 +114,18 @@ def keyed_leaks(
     of_items = (
         items.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words"))
         .select("item", F.size("words").alias("n"), shingles_of(F.col("words"), k).alias("item_shingles"))
-        .where("n > 0")
+        .where("n > 0").withColumn("ik", F.xxhash64("n", "item_shingles"))
     )
-    of_items = written(of_items.withColumn("item_fp", fingerprint(F.col("item_shingles"))), "items")
-    at = of_items.select("n", F.xxhash64("item_shingles").alias("ik"), F.size("item_shingles").alias("m"), F.posexplode("item_shingles").alias("j", "h"))
-    seeds = at.groupBy("ik", "n", "m", "h").agg(F.min("j").alias("j0"), F.max("j").alias("j1"))
-    short = [r["n"] for r in of_items.where(F.col("n") < k).select("n").distinct().collect()]  # k - 1 lengths at most
+    of_items = written(of_items, "items")
+    named = of_items.select("item", "ik").distinct()
+    bodies = written(of_items.dropDuplicates(["ik"]).select("ik", "n", "item_shingles", fingerprint(F.col("item_shingles")).alias("item_fp")), "bodies")
+    seeds = bodies.select("ik", "n", F.size("item_shingles").alias("m"), F.posexplode("item_shingles").alias("j", "h"))
+    seeds = seeds.groupBy("ik", "n", "m", "h").agg(F.min("j").alias("j0"), F.max("j").alias("j1"))
+    short = [r["n"] for r in bodies.where(F.col("n") < k).select("n").distinct().collect()]  # k - 1 lengths at most
     seeds = written(seeds, "seeds")
-    small = seeds.count() <= broadcast_shingles
+    size = bodies.agg(F.coalesce(F.sum(F.size("item_shingles") + radius + 1), F.lit(0))).first()[0]  # of the bodies and of the index
+    small = size <= broadcast_shingles
+    held = F.broadcast if small else lambda x: x
     texts = docs.select(F.col(id_col).alias("id"), *doc_key(docs, id_col, text_col), F.col(text_col).alias("text"))
 
     def hits(kk: int, table: DataFrame) -> DataFrame:
@@ -131,39 +149,41 @@ def keyed_leaks(
         enough = F.get("hits", i + least - 1)["p"] < hit["p"] + F.col("m")
         return F.when(enough, let(held, lambda x: F.struct(F.array_min(F.transform(x, lambda y: y["lo"])).alias("lo"), F.array_max(F.transform(x, lambda y: y["hi"])).alias("hi"))))
 
-    found = found.select("did", "tk", "n", F.explode(F.array_distinct(F.filter(F.transform("hits", spans), lambda x: x.isNotNull()))).alias("span"))
-    found = found.select("did", "tk", "n", F.explode(F.sequence("span.lo", "span.hi")).alias("start"))
-    found = written(found.groupBy("did", "tk").agg(F.collect_set(F.struct("n", "start")).alias("places")), "places")
-    laid = texts.join(found, ["did", "tk"]).dropDuplicates(["did", "tk"])
+    found = found.select("did", "tk", "ik", "n", F.explode(F.array_distinct(F.filter(F.transform("hits", spans), lambda x: x.isNotNull()))).alias("span"))
+    found = found.select("did", "tk", "ik", "n", F.explode(F.sequence("span.lo", "span.hi")).alias("start"))
+    found = written(found.groupBy("did", "tk").agg(F.collect_set(F.struct("ik", "n", "start")).alias("places")), "places")
+    laid = only_keys(texts, found.select("did", "tk")).join(found, ["did", "tk"]).dropDuplicates(["did", "tk"])
 
     def lay(words: Column) -> Column:
         total = F.size(words)
 
         def cut(shingles: Column):
-            def at(n: Column, start: Column) -> Column:
+            def at(ik: Column, n: Column, start: Column) -> Column:
                 run = F.slice(shingles, start + 1, F.greatest(F.least(n, total) - (k - 1), F.lit(1)))
                 if short:
                     run = F.when(F.least(n, total) < k, shingles_of(F.slice(words, start + 1, F.least(n, total)), k)).otherwise(run)
-                return F.struct(n.alias("n"), start.alias("start"), run.alias("shingles"))
+                return F.struct(ik.alias("ik"), n.alias("n"), start.alias("start"), run.alias("shingles"))
 
-            moved = F.transform("places", lambda x: F.struct(x["n"].alias("n"), F.greatest(F.least(x["start"], total - x["n"]), F.lit(0)).alias("start")))
-            return F.transform(F.array_distinct(moved), lambda x: at(x["n"], x["start"]))
+            moved = F.transform("places", lambda x: F.struct(x["ik"].alias("ik"), x["n"].alias("n"), F.greatest(F.least(x["start"], total - x["n"]), F.lit(0)).alias("start")))
+            return F.transform(F.array_distinct(moved), lambda x: at(x["ik"], x["n"], x["start"]))
 
         return let(shingles_of(words, k), cut)
 
     windows = written(laid.select("id", "did", "tk", F.inline(let(words_of(F.col("text")), lay))), "windows").withColumn("fp", fingerprint(F.col("shingles")))
-    indexed = of_items.select("item", "n", "item_fp", "item_shingles", F.inline(_blocks(F.col("item_fp"), radius)))
+    index = bodies.select("ik", "n", "item_fp", F.inline(_blocks(F.col("item_fp"), radius)))
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     pairs = (
         windows.select("*", F.inline(_blocks(F.col("fp"), radius)))
-        .join(F.broadcast(indexed) if small else indexed, ["n", "block", "value"])
-        .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+        .join(held(index), ["ik", "n", "block", "value"])
+        .where(F.col("block") == _first_equal(apart, radius))  # a pair that shares several blocks is met once
+        .withColumn("hamming", F.bit_count(apart))
         .where(F.col("hamming") <= radius)
-        .dropDuplicates(["did", "tk", "start", "n", "item"])
+        .join(held(bodies.select("ik", "item_shingles")), "ik")
         .withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles")))
         .where(F.col("similarity") >= similarity)
     )
     best = F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
-    return pairs.groupBy("id", "did", "tk", "item").agg(best.alias("b")).select(
+    return pairs.groupBy("id", "did", "tk", "ik").agg(best.alias("b")).join(held(named), "ik").select(
         "did", "tk", F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"),
         F.col("b.hamming").cast("int").alias("hamming"), F.col("b.similarity").alias("similarity"),
     )

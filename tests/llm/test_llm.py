@@ -272,6 +272,34 @@ def test_leaks_between_two_alignments(spark):
     assert got == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_leaks_of_reordered_copies(spark):
+    """Halves and thirds of an item in another order, against windows at every start."""
+    rng = random.Random(31)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((60, 64, 75, 90, 120))] + [(9, prose(rng, 80, vocab=15))]
+    docs = []
+    for _, t in items:
+        w = t.split(" ")
+        n = len(w)
+        for parts in ([w[n // 2 :], w[: n // 2]], [w[2 * n // 3 :], w[n // 3 : 2 * n // 3], w[: n // 3]], [w[n // 3 :], w[: n // 3]], [w[n // 4 :], w[: n // 4]], [w[::-1]]):
+            for around in (0, 25):
+                docs.append((len(docs), " ".join([*prose(rng, around).split(), *(x for p in parts for x in p), *prose(rng, around).split()])))
+    want = brute_leaks(docs, items)
+    assert (0, 0) in want and 15 < len(want) < len(docs)
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.leaks(df, it).collect()}
+    assert got == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_leaks_of_items_that_share_an_id(spark):
+    rng = random.Random(32)
+    a, b, c = (prose(rng, 40, 5000) for _ in range(3))
+    items = spark.createDataFrame([(1, a), (1, b), (None, c), (None, a), (2, a), (2, a)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"x {b} y"), (11, c), (12, f"{a} z")], "doc_id long, text string")
+    for limit in (2_000_000, 0):
+        got = Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, broadcast_shingles=limit).collect())
+        assert got == Counter([(10, 1), (11, None), (12, 1), (12, None), (12, 2)])
+
+
 # --- quality rules
 
 

@@ -264,4 +264,12 @@ def deduplicated(
     fps = written(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
     first = F.min("first").alias("first")
     stay = written(_components(fps, radius, shard_limit).groupBy("root").agg(first).select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("did"), "first.tk"), "stay")
-    return join_by_key(docs, stay, "inner", id_col, text_col).dropDuplicates(["__did", "__tk"]).drop("__did", "__tk")
+    keys = fps.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "tk").agg((F.count("*") > 1).alias("repeated"))
+    gone = written(keys.select("did", "tk").join(stay, ["did", "tk"], "left_anti"), "gone")
+    repeated = written(keys.where("repeated").select("did", "tk").join(stay, ["did", "tk"], "left_semi"), "repeated")
+    kept = join_by_key(docs, gone, "left_anti", id_col, text_col)
+    if repeated.isEmpty():
+        return kept
+    once = join_by_key(kept, repeated, "left_anti", id_col, text_col)
+    again = join_by_key(kept, repeated, "inner", id_col, text_col).dropDuplicates(["__did", "__tk"]).drop("__did", "__tk")
+    return once.union(again)

@@ -314,14 +314,95 @@ def test_base_counts(docs):
         assert got[:5] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover))
 
 
-def test_rule_cutoffs_hold_their_risk(spark):
-    assert rules.cutoff([0, 0, 9], 400, [3.0, 2.0, 1.0], 0.02, 0.01) == 2.0
-    assert rules.cutoff([0], 5, [1.0], 0.02, 0.01) is None  # too few to prove anything
+def test_binomial_tests():
+    assert rules.proven_level([0, 0, 30, 30], 400, 0.05, 0.01) == 2
+    assert rules.proven_level([0], 5, 0.05, 0.05) == 0  # too few to prove anything
+    assert rules.aims({"a": [0, 1, 3, 9], "b": [0, 0], "c": [8]}, 100, 0.02) == {"a": 2, "b": 2, "c": 0}
     for k, n, p in [(0, 10, 0.1), (3, 50, 0.02), (7, 200, 0.05), (10, 10, 0.3)]:
         exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert rules.binomial_cdf(k, n, p) == pytest.approx(min(1, exact), rel=1e-9)
 
 
+def brute_cutoffs(rows, quality, half, risk=0.05, error=0.05, aim=0.002):
+    """rows: (doc_id, text, stratum); a plain walk along the path, document by document."""
+    trials = {}
+    for i, t, s in rows:
+        n, chars, symbols, dup, repeat, lines, capitals = rules.base_counts(t)
+        if quality.get(i) == 1 and not (n < 50 or 100 * repeat > 50 * n):
+            r = {"symbols": symbols / max(chars, 1), "dup_lines": dup / max(lines, 1), "repeats": repeat / max(n, 1), "long_words": chars / max(n, 1), "capitals": capitals / max(chars, 1)}
+            trials.setdefault((s, i), []).append(r)
+    out, strata = {}, {s for s, _ in trials}
+    for stratum in strata:
+        docs = {i: r for (s, i), r in trials.items() if s == stratum}
+        a, b = ([r for i, r in docs.items() if half[i] == h] for h in (0, 1))
+        steps = {}
+        for rule, grid in rules.GRIDS.items():
+            steps[rule] = 0
+            for c in grid:
+                if sum(any(x[rule] > c for x in r) for r in a) > len(a) * aim:
+                    break
+                steps[rule] += 1
+        if not a or not b:
+            continue
+        proven = dict.fromkeys(rules.GRIDS)
+        for level in range(1, rules.LEVELS + 1):
+            now = {}
+            for rule, grid in rules.GRIDS.items():
+                i = math.ceil(steps[rule] * level / rules.LEVELS)
+                now[rule] = grid[i - 1] if i else None
+            k = sum(any(c is not None and x[rule] > c for x in r for rule, c in now.items()) for r in b)
+            tail = sum(math.comb(len(b), i) * risk**i * (1 - risk) ** (len(b) - i) for i in range(k + 1))
+            if tail > error / len(strata):
+                break
+            proven = now
+        out[stratum] = proven
+    return out
+
+
+def test_cutoffs_and_verdicts_are_those_of_a_plain_walk(spark):
+    rng = random.Random(17)
+
+    def text(kind):
+        words = prose(rng, rng.randrange(45, 90)).split()
+        if kind < 3:
+            words = [w + "#" * rng.randrange(4) if rng.random() < kind / 9 else w.upper() if rng.random() < kind / 5 else w for w in words]
+        if kind == 4:
+            words += words[: rng.randrange(5, 30)]
+        lines = [" ".join(words[i : i + 12]) for i in range(0, len(words), 12)]
+        return "\n".join(lines + lines[:1] * (kind == 5))
+
+    rows = [(i, text(rng.choice([0, 0, 0, 0, 0, 1, 2, 3, 4, 5])), rng.choice(["en", "en", "de", None, "", "few"]) if i % 60 else "few") for i in range(1500)]
+    rows += [(i, text(2), rows[i][2]) for i in range(0, 40)]  # rows that repeat an id
+    quality = {i: int(rng.random() < 0.8) for i in range(1400)}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int")
+    half = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).distinct().collect()}
+    want = brute_cutoffs(rows, quality, half)
+    got = {r.s: {k: r[f"cut_{k}"] for k in rules.GRIDS} for r in rules.cutoffs(rules.counted(df), labels).collect()}
+    none = lambda x: None if x is None or x != x else x
+    assert {s: {k: none(v) for k, v in c.items()} for s, c in got.items()} == want
+    assert any(v is not None for c in want.values() for v in c.values())
+    told = Counter((r.doc_id, r.kept, r.base_failed) for r in rules.quality_rules(df, labels).collect())
+    expect = Counter()
+    for i, t, s in rows:
+        n, chars, symbols, dup, repeat, lines, capitals = rules.base_counts(t)
+        bad = n < 50 or 100 * repeat > 50 * n
+        r = {"symbols": symbols / max(chars, 1), "dup_lines": dup / max(lines, 1), "repeats": repeat / max(n, 1), "long_words": chars / max(n, 1), "capitals": capitals / max(chars, 1)}
+        falls = any(c is not None and r[k] > c for k, c in want.get(s, {}).items())
+        expect[i, not bad and not falls, bad] += 1
+    assert told == expect
+
+
+def test_cutoffs_hold_their_risk():
+    """Over many draws, the true false rejection is over the risk about as rarely as promised."""
+    rng, broken = random.Random(18), 0
+    for _ in range(200):
+        true = rng.choice([0.06, 0.08, 0.2])
+        fallen = sum(rng.random() < true for _ in range(150))
+        broken += rules.proven_level([fallen], 150, 0.05, 0.05) > 0
+    assert broken <= 10
+
+
 def test_quality_rules(spark, frame, docs):
     rng = random.Random(3)
     rows = [(1000 + i, prose(rng, 60), "en") for i in range(900)] + [(3000 + i, " ".join(f"{w}###" for w in prose(rng, 60).split()), "en") for i in range(50)] + [(4000, prose(rng, 60), "xx")]

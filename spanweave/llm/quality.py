@@ -1,19 +1,19 @@
 """Quality classifier: document evidence and hierarchical empirical Bayes by site.
 
 A logistic model of a document's words and form gives the odds that it is good
-(quality 1 and not toxic). It is fitted on at most ``fit_rows`` labelled rows, the
-least by a hash of doc_id; nothing else is sampled. Summed over all documents, the
-classifier's probabilities give each host (``host_col``) and path (host and
+(quality 1 and not toxic). It is fitted on at most ``fit_rows`` labelled documents, the
+least by a hash of doc_id, with one text of each; nothing else is sampled. Summed over
+all documents, labels where there are any, else the classifier's probabilities, give each host (``host_col``) and path (host and
 ``path_col``) a posterior: a path shrinks toward its host, a host toward the
 corpus, by prior weights estimated from the spread between hosts and between
 paths (method of moments). A document's odds move by the difference between its
 path's posterior, worked out without the document itself, and the corpus's,
 times ``site_weight``.
 
-Null, empty and blank texts have the evidence of a text without words. Null hosts
-and paths are a site each. Rows that repeat a doc_id are judged each; a doc_id
+Null, empty and blank texts have the evidence of a text without words; very long ones
+are read whole. Null hosts and paths are a site each, empty ones another. Rows that repeat a doc_id are judged each; a doc_id
 with several labels counts as good only if all are. Without labels, or with one
-kind only, everything is kept. Extra columns are ignored. Site posteriors are
+kind only, everything is kept. An empty table gives an empty result. Extra columns are ignored. Site posteriors are
 broadcast up to ``broadcast_sites`` rows, else joined by shuffle.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import doc_key, written
+from spanweave.llm.common import doc_key, small, written
 
 BITS = 18
 _STRIP = b".,;:!?\"'()[]|"
@@ -78,17 +78,21 @@ def fit(at: np.ndarray, cols: np.ndarray, form: np.ndarray, good: np.ndarray, m:
     return w, v
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of the labelled ids: good if all their labels are."""
+    return (
+        labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.min((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    )
+
+
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[np.ndarray, np.ndarray] | None:
     """The document model, or None if the labels are of one kind.
 
     The rows' words are counted where they are; the driver gets 2 ** BITS counts
     at most and, of each row, the words that tell.
     """
-    told = (
-        labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
-        .agg(F.min((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    )
+    told = known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,7 +104,8 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[
 
     schema = "doc_id long, tk long, good boolean, words array<int>, form array<double>"
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    rows = written(named.join(F.broadcast(told), "doc_id").mapInArrow(featured, schema), "features")
+    one = named.join(F.broadcast(told), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct("tk", "text")).alias("x"))  # one text of an id
+    rows = written(one.select("doc_id", "x.tk", "good", "x.text").mapInArrow(featured, schema), "features")
     kinds = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
     if len(kinds) < 2:
         return None
@@ -129,7 +134,9 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[
     place = np.cumsum(telling, dtype=np.int32) - 1
     form = got.column("form").chunk(0).flatten().to_numpy().reshape(len(order), -1)
     good = got.column("good").to_numpy().astype(bool)
-    w, v = fit(at, place[words.flatten().to_numpy()], form, good, int(telling.sum()))
+    cols = place[words.flatten().to_numpy()]
+    del got, words
+    w, v = fit(at, cols, form, good, int(telling.sum()))
     full = np.zeros(1 << BITS, np.float32)
     full[telling] = w
     return full, v
@@ -154,14 +161,16 @@ def classify(
 ) -> DataFrame:
     """(did, tk, p_document, p_site, p_good, kept) of each row; did and tk as in common.doc_key."""
     named = docs.select(
-        *doc_key(docs, id_col, text_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text")
+        *doc_key(docs, id_col, text_col), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")
     )
     model = fitted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, fit_rows)
     if model is None:
         return named.select("did", "tk", *[F.lit(1.0).alias(c) for c in ("p_document", "p_site", "p_good")], F.lit(True).alias("kept"))
+    told = written(known(labels), "labels")
     odds = written(document_odds(named, model), "odds").withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
-    paths = written(odds.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.col("p").cast("decimal(20,9)")).cast("double").alias("total")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum(F.col("total").cast("decimal(30,9)")).cast("double").alias("host_total"))
+    odds = odds.join(F.broadcast(told) if small(told) else told, F.col("did") == F.col("doc_id"), "left").withColumn("e", F.coalesce(F.col("good").cast("double"), "p"))
+    paths = written(odds.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.col("e").cast("decimal(20,9)")).cast("double").alias("total")), "paths")
+    hosts = paths.groupBy(F.col("host").alias("host1")).agg(F.sum("n").alias("host_n"), F.sum(F.col("total").cast("decimal(30,9)")).cast("double").alias("host_total"))
 
     def weight(df: DataFrame, n: str, total: str, mean) -> float:
         """By moments, the weight m of a site's prior Beta(m * mean, m * (1 - mean))."""
@@ -174,17 +183,17 @@ def classify(
     whole = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_total").alias("t")).first()
     mean = whole["t"] / whole["n"] if whole["n"] else 0.5
     m_host = weight(hosts, "host_n", "host_total", F.lit(mean))
-    of_path = paths.join(hosts, "host")
+    of_path = paths.join(hosts, F.col("host").eqNullSafe(F.col("host1")))
     m_path = weight(of_path, "n", "total", F.col("host_total") / F.col("host_n"))
-    sites = written(of_path, "sites")
+    sites = written(of_path.select(F.col("host").alias("host1"), F.col("path").alias("path1"), "n", "total", "host_n", "host_total"), "sites")
     if sites.count() <= broadcast_sites:
         sites = F.broadcast(sites)
-    host_mean = (F.col("host_total") - F.col("p") + m_host * mean) / (F.col("host_n") - 1 + m_host)
-    site = (F.col("total") - F.col("p") + m_path * host_mean) / (F.col("n") - 1 + m_path)
+    host_mean = (F.col("host_total") - F.col("e") + m_host * mean) / (F.col("host_n") - 1 + m_host)
+    site = (F.col("total") - F.col("e") + m_path * host_mean) / (F.col("n") - 1 + m_path)
     site = F.greatest(F.least(site, F.lit(1 - 1e-6)), F.lit(1e-6))
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     moved = F.col("logit") + site_weight * (F.log(F.col("p_site") / (1 - F.col("p_site"))) - float(np.log(mean / (1 - mean))))
     return (
-        odds.join(sites, ["host", "path"]).withColumn("p_site", site).withColumn("p_good", 1 / (1 + F.exp(-moved)))
+        odds.join(sites, F.col("host").eqNullSafe(F.col("host1")) & F.col("path").eqNullSafe(F.col("path1"))).withColumn("p_site", site).withColumn("p_good", 1 / (1 + F.exp(-moved)))
         .select("did", "tk", F.col("p").alias("p_document"), "p_site", "p_good", (F.col("p_good") >= keep_from).alias("kept"))
     )

@@ -683,6 +683,48 @@ def test_quality_classifier_knows_markers_of_few_labelled_rows(spark):
     assert sum(got[r[0]] for r in held if not r[4]) >= 0.95 * 1540
 
 
+def test_site_posteriors_are_those_of_plain_sums(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(900):
+        host, path = rng.choice([("a", "x"), ("a", "y"), ("b", "x"), (None, "x"), ("", "x"), (None, None), (f"h{i}", "z")])
+        bad = rng.random() < (0.6 if host in ("b", None) else 0.1)
+        rows.append((i, " ".join(f"{w}$" if bad else w for w in prose(rng, 40).split()), host, path, bad))
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(r[0], int(not r[4]), 0) for r in rows if r[0] % 3 == 0], "doc_id long, quality int, toxic int")
+    got = {r.did: r for r in quality.classify(df, labels).collect()}
+    e = {r[0]: float(not r[4]) if r[0] % 3 == 0 else got[r[0]].p_document for r in rows}
+    host_of, site_of = {}, {}
+    for i, _, h, p, _ in rows:
+        host_of.setdefault(h, []).append(i)
+        site_of.setdefault((h, p), []).append(i)
+    total = lambda ids: sum(e[i] for i in ids)
+    mean = total(e) / len(e)
+
+    def weight(groups, means):
+        inner = mean * (1 - mean)
+        spread = sum(len(g) * (total(g) / len(g) - m) ** 2 for g, m in zip(groups, means)) / len(e)
+        return min(max(inner / max(spread - inner * len(groups) / len(e), 1e-9) - 1, 1.0), 1e4)
+
+    m_host = weight(list(host_of.values()), [mean] * len(host_of))
+    m_path = weight(list(site_of.values()), [total(host_of[h]) / len(host_of[h]) for h, _ in site_of])
+    for i, _, h, p, _ in rows:
+        host = (total(host_of[h]) - e[i] + m_host * mean) / (len(host_of[h]) - 1 + m_host)
+        site = (total(site_of[h, p]) - e[i] + m_path * host) / (len(site_of[h, p]) - 1 + m_path)
+        site = min(max(site, 1e-6), 1 - 1e-6)
+        odds = math.log(got[i].p_document / (1 - got[i].p_document)) + 0.25 * (math.log(site / (1 - site)) - math.log(mean / (1 - mean)))
+        assert got[i].p_site == pytest.approx(site, abs=1e-6) and got[i].p_good == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6)
+        assert got[i].kept == (got[i].p_good >= 0.6)
+
+
+def test_fit_takes_one_text_of_an_id(spark):
+    rows = [(i % 5, f"t{i} x", "s", "en") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    words, form = quality.fitted(df, labels)
+    assert not words.any() and len(form) == 10 and quality.classify(df, labels).count() == 200  # 5 rows: no word tells
+
+
 # --- language ID
 
 

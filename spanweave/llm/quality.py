@@ -61,20 +61,44 @@ def telling_words(with_any: np.ndarray, with_good: np.ndarray, n: int, n_good: i
     return (with_any >= 3) & (np.abs(apart) >= least_z * np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_good + 1 / n_bad)))
 
 
-def fit(at: np.ndarray, cols: np.ndarray, form: np.ndarray, good: np.ndarray, m: int, rounds: int = 300, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of m words and of the form, by Adagrad; row at[i] has word cols[i]."""
+class Sums:
+    """of(x): for each of n groups the sum of x[index] over its places; group: each place's group, in order.
+
+    Worked out in blocks of about ``block`` places, so that x[index] is never there as a whole.
+    """
+
+    def __init__(self, group: np.ndarray, index: np.ndarray, n: int, block: int = 300_000):
+        self.index, self.n = index, n
+        self.starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+        self.which = group[self.starts]
+        cut = np.unique(np.searchsorted(self.starts, np.arange(0, len(group), block))).tolist()
+        self.blocks = [(i, k, self.starts[i], self.starts[k] if k < len(self.starts) else len(group)) for i, k in zip(cut, [*cut[1:], len(self.starts)]) if i < k]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for i, k, s, e in self.blocks:
+            out[self.which[i:k]] = np.add.reduceat(x[self.index[s:e]], self.starts[i:k] - s)
+        return out
+
+
+def fit(at: np.ndarray, cols: np.ndarray, form: np.ndarray, good: np.ndarray, m: int, rounds: int = 300, rate: float = 0.3, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of m words and of the form, by Adagrad; row at[i] has word cols[i], rows in order."""
     y = good.astype(float)
     w, v = np.zeros(m), np.zeros(form.shape[1])
     gw, gv = np.full(m, 1e-8), np.full(form.shape[1], 1e-8)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both kinds count alike
+    by_row = Sums(at, cols, len(y))
+    by = np.argsort(cols, kind="stable").astype(np.int32)
+    by_word = Sums(cols[by], at[by], m)
+    del by
     for _ in range(rounds):
-        z = np.bincount(at, w[cols], len(y)) + form @ v
+        z = by_row.of(w) + form @ v
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        dw, dv = np.bincount(cols, err[at], m) + l2 * w, form.T @ err + l2 * v
+        dw, dv = by_word.of(err) + l2 * w, form.T @ err + l2 * v
         gw += dw * dw
         gv += dv * dv
-        w -= 0.3 * dw / np.sqrt(gw)
-        v -= 0.3 * dv / np.sqrt(gv)
+        w -= rate * dw / np.sqrt(gw)
+        v -= rate * dv / np.sqrt(gv)
     return w, v
 
 

@@ -2,6 +2,12 @@
 
 Each stage takes the documents its predecessor kept; run() writes each stage's
 rows to the shared folder and reads them again.
+
+Nulls in any column, empty and very long texts, repeated rows and ids are handled as
+the stages' operators say; rows are told apart by id and text, of rows alike in both
+one stays. Extra columns are carried along, whatever their names, but for the four
+that the mix adds. Empty tables give an empty result; without labels the classifier,
+without benchmark items the decontamination keeps everything.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from spanweave.llm.common import join_by_key, table, written
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go."""
     said = quality.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = said.where(~F.col("kept")).select("did", "tk").distinct()
+    rejected = written(said.where(~F.col("kept")).select("did", "tk").distinct(), "rejected")
     return join_by_key(docs, rejected, "left_anti")
 
 

@@ -6,26 +6,25 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def preference(edges: DataFrame) -> DataFrame:
     """(component, preference): the median of all cells of a component's matrix, absent ones being 0.
 
-    Exact without building the matrix: of n * n cells, the zeros are counted, not made.
+    Exact without building the matrix: equal cells are counted together, the zeros
+    without being made, and the counts summed up in the order of the weights.
     """
     ends = edges.select("component", F.explode(F.array("src", "dst")).alias("id")).groupBy("component").agg(F.countDistinct("id").alias("n"))
-    ranked = edges.groupBy("component").agg(F.array_sort(F.collect_list("w")).alias("ws")).join(ends, "component")
-    below = F.size(F.filter("ws", lambda x: x < 0))
-    zeros = F.col("n") * F.col("n") - F.size("ws")
-
-    def at(i):
-        """Cell i, from 0, in ascending order: negatives, zeros, the rest."""
-        return F.when(i < below, F.get("ws", i.cast("int"))).when(i < below + zeros, F.lit(0.0)).otherwise(F.get("ws", (i - zeros).cast("int")))
-
-    total = F.col("n") * F.col("n")
-    return ranked.select("component", ((at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2).alias("preference"))
+    counts = edges.groupBy("component", "w").agg(F.count("*").alias("k"))
+    sizes = counts.groupBy("component").agg(F.sum("k").alias("given")).join(ends, "component").withColumn("total", F.col("n") * F.col("n"))
+    zeros = sizes.select("component", F.lit(0.0).alias("w"), (F.col("total") - F.col("given")).alias("k"))
+    up_to = Window.partitionBy("component").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.unionByName(zeros).where("k > 0").withColumn("upto", F.sum("k").over(up_to)).join(sizes.select("component", "total"), "component")
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("w")))
+    middle = ranked.groupBy("component").agg(at(F.floor((F.col("total") - 1) / 2)).alias("lo"), at(F.floor(F.col("total") / 2)).alias("hi"))
+    return middle.select("component", ((F.col("lo") + F.col("hi")) / 2).alias("preference"))
 
 
 def propagate(s: np.ndarray, iterations: int = 500, damping: float = 0.5) -> tuple[np.ndarray, bool]:
@@ -59,11 +58,12 @@ def propagate(s: np.ndarray, iterations: int = 500, damping: float = 0.5) -> tup
 
 
 def _jitter(component, names: list) -> np.ndarray:
-    out = np.empty((len(names), len(names)))
-    for i, x in enumerate(names):
-        for k, y in enumerate(names):
-            out[i, k] = int.from_bytes(hashlib.md5(f"{component}|{x}|{y}".encode()).digest()[:6], "big") / 2**48 - 0.5
-    return out
+    """Numbers from -0.5 to 0.5, from a hash of the component and both names."""
+    h = np.array([int.from_bytes(hashlib.md5(f"{component}|{x}".encode()).digest()[:8], "big") for x in names], np.uint64)
+    x = h[:, None] * np.uint64(0x9E3779B97F4A7C15) ^ (h[None, :] >> np.uint64(7)) + (h[None, :] << np.uint64(25))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(11)) / 2.0**53 - 0.5
 
 
 def affinity_clusters(edges: DataFrame, preference_value: float | None = None, iterations: int = 500, damping: float = 0.5, jitter: bool = True, max_nodes: int = 5000) -> DataFrame:

@@ -2,49 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ways a hub's neighbours are dealt out in the joins.
-SALTS = 8
+from spanweave.session import intermediate_dir
 
-
-def _shared_dir(spark: SparkSession) -> str:
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanweave-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+#: A node of more rows than this, and than a HUBS-th of all rows, is a hub.
+HUB_ROWS = 100_000
+#: So many hubs there may be for each copy of the rows; they are broadcast.
+HUBS = 50_000
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the folder all executors share and read again, so that lineage ends here."""
-    path = f"{_shared_dir(df.sparkSession)}/spanweave/{name}-{uuid.uuid4().hex}"
+    path = f"{intermediate_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _with_min(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """pairs(u, v) joined with least(u, m); a hub's rows go to SALTS tasks."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["u", "salt"]).drop("salt")
+def _with_min(pairs: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """pairs(u, v) joined with least(u, m, n), n being u's rows among at most 2 * rows.
+
+    A hub's rows stay where they are: of nodes with over max(HUB_ROWS, rows / HUBS)
+    rows there are at most 2 * HUBS, so these are broadcast. The others' rows, few
+    for each node, are shuffled.
+    """
+    limit = max(HUB_ROWS, rows // HUBS)
+    if 2 * rows <= limit:
+        return pairs.join(least.drop("n"), "u")
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+    rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+    return pairs.join(hubs, "u").unionByName(rest)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return _with_min(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return _with_min(both.where("v > u"), least, rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _with_min(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_min(down, least, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -54,27 +56,26 @@ def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds
     Alternates the large-star and small-star steps until the edge set stays the
     same. Each round is written to the shared folder, so lineage stays short.
     """
-    now = materialize(
-        edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "cc"
-    )
+    pairs = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where("u <> v").distinct()
+    now = materialize(pairs, "cc")
     state = None
     for _ in range(max_rounds):
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(seen) == state or seen[0] == 0:
             return now
         state = tuple(seen)
-        now = materialize(_small_star(_large_star(now)), "cc")
+        now = materialize(_small_star(_large_star(now, seen[0]), seen[0]), "cc")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): component is the least node id that can be reached.
 
+    edges are read twice: hand over a written table, or one that is cheap to make.
     nodes: optional frame whose first column adds nodes without edges.
     """
-    given = materialize(edges.select(src, dst), "cc-edges")
-    stars = star_forest(given, src, dst)
-    own = given.select(F.explode(F.array(src, dst)).alias("node"))
+    stars = star_forest(edges, src, dst)
+    own = edges.select(F.explode(F.array(src, dst)).alias("node"))
     if nodes is not None:
         own = own.union(nodes.select(F.col(nodes.columns[0]).alias("node")))
     return (

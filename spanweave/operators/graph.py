@@ -81,11 +81,14 @@ def isolated_nodes(g: Graph) -> DataFrame:
 
 def stats(g: Graph, cut: float | None = None) -> DataFrame:
     """One row of counts: nodes, directed edges as read, after the cut, after symmetrizing."""
-    after = g.edges if cut is None else clean(g.edges, cut)
-    return (
-        g.nodes.agg(F.count("*").alias("n_nodes")).crossJoin(g.edges.agg(F.count("*").alias("n_edges")))
-        .crossJoin(after.agg(F.count("*").alias("n_after_cut"))).crossJoin(symmetrize(after).agg(F.count("*").alias("n_symmetric")))
-    )
+    kept = F.lit(True) if cut is None else F.col("w") >= cut
+    pairs = g.edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"), F.count_if(kept).alias("k"))
+    names = ["n_nodes", "n_edges", "n_after_cut", "n_symmetric"]
+    zero = F.lit(0).cast("long")
+    nodes = g.nodes.select(F.lit(1).cast("long").alias("n_nodes"), zero.alias("n_edges"), zero.alias("n_after_cut"), zero.alias("n_symmetric"))
+    directions = F.when(F.col("k") == 0, 0).when(F.col("a") == F.col("b"), 1).otherwise(2).cast("long")
+    counted = pairs.select(zero.alias("n_nodes"), F.col("n").alias("n_edges"), F.col("k").alias("n_after_cut"), directions.alias("n_symmetric"))
+    return nodes.union(counted).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -106,29 +109,42 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(F.inline(F.array(*rows)))
 
 
-def closure_step(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """Symmetric edges after one step: w(i,t) becomes the greatest w(i,m) * w(m,t), if that is greater."""
+def _raised(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Symmetric edges with w after one step over the given paths, and whether a greater weight arose."""
     e1 = edges.select(F.col("src").alias("i"), F.col("dst").alias("m"), F.col("w").alias("w1"))
     e2 = edges.select(F.col("src").alias("m"), F.col("dst").alias("t"), F.col("w").alias("w2"))
     best = paths.join(e1, ["i", "m"]).join(e2, ["m", "t"]).groupBy("i", "t").agg(F.max(F.col("w1") * F.col("w2")).alias("p"))
     both = best.select(F.inline(F.array(F.struct(F.col("i").alias("src"), F.col("t").alias("dst"), "p"), F.struct(F.col("t").alias("src"), F.col("i").alias("dst"), "p"))))
-    return edges.join(both, ["src", "dst"], "left").select("src", "dst", F.greatest("w", F.coalesce("p", "w")).alias("w"))
+    return edges.join(both, ["src", "dst"], "left").select("src", "dst", F.greatest("w", F.coalesce("p", "w")).alias("w"), F.coalesce(F.col("p") > F.col("w"), F.lit(False)).alias("raised"))
+
+
+def closure_step(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Symmetric edges after one step: w(i,t) becomes the greatest w(i,m) * w(m,t), if that is greater."""
+    return _raised(edges, paths).drop("raised")
 
 
 def triangle_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """closure_step until no weight changes; adds no edges. Weights over 1 are refused, for they need not settle."""
+    """closure_step until no weight changes; adds no edges. Weights over 1 are refused, for they need not settle.
+
+    From the second round on only paths over an edge raised in the round before are
+    followed: the others' products have been taken already, and weights only rise.
+    """
     now = materialize(edges.select("src", "dst", "w"), "closure")
-    if not now.where("w > 1").isEmpty():
+    bad = now.agg(F.count_if(F.col("w") > 1), F.count_if(F.col("src") == F.col("dst"))).first()
+    if bad[0]:
         raise ValueError("closure needs weights up to 1")
-    if not now.where("src = dst").isEmpty():
+    if bad[1]:
         raise ValueError("closure needs edges between different nodes")
-    paths = materialize(triangles(now), "triangles")
+    paths = follow = materialize(triangles(now), "triangles")
     for _ in range(max_rounds):
-        new = materialize(closure_step(now, paths), "closure")
-        changed = not new.exceptAll(now).isEmpty()
-        now = new
-        if not changed:
+        new = materialize(_raised(now, follow), "closure")
+        now, raised = new.drop("raised"), new.where("raised")
+        if raised.isEmpty():
             return now
+        first = raised.select(F.col("src").alias("i"), F.col("dst").alias("m"))
+        second = raised.select(F.col("src").alias("m"), F.col("dst").alias("t"))
+        # a path over two raised edges comes twice, which a maximum does not mind
+        follow = paths.join(first, ["i", "m"], "left_semi").unionByName(paths.join(second, ["m", "t"], "left_semi"))
     raise RuntimeError(f"closure did not settle in {max_rounds} rounds")
 
 
@@ -142,8 +158,24 @@ def closure(rows: DataFrame, coverage_cut: float = 0.0, pre_cut: float = 0.0, po
 
 
 def component_edges(edges: DataFrame, quantize: bool = False) -> DataFrame:
-    """(component, src, dst, w); quantize: weights truncated to four decimals, as fixed-point files have them."""
+    """(component, src, dst, w); quantize: weights truncated to four decimals, as fixed-point files have them.
+
+    The two ends of an edge are in one component by the way labels are made; an edge
+    whose end has no label (an id that is null) is refused.
+    """
     edges = materialize(edges.select("src", "dst", "w"), "edges")
     comp = connected_components(edges)
     w = (F.col("w") * F.lit(10000.0)).cast("int") / F.lit(10000.0) if quantize else F.col("w")
-    return edges.join(comp.withColumnsRenamed({"node": "src"}), "src").select("component", "src", "dst", w.alias("w"))
+    found = edges.join(comp.withColumnsRenamed({"node": "src"}), "src", "left")
+    same = F.coalesce(F.col("component").isNotNull() & F.col("dst").isNotNull(), F.lit(False))
+    sure = F.when(same, F.col("component")).otherwise(F.raise_error(F.lit("an edge has an end outside its component")))
+    return found.select(sure.cast(comp.schema["component"].dataType).alias("component"), "src", "dst", w.alias("w"))
+
+
+def checked_components(component_edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """component_edges(component, src, dst, w), refused if an end's label(node, component) is another one."""
+    ends = component_edges.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    strayed = ends.join(labels.withColumnsRenamed({"component": "__own"}), "node", "left").where("not (component <=> __own)")
+    if not strayed.isEmpty():
+        raise ValueError(f"an edge joins two components, at node {strayed.first()['node']}")
+    return component_edges

@@ -36,6 +36,14 @@ def invalid_domains(fragments: DataFrame) -> DataFrame:
     return fragments.withColumn("__next", F.lead("start").over(w)).where("start > end or start < 1 or __next <= end").drop("__next")
 
 
+def checked(fragments: DataFrame) -> DataFrame:
+    """fragments, refused if one is invalid."""
+    bad = invalid_domains(fragments).first()
+    if bad is not None:
+        raise ValueError(f"invalid fragment {bad['start']}-{bad['end']} of domain {bad['domain']} on {bad['seq']}")
+    return fragments
+
+
 def find_neighbours(a: Column, b: Column) -> tuple[Column, Column]:
     """The fragments of b next to a on either side, if no fragment of b lies beside or inside a's span; else nulls."""
     before = F.size(F.filter(b, lambda f: f["end"] < a[0]["start"]))
@@ -119,49 +127,58 @@ def _relate(a: list, b: list) -> int | None:
     return 2 if left[2] + 1 == a[0][2] and a[-1][2] == right[2] - 1 else None
 
 
-def merge_group(clusters: dict, cut_off: float, max_rounds: int = 1000) -> dict:
-    """clusters: key -> list of (seq, domain, frags). Pairs of keys in order, again until nothing merges.
-
-    Merged clusters get fresh keys (integers sort first).
+def merge_round(clusters: dict, cut_off: float, first: int = 1) -> tuple[dict, int]:
+    """(clusters, merges) after one round: each pair of keys in order, integers first; merged clusters get the keys from first on."""
+    merged: dict = {}
+    order = sorted(clusters, key=lambda k: (isinstance(k, str), k))
+    for ka in order:
+        for kb in order:
+            if ka == kb:
+                continue
+            on: dict = {}
+            for m in clusters[kb]:
+                on.setdefault(m[0], []).append(m)
+            pairs = [(x, y, _relate(x[2], y[2])) for x in clusters[ka] for y in on.get(x[0], ())]
+            if not pairs:
+                continue
+            counts = [sum(r == i for _, _, r in pairs) for i in range(4)]
+            best = max(counts)
+            if not best / len(clusters[kb]) > cut_off:
+                continue
+            taken = [(x, y) for x, y, r in pairs if r == counts.index(best)]
+            gone = {id(x) for p in taken for x in p}
+            clusters[ka] = [x for x in clusters[ka] if id(x) not in gone]
+            clusters[kb] = [x for x in clusters[kb] if id(x) not in gone]
+            merged[first + len(merged)] = [(x[0], f"{x[1]}+{y[1]}", sorted(x[2] + y[2])) for x, y in taken]
+    return {k: v for k, v in clusters.items() if v} | merged, len(merged)
+
+
+def merge_group(clusters: dict, cut_off: float, max_rounds: int = 1000, compat_key_reuse: bool = False, rounds: int | None = None) -> dict:
+    """clusters: key -> list of (seq, domain, frags). merge_round again until nothing merges, or so many rounds.
+
+    Merged clusters get fresh keys. compat_key_reuse: they count from 0 in each round, so
+    that a later round's clusters replace an earlier round's of the same key, and are lost.
     """
-    fresh = 0
-    for _ in range(max_rounds):
-        merged = {}
-        order = sorted(clusters, key=lambda k: (isinstance(k, str), k))
-        for ka in order:
-            for kb in order:
-                if ka == kb:
-                    continue
-                on = {}
-                for m in clusters[kb]:
-                    on.setdefault(m[0], []).append(m)
-                pairs = [(x, y, _relate(x[2], y[2])) for x in clusters[ka] for y in on.get(x[0], ())]
-                if not pairs:
-                    continue
-                counts = [sum(r == i for _, _, r in pairs) for i in range(4)]
-                best = max(counts)
-                if not best / len(clusters[kb]) > cut_off:
-                    continue
-                taken = [(x, y) for x, y, r in pairs if r == counts.index(best)]
-                gone = {id(x) for p in taken for x in p}
-                clusters[ka] = [x for x in clusters[ka] if id(x) not in gone]
-                clusters[kb] = [x for x in clusters[kb] if id(x) not in gone]
-                fresh += 1
-                merged[fresh] = [(x[0], f"{x[1]}+{y[1]}", sorted(x[2] + y[2])) for x, y in taken]
-        clusters = {k: v for k, v in clusters.items() if v} | merged
-        if not merged:
+    fresh = 0 if compat_key_reuse else 1
+    for _ in range(max_rounds if rounds is None else rounds):
+        clusters, n = merge_round(clusters, cut_off, fresh)
+        if not n:
             return clusters
-    raise RuntimeError(f"clusters still merge after {max_rounds} rounds")
+        fresh += 0 if compat_key_reuse else n
+    if rounds is None:
+        raise RuntimeError(f"clusters still merge after {max_rounds} rounds")
+    return clusters
 
 
-def merge_clusters(members: DataFrame, cut_off: float = 0.98) -> DataFrame:
-    """(grp, cluster, seq, domain, frags) after merging until nothing merges.
+def merge_clusters(members: DataFrame, cut_off: float = 0.98, rounds: int | None = None, compat_key_reuse: bool = False) -> DataFrame:
+    """(grp, cluster, seq, domain, frags) after merging until nothing merges, or after so many rounds.
 
     Clusters act on each other only through shared sequences, and a merged cluster
     has only its parents' sequences, so the components of the cluster-sequence
     graph stay apart: each is one group, worked through in order in one task.
+    With compat_key_reuse keys must meet across groups, so all members are one group.
     """
-    links = members.select(F.concat(F.lit("c:"), "cluster").alias("src"), F.concat(F.lit("s:"), "seq").alias("dst"))
+    links = members.select(F.concat(F.lit("c:"), "cluster").alias("src"), F.concat(F.lit("s:"), "seq").alias("dst")).distinct()
     group = connected_components(links).where(F.col("node").startswith("c:")).select(F.substring("node", 3, 1 << 30).alias("cluster"), F.col("component").alias("grp"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,11 +187,13 @@ def merge_clusters(members: DataFrame, cut_off: float = 0.98) -> DataFrame:
             clusters.setdefault(c, []).append((s, d, [(x["start"], x["end"], x["pos"]) for x in f]))
         for c in clusters.values():
             c.sort()
-        done = merge_group(clusters, cut_off)
+        done = merge_group(clusters, cut_off, compat_key_reuse=compat_key_reuse, rounds=rounds)
         rows = [(pdf["grp"].iloc[0], str(c), s, d, [{"start": a, "end": b, "pos": p} for a, b, p in f]) for c, v in done.items() for s, d, f in v]
         return pd.DataFrame(rows, columns=["grp", "cluster", "seq", "domain", "frags"])
 
-    return members.select("cluster", "seq", "domain", "frags").join(group, "cluster").groupBy("grp").applyInPandas(
+    own = members.select("cluster", "seq", "domain", "frags")
+    grouped = own.withColumn("grp", F.lit("all")) if compat_key_reuse else own.join(group, "cluster")
+    return grouped.groupBy("grp").applyInPandas(
         run, "grp string, cluster string, seq string, domain string, frags array<struct<start:bigint,end:bigint,pos:int>>"
     )
 

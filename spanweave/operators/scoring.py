@@ -66,19 +66,29 @@ def posterior(cells: DataFrame) -> DataFrame:
     return p.join(size, "ali")
 
 
-def starts_after(pairs: DataFrame, post: DataFrame) -> DataFrame:
-    """pairs(ali, qs, ts, off, ...) with sa: greatest shell sum of the block that begins at (qs, ts)."""
+def _starts_after() -> tuple[Column, Column]:
+    """Whether a posterior cell lies in the block that begins at (qs, ts), and its shell there."""
     r, c = F.col("t") - F.col("ts"), F.col("q") - F.col("qs")
     k = F.least("off", F.col("ncol") - F.col("qs") + 1, F.col("nrow") - F.col("ts") + 1)
-    return _shell(pairs, post, (r >= 0) & (c >= 0) & (r < k) & (c < k), F.greatest(r, c), "sa")
+    return (r >= 0) & (c >= 0) & (r < k) & (c < k), F.greatest(r, c)
 
 
-def ends_before(pairs: DataFrame, post: DataFrame) -> DataFrame:
-    """pairs(ali, qe, te, off, ...) with eb: greatest shell sum of the block that ends at (qe, te); 0 on the last row or column."""
+def _ends_before() -> tuple[Column, Column]:
+    """The same for the block that ends at (qe, te), empty on the last row or column."""
     k = F.least("off", "qe", "te")
     r, c = F.col("t") - 1 - (F.col("te") - k), F.col("q") - 1 - (F.col("qe") - k)
     inside = (F.col("qe") > 0) & (F.col("te") > 0) & (F.col("qe") < F.col("ncol")) & (F.col("te") < F.col("nrow")) & (r >= 0) & (c >= 0) & (r < k) & (c < k)
-    return _shell(pairs, post, inside, F.least(r, c), "eb")
+    return inside, F.least(r, c)
+
+
+def starts_after(pairs: DataFrame, post: DataFrame) -> DataFrame:
+    """pairs(ali, qs, ts, off, ...) with sa: greatest shell sum of the block that begins at (qs, ts)."""
+    return _shell(pairs, post, *_starts_after(), "sa")
+
+
+def ends_before(pairs: DataFrame, post: DataFrame) -> DataFrame:
+    """pairs(ali, qe, te, off, ...) with eb: greatest shell sum of the block that ends at (qe, te); 0 on the last row or column."""
+    return _shell(pairs, post, *_ends_before(), "eb")
 
 
 def starts_before(pairs: DataFrame, post: DataFrame) -> DataFrame:
@@ -107,15 +117,34 @@ def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p
     bounds = domain_bounds(fragments)
     q = bounds.select(F.col("seq").alias("query"), F.col("domain_no").alias("q_domain"), F.col("first").alias("qs"), F.col("last").alias("qe"), match_offset(F.col("len"), coverage).alias("off"), F.col("visit").alias("q_visit"))
     t = bounds.select(F.col("seq").alias("template"), F.col("domain_no").alias("t_domain"), F.col("first").alias("ts"), F.col("last").alias("te"), F.col("visit").alias("t_visit"))
-    pairs = alignments.join(full, "ali", "left_semi").select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob")).join(q, "query").join(t, "template").drop("query", "template")
-    m = masses(pairs, cells)
-    m = m.withColumn("s1", F.col("prob") * F.col("qend")).withColumn("s2", F.col("s1") * F.col("qstart"))
-    m = m.withColumn("s3", F.col("s2") * F.col("tend")).withColumn("s4", F.col("s3") * F.col("tstart"))
+    own = alignments.join(full, "ali", "left_semi").select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob"))
+    ends = cells.where("kind in ('B', 'F')").select("ali", (F.col("kind") == "B").alias("starts"), "q", "t", "p")
     up_to = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mass = lambda is_, c: F.coalesce(F.sum(F.when(is_ & c, F.col("p"))), F.lit(0.0))
+    # the query's side of the ladder first: a template's domains meet only what is left
+    m = own.join(q, "query").join(ends, "ali").groupBy("ali", "query", "template", "prob", "q_domain", "qs", "qe", "off", "q_visit").agg(
+        mass(F.col("starts"), F.col("q") <= F.col("qs") + F.col("off")).alias("qstart"), mass(~F.col("starts"), F.col("q") >= F.col("qe") - F.col("off")).alias("qend")
+    )
+    m = m.withColumn("s1", F.col("prob") * F.col("qend")).withColumn("s2", F.col("s1") * F.col("qstart"))
     q_stop = F.max((F.col("s1") < p_low).cast("int")).over(up_to(Window.partitionBy("ali").orderBy("q_visit")))
+    m = m.withColumn("q_stop", q_stop).where(F.col("q_stop") == 0).where(F.col("s2") >= p_low).select("ali", "template", "q_domain", "qs", "qe", "off", "s2")
+    m = m.join(t, "template").join(ends, "ali").groupBy("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s2", "t_visit").agg(
+        mass(F.col("starts"), F.col("t") <= F.col("ts") + F.col("off")).alias("tstart"), mass(~F.col("starts"), F.col("t") >= F.col("te") - F.col("off")).alias("tend")
+    )
+    m = m.withColumn("s3", F.col("s2") * F.col("tend")).withColumn("s4", F.col("s3") * F.col("tstart"))
     t_stop = F.max((F.col("s3") < p_low).cast("int")).over(up_to(Window.partitionBy("ali", "q_domain").orderBy("t_visit")))
-    m = m.withColumn("q_stop", q_stop).withColumn("t_stop", t_stop).where(f"q_stop = 0 and s2 >= {p_low} and t_stop = 0 and s4 >= {p_low}")
-    m = m.select("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s4")
-    post = posterior(cells)
-    scored = ends_before(starts_after(m, post), post)
-    return scored.select("ali", "q_domain", "t_domain", (F.col("s4") * F.col("sa") * F.col("eb")).alias("score")).where("score <> 0")
+    m = m.withColumn("t_stop", t_stop).where(F.col("t_stop") == 0).where(F.col("s4") >= p_low).select("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s4")
+    # both shell sums from one join with the posterior: a cell counts for its shell of either block
+    block = lambda name, inside, shell: F.when(inside, F.struct(F.lit(name).alias("of"), shell.cast("int").alias("shell")))
+    shells = F.array(block("sa", *_starts_after()), block("eb", *_ends_before()))
+    met = m.join(posterior(cells), "ali").select("ali", "q_domain", "t_domain", "s4", "p", F.explode(F.filter(shells, lambda x: x.isNotNull())).alias("x"))
+    keys = ["ali", "q_domain", "t_domain", "s4"]
+    sums = met.groupBy(*keys, "x").agg(F.sum("p").alias("v"))
+    of = lambda name: F.coalesce(F.max(F.when(F.col("x.of") == name, F.col("v"))), F.lit(0.0))
+    best = sums.groupBy(*keys).agg(of("sa").alias("sa"), of("eb").alias("eb"))
+    return best.select("ali", "q_domain", "t_domain", (F.col("s4") * F.col("sa") * F.col("eb")).alias("score")).where("score <> 0")
+
+
+def scores_over_one(scores: DataFrame) -> DataFrame:
+    """One row: how many scores there are (n), and how many are over 1 (n_over), which sums over overlapping cells can give."""
+    return scores.agg(F.count("*").alias("n"), F.count_if(F.col("score") > 1).alias("n_over"))

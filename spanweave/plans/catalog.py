@@ -84,21 +84,13 @@ def _symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.symmetrize(graph.scan_edges(edge_rows(spark, sf_dir)).edges)
 
 
-def _strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges after a cut that leaves many components."""
-    return graph.clean(_symmetric(spark, sf_dir), 0.97)
-
-
 def fragment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, FRAGMENTS, "select seq, user_id, domain, s as start, e as end from frag", "events")
 
 
-def _members(spark: SparkSession, sf_dir: str, buckets: int = 1) -> DataFrame:
-    """Clusters: event types, apart for each remainder of the user's id."""
-    found = fragment_rows(spark, sf_dir)
-    bucket = found.select("seq", (F.col("user_id") % buckets).alias("bucket")).distinct()
-    own = intervals.domains(found).join(bucket, "seq")
-    return own.select(F.concat_ws("-", "domain", F.col("bucket").cast("string")).alias("cluster"), "seq", "domain", "frags")
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters: one for each event type."""
+    return intervals.domains(fragment_rows(spark, sf_dir)).select(F.col("domain").alias("cluster"), "seq", "domain", "frags")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,22 +200,38 @@ def triangle_closure(spark, sf_dir):
     return graph.triangle_closure(_symmetric(spark, sf_dir)).select("src", "dst", F.round("w", 9).alias("w"))
 
 
-_REACH = "strong as (select * from sym where w >= 0.97), reach(node, seen) as (select distinct src, src from strong union select r.node, s.dst from reach r join strong s on s.src = r.seen), comp as (select node, min(seen) as component from reach group by node)"
+#: Least ids spread over edges; 40 rounds are more than the diameter.
+_LABELS = """ids as (select src as node from rows_ union select dst from rows_), labels(k, node, component) as (
+  select 0, node, node from ids
+  union all
+  select k + 1, node, min(component) from (
+    with now as (select * from labels where k < 40)
+    select k, node, component from now union all select k, dst, component from now join sym on src = node
+  ) group by k, node
+), comp as (select node, component from labels where k = 40)"""
 
 
-@query(f"with recursive {SYM}, {_REACH} select * from comp")
+def _graph(spark, sf_dir):
+    """All nodes, and the symmetric edges as a written table."""
+    g = graph.scan_edges(edge_rows(spark, sf_dir))
+    return graph.Graph(g.nodes, materialize(graph.symmetrize(g.edges), "edges"))
+
+
+@query(f"with recursive {SYM}, {_LABELS} select * from comp")
 def connected_component_labels(spark, sf_dir):
-    return connected_components(_strong(spark, sf_dir))
+    g = _graph(spark, sf_dir)
+    return connected_components(g.edges, g.nodes)
 
 
-@query(f"with recursive {SYM}, {_REACH} select component, src, dst, w from strong join comp on node = src")
+@query(f"with recursive {SYM}, {_LABELS} select component, src, dst, w from sym join comp on node = src")
 def component_edges(spark, sf_dir):
-    return graph.component_edges(_strong(spark, sf_dir))
+    return graph.component_edges(_symmetric(spark, sf_dir))
 
 
-@query(f"with recursive {SYM}, {_REACH} select count(distinct component) as n_components from comp")
+@query(f"with recursive {SYM}, {_LABELS} select count(distinct component) as n_components from comp")
 def component_count(spark, sf_dir):
-    return connected_components(_strong(spark, sf_dir)).agg(F.countDistinct("component").alias("n_components"))
+    g = _graph(spark, sf_dir)
+    return connected_components(g.edges, g.nodes).agg(F.countDistinct("component").alias("n_components"))
 
 
 # --- affinity propagation
@@ -244,19 +252,45 @@ _BLOCKS = "blocks as (select cast(a.c_nationkey as string) as component, src, ds
 grid as (select i.component, coalesce(w, 0.0) as w from ids i join ids k on i.component = k.component left join blocks b on b.src = i.id and b.dst = k.id)
 select component, median(w) as preference from grid group by component""")
 def ap_preference_median(spark, sf_dir):
-    return affinity.preference(_blocks(spark, sf_dir))
+    return affinity.preference(materialize(_blocks(spark, sf_dir), "blocks"))
 
 
 @query()
 def affinity_propagation(spark, sf_dir):
-    return affinity.affinity_clusters(_blocks(spark, sf_dir), iterations=200)
-
-
-@query(f"""with {SYM}, c as (select min(dst) as exemplar, src as member from sym where w >= 0.97 group by src)
+    return affinity.affinity_clusters(_blocks(spark, sf_dir))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The rounds written out one after the other, with damping 0.5 and without jitter."""
+    steps = [f"""g0 as (select i.component, i.id as i, k.id as j, coalesce(case when i.id = k.id then preference else w end, 0.0) as s, 0.0::double as a, 0.0::double as r
+  from ids i join ids k on i.component = k.component left join blocks b on b.src = i.id and b.dst = k.id join pref on pref.component = i.component)"""]
+    for n in range(rounds):
+        steps.append(f"""t{n} as (select component, i, arg_max(j, (a + s, -j)) as top, max(a + s) as first from g{n} group by component, i),
+u{n} as (select component, i, max(a + s) as second from g{n} join t{n} using (component, i) where j <> top group by component, i),
+r{n} as materialized (select component, i, j, s, a, 0.5 * r + 0.5 * (s - case when j = top then second else first end) as r from g{n} join t{n} using (component, i) join u{n} using (component, i)),
+c{n} as (select component, j, sum(case when i = j then r else greatest(r, 0.0) end) as total from r{n} group by component, j),
+g{n + 1} as materialized (select component, i, j, s, r, 0.5 * a + 0.5 * case when i = j then total - r else least(total - greatest(r, 0.0), 0.0) end as a from r{n} join c{n} using (component, j))""")
+    return f"""with {SYM}, {_BLOCKS}, ids as (select distinct component, src as id from blocks),
+grid as (select i.component, coalesce(w, 0.0) as w from ids i join ids k on i.component = k.component left join blocks b on b.src = i.id and b.dst = k.id),
+pref as (select component, median(w) as preference from grid group by component), {", ".join(steps)},
+score as (select component, i as id, r + a as score from g{rounds} where i = j),
+best as (select component, max(score) > 0 as found, arg_max(id, (score, -id)) as id from score group by component),
+exemplars as (select component, score.id from score join best using (component) where case when found then score > 0 else score.id = best.id end),
+choice as (select component, i as member, arg_max(j, (s, -j)) as exemplar from g{rounds} join exemplars using (component) where j = exemplars.id group by component, i)
+select choice.component, coalesce(exemplars.id, exemplar) as exemplar, member, not found as forced
+from choice left join exemplars on exemplars.component = choice.component and exemplars.id = member join best on best.component = choice.component"""
+
+
+@query(_rounds_sql(10))
+def affinity_propagation_rounds(spark, sf_dir):
+    return affinity.affinity_clusters(_blocks(spark, sf_dir), iterations=10, jitter=False)
+
+
+@query(f"""with {SYM}, c as (select min(dst) as exemplar, src as member from sym group by src)
 select exemplar, member from c union all
 select id, id from (select distinct c_custkey as id from customer) where id not in (select exemplar from c union select member from c)""")
 def singleton_fill(spark, sf_dir):
-    c = _strong(spark, sf_dir).groupBy(F.col("src").alias("member")).agg(F.min("dst").alias("exemplar"))
+    c = _symmetric(spark, sf_dir).groupBy(F.col("src").alias("member")).agg(F.min("dst").alias("exemplar"))
     return affinity.fill_singletons(c, _tables(spark, sf_dir, "customer")["customer"].select("c_custkey")).select("exemplar", "member")
 
 
@@ -383,9 +417,8 @@ def fragment_neighbors(spark, sf_dir):
     return intervals.neighbours(fragment_rows(spark, sf_dir))
 
 
-def _rel_sql(buckets: int) -> str:
-    return f"""{FRAGMENTS},
-mem as (select seq, domain, domain || '-' || (user_id % {buckets})::varchar as cluster, min(s) as s, max(e) as e, min(pos) as p1, max(pos) as p2 from placed group by seq, domain, user_id),
+_REL = f"""{FRAGMENTS},
+mem as (select seq, domain, domain as cluster, min(s) as s, max(e) as e, min(pos) as p1, max(pos) as p2 from placed group by seq, domain, user_id),
 pr as (select a.seq, a.cluster as cluster_a, a.domain as domain_a, b.cluster as cluster_b, b.domain as domain_b, a.p1 as ap1, a.p2 as ap2, b.p1 as bp1, b.p2 as bp2,
   (select count(*) from placed f where f.seq = b.seq and f.domain = b.domain) as nb, (select count(*) from placed f where f.seq = a.seq and f.domain = a.domain) as na,
   (select count(*) from placed f where f.seq = b.seq and f.domain = b.domain and f.e < a.s) as b_before, (select count(*) from placed f where f.seq = b.seq and f.domain = b.domain and f.s > a.e) as b_after,
@@ -400,7 +433,7 @@ rel as (select seq, cluster_a, domain_a, cluster_b, domain_b, case
   else case when b_left + 1 = ap1 and ap2 = b_right - 1 then 2 end end as relation from pr)"""
 
 
-@query(f"with {_rel_sql(1)} select seq, cluster_a, domain_a, cluster_b, domain_b, relation::integer as relation from rel")
+@query(f"with {_REL} select seq, cluster_a, domain_a, cluster_b, domain_b, relation::integer as relation from rel")
 def interval_relation(spark, sf_dir):
     return intervals.member_pairs(_members(spark, sf_dir))
 
@@ -408,20 +441,20 @@ def interval_relation(spark, sf_dir):
 _SHARES = "size_ as (select cluster as cluster_b, count(*) as n from mem group by 1), sh as (select cluster_a, cluster_b, count(*) filter (relation = 0) / n as p_up, count(*) filter (relation = 1) / n as p_down, count(*) filter (relation = 2) / n as p_inc, count(*) filter (relation = 3) / n as p_enc from rel join size_ using (cluster_b) group by cluster_a, cluster_b, n)"
 
 
-@query(f"with {_rel_sql(4)}, {_SHARES} select * from sh")
+@query(f"with {_REL}, {_SHARES} select * from sh")
 def cluster_relation_prob(spark, sf_dir):
-    return intervals.relation_shares(_members(spark, sf_dir, 4))
+    return intervals.relation_shares(_members(spark, sf_dir))
 
 
-@query(f"""with {_rel_sql(4)}, {_SHARES} select cluster_a, cluster_b, (case when p_up = m then 0 when p_down = m then 1 when p_inc = m then 2 else 3 end)::integer as relation, m as share
+@query(f"""with {_REL}, {_SHARES} select cluster_a, cluster_b, (case when p_up = m then 0 when p_down = m then 1 when p_inc = m then 2 else 3 end)::integer as relation, m as share
 from (select *, greatest(p_up, p_down, p_inc, p_enc) as m from sh) where m > 0.05""")
 def cluster_best_relation(spark, sf_dir):
-    return intervals.best_relation(intervals.relation_shares(_members(spark, sf_dir, 4)), 0.05)
+    return intervals.best_relation(intervals.relation_shares(_members(spark, sf_dir)), 0.05)
 
 
-@query(f"with {_rel_sql(4)} select distinct cluster_a, cluster_b from rel")
+@query(f"with {_REL} select distinct cluster_a, cluster_b from rel")
 def cluster_intersections(spark, sf_dir):
-    return intervals.cluster_intersections(_members(spark, sf_dir, 4))
+    return intervals.cluster_intersections(_members(spark, sf_dir))
 
 
 def _two(spark, sf_dir):
@@ -431,7 +464,7 @@ def _two(spark, sf_dir):
     return m, names
 
 
-@query(f"""with {_rel_sql(1)}, names as (select min(cluster) as a, (select min(cluster) from mem where cluster > (select min(cluster) from mem)) as b from mem),
+@query(f"""with {_REL}, names as (select min(cluster) as a, (select min(cluster) from mem where cluster > (select min(cluster) from mem)) as b from mem),
 hit as (select rel.* from rel, names where cluster_a = a and cluster_b = b and relation = 0),
 merged as (select cluster_a || '+' || cluster_b as cluster, h.seq, domain_a || '+' || domain_b as domain, array_to_string(list(p.s::varchar || '-' || p.e::varchar order by p.s), ',') as intervals
   from hit h join placed p on p.seq = h.seq and p.domain in (domain_a, domain_b) group by 1, 2, 3),
@@ -443,13 +476,40 @@ def cluster_merge_once(spark, sf_dir):
     return intervals.merge_once(m, *names, 0).select("cluster", "seq", "domain", scalars.intervals_text(F.col("frags")).alias("intervals"))
 
 
+_CUT = 0.2  # the share a merge needs; event types seldom lie beside one type only
+
+
+@query(f"""with recursive {_REL}, names as (select distinct cluster from mem),
+ord as (select row_number() over (order by a.cluster, b.cluster) as k, a.cluster as a, b.cluster as b from names a join names b on a.cluster <> b.cluster),
+state(k, seq, cluster, gone) as (
+  select 0::bigint, seq, cluster, 0::bigint from mem
+  union all
+  select k, seq, cluster, gone from (
+    with now as (select state.k + 1 as k, seq, cluster, gone, a, b from state join ord on ord.k = state.k + 1),
+    live as (select * from now where gone = 0),
+    cand as (select x.seq, rel.relation from live x join live y on x.cluster = x.a and y.cluster = y.b and x.seq = y.seq join rel on rel.seq = x.seq and rel.cluster_a = x.cluster and rel.cluster_b = y.cluster),
+    counts as (select count(*) filter (relation = 0) as c0, count(*) filter (relation = 1) as c1, count(*) filter (relation = 2) as c2, count(*) filter (relation = 3) as c3 from cand),
+    best as (select greatest(c0, c1, c2, c3) as top, case greatest(c0, c1, c2, c3) when c0 then 0 when c1 then 1 when c2 then 2 else 3 end as which from counts),
+    taken as (select seq from cand, best where relation = which and top / (select count(*) from live where cluster = b) > {_CUT})
+    select k, now.seq, cluster, case when gone = 0 and cluster in (a, b) and taken.seq is not null then k else gone end as gone from now left join taken on taken.seq = now.seq
+  )
+), done as (select seq, cluster, gone from state where k = (select max(k) from ord)),
+numbered_ as (select gone, row_number() over (order by gone) as n from (select distinct gone from done where gone > 0)),
+told as (select done.seq, coalesce(n::varchar, done.cluster) as cluster, case when n is null then done.cluster else a || '+' || b end as domain, done.cluster as own
+  from done left join numbered_ using (gone) left join ord on ord.k = gone)
+select t.cluster, t.seq, t.domain, array_to_string(list(p.s::varchar || '-' || p.e::varchar order by p.s), ',') as intervals from told t join placed p on p.seq = t.seq and p.domain = t.own group by 1, 2, 3""")
+def cluster_merge_round(spark, sf_dir):
+    done = intervals.merge_clusters(_members(spark, sf_dir), _CUT, rounds=1)
+    return done.select("cluster", "seq", "domain", scalars.intervals_text(F.col("frags")).alias("intervals"))
+
+
 @query()
 def cluster_merge_fixpoint(spark, sf_dir):
-    done = intervals.merge_clusters(_members(spark, sf_dir, 16), 0.2)
+    done = intervals.merge_clusters(_members(spark, sf_dir), _CUT)
     return done.select("grp", "cluster", "seq", "domain", scalars.intervals_text(F.col("frags")).alias("intervals"))
 
 
-@query(f"""with {_rel_sql(1)}, t as (select m.seq, m.cluster, m.domain, min(p.s) as s1, array_to_string(list(p.s::varchar || '-' || p.e::varchar order by p.s), ',') as intervals from mem m join placed p on p.seq = m.seq and p.domain = m.domain group by 1, 2, 3)
+@query(f"""with {_REL}, t as (select m.seq, m.cluster, m.domain, min(p.s) as s1, array_to_string(list(p.s::varchar || '-' || p.e::varchar order by p.s), ',') as intervals from mem m join placed p on p.seq = m.seq and p.domain = m.domain group by 1, 2, 3)
 select seq, seq || '_' || (row_number() over (partition by seq order by cluster, s1, domain))::varchar as seq_n, intervals from t""")
 def domain_renumbering(spark, sf_dir):
     return intervals.renumbered(_members(spark, sf_dir))

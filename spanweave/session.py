@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -31,3 +32,26 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share, named by spark.checkpoint.dir; a local master without one gets a folder of its own."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not path:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spanweave-"))
+        path = context.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def intermediate_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables stand."""
+    return f"{shared_dir(spark)}/spanweave/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them are of no use afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(intermediate_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanweave.functions.scalars import exact_4f, intervals_text
+
 HIT_FIELDS = (
     "query_id string, query_length int, query_neff double, template_id string, template_info string, template_neff double, query_ali string, "
     "template_ali string, q_start int, q_end int, t_start int, t_end int, probability double, evalue double, score double, aligned_cols int, "
@@ -58,6 +60,46 @@ def write_graph(edges: DataFrame, isolated: DataFrame, path: str) -> None:
     lines.union(isolated.select(F.col("id").alias("value"))).write.text(path)
 
 
+def plain_decimal(w: Column) -> Column:
+    """A number of four decimals at most, in its shortest form with one decimal at least."""
+    return F.regexp_replace(F.format_string("%.4f", w), r"(\.\d+?)0+$", "$1")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """scores(src, dst, w): src, dst, weight with four decimals, by tab."""
+    scores.select(F.concat_ws("\t", "src", "dst", exact_4f("w")).alias("value")).write.text(path)
+
+
+def write_similarity_graph(edges: DataFrame, path: str, four_decimals: bool = True) -> None:
+    """src, dst, weight by tab, in both directions as given; weights of four decimals are written plainly."""
+    w = plain_decimal(F.col("w")) if four_decimals else F.col("w").cast("string")
+    edges.select(F.concat_ws("\t", "src", "dst", w).alias("value")).write.text(path)
+
+
+def write_merged_clusters(members: DataFrame, path: str) -> None:
+    """members(cluster, seq, domain, frags): a cluster's name and a tab before its first domain, a line for each domain.
+
+    Clusters named by numbers come first, by number, then the others by name.
+    """
+    number = F.col("cluster").try_cast("long")
+    order = [number.isNull(), number, F.col("cluster"), F.col("seq"), F.col("frags")[0]["start"], F.col("domain")]
+    first = F.row_number().over(Window.partitionBy("cluster").orderBy(*order[3:])) == 1
+    line = F.concat(F.when(first, F.concat("cluster", F.lit("\t"))).otherwise(F.lit("")), "seq", F.lit(" "), intervals_text(F.col("frags")))
+    members.withColumn("value", line).orderBy(*order).select("value").write.text(path)
+
+
+def cluster_lines(members: DataFrame) -> DataFrame:
+    """(cluster, value): a cluster's domains by line, for display."""
+    return members.select("cluster", F.concat_ws(" ", "seq", intervals_text(F.col("frags"))).alias("value"))
+
+
+def write_intervals(found: DataFrame, predicted: DataFrame, out: str) -> None:
+    """out_map.dat of found(query_id, template, start, end) and out_pred.dat of predicted(template, seq_n, interval)."""
+    part = F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string"))
+    found.select(F.concat_ws("\t", "query_id", "template", part).alias("value")).write.text(f"{out}_map.dat")
+    predicted.select(F.concat_ws("\t", "template", "seq_n", "interval").alias("value")).write.text(f"{out}_pred.dat")
+
+
 def write_clusters(clusters: DataFrame, path: str) -> None:
     clusters.select("exemplar", "member").orderBy("exemplar", "member").write.csv(path, sep="\t")
 
@@ -68,8 +110,6 @@ def write_component_edges(edges: DataFrame, path: str) -> None:
 
 def read_a3m(lines: DataFrame) -> DataFrame:
     """lines(entry, line_no, value) to (entry, rec_no, header, seq): comments aside, lines of a record joined."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("entry").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.col("value").startswith(">")
     rows = lines.where(~F.col("value").startswith("#")).withColumn("rec_no", F.sum(head.cast("int")).over(w)).where("rec_no > 0")
@@ -123,14 +163,46 @@ def parse_hits(lines: list[str]) -> list[dict]:
     return hits
 
 
+def _parsed_hits(entries: DataFrame) -> DataFrame:
+    types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    fields = f"name string, {HIT_FIELDS}, error string"
+    schema = pa.schema([(name, types[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, lines in zip(*(c.to_pylist() for c in b.columns)):
+                if lines is None:
+                    rows.append({"name": name, "error": "not UTF-8"})
+                    continue
+                try:
+                    rows += [{"name": name, **h} for h in parse_hits(lines.split("\n"))]
+                except (ValueError, IndexError) as e:
+                    rows.append({"name": name, "error": str(e) or type(e).__name__})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    text = entries.select("name", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    return text.mapInArrow(run, fields)
+
+
 def read_hits(entries: DataFrame) -> DataFrame:
-    """entries(name, content) to (name, the fields of HIT_FIELDS); content that is not UTF-8 gives no hit."""
-    cols = ["name", *(f.strip().split(" ")[0] for f in HIT_FIELDS.split(","))]
+    """entries(name, content) to (name, the fields of HIT_FIELDS); an entry that is not UTF-8 or is malformed gives no hit, see hit_errors."""
+    return _parsed_hits(entries).where("error is null").drop("error")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [{"name": n, **h} for n, t in zip(pdf["name"], pdf["text"]) if t is not None for h in parse_hits(t.split("\n"))]
-            yield pd.DataFrame(rows, columns=cols)
 
-    text = entries.select("name", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
-    return text.mapInPandas(run, f"name string, {HIT_FIELDS}")
+def hit_errors(entries: DataFrame) -> DataFrame:
+    """(name, error) of the entries read_hits passes over."""
+    return _parsed_hits(entries).where("error is not null").select("name", "error")
+
+
+def read_hits_file(spark: SparkSession, path: str) -> DataFrame:
+    """The hits of search results that are files of their own; the name is the file's path."""
+    whole = spark.read.text(path, wholetext=True)
+    return read_hits(whole.select(F.col("_metadata.file_path").alias("name"), F.col("value").alias("content")))
+
+
+def skipped_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the parts of a prediction file (n) and those of one residue, which read_fragments passes over (n_skipped)."""
+    tokens = F.split(F.trim("value"), r"\s+")
+    parts = _lines(spark, path).where(F.size(tokens) >= 3).select(F.explode(F.split(tokens[2], ",")).alias("part"))
+    return parts.agg(F.count("*").alias("n"), F.count_if(F.size(F.split("part", "-")) < 2).alias("n_skipped"))

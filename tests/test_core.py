@@ -325,6 +325,148 @@ def test_hit_archive(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [("d1", "T1", 3, 8)] and [tuple(r) for r in predicted.collect()] == [("T1", "T1_1", "3-8")]
 
 
+def test_archive_shards(spark, tmp_path):
+    entries = [(f"e{i:02d}", b"" if i == 3 else f"entry {i}\nline".encode() * (i % 4) + b"?") for i in range(30)]
+    df = spark.createDataFrame(entries, "name string, content binary")
+    done = archive.write_archive(df, f"{tmp_path}/a", 3)
+    assert done.agg(F.sum("entries")).first()[0] == 30 and len(list((tmp_path / "a").iterdir())) == 6
+    for ranges in (True, False):
+        back = archive.read_archive(spark, f"{tmp_path}/a/*.ffdata", f"{tmp_path}/a/*.ffindex", task_bytes=100, ranges=ranges)
+        got = [(r.name, bytes(r.content)) for r in back.collect()]
+        assert sorted(got) == sorted((n, c[:-1]) for n, c in entries)
+    archive.write_entry_to_file(back, "e05", f"{tmp_path}/one")
+    assert (tmp_path / "one").read_text() == "entry 5\nline\n"
+    with pytest.raises(ValueError, match="no entry"):
+        archive.write_entry_to_file(back, "nowhere", f"{tmp_path}/two")
+    (tmp_path / "a" / "other.ffindex").write_text("x\t0\t1\n")
+    with pytest.raises(ValueError, match="no data file"):
+        archive.read_archive(spark, f"{tmp_path}/a/*.ffdata", f"{tmp_path}/a/*.ffindex")
+    empty = archive.write_archive(df.limit(0), f"{tmp_path}/none", 2)
+    assert empty.count() == 0
+
+
+def test_archive_that_ends_early(spark, tmp_path):
+    (tmp_path / "d").write_bytes(b"abc\0")
+    (tmp_path / "i").write_text("x\t0\t9\n")
+    with pytest.raises(Exception, match="ends before entry x"):
+        archive.read_archive(spark, f"{tmp_path}/d", f"{tmp_path}/i").collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from spanweave import __main__ as cli
+
+    (tmp_path / "e").write_text("a b 0.9 0.5\nb c 0.8\na c 0.1\nz\nd f 0.5\n")
+    cli.run(spark, ["graph-stats", f"{tmp_path}/e", "--cut", "0.5"])
+    assert capsys.readouterr().out.split("\n")[:4] == ["n_nodes: 6", "n_edges: 4", "n_after_cut: 3", "n_symmetric: 6"]
+    cli.run(spark, ["closure", f"{tmp_path}/e", f"{tmp_path}/closed"])
+    cli.run(spark, ["components", f"{tmp_path}/closed", f"{tmp_path}/comp"])
+    (tmp_path / "p").write_text("".join(f"s s_{n} {10 * n}-{10 * n + 5}\n" for n in range(1, 4)))
+    cli.run(spark, ["cluster", f"{tmp_path}/comp", f"{tmp_path}/p", f"{tmp_path}/clusters", "--iterations", "50"])
+    assert ("s_1", "s_1") in {tuple(r) for r in text.read_clusters(spark, f"{tmp_path}/clusters").collect()}
+    (tmp_path / "c").write_text("s_1\ts_1\ns_2\ts_2\ns_3\ts_3\n")
+    cli.run(spark, ["merge", f"{tmp_path}/c", f"{tmp_path}/p", f"{tmp_path}/merged", "--clusters-out", f"{tmp_path}/mc"])
+    assert [r.value for r in spark.read.text(f"{tmp_path}/mc").collect()] == ["c:s_1/2\ts 10-15,20-25,30-35"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "h1").write_bytes(HHR.encode() + b"?")
+    cli.run(spark, ["archive-write", f"{tmp_path}/in", f"{tmp_path}/a"])
+    cli.run(spark, ["intervals", f"{tmp_path}/a/*.ffdata", f"{tmp_path}/a/*.ffindex", f"{tmp_path}/x"])
+    assert [r.value for r in spark.read.text(f"{tmp_path}/x_map.dat").collect()] == ["d1\tT1\t3-8"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/x_pred.dat").collect()] == ["T1\tT1_1\t3-8"]
+
+
+def test_sinks_and_counters(spark, tmp_path):
+    e = edges(spark, ("a", "b", 0.5), ("b", "a", 0.0005), ("c", "d", 0.12345))
+    text.write_scores(e, f"{tmp_path}/s")
+    assert {r.value for r in spark.read.text(f"{tmp_path}/s").collect()} == {"a\tb\t0.5000", "b\ta\t0.0005", "c\td\t0.1235" if format(0.12345, ".4f") == "0.1235" else "c\td\t0.1234"}
+    text.write_similarity_graph(e.where("src <> 'c'"), f"{tmp_path}/g")
+    assert {r.value for r in spark.read.text(f"{tmp_path}/g").collect()} == {"a\tb\t0.5", "b\ta\t0.0005"}
+    members = spark.createDataFrame([("k", "s", "s_1", [(1, 2, 1)]), ("10", "t", "t_1", [(1, 2, 1)]), ("2", "u", "u_1", [(1, 2, 1), (5, 6, 2)]), ("2", "v", "v_1", [(3, 4, 1)])], "cluster string, seq string, domain string, frags array<struct<start:bigint,end:bigint,pos:int>>")
+    text.write_merged_clusters(members, f"{tmp_path}/m")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/m").collect()] == ["2\tu 1-2,5-6", "v 3-4", "10\tt 1-2", "k\ts 1-2"]
+    (tmp_path / "p").write_text("s s_1 1-5,7\ns s_2 10-12\n")
+    assert tuple(text.skipped_fragments(spark, f"{tmp_path}/p").first()) == (3, 1)
+    (tmp_path / "h").write_text(HHR)
+    (tmp_path / "broken").write_text(HHR.replace("Score=10.5", "Score=ten"))
+    assert text.read_hits_file(spark, f"{tmp_path}/h").count() == 2
+    both = spark.read.text([f"{tmp_path}/h", f"{tmp_path}/broken"], wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("content"))
+    assert text.read_hits(both).count() == 2 and [r.name for r in text.hit_errors(both).collect()] == ["broken"]
+    over = spark.createDataFrame([(0.5,), (1.5,)], "score double")
+    assert tuple(scoring.scores_over_one(over).first()) == (2, 1)
+    cells = spark.createDataFrame([("x", "B", 1, 0.5), ("x", "B", 3, 1.5)], "ali string, kind string, q int, p double")
+    got = {r.kind: r.profile for r in archive.dense_profile(cells, spark.createDataFrame([("x", 3)], "ali string, query_length int")).collect()}
+    assert got["B"] == [0.0, 0.25, 0.0, 0.75] and all(np.isnan(got["F"])) and len(got["F"]) == 4
+
+
+def test_invalid_domains_are_refused(spark, tmp_path):
+    (tmp_path / "c").write_text("s_1\ts_1\n")
+    for bad in ("9-3", "0-3", "1-5,4-9"):
+        (tmp_path / "q").write_text(f"s s_1 {bad}\n")
+        with pytest.raises(ValueError, match="invalid fragment"):
+            pipelines.clustered_domains(spark, f"{tmp_path}/c", f"{tmp_path}/q")
+
+
+def test_key_reuse_loses_clusters():
+    """Four clusters in a row on two sequences: with reused keys a later round's cluster takes an earlier one's place."""
+    start = {k: [(s, f"{s}_{k}", [(10 * i + 1, 10 * i + 5, i + 1)]) for s in "st"] for i, k in enumerate("abcd")}
+    copy = lambda: {k: list(v) for k, v in start.items()}
+    fresh = intervals.merge_group(copy(), 0.98)
+    reused = intervals.merge_group(copy(), 0.98, compat_key_reuse=True)
+    parts = lambda found: sorted(p for v in found.values() for _, _, f in v for p in f)
+    assert parts(fresh) == parts(start) and set(parts(reused)) <= set(parts(start))
+    one, n = intervals.merge_round(copy(), 0.98)
+    assert n == 2 and parts(one) == parts(start)
+
+
+def test_median_preference(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for c in range(6):
+        n = rng.randint(2, 7)
+        s = np.zeros((n, n))
+        for i in range(n):
+            for k in range(n):
+                if i != k and (rng.random() < 0.8 or k == (i + 1) % n):
+                    s[i, k] = rng.choice([-0.5, -0.2, 0.1, 0.4, 0.4, 0.9])
+                    rows.append((str(c), f"n{i}", f"n{k}", float(s[i, k])))
+        want[str(c)] = np.median(s)
+    got = affinity.preference(spark.createDataFrame(rows, "component string, src string, dst string, w double"))
+    assert {r.component: r.preference for r in got.collect()} == pytest.approx(want)
+
+
+def test_hubs(spark, monkeypatch):
+    """With hubs taken apart the components are the same."""
+    from spanweave.operators import components
+
+    monkeypatch.setattr(components, "HUB_ROWS", 3)
+    monkeypatch.setattr(components, "HUBS", 5)
+    rng = random.Random(1)
+    pairs = [("hub", f"n{i}") for i in range(20)] + [(f"m{rng.randint(0, 30)}", f"m{rng.randint(0, 30)}") for _ in range(18)]
+    own = {x: x for p in pairs for x in p}
+    for _ in own:
+        for a, b in pairs:
+            own[a] = own[b] = min(own[a], own[b])
+    got = connected_components(spark.createDataFrame(pairs, "src string, dst string"))
+    assert {r.node: r.component for r in got.collect()} == own
+
+
+def test_components_checked(spark):
+    cut = edges(spark, ("a", "b", 0.5)).select(F.lit("a").alias("component"), "src", "dst", "w")
+    labels = spark.createDataFrame([("a", "a"), ("b", "x")], "node string, component string")
+    with pytest.raises(ValueError, match="at node b"):
+        graph.checked_components(cut, labels)
+    assert graph.checked_components(cut, labels.withColumn("component", F.lit("a"))).count() == 1
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from spanweave.session import shared_dir
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context))
+
+
 def test_stream(spark, tmp_path):
     from spanweave.streaming.edges import running_undirected_max
 

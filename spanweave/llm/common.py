@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.session import intermediate_dir
+
 #: Java/re pattern of the ASCII white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Stand-in for a null doc_id inside joins.
@@ -17,16 +18,6 @@ NO_ID = -(2**63)
 BROADCAST_KEYS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; one of our own only where none is set (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanweave-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 @contextlib.contextmanager
 def shuffle_files_released(spark: SparkSession):
     """Jobs inside drop their shuffle files when they end, for their rows are in a table then."""
@@ -42,7 +33,7 @@ def shuffle_files_released(spark: SparkSession):
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
+    path = f"{intermediate_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with shuffle_files_released(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,14 +4,22 @@ The first level encodes the listed keys; each further level encodes what the one
 before wrongly lets in, of the other side: unlisted keys of the corpus that pass
 the first, listed keys that pass the second, and so on until none is left. A
 key's verdict is the parity of the first level that refuses it. Every key of the
-corpus takes part, so membership is exact for all of them, without a join.
+corpus takes part, so membership is exact for all of them, and neither the list nor
+the corpus's keys are joined to the pages; listed keys no page has are left out.
+
+Keys stand for themselves by 128 bits of hash, of which each level makes places of
+its own. Two keys of the same 128 bits, one listed and one not, would end the job with
+an error (at 10^10 keys a chance of 10^-19); no wrong verdict is given.
 
 Keys are dealt to shards by hash, about ``shard_keys`` each, and a shard's levels
 are built in one task. The cascade is broadcast if it has ``broadcast_bytes`` at
-most; else pages and levels meet by shard, each shard's pages salted.
+most; else pages and levels meet by shard, a shard's pages in groups of about
+``group_rows``, as many as its count asks for, whatever its hosts' sizes.
 
 A null url, or one without "://", has an empty host and path; an empty host is
-never listed. Rows that repeat a page_id are judged each; extra columns are ignored.
+never listed. Very long urls are read whole. Rows that repeat a page_id are judged
+each; keys that repeat in the list, and null ones, add nothing; extra columns are
+ignored. Empty tables of pages give an empty result, an empty list lists nothing.
 """
 
 from __future__ import annotations
@@ -49,18 +57,23 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return found
 
 
-def _slots(h: np.ndarray, level: int, bits: int, hashes: int) -> Iterator[np.ndarray]:
-    x = h.view(np.uint64) ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    return x ^ (x >> np.uint64(31))
+
+
+def _slots(h: np.ndarray, level: int, bits: int, hashes: int) -> Iterator[np.ndarray]:
+    """The places of each row of h, two hashes of a key, in a level."""
+    own = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = _mixed((h[:, 0].view(np.uint64) ^ own) + _mixed(h[:, 1].view(np.uint64) + own))
     a, b = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
     for i in range(hashes):
         yield ((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64)
 
 
 def build_levels(listed: np.ndarray, rest: np.ndarray, false_share: float = 0.05) -> list[tuple[int, int, bytes]]:
-    """Levels (bits, hashes, filter) that tell the hashes of listed from those of rest."""
+    """Levels (bits, hashes, filter) that tell the keys of listed from those of rest; either has two hashes a row."""
     levels, inside, outside = [], listed, rest
     while len(inside):
         bits = max(64, math.ceil(-len(inside) * math.log(false_share) / math.log(2) ** 2))
@@ -75,12 +88,12 @@ def build_levels(listed: np.ndarray, rest: np.ndarray, false_share: float = 0.05
         levels.append((bits, hashes, np.packbits(cells).tobytes()))
         inside, outside = outside[passed], inside
         if len(levels) > 200:
-            raise ValueError("a listed and an unlisted key have the same hash")
+            raise ValueError("a listed and an unlisted key have the same 128 bits of hash")
     return levels
 
 
 def in_levels(h: np.ndarray, levels: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """Whether each hash is listed: it passes an odd number of levels before one refuses it (or none is left)."""
+    """Whether each key is listed: it passes an odd number of levels before one refuses it (or none is left)."""
     out, alive = np.zeros(len(h), bool), np.arange(len(h))
     for k, (bits, hashes, packed) in enumerate(levels):
         cells, passed = np.frombuffer(packed, np.uint8), np.ones(len(alive), bool)
@@ -92,29 +105,36 @@ def in_levels(h: np.ndarray, levels: list[tuple[int, int, bytes]]) -> np.ndarray
     return out
 
 
+def _hashes(key: str) -> list[Column]:
+    return [F.xxhash64(key).alias("h"), F.xxhash64(key, F.lit(1)).alias("h2")]
+
+
+def _pair(frame: pd.DataFrame, h: str, h2: str) -> np.ndarray:
+    return np.column_stack([frame[h].to_numpy(np.int64), frame[h2].to_numpy(np.int64)]).reshape(-1, 2)
+
+
 def build_cascade(keys: DataFrame, shard_keys: int = 1_000_000) -> tuple[DataFrame, int]:
     """keys: (key, listed), each key once. Rows (shard, levels), and the number of shards."""
     n = max(1, math.ceil(keys.count() / shard_keys))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, listed = pdf["h"].to_numpy(np.int64), pdf["listed"].to_numpy(bool)
+        h, listed = _pair(pdf, "h", "h2"), pdf["listed"].to_numpy(bool)
         levels = build_levels(h[listed], h[~listed])
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "levels": [[{"bits": a, "hashes": b, "cells": c} for a, b, c in levels]]})
 
-    rows = keys.select(F.xxhash64("key").alias("h"), "listed").withColumn("shard", F.pmod("h", F.lit(n)))
+    rows = keys.select(*_hashes("key"), "listed").withColumn("shard", F.pmod("h", F.lit(n)))
     return rows.groupBy("shard").applyInPandas(build, "shard long, levels array<struct<bits:long,hashes:int,cells:binary>>"), n
 
 
-def with_membership(df: DataFrame, key_col: str, listed: Column, out_col: str, shard_keys: int = 1_000_000, broadcast_bytes: int = 32_000_000, page_salts: int = 64) -> DataFrame:
-    """df with out_col: whether its key_col is listed, by a cascade over all keys of df.
-
-    listed: a boolean of the key alone.
-    """
-    keys = written(df.select(F.col(key_col).alias("key")).distinct().select("key", F.coalesce(listed, F.lit(False)).alias("listed")), "keys")
+def with_membership(df: DataFrame, key_col: str, listed: DataFrame, out_col: str, shard_keys: int = 1_000_000, broadcast_bytes: int = 32_000_000, group_rows: int = 100_000) -> DataFrame:
+    """df with out_col: whether its key_col is in the first column of listed, by a cascade over all keys of df. A null key is not."""
+    of = lambda rows, key, is_listed: rows.select(key.cast("string").alias("key"), F.lit(is_listed).alias("listed"), F.lit(not is_listed).alias("used"))
+    both = of(df, F.col(key_col), False).unionByName(of(listed, F.col(listed.columns[0]), True)).where("key is not null")
+    keys = written(both.groupBy("key").agg(F.max("listed").alias("listed"), F.max("used").alias("used")).where("used").select("key", "listed"), "keys")
     built, n = build_cascade(keys, shard_keys)
     cascade = written(built, "cascade")
     size = cascade.select(F.sum(F.aggregate("levels", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["cells"]))).alias("b")).first()["b"] or 0
-    hashed = df.select("*", F.xxhash64(key_col).alias("__h"))
+    hashed = df.select("*", *[x.alias(f"__{i}") for i, x in enumerate(_hashes(key_col))], F.col(key_col).isNotNull().alias("__some"))
     fields = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out_col}` boolean"
     if size <= broadcast_bytes:
@@ -123,30 +143,34 @@ def with_membership(df: DataFrame, key_col: str, listed: Column, out_col: str, s
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                h = b.column("__h").to_numpy()
-                shard, out = np.mod(h, n), np.zeros(len(h), bool)
+                h = np.column_stack([b.column("__0").to_numpy(), b.column("__1").to_numpy()]).reshape(-1, 2)
+                shard, out = np.mod(h[:, 0], n), np.zeros(len(h), bool)
                 for s in np.unique(shard).tolist():
                     at = shard == s
                     out[at] = in_levels(h[at], shared.value.get(s, []))
+                out &= b.column("__some").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([*(b.column(f) for f in fields), pa.array(out)], [*fields, out_col])
 
         return hashed.mapInArrow(run, schema)
-    left = hashed.withColumn("__shard", F.pmod("__h", F.lit(n))).withColumn("__salt", F.floor(F.rand(7) * page_salts).cast("int"))
-    right = cascade.select(F.col("shard").alias("__shard"), "levels", F.explode(F.sequence(F.lit(0), F.lit(page_salts - 1))).alias("__salt"))
+    left = hashed.withColumn("__shard", F.pmod("__0", F.lit(n)))
+    groups = written(left.groupBy("__shard").agg(F.ceil(F.count("*") / F.lit(group_rows)).cast("int").alias("__groups")), "groups")  # a row a shard
+    left = left.join(F.broadcast(groups), "__shard").withColumn("__salt", F.floor(F.rand(7) * F.col("__groups")).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.col("__groups") - 1)).alias("__salt")
+    right = cascade.withColumnsRenamed({"shard": "__shard"}).join(F.broadcast(groups), "__shard").select("__shard", "levels", salts)
 
     def meet(pages: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
         steps = [(x["bits"], x["hashes"], bytes(x["cells"])) for x in levels["levels"].iloc[0]] if len(levels) else []
-        return pages[fields].assign(**{out_col: in_levels(pages["__h"].to_numpy(np.int64), steps)})
+        return pages[fields].assign(**{out_col: in_levels(_pair(pages, "__0", "__1"), steps) & pages["__some"].to_numpy(bool)})
 
     keys_ = ["__shard", "__salt"]
     return left.groupBy(*keys_).cogroup(right.groupBy(*keys_)).applyInPandas(meet, schema)
 
 
-def filter_urls(pages: DataFrame, listed: Column, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
-    """(page_id, host, path, rule, verdict). listed: whether the column ``key`` (a host) is on the block list."""
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
+    """(page_id, host, path, rule, verdict). listed: the block list, its hosts in the first column."""
     host, path = host_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    told = with_membership(parts, "host", listed & (F.col("key") != ""), "on_list", **options)
+    told = with_membership(parts, "host", listed.where(F.col(listed.columns[0]) != ""), "on_list", **options)
     found = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     return told.withColumn("r", found).select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"),

@@ -418,13 +418,19 @@ def test_quality_rules(spark, frame, docs):
 # --- URL filter
 
 
+def urls_host(u):
+    rest = u.split("://", 1)[1] if u and "://" in u else ""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in re.match(r"[^/?#]*", rest)[0])
+
+
 def test_url_filter(spark):
     rng = random.Random(4)
     hosts = [f"{rng.choice(['www.', 'm.', ''])}h{i}.example.{rng.choice(['com', 'net', 'org'])}" for i in range(300)]
     given = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "a://b://c/d", "x://net/es/1", "x://fakenet/es/1", "x://É.net/fr/", "http://org?q", "http://org#q"] + [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en/1', '/es/2', '/fr/3?a'])}" for _ in range(2000)]
     pages = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(given)] + [(None, given[20], "h", "x")], "page_id long, url string, host string, verdict string")
     block = lambda h: h != "" and int(hashlib.md5(h.encode()).hexdigest()[0], 16) < 6
-    listed = F.substring(F.md5("key"), 1, 1).isin(*"012345")
+    known = [(h,) for h in {urls_host(u) for u in given} if block(h)]
+    listed = spark.createDataFrame([*known, known[0], ("not.in.corpus",), ("",), (None,)], "key string")
     want = {}
     for i, u in enumerate(given):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
@@ -433,14 +439,26 @@ def test_url_filter(spark):
         fits = [(len(h + p), v, h + p) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=None)
         want[i] = (host, path, best[2] if best else None, best[1] if best else "block" if block(host) else "allow")
-    for options in ({}, {"shard_keys": 40}, {"shard_keys": 40, "broadcast_bytes": 0, "page_salts": 2}):
+    for options in ({}, {"shard_keys": 40}, {"shard_keys": 40, "broadcast_bytes": 0, "group_rows": 50}):
         got = urls.filter_urls(pages, listed, **options).collect()
         assert {r.page_id: tuple(r)[1:] for r in got if r.page_id is not None} == want and len(got) == len(given) + 1
     assert urls.filter_urls(empty(spark, "page_id long, url string"), listed).collect() == []
+    assert not [r for r in urls.filter_urls(pages, listed.limit(0)).collect() if r.rule is None and r.verdict == "block"]
+    long_ = spark.createDataFrame([(1, "http://" + "a" * 100_000 + ".org/" + "b" * 100_000)], "page_id long, url string")
+    assert [(len(r.host), len(r.path), r.verdict) for r in urls.filter_urls(long_, long_.select(urls.host_path(F.col("url"))[0])).collect()] == [(100_004, 100_001, "block")]
+
+
+def test_membership_of_nulls(spark):
+    rows = spark.createDataFrame([(None,), ("a",), ("b",)], "k string")
+    for options in ({}, {"broadcast_bytes": 0}):
+        got = urls.with_membership(rows, "k", spark.createDataFrame([(None,), ("a",)], "x string"), "on", **options)
+        assert {r.k: r.on for r in got.collect()} == {None: False, "a": True, "b": False}
 
 
 def test_cascade_is_exact():
-    h = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 20_000)
+    h = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, (20_000, 2))
+    h[5000:6000, 0] = h[4000:5000, 0]  # one 64-bit hash, another key
+    h[6000:7000, 1] = h[3000:4000, 1]
     for n in (0, 1, 5000, 20_000):
         levels = urls.build_levels(h[:n], h[n:])
         assert (urls.in_levels(h, levels) == (np.arange(len(h)) < n)).all()
@@ -592,12 +610,73 @@ def test_chat(spark):
     ordered = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.order_turn, r.order_rank, r.turn))
     assert [r.turn for r in ordered] == [0, 1, 3, 2, 4, 5]
     canon = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    assert at[1, 0].json == canon({"role": "system", "content": "be é/kind"}) and at[1, 1].json == canon({"role": "user"})
+    assert at[1, 0].json == canon({"role": "system", "content": "be é/kind"}) and at[1, 1].json == canon({"role": "user", "content": None})
     assert at[1, 3].json == canon({"role": "assistant", "content": 'ask "x"', "tool_calls": [call("c1", "search", {"query": "q", "limit": 3}), call("c2", "weather", {"metric": True, "city": "B"})]})
     assert at[1, 4].json == canon({"role": "tool", "content": "42", "tool_call_id": "c2"})
     assert chat.format_chat(df.limit(0)).collect() == []
 
 
+def brute_chat(rows):
+    """(status, json, order_turn, order_rank) of each message, in plain Python."""
+    def load(role, text):
+        if role not in ("assistant", "tool") or text is None or not text.lstrip(" ").startswith("{"):
+            return None
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    types = {"string": lambda x: isinstance(x, str), "integer": lambda x: type(x) is int, "boolean": lambda x: isinstance(x, bool)}
+
+    def fits(c):
+        spec, args = chat.SCHEMAS.get(c.get("name")), c.get("arguments")
+        if spec is None or not isinstance(args, dict) or set(args) - set(spec):
+            return False
+        return all(types[kind](args[a]) if a in args else not required for a, (kind, required) in spec.items())
+
+    canon = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    parsed = [load(role, text) for _, _, role, text in rows]
+    calls = [v["tool_calls"] if v and r[2] == "assistant" and isinstance(v.get("tool_calls"), list) else None for r, v in zip(rows, parsed)]
+    of = [v["tool_call_id"] if v and r[2] == "tool" and isinstance(v.get("tool_call_id"), str) else None for r, v in zip(rows, parsed)]
+    out = []
+    for r, v, own, result in zip(rows, parsed, calls, of):
+        if own is not None:
+            answered = all(any(r[0] == q[0] and c.get("id") == i for q, i in zip(rows, of) if i is not None) for c in own)
+            status = "call" if all(c.get("id") is not None and fits(c) for c in own) and answered else "unanswered_call"
+            status = status if all(c.get("id") is not None and fits(c) for c in own) else "invalid_call"
+            said = {"content": v.get("content"), "role": r[2], "tool_calls": [{k: c.get(k) for k in ("arguments", "id", "name")} for c in own]}
+            out.append((status, canon(said), r[1], 0))
+        elif result is not None:
+            turns = [q[1] for q, c in zip(rows, calls) if c is not None and q[0] == r[0] and any(x.get("id") == result for x in c)]
+            out.append(("result" if turns else "unlinked_result", canon({"content": v.get("content"), "role": r[2], "tool_call_id": result}), max(r[1], min(turns)) if turns else r[1], 1))
+        else:
+            out.append(("plain", canon({"content": r[3], "role": r[2]}), r[1], 0))
+    return out
+
+
+def test_chat_is_that_of_a_plain_walk(spark):
+    rng = random.Random(21)
+    names, long_ = ["search", "calculator", "weather", "nope"], "é\"\\ \n" * 40_000
+    value = lambda: rng.choice(["x", 5, True, "", long_[:9]])
+    rows = [(1, 0, "user", long_), (1, 1, "assistant", json.dumps({"tool_calls": [{"id": "long", "name": "search", "arguments": {"query": long_}}], "content": None})), (1, 2, "tool", json.dumps({"tool_call_id": "long", "content": long_}))]
+    for conv in (1, 2, None):
+        for turn in range(3, 60):
+            kind = rng.random()
+            if kind < 0.35:
+                keys = rng.sample(["query", "limit", "expression", "city", "days", "metric"], rng.randint(0, 2))
+                made = [{"id": rng.choice([f"c{rng.randrange(25)}", None]) if rng.random() < 0.2 else f"c{rng.randrange(25)}", "name": rng.choice(names), "arguments": {k: value() for k in keys}} for _ in range(rng.randint(0, 3))]
+                rows.append((conv, turn, "assistant", json.dumps({"content": rng.choice([None, "say"]), "tool_calls": made})))
+            elif kind < 0.75:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{rng.randrange(25)}", "content": rng.choice(["out", "", None])})))
+            else:
+                rows.append((conv, turn, rng.choice(["user", "assistant", "tool", None]), rng.choice(["hi", "", None, "{broken", '{"tool_calls": 5}', "[1]"])))
+    rows += rows[5:9]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    key = lambda x: repr(x)
+    want = sorted(((r[0], r[1], *w) for r, w in zip(rows, brute_chat(rows))), key=key)
+    assert sorted(((r.conv_id, r.turn, r.status, r.json, r.order_turn, r.order_rank) for r in got), key=key) == want
+
+
 # --- licences
 
 
@@ -621,7 +700,7 @@ def test_licenses(spark):
 def test_licenses_in_comments(mark):
     table = licenses.known_sentences(licenses.SENTENCES)
     for name, sentence in licenses.SENTENCES:
-        assert [n for n, _ in licenses.identifiers(f"x\n{mark}{sentence}\n{mark}y", table)] == [name]
+        assert [x[0] for x in licenses.identifiers(f"x\n{mark}{sentence}\n{mark}y", table)] == [name]
 
 
 def test_licenses_are_those_of_a_brute_force_scan():
@@ -630,7 +709,7 @@ def test_licenses_are_those_of_a_brute_force_scan():
     for _ in range(200):
         lines = [rng.choice(["", "# ", "* ", "<!-- ", "... "]) + rng.choice([prose(rng, 4), "İΑΣ licensed", *(t for n, t in licenses.SENTENCES if n in known.values())]) for _ in range(8)]
         want = [known[p] for p in map(licenses.normalised, re.split(r"(?<=[.!?;])\s+|\n+", "\n".join(lines))) if p in known]
-        assert [n for n, _ in licenses.identifiers("\n".join(lines), table)] == want
+        assert [x[0] for x in licenses.identifiers("\n".join(lines), table)] == want
 
 
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; ", "    "])
@@ -642,13 +721,28 @@ def test_wrapped_licenses(mark):
             for end in ("\n", "\r\n"):
                 wrapped = [line for n in names for line in [*textwrap.wrap(of[n], width, break_long_words=False, break_on_hyphens=False), ""]]
                 text = end.join(mark + x for x in ["A title", *wrapped, "Other words."])
-                found = [n for n, _ in licenses.identifiers(text, table)]
-                assert found == list(names) and [x for _, x in licenses.matched(found, licenses.LICENSES)] == [licence]
+                found = licenses.identifiers(text, table)
+                assert [x[0] for x in found] == list(names) and [x for _, x in licenses.matched(found, licenses.LICENSES)] == [licence]
     apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required'
-    assert [n for n, _ in licenses.identifiers("\n".join(mark + x for x in apache.split("\n")), table)] == ["apache2-grant", "apache2-use", "apache2-obtain"]
+    assert [x[0] for x in licenses.identifiers("\n".join(mark + x for x in apache.split("\n")), table)] == ["apache2-grant", "apache2-use", "apache2-obtain"]
     assert licenses.identifiers(f"{mark}Permission is hereby granted, free\n{mark}of cost, to any person\n{mark}Released under the MIT\n{mark}Licenses.", table) == []
 
 
+def test_sentences_of_a_rule_stand_near():
+    table, of = licenses.known_sentences(licenses.SENTENCES), dict(licenses.SENTENCES)
+    for gap, want in ((0, ["MIT"]), (20, ["MIT"]), (21, []), (10_000, [])):
+        text = "\n".join([of["mit-grant"], *["other words here"] * gap, "#", "", of["mit-include"]])
+        assert [x for _, x in licenses.matched(licenses.identifiers(text, table), licenses.LICENSES)] == want
+
+
+def test_whole_licences():
+    """All sentences of a licence, wrapped, are one licence, and no other rule counts them."""
+    table, of = licenses.known_sentences(licenses.SENTENCES), dict(licenses.SENTENCES)
+    for licence, needs in licenses.LICENSES:
+        text = "\n".join(line for n in needs for line in [*textwrap.wrap(of[n], 72, break_long_words=False, break_on_hyphens=False), ""])
+        assert [x for _, x in licenses.matched(licenses.identifiers(text, table), licenses.LICENSES)] == [licence]
+
+
 # --- quality classifier
 
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.common import NO_ID, doc_key, join_by_key, written
@@ -197,14 +197,16 @@ def near_links(fps: DataFrame, radius: int = 4, shard_limit: int = 16_384, fp_co
     import pyarrow.compute  # noqa: F401
 
     def dealt(bits: list[int], path: str, mask: int) -> list:
-        return [(f"{path}{i:x}", mask | sum(1 << b for b in block), block) for i, block in enumerate(_blocks(bits, radius + 1))]
+        return [(f"{path}.{i}", mask | sum(1 << b for b in block), block) for i, block in enumerate(_blocks(bits, radius + 1))]
 
-    def keyed(df: DataFrame, parts: list) -> DataFrame:
-        cells = [F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for p, m, _ in parts]
-        return df.select("fp", F.explode(F.array(*cells)).alias("s")).select("fp", "s.path", "s.value")
+    def cells(parts: list) -> Column:
+        return F.array(*[F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for p, m, _ in parts])
+
+    def keyed(df: DataFrame, places: Column) -> DataFrame:
+        return df.select("fp", F.explode(places).alias("s")).select("fp", "s.path", "s.value")
 
     level = dealt(list(range(64)), "", 0)
-    rows, found = keyed(fps.select(F.col(fp_col).alias("fp")), level), None
+    rows, found = keyed(fps.select(F.col(fp_col).alias("fp")), cells(level)), None
     while True:
         large = written(rows.groupBy("path", "value").count().where(F.col("count") > shard_limit).select("path", "value"), "shards")
         grown = {r["path"] for r in large.select("path").distinct().collect()}  # one of (radius + 1) ** depth paths
@@ -224,11 +226,9 @@ def near_links(fps: DataFrame, radius: int = 4, shard_limit: int = 16_384, fp_co
             return found
         masks = {p: m for p, m, _ in level}
         hot = written(rows.join(large, ["path", "value"], "left_semi"), "shards")
-        level = [x for p, rest in deeper.items() for x in dealt(rest, p, masks[p])]
-        rows = None
-        for p, rest in deeper.items():
-            more = keyed(hot.where(F.col("path") == p).select("fp"), dealt(rest, p, masks[p]))
-            rows = more if rows is None else rows.union(more)
+        dealt_of = {p: dealt(rest, p, masks[p]) for p, rest in deeper.items()}
+        level = [x for parts in dealt_of.values() for x in parts]
+        rows = keyed(hot, F.coalesce(*[F.when(F.col("path") == p, cells(parts)) for p, parts in dealt_of.items()]))
 
 
 def _components(fps: DataFrame, radius: int, shard_limit: int) -> DataFrame:

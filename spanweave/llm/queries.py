@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import chat, decontaminate, langid, licenses, mixing, quality, rules, simhash, substring, urls
+from spanweave.llm import chat, codes, decontaminate, langid, licenses, mixing, quality, rules, shards, simhash, substring, urls, vector_sql, whitening
 from spanweave.llm.common import NO_ID, table
 
 
@@ -56,15 +56,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shards.measured(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "size", "text_crc32")
+    return shards.cut_along(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_simhash_near_dedup, op3_quality_rules, op4_substring_dedup, op5_url_filter,
         op6_mix_sources, op7_chat_format, op8_license_scan, op9_quality_classifier, op10_language_id,
+        op11_hilbert_shards, op12_embedding_whitening, op13_vector_codes,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = vector_sql.SQL | {
     "op4_substring_dedup": r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') as w from documents

@@ -1,0 +1,284 @@
+"""Shards along a curve, whitening and codes of vectors against plain versions, and on odd input."""
+
+import hashlib
+import math
+import random
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from pyspark.sql import functions as F
+
+from spanweave.llm import codes, shards, whitening
+
+# --- shards along a Hilbert curve
+
+
+@pytest.mark.parametrize("n, bits", [(2, 3), (3, 2), (4, 2)])
+def test_curve_visits_every_place_in_single_steps(spark, n, bits):
+    places = [F.shiftright("id", bits * i).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias(f"p{i}") for i in range(n)]
+    cells = spark.range(1 << (n * bits)).select(*places)
+    rows = sorted((r[-1], tuple(r[:-1])) for r in cells.select("*", shards.hilbert_index([F.col(f"p{i}") for i in range(n)], bits).alias("h")).collect())
+    assert [h for h, _ in rows] == list(range(1 << (n * bits)))
+    assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for (_, a), (_, b) in zip(rows, rows[1:]))
+
+
+def plain_curve(x, bits):
+    """Index of a place on the curve, from the corner cubes down."""
+    n, x, q = len(x), list(x), 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = sum(0 for _ in x)
+    for b in range(bits - 1, 0, -1):
+        t ^= (1 << b) - 1 if x[-1] >> b & 1 else 0
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def plain_log_place(v):
+    v = max(v or 0, 0)
+    e = v.bit_length() - 1
+    return min(63, v if v < 4 else 4 * (e - 1) + (v >> (e - 2) & 3))
+
+
+def test_log_places(spark):
+    values = [None, -5, 0, 1, 2, 3, 4, 5, 6, 7, 8, 15, 16, 1000, 120_000, 2**31, 2**62]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", shards.log_place(F.col("v")).alias("p")).collect()
+    assert all(r["p"] == plain_log_place(r["v"]) for r in rows)
+
+
+def odd_documents():
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "", "é" * i, "w " * rng.randrange(2000), "a copy of many"]), rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s1", "s2", None]), "x") for i in range(150)]
+    return rows + [(None, None, None, None, None)] * 3 + [(7, "a row again", "en", "s0", "x")] * 40 + [(None, "long " * 30_000, "en", "s9", "x")]
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+@pytest.mark.parametrize("n", [24, 5, 300])
+def test_sharded(spark, law, n):
+    rows = odd_documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot string").repartition(3)
+    out = shards.sharded(docs, n, law).collect()
+    assert out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "size", "text_crc32", "curve", "shard", "slot", "law", "grown_shard"}
+    size = lambda t: len((t or "").encode()) + 8
+    assert all(r["size"] == size(r["text"]) and r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) and r["law"] == law and r["grown_shard"] is None for r in out)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out) == sorted((str(r[0]), str(r[1])) for r in rows)
+    ranks = {}
+    for at in (2, 3):
+        values = sorted({r[at] for r in rows}, key=lambda v: (v is not None, v))
+        ranks[at] = {v: i * 64 // len(values) for i, v in enumerate(values)}
+    curve = lambda r: plain_curve((ranks[2][r["lang"]], ranks[3][r["source"]], plain_log_place(r["size"])), 6)
+    assert all(r["curve"] == curve(r) for r in out)
+    order = sorted(out, key=lambda r: (r["shard"], r["slot"]))
+    key = lambda r: (r["curve"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"])
+    assert [key(r) for r in order] == sorted(map(key, out))
+    sizes = {s: [r["size"] for r in order if r["shard"] == s] for s in range(n)}
+    assert sum(map(len, sizes.values())) == len(rows)
+    for s in range(n):
+        assert [r["slot"] for r in order if r["shard"] == s] == list(range(len(sizes[s])))
+    if law == "rows":
+        assert max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
+    else:
+        total, done = sum(map(sum, sizes.values())), 0
+        for s in range(n):
+            done += sum(sizes[s])
+            assert abs(done - total * (s + 1) / n) <= max(r["size"] for r in out)
+
+
+def test_sharded_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert shards.sharded(docs).count() == 0 and shards.sharded(docs, law="bytes").count() == 0
+    with pytest.raises(ValueError, match="no law"):
+        shards.sharded(docs, law="key")
+
+
+def test_places_of_many_values(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(i, rng.choice([None, *(f"h{k:04}" for k in range(200))])) for i in range(600)], "i long, host string")
+    got = {r["i"]: r["p"] for r in shards.rank_place(rows, "host", "p").collect()}
+    monkeypatch.setattr(shards, "BROADCAST_VALUES", 10)
+    assert {r["i"]: r["p"] for r in shards.rank_place(rows, "host", "p").collect()} == got
+    assert set(got.values()) == set(range(64))
+
+
+def test_written_shards_are_pruned(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, "w " * int(2 ** rng.uniform(0, 12)), f"l{rng.randrange(8)}", f"s{rng.randrange(8)}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    told = shards.write_shards(docs, str(tmp_path / "out"), shards=64)
+    assert told.agg(F.sum("rows")).first()[0] == 2000 and told.count() == 64
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.groupBy("shard").agg((F.max("slot") - F.min("slot") + 1 == F.count("*")).alias("ok")).where("not ok").isEmpty()
+    ends = back.groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    for c, values in (("lang", [f"l{k}" for k in range(8)]), ("source", [f"s{k}" for k in range(8)]), ("size", [20, 100, 500, 2000, 7000])):
+        read = [sum(r[f"lo_{c}"] <= v <= r[f"hi_{c}"] for r in ends) for v in values]
+        assert sum(read) / len(read) < 64 / 2.5, (c, read)  # a filter of any one dimension passes most shards over
+
+
+# --- whitening
+
+VECTORS = "vec_id long, embedding array<float>, label int, x string, n string"
+
+
+def odd_vectors(d=8, rows=300, seed=2):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(rows, d)) * np.linspace(2, 0.3, d)
+    out = [(int(i), [float(np.float32(v)) for v in base[i]], [0, 0, 0, 1, None][i % 5], "x", "y") for i in rng.permutation(rows)]
+    nan, inf = float("nan"), float("inf")
+    out += [(1000, None, 1, None, None), (1001, [nan] + [0.0] * (d - 1), 1, "", ""), (1002, [None] + [0.0] * (d - 1), 1, "", ""), (1003, [-inf] + [0.0] * (d - 1), 2, "", "")]
+    return out + [(None, [0.5] * d, None, None, None), (2, out[0][1], 0, "x", "x"), (3, [-0.0] * d, 0, None, None)] + [(4, [0.25] * d, 7, "x", "x")] * 150
+
+
+def kept(rows):
+    return [r for r in rows if r[1] is not None and all(v is not None and math.isfinite(v) for v in r[1])]
+
+
+def test_whitening(spark):
+    rows = odd_vectors()
+    got = whitening.whiten(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()
+    own = kept(rows)
+    x = [[math.floor(256 * v) for v in r[1]] for r in own]
+    fit = np.array(sorted(set(map(tuple, x))))
+    n, sums = len(fit), fit.sum(0)
+    v = np.cov(fit.T, bias=True)
+    e = np.linalg.eigvalsh(v)[::-1]
+    assert len(got) == 4 * len(own) and {r["n"] for r in got} == {n}
+    far = sorted((str(r[0]), int(sum((n * a - s) ** 2 for a, s in zip(q, sums.tolist()))), k) for r, q in zip(own, x) for k in (1, 2, 3, 4))
+    assert sorted((str(r["vec_id"]), r["deviation"], r["component"]) for r in got) == far
+    assert all(int(r["deviation_exact"]) == r["deviation"] for r in got)
+    assert all(abs(r["explained"] - e[r["component"] - 1] / e.sum()) < 1e-9 for r in got) and all(r["identity_error"] < 1e-9 for r in got)
+    _, axes = np.linalg.eigh(v)
+    want = {tuple(q): (np.array(q) - sums / n) @ axes[:, ::-1] / np.sqrt(e) for q in x}
+    at = {r[0]: q for r, q in zip(own, x) if r[0] not in (None, 2, 3, 4)}
+    for k in range(4):
+        pairs = [(r["whitened"], want[tuple(at[r["vec_id"]])][k]) for r in got if r["component"] == k + 1 and r["vec_id"] in at]
+        assert min(max(abs(a - b) for a, b in pairs), max(abs(a + b) for a, b in pairs)) < 1e-9
+
+
+@pytest.mark.parametrize("values", [[], [[1.0, 2.0, 3.0]], [[1.0, 2.0], [1.5, 2.0]], [[3.0, 4.0], [3.0], []], [[5.0] * 3] * 4])
+def test_whitening_of_few_vectors(spark, values):
+    got = whitening.whiten(spark.createDataFrame([(i, v, None, None, None) for i, v in enumerate(values)], VECTORS)).collect()
+    d = max(map(len, values), default=0)
+    assert len(got) == len(values) * min(4, d)
+    rank = len({tuple([*v, *[0.0] * (d - len(v))]) for v in values}) - 1
+    live = [r for r in got if r["whitened"] is not None]
+    assert len(live) == len(values) * max(0, min(rank, d, 4)) and all(r["component"] <= rank for r in live)
+    assert all(r["explained"] == 0 for r in got if r["whitened"] is None) and all(r["identity_error"] < 1e-9 for r in live)
+
+
+def test_scatter_is_exact_for_large_numbers(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([1e15, -1e15, 3e14, 7.0, 2.0**52 + i]) for _ in range(3)], None) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    x = [[math.floor(Fraction(v) * 256) for v in r[1]] for r in rows]
+    fit = sorted(set(map(tuple, x)))
+    n, s = len(fit), [sum(c) for c in zip(*fit)]
+    table, dim = whitening.whole_vectors(df, 256, "embedding", vec_id="vec_id")
+    model = whitening.fitted(table.select("x").distinct(), dim)
+    exact = [[Fraction(n * sum(r[i] * r[j] for r in fit) - s[i] * s[j], n * n) for j in range(3)] for i in range(3)]
+    assert model.n == n and model.sums == s and model.covariance.tolist() == [[float(v) for v in row] for row in exact]
+    got = {r["vec_id"]: r for r in whitening.whiten(df).where("component = 1").collect()}
+    for i, q in enumerate(x):
+        far = sum((n * a - b) ** 2 for a, b in zip(q, s))
+        assert got[i]["deviation"] is None and (got[i]["deviation_exact"] is None if far >= 10**38 else int(got[i]["deviation_exact"]) == far)
+
+
+def test_deviations_in_limbs():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(2**20), 2**20, (50, 5))
+    for sums in ([0] * 5, [-1, 5, -(2**24), 2**24, 7], [int(v) for v in rng.integers(-(2**60), 2**60, 5)]):
+        model = whitening.Whitening(1000, sums, np.eye(5), np.ones(5), np.eye(5))
+        assert model.deviations(x) == [sum((1000 * int(a) - s) ** 2 for a, s in zip(row, sums)) for row in x]
+
+
+# --- codes of vectors
+
+
+def plain_codes(rows, parts=4, entries=256, rounds=4, scale=1024):
+    d = max(len(r[1]) for r in rows)
+    d += -d % parts
+    full = [(r[0], tuple([math.floor(scale * v) for v in r[1]] + [0] * (d - len(r[1])))) for r in rows]
+    order = sorted(full, key=lambda r: (r[0] is None, r[0] or 0, r[1]))[:entries]
+    x = np.array([v for _, v in full], object).reshape(len(full), parts, d // parts)
+    books = np.array([v for _, v in order], object).reshape(len(order), parts, -1).transpose(1, 0, 2).copy()
+
+    def told():
+        far = ((x.transpose(1, 0, 2)[:, :, None] - books[:, None]) ** 2).sum(3)  # part, row, entry
+        code = far.argmin(2)
+        return code, np.take_along_axis(far, code[:, :, None], 2)[:, :, 0]
+
+    for _ in range(rounds):
+        code, _ = told()
+        for p in range(parts):
+            for k in set(code[p].tolist()):
+                own = x[code[p] == k, p]
+                books[p, k] = [s // len(own) for s in own.sum(0)]
+    code, far = told()
+    sha = hashlib.sha256(",".join(str(v) for v in books.reshape(-1)).encode()).hexdigest()
+    return [(r[0], "".join(f"{c:02x}" for c in cs), int(e)) for r, cs, e in zip(rows, code.T, far.sum(0))], sha
+
+
+@pytest.mark.parametrize("entries, d", [(16, 8), (256, 8), (5, 10), (256, 3)])
+def test_codes(spark, entries, d):
+    rows = odd_vectors(d)
+    got = codes.coded(spark.createDataFrame(rows, VECTORS).repartition(3), entries=entries).collect()
+    own = kept(rows)
+    want, sha = plain_codes(own, entries=entries)
+    assert sorted((str(r["vec_id"]), r["code"], r["error"]) for r in got) == sorted((str(i), c, e) for i, c, e in want)
+    assert {r["codebooks_sha256"] for r in got} == {sha}
+    sums = {}
+    for r, (_, _, e) in zip(own, want):
+        sums[r[2]] = sums.get(r[2], 0) + e
+    assert sorted((str(r["vec_id"]), r["label_error"]) for r in got) == sorted((str(r[0]), sums[r[2]]) for r in own)
+
+
+def test_codes_of_few_or_no_vectors(spark):
+    of = lambda values: spark.createDataFrame([(i, v, None, None, None) for i, v in enumerate(values)], VECTORS)
+    assert codes.coded(of([])).count() == 0 and codes.coded(of([None, [float("nan")]])).count() == 0
+    assert [(r["code"], r["error"]) for r in codes.coded(of([[], []])).collect()] == [("00000000", 0)] * 2
+    assert sorted((r["code"], r["error"]) for r in codes.coded(of([[1.0], [1.0], [2.0, 0.0]])).collect()) == [("00000000", 0), ("00000000", 0), ("02000000", 0)]
+    with pytest.raises(Exception, match="do not fit a long"):
+        codes.coded(of([[1e30], [2e30]])).count()
+    with pytest.raises(ValueError, match="one byte"):
+        codes.coded(of([[1.0]]), entries=300)
+
+
+def test_decoded_vectors_are_as_far_as_told(spark):
+    rows, books = codes.vector_codes(spark.createDataFrame(odd_vectors(), VECTORS), entries=32)
+    own = {i: [math.floor(1024 * v) for v in vec] for i, vec, *_ in kept(odd_vectors()) if i not in (None, 2, 3, 4)}
+    back = codes.decoded(rows.where("vec_id is not null and vec_id not in (2, 3, 4)"), books).collect()
+    assert back and all(r["error"] == sum((a - b) ** 2 for a, b in zip(r["x"], own[r["vec_id"]])) for r in back)
+
+
+@pytest.mark.parametrize("scale", [3, 1000, 10**8])
+def test_exponion_is_exact(scale):
+    rng = np.random.default_rng(scale)
+    for k in (1, 2, 40):
+        entries = rng.integers(-scale, scale, (k, 4))
+        entries[k // 2] = entries[0]  # a tie
+        x = np.concatenate((rng.integers(-scale, scale, (700, 4)), entries))
+        code, error = codes.Codebook(entries).nearest(x, rng.integers(0, k, len(x)))
+        far = ((x[:, None].astype(object) - entries[None].astype(object)) ** 2).sum(2)
+        assert code.tolist() == far.argmin(1).tolist() and error.tolist() == far.min(1).tolist()
+
+
+def test_exponion_leaves_far_entries_out(monkeypatch):
+    """Entries in tight groups: from a start in the right group only the group's entries are met."""
+    rng = np.random.default_rng(0)
+    entries = np.concatenate([rng.integers(0, 10, (8, 3)) + 10_000 * g for g in range(20)])
+    x, start = entries + 1, np.arange(160)
+    met, plain = [], codes.squared
+    monkeypatch.setattr(codes, "squared", lambda a, b: met.append(a.shape[0] * b.shape[0]) or plain(a, b))
+    book = codes.Codebook(entries)
+    met.clear()
+    code, _ = book.nearest(x, start)
+    assert sum(met) <= 160 * 9 and (np.abs(entries[code] - x).max(1) < 10).all()

@@ -255,9 +255,33 @@ def ap_preference_median(spark, sf_dir):
     return affinity.preference(materialize(_blocks(spark, sf_dir), "blocks"))
 
 
-@query()
+#: The matrices written out whole, 500 rounds with damping 0.5 and without jitter.
+_PROPAGATED = f"""with recursive {SYM}, {_BLOCKS}, ids as materialized (select distinct component, src as id from blocks),
+grid as materialized (select i.component, i.id as i, k.id as j, coalesce(w, 0.0) as w from ids i join ids k on i.component = k.component left join blocks b on b.src = i.id and b.dst = k.id),
+pref as (select component, median(w) as preference from grid group by component),
+state(k, component, i, j, s, a, r) as (
+  select 0, component, i, j, case when i = j then preference else w end, 0.0::double, 0.0::double from grid join pref using (component)
+  union all
+  select k + 1, component, i, j, s, 0.5 * a + 0.5 * case when i = j then total - r else least(total - greatest(r, 0.0), 0.0) end, r from (
+    with now as (select * from state where k < 500),
+    top as (select component, i, max(a + s) as first, arg_max(j, (a + s, -j)) as best from now group by component, i),
+    next as (select component, i, max(a + s) as second from now join top using (component, i) where j <> best group by component, i),
+    told as (select k, component, i, j, s, a, 0.5 * r + 0.5 * (s - case when j = best then second else first end) as r from now join top using (component, i) join next using (component, i)),
+    sums as (select component, j, sum(case when i = j then r else greatest(r, 0.0) end) as total from told group by component, j)
+    select k, component, i, j, s, a, r, total from told join sums using (component, j)
+  )
+), last_ as materialized (select * from state where k = 500),
+score as (select component, i as id, r + a as score from last_ where i = j),
+best as (select component, max(score) > 0 as found, arg_max(id, (score, -id)) as id from score group by component),
+exemplars as (select component, score.id from score join best using (component) where case when found then score > 0 else score.id = best.id end),
+choice as (select component, i as member, arg_max(j, (s, -j)) as exemplar from last_ join exemplars using (component) where j = exemplars.id group by component, i)
+select choice.component, coalesce(exemplars.id, exemplar) as exemplar, member, not found as forced
+from choice left join exemplars on exemplars.component = choice.component and exemplars.id = member join best on best.component = choice.component"""
+
+
+@query(_PROPAGATED)
 def affinity_propagation(spark, sf_dir):
-    return affinity.affinity_clusters(_blocks(spark, sf_dir))
+    return affinity.affinity_clusters(_blocks(spark, sf_dir), jitter=False)
 
 
 def _rounds_sql(rounds: int) -> str:

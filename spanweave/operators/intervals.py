@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.components import connected_components
+from spanweave.operators.components import connected_components, materialize
+from spanweave.operators.order import ranked
 
+#: A group of so many members at most is merged in one task.
+TASK_MEMBERS = 100_000
 RELATIONS = ["upstream", "downstream", "included", "encloses"]
 
 
@@ -75,6 +78,25 @@ def member_pairs(members: DataFrame) -> DataFrame:
     return a.join(b, "seq").where("cluster_a <> cluster_b").select("seq", "cluster_a", "domain_a", "cluster_b", "domain_b", relation(F.col("fa"), F.col("fb")).alias("relation"))
 
 
+def relations(members: DataFrame) -> DataFrame:
+    """(seq, cluster_a, domain_a, cluster_b, domain_b, relation): the pairs of member_pairs() that have a relation.
+
+    Such members are neighbours in position: the first begins right after the last place
+    of the second or the other way round, or it fills the room between two consecutive
+    fragments of the second. So members meet by sequence and position, one row for each
+    end and each gap, and never all members of a sequence.
+    """
+    side = lambda x, *more: (F.col("cluster").alias(f"cluster_{x}"), F.col("domain").alias(f"domain_{x}"), *more)
+    first, last = F.col("frags")[0]["pos"], F.element_at("frags", -1)["pos"]
+    before = members.select("seq", *side("a", (last + 1).alias("at"))).join(members.select("seq", *side("b", first.alias("at"))), ["seq", "at"]).drop("at")
+    steps = F.transform(F.slice("frags", F.lit(2), F.greatest(F.size("frags") - 1, F.lit(0))), lambda f, i: F.struct((F.get("frags", i)["pos"] + 1).alias("lo"), (f["pos"] - 1).alias("hi")))
+    room = members.where(F.size("frags") > 1).select("seq", *side("b", F.inline(F.filter(steps, lambda g: g["hi"] >= g["lo"]))))
+    inside = members.select("seq", *side("a", first.alias("lo"), last.alias("hi"))).join(room, ["seq", "lo", "hi"]).drop("lo", "hi")
+    turned = lambda k: F.struct("seq", F.col("cluster_b").alias("cluster_a"), F.col("domain_b").alias("domain_a"), F.col("cluster_a").alias("cluster_b"), F.col("domain_a").alias("domain_b"), F.lit(k).alias("relation"))
+    both = lambda df, k: df.where("cluster_a <> cluster_b").select(F.inline(F.array(F.struct("seq", "cluster_a", "domain_a", "cluster_b", "domain_b", F.lit(k).alias("relation")), turned(k + 1))))
+    return both(before, 0).union(both(inside, 2))
+
+
 def cluster_intersections(members: DataFrame) -> DataFrame:
     """Pairs of clusters that share a sequence."""
     own = members.select("cluster", "seq").distinct()
@@ -82,9 +104,9 @@ def cluster_intersections(members: DataFrame) -> DataFrame:
 
 
 def relation_shares(members: DataFrame) -> DataFrame:
-    """(cluster_a, cluster_b, p_up, p_down, p_inc, p_enc): pairs of each relation over the size of b."""
+    """(cluster_a, cluster_b, p_up, p_down, p_inc, p_enc): pairs of each relation over the size of b, where there is any."""
     size = members.groupBy(F.col("cluster").alias("cluster_b")).agg(F.count("*").alias("n"))
-    counts = member_pairs(members).groupBy("cluster_a", "cluster_b").agg(*[F.count_if(F.col("relation") == i).alias(f"c{i}") for i in range(4)])
+    counts = relations(members).groupBy("cluster_a", "cluster_b").agg(*[F.count_if(F.col("relation") == i).alias(f"c{i}") for i in range(4)])
     return counts.join(size, "cluster_b").select("cluster_a", "cluster_b", *[(F.col(f"c{i}") / F.col("n")).alias(f"p_{k}") for i, k in enumerate(("up", "down", "inc", "enc"))])
 
 
@@ -98,7 +120,7 @@ def best_relation(shares: DataFrame, cut_off: float = 0.98) -> DataFrame:
 def merge_once(members: DataFrame, cluster_a: str, cluster_b: str, relation_no: int) -> DataFrame:
     """members after two clusters' pairs of one relation became the members of a new cluster a+b."""
     name = f"{cluster_a}+{cluster_b}"
-    pairs = member_pairs(members.where(F.col("cluster").isin(cluster_a, cluster_b))).where((F.col("cluster_a") == cluster_a) & (F.col("cluster_b") == cluster_b) & (F.col("relation") == relation_no))
+    pairs = relations(members.where(F.col("cluster").isin(cluster_a, cluster_b))).where((F.col("cluster_a") == cluster_a) & (F.col("cluster_b") == cluster_b) & (F.col("relation") == relation_no))
     of = lambda c, d, f: members.where(F.col("cluster") == c).select("seq", F.col("domain").alias(d), F.col("frags").alias(f))
     merged = pairs.join(of(cluster_a, "domain_a", "fa"), ["seq", "domain_a"]).join(of(cluster_b, "domain_b", "fb"), ["seq", "domain_b"]).select(
         F.lit(name).alias("cluster"), "seq", F.concat_ws("+", "domain_a", "domain_b").alias("domain"), F.array_sort(F.concat("fa", "fb")).alias("frags")
@@ -170,13 +192,81 @@ def merge_group(clusters: dict, cut_off: float, max_rounds: int = 1000, compat_k
     return clusters
 
 
-def merge_clusters(members: DataFrame, cut_off: float = 0.98, rounds: int | None = None, compat_key_reuse: bool = False) -> DataFrame:
+def _wave_round(members: DataFrame, cut_off: float) -> tuple[DataFrame, DataFrame] | None:
+    """merge_round() over all clusters, in waves: (the members that stay, the merged pairs of members), or None without any.
+
+    Pairs of clusters act on each other only if they share a cluster. So in a wave all
+    pairs are worked through at once that are the first left for both their clusters, by one join with
+    their related members; what they take is gone for the next wave. Pairs without
+    related members take nothing and are passed over.
+    """
+    met = materialize(relations(members), "relations")
+    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    left = materialize(met.select("cluster_a", "cluster_b").distinct(), "pairs")
+    gone = taken = None
+    while not left.isEmpty():
+        pair = F.struct("cluster_a", "cluster_b")
+        first = left.select(F.explode(F.array("cluster_a", "cluster_b")).alias("c"), pair.alias("pair")).groupBy("c").agg(F.min("pair").alias("first"))
+        of = lambda x: first.select(F.col("c").alias(f"cluster_{x}"), F.col("first").alias(f"first_{x}"))  # noqa: E731, B023
+        ready = materialize(left.join(of("a"), "cluster_a").join(of("b"), "cluster_b").where((F.col("first_a") == pair) & (F.col("first_b") == pair)).select("cluster_a", "cluster_b"), "ready")
+        live, now = met.join(ready, ["cluster_a", "cluster_b"], "left_semi"), sizes
+        if gone is not None:
+            for x in "ab":
+                live = live.join(gone.select(F.col("cluster").alias(f"cluster_{x}"), "seq", F.col("domain").alias(f"domain_{x}")), [f"cluster_{x}", "seq", f"domain_{x}"], "left_anti")
+            now = sizes.join(gone.groupBy("cluster").agg(F.count("*").alias("less")), "cluster", "left").select("cluster", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"))
+        counts = live.groupBy("cluster_a", "cluster_b").agg(*[F.count_if(F.col("relation") == i).alias(f"c{i}") for i in range(4)])
+        top = F.greatest(*[f"c{i}" for i in range(4)])
+        which = F.when(F.col("c0") == top, 0).when(F.col("c1") == top, 1).when(F.col("c2") == top, 2).otherwise(3)
+        passed = counts.join(now.withColumnRenamed("cluster", "cluster_b"), "cluster_b").where(top / F.col("n") > cut_off).select("cluster_a", "cluster_b", which.alias("relation"))
+        new = materialize(live.join(passed, ["cluster_a", "cluster_b", "relation"], "left_semi").drop("relation"), "taken")
+        if not new.isEmpty():
+            own = new.select("seq", F.inline(F.array(*[F.struct(F.col(f"cluster_{x}").alias("cluster"), F.col(f"domain_{x}").alias("domain")) for x in "ab"]))).distinct()
+            gone, taken = (own, new) if gone is None else (gone.unionByName(own), taken.unionByName(new))
+        left = materialize(left.join(ready, ["cluster_a", "cluster_b"], "left_anti"), "pairs")
+    if taken is None:
+        return None
+    of = lambda x: members.select("seq", F.col("cluster").alias(f"cluster_{x}"), F.col("domain").alias(f"domain_{x}"), F.col("frags").alias(f"f{x}"))
+    merged = taken.join(of("a"), ["seq", "cluster_a", "domain_a"]).join(of("b"), ["seq", "cluster_b", "domain_b"])
+    stay = members.join(gone, ["cluster", "seq", "domain"], "left_anti")
+    return stay, merged.select(F.struct("cluster_a", "cluster_b").alias("pair"), "seq", F.concat_ws("+", "domain_a", "domain_b").alias("domain"), F.array_sort(F.concat("fa", "fb")).alias("frags"))
+
+
+def _merge_in_waves(members: DataFrame, cut_off: float, compat_key_reuse: bool, rounds: int | None, max_rounds: int = 1000) -> DataFrame:
+    """merge_clusters() of members(grp, cluster, seq, domain, frags) by waves over all groups."""
+    key = lambda grp, named, num, name: F.struct(grp.alias("grp"), named.alias("named"), num.cast("long").alias("num"), name.alias("name")).alias("cluster")
+    now = materialize(members.select(key(F.col("grp"), F.lit(True), F.lit(0), F.col("cluster").cast("string")), "seq", "domain", "frags"), "members")
+    for _ in range(max_rounds if rounds is None else rounds):
+        done = _wave_round(now, cut_off)
+        if done is None:
+            break
+        stay, merged = done
+        merged = materialize(merged, "merged")
+        pairs = ranked(merged.select("pair").distinct().withColumn("grp", F.col("pair.cluster_a.grp")), ["grp", "pair"])
+        # a row for each group: where its numbers start
+        start = pairs.groupBy("grp").agg(F.min("__rank").alias("__first"))
+        used = now.where("not cluster.named").groupBy("cluster.grp").agg((F.max("cluster.num") + 1).alias("__next"))
+        fresh = F.lit(0) if compat_key_reuse else F.coalesce("__next", F.lit(1))
+        numbered = pairs.join(start, "grp").join(used, "grp", "left").select("pair", key(F.col("grp"), F.lit(False), F.col("__rank") - F.col("__first") + fresh, F.lit("")))
+        numbered = materialize(numbered, "numbers")
+        if compat_key_reuse:
+            stay = stay.join(numbered.select("cluster"), "cluster", "left_anti")
+        now = materialize(stay.select("cluster", "seq", "domain", "frags").unionByName(merged.join(numbered, "pair").select("cluster", "seq", "domain", "frags")), "members")
+    else:
+        if rounds is None:
+            raise RuntimeError(f"clusters still merge after {max_rounds} rounds")
+    name = F.when(F.col("cluster.named"), F.col("cluster.name")).otherwise(F.col("cluster.num").cast("string"))
+    return now.select("cluster.grp", name.alias("cluster"), "seq", "domain", "frags")
+
+
+def merge_clusters(members: DataFrame, cut_off: float = 0.98, rounds: int | None = None, compat_key_reuse: bool = False, task_members: int = TASK_MEMBERS) -> DataFrame:
     """(grp, cluster, seq, domain, frags) after merging until nothing merges, or after so many rounds.
 
     Clusters act on each other only through shared sequences, and a merged cluster
     has only its parents' sequences, so the components of the cluster-sequence
-    graph stay apart: each is one group, worked through in order in one task.
-    With compat_key_reuse keys must meet across groups, so all members are one group.
+    graph stay apart: each is one group. Groups of up to task_members members are
+    worked through in order, each in one task; larger ones in waves over all their
+    members, with the same result. With compat_key_reuse keys must meet across groups,
+    so all members are one group.
     """
     links = members.select(F.concat(F.lit("c:"), "cluster").alias("src"), F.concat(F.lit("s:"), "seq").alias("dst")).distinct()
     group = connected_components(links).where(F.col("node").startswith("c:")).select(F.substring("node", 3, 1 << 30).alias("cluster"), F.col("component").alias("grp"))
@@ -192,10 +282,14 @@ def merge_clusters(members: DataFrame, cut_off: float = 0.98, rounds: int | None
         return pd.DataFrame(rows, columns=["grp", "cluster", "seq", "domain", "frags"])
 
     own = members.select("cluster", "seq", "domain", "frags")
-    grouped = own.withColumn("grp", F.lit("all")) if compat_key_reuse else own.join(group, "cluster")
-    return grouped.groupBy("grp").applyInPandas(
-        run, "grp string, cluster string, seq string, domain string, frags array<struct<start:bigint,end:bigint,pos:int>>"
-    )
+    grouped = materialize(own.withColumn("grp", F.lit("all")) if compat_key_reuse else own.join(group, "cluster"), "grouped")
+    sizes = materialize(grouped.groupBy("grp").agg((F.count("*") > task_members).alias("large")), "groups")
+    large = sizes.where("large").select("grp")
+    schema = "grp string, cluster string, seq string, domain string, frags array<struct<start:bigint,end:bigint,pos:int>>"
+    small = grouped.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(run, schema)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_merge_in_waves(grouped.join(large, "grp", "left_semi"), cut_off, compat_key_reuse, rounds))
 
 
 def renumbered(members: DataFrame) -> DataFrame:

@@ -462,7 +462,12 @@ def interval_relation(spark, sf_dir):
     return intervals.member_pairs(_members(spark, sf_dir))
 
 
-_SHARES = "size_ as (select cluster as cluster_b, count(*) as n from mem group by 1), sh as (select cluster_a, cluster_b, count(*) filter (relation = 0) / n as p_up, count(*) filter (relation = 1) / n as p_down, count(*) filter (relation = 2) / n as p_inc, count(*) filter (relation = 3) / n as p_enc from rel join size_ using (cluster_b) group by cluster_a, cluster_b, n)"
+_SHARES = "size_ as (select cluster as cluster_b, count(*) as n from mem group by 1), sh as (select cluster_a, cluster_b, count(*) filter (relation = 0) / n as p_up, count(*) filter (relation = 1) / n as p_down, count(*) filter (relation = 2) / n as p_inc, count(*) filter (relation = 3) / n as p_enc from rel join size_ using (cluster_b) where relation is not null group by cluster_a, cluster_b, n)"
+
+
+@query(f"with {_REL} select seq, cluster_a, domain_a, cluster_b, domain_b, relation::integer as relation from rel where relation is not null")
+def neighbour_relations(spark, sf_dir):
+    return intervals.relations(_members(spark, sf_dir))
 
 
 @query(f"with {_REL}, {_SHARES} select * from sh")
@@ -500,7 +505,7 @@ def cluster_merge_once(spark, sf_dir):
     return intervals.merge_once(m, *names, 0).select("cluster", "seq", "domain", scalars.intervals_text(F.col("frags")).alias("intervals"))
 
 
-_CUT = 0.2  # the share a merge needs; event types seldom lie beside one type only
+_CUT = 0.08  # the share a merge needs; an event type lies beside each of the others about as often
 
 
 @query(f"""with recursive {_REL}, names as (select distinct cluster from mem),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators.components import materialize
+
 
 def domain_bounds(fragments: DataFrame) -> DataFrame:
     """(seq, domain_no, first, last, len, end_key): bounds of a domain and its place in the order of visits.
@@ -41,68 +43,105 @@ def position_profile(cells: DataFrame) -> DataFrame:
     return by.select("ali", "q", F.try_divide("s", F.sum("s").over(Window.partitionBy("ali"))).alias("p"))
 
 
-def masses(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """pairs(ali, qs, qe, ts, te, off, ...) with qstart, qend, tstart, tend."""
-    b, f = F.col("kind") == "B", F.col("kind") == "F"
-    when = lambda c: F.coalesce(F.sum(F.when(c, F.col("p"))), F.lit(0.0))
-    keys = pairs.columns
-    return pairs.join(cells.where("kind in ('B', 'F')"), "ali", "left").groupBy(*keys).agg(
-        when(b & (F.col("q") <= F.col("qs") + F.col("off"))).alias("qstart"), when(f & (F.col("q") >= F.col("qe") - F.col("off"))).alias("qend"),
-        when(b & (F.col("t") <= F.col("ts") + F.col("off"))).alias("tstart"), when(f & (F.col("t") >= F.col("te") - F.col("off"))).alias("tend"),
-    )
+def profiles(cells: DataFrame) -> DataFrame:
+    """(ali, bq, bt, fq, ft): of each alignment the running mass of its B cells from the first place on, and of its F cells from the last place back, by q and by t.
+
+    Entries (place, mass) stand by place, which is negative for F cells, so that
+    running_mass() reads either. An alignment has an entry for each of its places, 65,535
+    at most by the format. Masses are added up once, whatever the number of domain pairs.
+    """
+    back = F.when(F.col("kind") == "B", 1).otherwise(-1)
+    axes = F.inline(F.array(F.struct(F.lit("q").alias("axis"), (F.col("q") * back).alias("place")), F.struct(F.lit("t").alias("axis"), (F.col("t") * back).alias("place"))))
+    by = cells.where("kind in ('B', 'F')").select("ali", "kind", "p", axes).groupBy("ali", "kind", "axis", "place").agg(F.sum("p").alias("p"))
+    up_to = Window.partitionBy("ali", "kind", "axis").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    own = lambda kind, axis: F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & (F.col("axis") == axis), F.struct("place", "mass")))).alias(f"{kind.lower()}{axis}")
+    return by.withColumn("mass", F.sum("p").over(up_to)).groupBy("ali").agg(*[own(kind, axis) for kind in "BF" for axis in "qt"])
+
+
+def running_mass(profile: Column, place: Column) -> Column:
+    """The mass up to a place, found by halving steps; 0 without entries there."""
+    steps = F.array(*[F.lit(1 << b) for b in range(16, -1, -1)])
+    here = lambda at, step: (at + step <= F.size(profile)) & (F.get(profile, at + step - 1)["place"] <= place)
+    last = F.aggregate(steps, F.lit(0), lambda at, step: F.when(here(at, step), at + step).otherwise(at))
+    return F.coalesce(F.get(profile, last - 1)["mass"], F.lit(0.0))
+
+
+def _start(axis: str, at: str) -> Column:
+    return running_mass(F.col(f"b{axis}"), F.col(at) + F.col("off"))
 
 
-def _shell(pairs: DataFrame, cells: DataFrame, inside: Column, shell: Column, name: str) -> DataFrame:
-    keys = pairs.columns
-    sums = pairs.join(cells, "ali").where(inside).groupBy(*keys, shell.alias("__shell")).agg(F.sum("p").alias("__s"))
-    best = sums.groupBy(*keys).agg(F.max("__s").alias(name))
-    return pairs.join(best, keys, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+def _end(axis: str, at: str) -> Column:
+    return running_mass(F.col(f"f{axis}"), F.col("off") - F.col(at))
+
+
+def masses(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """pairs(ali, qs, qe, ts, te, off, ...) with qstart, qend, tstart, tend, each looked up in the alignment's profile."""
+    met = pairs.join(profiles(cells), "ali", "left")
+    return met.select(*pairs.columns, _start("q", "qs").alias("qstart"), _end("q", "qe").alias("qend"), _start("t", "ts").alias("tstart"), _end("t", "te").alias("tend"))
 
 
 def posterior(cells: DataFrame) -> DataFrame:
-    """P cells, the last of a repeated place, with the matrix's size (ncol, nrow)."""
-    p = cells.where("kind = 'P'").groupBy("ali", "q", "t").agg(F.max_by("p", "ord").alias("p"))
-    size = p.groupBy("ali").agg(F.max("q").alias("ncol"), F.max("t").alias("nrow"))
-    return p.join(size, "ali")
+    """(ali, q, t, p) of the P cells, the last of a repeated place."""
+    return cells.where("kind = 'P'").groupBy("ali", "q", "t").agg(F.max_by("p", "ord").alias("p"))
 
 
-def _starts_after() -> tuple[Column, Column]:
-    """Whether a posterior cell lies in the block that begins at (qs, ts), and its shell there."""
-    r, c = F.col("t") - F.col("ts"), F.col("q") - F.col("qs")
-    k = F.least("off", F.col("ncol") - F.col("qs") + 1, F.col("nrow") - F.col("ts") + 1)
-    return (r >= 0) & (c >= 0) & (r < k) & (c < k), F.greatest(r, c)
+def _sizes(post: DataFrame) -> DataFrame:
+    return post.groupBy("ali").agg(F.max("q").alias("ncol"), F.max("t").alias("nrow"))
 
 
-def _ends_before() -> tuple[Column, Column]:
-    """The same for the block that ends at (qe, te), empty on the last row or column."""
-    k = F.least("off", "qe", "te")
-    r, c = F.col("t") - 1 - (F.col("te") - k), F.col("q") - 1 - (F.col("qe") - k)
-    inside = (F.col("qe") > 0) & (F.col("te") > 0) & (F.col("qe") < F.col("ncol")) & (F.col("te") < F.col("nrow")) & (r >= 0) & (c >= 0) & (r < k) & (c < k)
-    return inside, F.least(r, c)
+#: Blocks of a posterior matrix: the first column and row, the side k, whether the block counts at all, and the shell of a cell at row r, column c.
+_BLOCKS = {
+    "sa": ("qs", "ts", "least(off, ncol - qs + 1, nrow - ts + 1)", "true", "greatest"),
+    "eb": ("qe - k + 1", "te - k + 1", "least(off, qe, te)", "qe > 0 and te > 0 and qe < ncol and te < nrow", "least"),
+    "sb": ("qs - k + 1", "ts - k + 1", "least(off, qs, ts)", "true", "least"),
+    "ea": ("qe", "te", "least(off, ncol - qe + 1, nrow - te + 1)", "true", "greatest"),
+}
+
+
+def _shells(pairs: DataFrame, post: DataFrame, *names: str) -> DataFrame:
+    """pairs with the greatest shell sum of each named block, 0 without any.
+
+    A block asks for its k columns, so a pair meets the cells of these columns only, by
+    (ali, q), and an alignment of many cells is not held by one task.
+    """
+    keys, sized = pairs.columns, pairs.join(_sizes(post), "ali")
+    blocks = []
+    for name in names:
+        q0, t0, k, counts, _ = _BLOCKS[name]
+        q0, t0 = q0.replace("k", f"({k})"), t0.replace("k", f"({k})")
+        blocks.append(f"if({counts} and {k} > 0, named_struct('of', '{name}', 'q0', cast({q0} as int), 't0', cast({t0} as int), 'k', cast({k} as int)), null)")
+    asked = sized.select(*keys, F.inline(F.filter(F.expr(f"array({', '.join(blocks)})"), lambda x: x.isNotNull())))
+    asked = asked.select(*keys, "of", "q0", "t0", "k", F.explode(F.expr("sequence(q0, q0 + k - 1)")).alias("q"))
+    r, c = F.col("t") - F.col("t0"), F.col("q") - F.col("q0")
+    outer = F.col("of").isin([x for x in names if _BLOCKS[x][4] == "greatest"])
+    shell = F.when(outer, F.greatest(r, c)).otherwise(F.least(r, c))
+    sums = asked.join(post, ["ali", "q"]).where((r >= 0) & (r < F.col("k"))).groupBy(*keys, "of", shell.alias("__shell")).agg(F.sum("p").alias("__s"))
+    best = sums.groupBy(*keys).agg(*[F.max(F.when(F.col("of") == x, F.col("__s"))).alias(x) for x in names])
+    return pairs.join(best, keys, "left").withColumns({x: F.coalesce(x, F.lit(0.0)) for x in names})
 
 
 def starts_after(pairs: DataFrame, post: DataFrame) -> DataFrame:
     """pairs(ali, qs, ts, off, ...) with sa: greatest shell sum of the block that begins at (qs, ts)."""
-    return _shell(pairs, post, *_starts_after(), "sa")
+    return _shells(pairs, post, "sa")
 
 
 def ends_before(pairs: DataFrame, post: DataFrame) -> DataFrame:
     """pairs(ali, qe, te, off, ...) with eb: greatest shell sum of the block that ends at (qe, te); 0 on the last row or column."""
-    return _shell(pairs, post, *_ends_before(), "eb")
+    return _shells(pairs, post, "eb")
 
 
 def starts_before(pairs: DataFrame, post: DataFrame) -> DataFrame:
     """pairs with sb: as ends_before, for the block that ends at (qs, ts), wherever that is."""
-    k = F.least("off", "qs", "ts")
-    r, c = F.col("t") - 1 - (F.col("ts") - k), F.col("q") - 1 - (F.col("qs") - k)
-    return _shell(pairs, post, (r >= 0) & (c >= 0) & (r < k) & (c < k), F.least(r, c), "sb")
+    return _shells(pairs, post, "sb")
 
 
-def ends_after(pairs: DataFrame, post: DataFrame) -> DataFrame:
-    """pairs with ea: greatest shell sum of the block of up to off places from (qe, te) on."""
-    r, c = F.col("t") - F.col("te"), F.col("q") - F.col("qe")
-    k = F.least("off", F.col("ncol") - F.col("qe") + 1, F.col("nrow") - F.col("te") + 1)
-    return _shell(pairs, post, (r >= 0) & (c >= 0) & (r < k) & (c < k), F.greatest(r, c), "ea")
+def ends_after(pairs: DataFrame, post: DataFrame, strict: bool = False) -> DataFrame:
+    """pairs with ea: greatest shell sum of the block of up to off places from (qe, te) on. A place out of the matrix gives 0, or with ``strict`` an error."""
+    if strict:
+        far = (F.col("qe") > F.col("ncol")) | (F.col("te") > F.col("nrow"))
+        sure = F.when(far, F.raise_error(F.concat_ws(" ", F.lit("a domain ends outside the matrix of"), F.col("ali").cast("string"))).cast("int")).otherwise(F.col("qe"))
+        pairs = pairs.join(_sizes(post), "ali", "left").select(*[sure.alias(c) if c == "qe" else F.col(c) for c in pairs.columns])
+    return _shells(pairs, post, "ea")
 
 
 def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p_low: float = 0.1, coverage: float = 0.8) -> DataFrame:
@@ -113,35 +152,24 @@ def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p
     Alignments that lack a kind of cells are passed over. The score is the product
     of the probability, the four masses and the two shell sums, in that order.
     """
-    full = cells.groupBy("ali").agg(F.countDistinct("kind").alias("k")).where("k = 3").select("ali")
+    known, post = materialize(profiles(cells), "profiles"), materialize(posterior(cells), "posterior")
     bounds = domain_bounds(fragments)
     q = bounds.select(F.col("seq").alias("query"), F.col("domain_no").alias("q_domain"), F.col("first").alias("qs"), F.col("last").alias("qe"), match_offset(F.col("len"), coverage).alias("off"), F.col("visit").alias("q_visit"))
     t = bounds.select(F.col("seq").alias("template"), F.col("domain_no").alias("t_domain"), F.col("first").alias("ts"), F.col("last").alias("te"), F.col("visit").alias("t_visit"))
-    own = alignments.join(full, "ali", "left_semi").select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob"))
-    ends = cells.where("kind in ('B', 'F')").select("ali", (F.col("kind") == "B").alias("starts"), "q", "t", "p")
+    own = alignments.join(post.select("ali"), "ali", "left_semi").select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob"))
     up_to = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    mass = lambda is_, c: F.coalesce(F.sum(F.when(is_ & c, F.col("p"))), F.lit(0.0))
     # the query's side of the ladder first: a template's domains meet only what is left
-    m = own.join(q, "query").join(ends, "ali").groupBy("ali", "query", "template", "prob", "q_domain", "qs", "qe", "off", "q_visit").agg(
-        mass(F.col("starts"), F.col("q") <= F.col("qs") + F.col("off")).alias("qstart"), mass(~F.col("starts"), F.col("q") >= F.col("qe") - F.col("off")).alias("qend")
-    )
+    m = own.join(known.where("size(bq) > 0 and size(fq) > 0").select("ali", "bq", "fq"), "ali").join(q, "query")
+    m = m.select("ali", "template", "prob", "q_domain", "qs", "qe", "off", "q_visit", _start("q", "qs").alias("qstart"), _end("q", "qe").alias("qend"))
     m = m.withColumn("s1", F.col("prob") * F.col("qend")).withColumn("s2", F.col("s1") * F.col("qstart"))
     q_stop = F.max((F.col("s1") < p_low).cast("int")).over(up_to(Window.partitionBy("ali").orderBy("q_visit")))
     m = m.withColumn("q_stop", q_stop).where(F.col("q_stop") == 0).where(F.col("s2") >= p_low).select("ali", "template", "q_domain", "qs", "qe", "off", "s2")
-    m = m.join(t, "template").join(ends, "ali").groupBy("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s2", "t_visit").agg(
-        mass(F.col("starts"), F.col("t") <= F.col("ts") + F.col("off")).alias("tstart"), mass(~F.col("starts"), F.col("t") >= F.col("te") - F.col("off")).alias("tend")
-    )
+    m = m.join(known.select("ali", "bt", "ft"), "ali").join(t, "template")
+    m = m.select("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s2", "t_visit", _start("t", "ts").alias("tstart"), _end("t", "te").alias("tend"))
     m = m.withColumn("s3", F.col("s2") * F.col("tend")).withColumn("s4", F.col("s3") * F.col("tstart"))
     t_stop = F.max((F.col("s3") < p_low).cast("int")).over(up_to(Window.partitionBy("ali", "q_domain").orderBy("t_visit")))
     m = m.withColumn("t_stop", t_stop).where(F.col("t_stop") == 0).where(F.col("s4") >= p_low).select("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s4")
-    # both shell sums from one join with the posterior: a cell counts for its shell of either block
-    block = lambda name, inside, shell: F.when(inside, F.struct(F.lit(name).alias("of"), shell.cast("int").alias("shell")))
-    shells = F.array(block("sa", *_starts_after()), block("eb", *_ends_before()))
-    met = m.join(posterior(cells), "ali").select("ali", "q_domain", "t_domain", "s4", "p", F.explode(F.filter(shells, lambda x: x.isNotNull())).alias("x"))
-    keys = ["ali", "q_domain", "t_domain", "s4"]
-    sums = met.groupBy(*keys, "x").agg(F.sum("p").alias("v"))
-    of = lambda name: F.coalesce(F.max(F.when(F.col("x.of") == name, F.col("v"))), F.lit(0.0))
-    best = sums.groupBy(*keys).agg(of("sa").alias("sa"), of("eb").alias("eb"))
+    best = _shells(materialize(m, "ladder"), post, "sa", "eb")
     return best.select("ali", "q_domain", "t_domain", (F.col("s4") * F.col("sa") * F.col("eb")).alias("score")).where("score <> 0")
 
 

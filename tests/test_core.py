@@ -138,6 +138,21 @@ def test_shells(spark):
         assert r.sb == brute_shell(grid, r.ts - k + 1, r.qs - k + 1, k, False)
         k = min(r.off, 8 - r.qe + 1, 7 - r.te + 1)
         assert r.ea == brute_shell(grid, r.te, r.qe, k, True)
+    inside = df.where("qe <= 8 and te <= 7")
+    assert scoring.ends_after(inside, post, strict=True).count() == inside.count()
+    with pytest.raises(Exception, match="outside the matrix"):
+        scoring.ends_after(df.withColumn("te", F.lit(8)), post, strict=True).collect()
+
+
+def test_masses(spark):
+    rng = random.Random(2)
+    cells = [(a, kind, 0, rng.randrange(1, 40), rng.randrange(1, 40), rng.randrange(1, 100) / 128) for a in (1, 2, 3) for kind in "BF" for _ in range(60) if a < 3 or kind == "B"]
+    pairs = [(a, *(rng.randrange(1, 45) for _ in range(4)), rng.randrange(1, 9)) for a in (1, 2, 3, 4) for _ in range(40)]
+    got = scoring.masses(spark.createDataFrame(pairs, "ali int, qs int, qe int, ts int, te int, off int"), spark.createDataFrame(cells, "ali int, kind string, ord int, q int, t int, p double"))
+    for r in got.collect():
+        total = lambda kind, fits: sum(p for a, k, _, q, t, p in cells if a == r.ali and k == kind and fits(q, t))  # noqa: E731, B023
+        want = (total("B", lambda q, _: q <= r.qs + r.off), total("F", lambda q, _: q >= r.qe - r.off), total("B", lambda _, t: t <= r.ts + r.off), total("F", lambda _, t: t >= r.te - r.off))  # noqa: B023
+        assert (r.qstart, r.qend, r.tstart, r.tend) == want
 
 
 def test_prefix_stop(spark):

@@ -1,15 +1,19 @@
 """Language ID with bit-sliced Bloom filters of character n-grams.
 
-A slot of the filter is a bit mask of languages. A language's n-grams (``gram``
-code points of the lower-cased text, whose runs of other than letters are one
-space) are put in, all of them up to ``most_grams``; a language with more gives
-about the ``most_grams`` it uses most, by bands of frequency and, in the last band,
-by hash. So every language that was taught has n-grams, however evenly it uses
-them, and the filter, which is broadcast, a proven size. A look-up ANDs a gram's
-slots and so returns all languages that have it in the filter. A language's share of a text's n-grams, corrected for
-false positives ((share - f) / (1 - f), f being the filter's rate for that
-language), decides; ties go to the first language by name. Shares over texts
-of all learned documents are counted; nothing is sampled.
+A slot of the filter is a bit mask of languages. All n-grams that a language was taught
+(``gram`` code points of the lower-cased text, whose runs of other than letters are
+one space) are put in. A look-up ANDs a gram's slots and so returns all languages that
+have it. A language's share of a text's n-grams, corrected for false positives
+((found - expected) / (n - expected), expected being what the filter's rate for that
+language lets in among n), decides; ties go to the first language by name. Shares over
+texts of all learned documents are counted; nothing is sampled.
+
+A filter has SLOTS slots for each distinct gram, a language's bits being as full as its
+own grams make them. Grams are dealt by hash to as many shards as keep a shard's
+filter within ``filter_bytes``, whatever the number of grams or languages; a shard's
+filter is built in one task. One shard is broadcast and texts are read once. Of several
+shards one after the other is broadcast, and texts are read once for each; a text's
+counts of all shards are added up before the languages are compared.
 
 Null texts and texts without a letter are ``und`` with score 0; so are all if
 nothing was learned. Null languages teach nothing. Rows that repeat a doc_id are
@@ -21,16 +25,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.common import written
 
 GRAM = 4
 HASHES = 3
+SLOTS = 8
+FILTER_BYTES = 32 << 20
 _letters: list[np.ndarray] = []
 
 
@@ -60,69 +68,81 @@ def grams(text: str | None, gram: int = GRAM) -> np.ndarray:
 
 
 def _slots(h: np.ndarray, size: int) -> list[np.ndarray]:
-    mask = np.uint64(size - 1)
-    return [(h >> np.uint64(21 * i) & mask).astype(np.int64) for i in range(HASHES)]
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return [((a + np.uint64(i) * b) & np.uint64(size - 1)).astype(np.int64) for i in range(HASHES)]
+
+
+def _mask_type(languages: int) -> type:
+    return next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(languages, 64) <= 8 * np.dtype(t).itemsize)
 
 
 class Filter:
-    """Bit-sliced Bloom filter; languages beyond 64 take further slices."""
-
-    def __init__(self, languages: list[str], members: list[np.ndarray]):
-        self.languages = languages
-        self.size = 1 << min(21, max(10, math.ceil(math.log2(8 * max(1, len(np.unique(np.concatenate([*members, np.zeros(0, np.uint64)]))))))))
-        self.slices = np.zeros((-(-max(1, len(languages)) // 64), self.size), np.uint64)
-        for k, h in enumerate(members):
-            for s in _slots(h, self.size):
-                np.bitwise_or.at(self.slices[k // 64], s, np.uint64(1 << k % 64))
-        filled = [float((self.slices[k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean()) for k in range(len(languages))]
+    """Bit-sliced Bloom filter of grams h, the i-th of language k[i]; languages beyond 64 take further slices."""
+
+    def __init__(self, languages: int, h: np.ndarray, k: np.ndarray):
+        self.languages, kind = languages, _mask_type(languages)
+        self.size = 1 << max(10, (SLOTS * max(1, len(np.unique(h))) - 1).bit_length())
+        self.slices = np.zeros((-(-max(1, languages) // 64), self.size), kind)
+        for i, cells in enumerate(self.slices):
+            own = k // 64 == i
+            bit = np.left_shift(np.uint64(1), (k[own] % 64).astype(np.uint64)).astype(kind)
+            for s in _slots(h[own], self.size):
+                np.bitwise_or.at(cells, s, bit)
+        filled = [float((self.slices[j // 64] >> kind(j % 64) & kind(1)).mean()) for j in range(languages)]
         self.false = np.array([f**HASHES for f in filled])
 
-    def shares(self, h: np.ndarray) -> np.ndarray:
-        """Each language's share of the n-grams, corrected."""
-        slots = _slots(h, self.size)
-        found = np.zeros(len(self.languages))
+    def found(self, h: np.ndarray) -> np.ndarray:
+        """How many of the grams each language has."""
+        slots, out = _slots(h, self.size), np.zeros(self.languages, np.int64)
         for i, cells in enumerate(self.slices):
             masks = cells[slots[0]]
             for s in slots[1:]:
                 masks = masks & cells[s]
-            for k in range(64 * i, min(64 * i + 64, len(self.languages))):
-                found[k] = np.count_nonzero(masks & np.uint64(1 << k % 64))
-        return np.clip((found / len(h) - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
-
-    def decide(self, text: str | None) -> tuple[str, float]:
-        h = grams(text)
-        if not len(h) or not self.languages:
-            return "und", 0.0
-        share = self.shares(h)
-        best = int(np.argmax(share))
-        return self.languages[best], float(share[best])
-
-
-def most_used(counts: DataFrame, most_grams: int) -> DataFrame:
-    """(lang, h) of counts(lang, h, n): all of a language, or about its ``most_grams`` of greatest n.
-
-    The languages' bands (a sixteenth of a doubling of n) are counted; bands that fit
-    stay, of the first that does not the least hashes, in proportion to the room left.
-    No language's rows are sorted or gathered.
-    """
-    banded = counts.withColumn("band", F.floor(F.log2(F.col("n")) * 16))
-    sizes = banded.groupBy("lang", "band").count()
-    above = F.coalesce(F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = sizes.withColumn("room", (most_grams - above) / F.col("count")).where("room > 0").select("lang", "band", "room")  # a language has a few hundred bands
-    part = F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
-    return banded.join(F.broadcast(room), ["lang", "band"]).where(part < F.col("room")).select("lang", "h")
-
-
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_grams: int = 20_000) -> Filter:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for j in range(64 * i, min(64 * i + 64, self.languages)):
+                out[j] = np.count_nonzero(masks & cells.dtype.type(1 << j % 64))
+        return out
+
+
+def decided(languages: list[str], n: int, found: np.ndarray, expected: np.ndarray) -> tuple[str, float]:
+    """The language of the greatest corrected share of n grams."""
+    if not n or not languages:
+        return "und", 0.0
+    share = np.clip((found - expected) / np.maximum(n - expected, 1e-9 * n), 0, 1)
+    best = int(np.argmax(share))
+    return languages[best], float(share[best])
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+
+
+@dataclass(frozen=True)
+class Model:
+    """What was learned: languages by name, and a written table (shard, size, slices, false) of a filter for each shard."""
+
+    languages: list[str]
+    shards: int
+    filters: DataFrame | None
+
+    def filter(self, shard: int) -> Filter:
+        row = self.filters.where(F.col("shard") == shard).first()
+        out = Filter.__new__(Filter)
+        out.languages, out.size, out.false = len(self.languages), row["size"], np.array(row["false"])
+        out.slices = np.frombuffer(bytes(row["slices"]), _mask_type(len(self.languages))).reshape(-1, out.size)
+        return out
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", filter_bytes: int = FILTER_BYTES) -> Model:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each batch's distinct grams by language."""
         for b in batches:
             by: dict[str, list] = {}
             held = 0
 
             def told() -> Iterator[pa.RecordBatch]:
                 for lang, parts in by.items():
-                    h, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "h", "n"])
+                    h = np.unique(np.concatenate(parts))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64))], ["lang", "h"])
                 by.clear()
 
             for text, lang in zip(b.column(0), b.column(1).to_pylist()):
@@ -135,30 +155,91 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_
             yield from told()
 
     taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = written(taught.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "grams")
-    often = most_used(counts, most_grams).toPandas()  # about most_grams rows a language
-    names = sorted(often["lang"].unique())
-    return Filter(names, [np.sort(often.loc[often["lang"] == x, "h"].to_numpy(np.int64)).view(np.uint64) for x in names])
+    known = written(taught.mapInArrow(tell, "lang string, h long").distinct(), "grams")
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # a row a language
+    if not names:
+        return Model([], 1, None)
+    languages = len(names)
+    slot_bytes = np.dtype(_mask_type(languages)).itemsize * -(-languages // 64)
+    shards = max(1, math.ceil(known.select("h").distinct().count() * SLOTS * 2 * slot_bytes / filter_bytes))  # sizes are powers of two, so up to twice the slots
+    number = {x: i for i, x in enumerate(names)}
+
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            h = pdf["h"].to_numpy(np.int64)
+            yield pd.DataFrame({"shard": _shard(h.view(np.uint64), shards).astype(np.int32), "h": h, "k": pdf["lang"].map(number).astype(np.int32)})
 
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = Filter(languages, pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["k"].to_numpy())
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "size": [f.size], "slices": [f.slices.tobytes()], "false": [f.false.tolist()]})
 
-def identify(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
+    rows = known.mapInPandas(dealt, "shard int, h long, k int").groupBy("shard")
+    return Model(names, shards, written(rows.applyInPandas(build, "shard int, size long, slices binary, false array<double>"), "filters"))
+
+
+def _counts(model: Model, shard: int, df: DataFrame, text_col: str) -> DataFrame:
+    """(__row, n, found, expected) of df(__row, text), by one shard of the filter."""
+    shared, shards, nothing = df.sparkSession.sparkContext.broadcast(model.filter(shard)), model.shards, [0] * len(model.languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, found, expected = [], [], []
+            for t in b.column(text_col):
+                h = grams(t.as_py())
+                h = h[_shard(h, shards) == shard]
+                n.append(len(h))
+                found.append(shared.value.found(h).tolist() if len(h) else nothing)
+                expected.append((len(h) * shared.value.false).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(expected, pa.list_(pa.float64()))], ["__row", "n", "found", "expected"])
+
+    return df.select("__row", text_col).mapInArrow(run, "__row long, n long, found array<long>, expected array<double>")
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not model.languages:
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    if model.shards == 1:
+        return _identify_at_once(docs, model, text_col)
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    parts = None
+    for shard in range(model.shards):
+        part = written(_counts(model, shard, docs, text_col), "language-counts")
+        parts = part if parts is None else parts.union(part)
+    # a row has one list for each shard
+    each = parts.groupBy("__row").agg(F.sum("n").alias("n"), F.collect_list("found").alias("found"), F.collect_list("expected").alias("expected"))
+    added = lambda c: F.aggregate(F.slice(c, F.lit(2), F.size(c)), F.get(F.col(c), F.lit(0)), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias(c)
+    each = each.select("__row", "n", added("found"), added("expected"))
+    names = model.languages
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [decided(names, n, np.array(f), np.array(e)) for n, f, e in zip(*(b.column(c).to_pylist() for c in ("n", "found", "expected")))]
+            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], ["__row", "lang_pred", "score"])
+
+    return docs.join(each.mapInArrow(run, "__row long, lang_pred string, score double"), "__row").drop("__row")
+
+
+def _identify_at_once(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    shared, names = docs.sparkSession.sparkContext.broadcast(model.filter(0)), model.languages
     fields = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [shared.value.decide(t.as_py()) for t in b.column(text_col)]
+            said = []
+            for t in b.column(text_col):
+                h = grams(t.as_py())
+                said.append(decided(names, len(h), shared.value.found(h), len(h) * shared.value.false))
             yield pa.RecordBatch.from_arrays([*(b.column(f) for f in fields), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], [*fields, "lang_pred", "score"])
 
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def identify_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_grams: int = 20_000) -> DataFrame:
+def identify_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learns from the rows that are not held out (crc32 of the id mod 4 is 2)."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-    model = learn(docs.where(~held), text_col, lang_col, most_grams)
+    model = learn(docs.where(~held), text_col, lang_col, filter_bytes)
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     return identify(rows, model).drop("text")

@@ -847,31 +847,45 @@ def han(rng, n):
     return "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
 
 
+def corrected(model, text):
+    """Shares of a text's grams over all shards of the filter."""
+    h = langid.grams(text)
+    own = langid._shard(h, model.shards)
+    filters = [model.filter(k) for k in range(model.shards)]
+    found = sum(f.found(h[own == k]) for k, f in enumerate(filters))
+    expected = sum((own == k).sum() * f.false for k, f in enumerate(filters))
+    return np.clip((found - expected) / np.maximum(len(h) - expected, 1e-9), 0, 1)
+
+
+@pytest.mark.parametrize("filter_bytes", [langid.FILTER_BYTES, 1 << 16])
+def test_every_taught_gram_is_in_the_filter(spark, filter_bytes):
+    """Languages of over 20,000 n-grams, each used as often as the others, with one shard and with many."""
+    rng = random.Random(21)
+    latin = lambda n=40: " ".join(rng.choice(["the", "river", "of", "stone", "walks", "under"]) for _ in range(n))
+    text, other = han(rng, 60_000), han(rng, 30_000)
+    rows = [(1, text, "zh"), (1, text, "zh"), (3, latin(), "en"), (5, other, "ja"), (7, latin(), "en")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), filter_bytes=filter_bytes)
+    assert model.languages == ["en", "ja", "zh"] and (model.shards == 1) == (filter_bytes == langid.FILTER_BYTES)
+    sets = {k: set(x for r in rows if r[2] == k for x in langid.grams(r[1]).tolist()) for k in model.languages}
+    assert len(sets["zh"]) > 50_000 and len(sets["ja"]) > 25_000
+    mixed = [text, other, text[:20_000] + other[:12_000], latin(300), "the river " + text[:50], han(rng, 500), "", None]
+    for t in filter(None, mixed):
+        h = langid.grams(t).tolist()
+        exact = np.array([np.mean([x in sets[k] for x in h]) for k in model.languages])
+        share = corrected(model, t)
+        assert np.abs(share - exact).max() < (0.005 if len(h) > 10_000 else 0.05)
+        assert all(s > 0.9999 for s, x in zip(share, exact) if x == 1)  # no taught gram is missing
+    got = {r.i: r for r in langid.identify(spark.createDataFrame(list(enumerate(mixed)), "i long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 3, 6, 7)] == ["zh", "ja", "en", "und", "und"] and len(got) == len(mixed)
+    assert all(abs(got[i].score - corrected(model, t).max()) < 1e-12 for i, t in enumerate(mixed) if t)
+
+
 def test_language_of_even_grams_is_learned(spark):
     rng = random.Random(21)
     latin = lambda: " ".join(rng.choice(["the", "river", "of", "stone", "walks", "under"]) for _ in range(40))
     rows = [(i, han(rng, 120) if i % 2 else latin(), "zh" if i % 2 else "en") for i in range(800)]
     got = {r.doc_id: r for r in langid.identify_held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(r.lang_pred == rows[i][2] for i, r in got.items() if not r.held_out)
-    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=50).languages == ["en", "zh"]
-    text = han(rng, 60_000)
-    long_ = spark.createDataFrame([(1, text, "zh"), (1, text, "zh"), (3, latin(), "en")], "doc_id long, text string, lang string")
-    model = langid.learn(long_, most_grams=1_000_000)
-    share = model.shares(langid.grams(text))
-    assert share[1] > 0.999 and share[0] < 0.01  # every gram of every learned text is in the filter
-
-
-def test_most_used_grams(spark):
-    rng = random.Random(22)
-    counts = {("a", h): 1 for h in range(3000)} | {("b", h): rng.randrange(1, 500) for h in range(4000)} | {("c", h): 7 for h in range(40)}
-    df = spark.createDataFrame([(*k, n) for k, n in counts.items()], "lang string, h long, n long")
-    got = Counter()
-    kept = {(r.lang, r.h) for r in langid.most_used(df, 1000).collect()}
-    for lang, _ in kept:
-        got[lang] += 1
-    assert 850 < got["a"] < 1150 and 850 < got["b"] < 1150 and got["c"] == 40
-    least = min(counts[k] for k in kept if k[0] == "b")
-    assert all(k in kept for k, n in counts.items() if k[0] == "b" and n > least * 1.05)
 
 
 def test_filter_returns_all_languages_of_a_gram(spark):
@@ -883,11 +897,12 @@ def test_filter_returns_all_languages_of_a_gram(spark):
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     sets = {k: set(langid.grams(t).tolist()) for k, t in texts.items()}
     assert model.languages == sorted(texts)
+    one = model.filter(0)
     for k, t in texts.items():
         h = langid.grams(t)
         exact = np.array([np.mean([x in sets[c] for x in h.tolist()]) for c in model.languages])
-        assert np.abs(model.shares(h) - exact).max() < 0.05
-        assert model.decide(t)[0] in [c for c, x in zip(model.languages, exact) if x == exact.max()]
+        assert np.abs(corrected(model, t) - exact).max() < 0.05
+        assert langid.decided(model.languages, len(h), one.found(h), len(h) * one.false)[0] in [c for c, x in zip(model.languages, exact) if x == exact.max()]
 
 
 # --- pipeline

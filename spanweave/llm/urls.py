@@ -152,9 +152,10 @@ def with_membership(df: DataFrame, key_col: str, listed: DataFrame, out_col: str
                 yield pa.RecordBatch.from_arrays([*(b.column(f) for f in fields), pa.array(out)], [*fields, out_col])
 
         return hashed.mapInArrow(run, schema)
+    plain = [f"`{f.name}`" for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]  # a row that is made again goes to the same group
     left = hashed.withColumn("__shard", F.pmod("__0", F.lit(n)))
     groups = written(left.groupBy("__shard").agg(F.ceil(F.count("*") / F.lit(group_rows)).cast("int").alias("__groups")), "groups")  # a row a shard
-    left = left.join(F.broadcast(groups), "__shard").withColumn("__salt", F.floor(F.rand(7) * F.col("__groups")).cast("int"))
+    left = left.join(F.broadcast(groups), "__shard").withColumn("__salt", F.pmod(F.xxhash64(*plain, F.lit(7)), F.col("__groups")).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.col("__groups") - 1)).alias("__salt")
     right = cascade.withColumnsRenamed({"shard": "__shard"}).join(F.broadcast(groups), "__shard").select("__shard", "levels", salts)
 

@@ -9,8 +9,8 @@ hash-joined by identifier.
 A result depends on its call and nothing depends on a result, so the order of
 dependence has two levels, and a message's place is told without its neighbours: a
 result stands at the later of the two turns, after the messages of that turn, any other
-message at its own turn. (order_turn, order_rank, turn) sorts a conversation, every
-result after its call. One row is returned per message, never a whole
+message at its own turn. (order_turn, order_rank, turn, json) sorts a conversation, every
+result after its call; messages of one turn and rank stand in the order of their JSON. One row is returned per message, never a whole
 conversation, since a conversation has no size bound.
 
 status: plain; call (all calls valid and answered), invalid_call (a call has no
@@ -108,14 +108,15 @@ def format_chat(
     answers = results.select(F.col("conv_id").alias("conv2"), F.col("result_of").alias("id2")).distinct()
     same = lambda own: F.col("conv_id").eqNullSafe(F.col("conv2")) & (F.col(own) == F.col("id2"))
     content, role = _string(F.col("content")), _string(F.col("role"))
-    answering = results.hint("shuffle_hash").join(first_call, same("result_of"), "left").select(
+    # the hash tables hold one row for each identifier; many results or calls of one are split by adaptive execution
+    answering = results.join(first_call.hint("shuffle_hash"), same("result_of"), "left").select(
         "conv_id", "turn", "role", F.greatest("turn", "call_turn").alias("order_turn"), F.lit(1).alias("order_rank"),
         F.when(F.col("id2").isNull(), "unlinked_result").otherwise("result").alias("status"),
         _object(content=content, role=role, tool_call_id=_string(F.col("result_of"))).alias("json"),
     )
     # a message's calls part, meet their answers and are put together again
     own = ["mid", "conv_id", "turn", "role", "content"]
-    call = asking.select(*own, F.posexplode_outer("calls").alias("k", "c")).select(*own, "k", "c", F.col("c.call_id").alias("call_id")).hint("shuffle_hash").join(answers, same("call_id"), "left")
+    call = asking.select(*own, F.posexplode_outer("calls").alias("k", "c")).select(*own, "k", "c", F.col("c.call_id").alias("call_id")).join(answers.hint("shuffle_hash"), same("call_id"), "left")
     part = F.when(F.col("c").isNotNull(), F.struct("k", "c.call_id", "c.name", "c.args", "c.ok", F.col("id2").isNotNull().alias("answered")))
     one = lambda p: _object(arguments=p["args"], id=_string(p["call_id"]), name=_string(p["name"]))
     calling = call.groupBy(*own).agg(F.array_sort(F.collect_list(part)).alias("parts")).select(

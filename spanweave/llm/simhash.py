@@ -11,7 +11,8 @@ A shard holds the fingerprints that agree on one of radius + 1 bit blocks (two
 fingerprints within the radius agree on one at least), and the shuffle brings
 each shard's tree and its queries to one task. A shard over ``shard_limit`` is
 dealt again by blocks of its remaining bits, until none is over the limit or
-no bits remain, so that a task's tree is bounded and no link is lost.
+radius bits or fewer remain (2^radius fingerprints at most), so that a task's tree is
+bounded and no link is lost.
 """
 
 from __future__ import annotations
@@ -211,7 +212,8 @@ def near_links(fps: DataFrame, radius: int = 4, shard_limit: int = 16_384, fp_co
         large = written(rows.groupBy("path", "value").count().where(F.col("count") > shard_limit).select("path", "value"), "shards")
         grown = {r["path"] for r in large.select("path").distinct().collect()}  # one of (radius + 1) ** depth paths
         deeper = {p: [b for b in range(64) if not m >> b & 1] for p, m, _ in level if p in grown}
-        deeper = {p: rest for p, rest in deeper.items() if rest}
+        deeper = {p: rest for p, rest in deeper.items() if len(rest) > radius}  # else all are within the radius, 2 ** radius at most
+        large = large.where(F.col("path").isin(list(deeper)))
         if not deeper:
             small = rows
         else:

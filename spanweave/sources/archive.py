@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanweave.sources.archive_source import FORMAT, open_archive, open_path, pairs, register
+
 ALIGNMENTS = "entry string, query string, query_length int, idx int, template string, template_length int, probability int, similarity double"
 CELLS = "entry string, idx int, kind string, ord int, q int, t int, p double"
 
@@ -25,13 +26,6 @@ def _shard(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
 
 
-def _open(path: str):
-    """(file system, path in it) of a path or URI, in a Python worker."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def read_archive(spark: SparkSession, data_path: str, index_path: str, task_bytes: int = 128 << 20, ranges: bool = True) -> DataFrame:
     """(name, content): each entry without its closing zero byte.
 
@@ -39,48 +33,19 @@ def read_archive(spark: SparkSession, data_path: str, index_path: str, task_byte
     belong together whatever their names; of more, those whose names agree up to the
     extension (as write_archive names them), and an index without data file is refused.
 
-    Only the entries' bytes are read: the index rows are dealt out by place, about
-    task_bytes of data a task, and each task seeks them. That needs a store pyarrow can
-    open from the workers (local or mounted folders, HDFS, S3, GCS); with ranges=False
+    Only the bytes of the entries asked for are read, see archive_source. That needs a
+    store pyarrow can open (local or mounted folders, HDFS, S3, GCS); with ranges=False
     data files come through Spark's reader instead, whole, so they may have 2 GB each.
     """
-    files = spark.read.format("binaryFile").load(data_path).select(F.col("path").alias("data"), _shard(F.col("path")).alias("shard"))
+    known = pairs(data_path, index_path)
+    if ranges:
+        return open_archive(spark, data_path, index_path, task_bytes)
     index = spark.read.csv(index_path, sep="\t", schema="name string, offset long, length long").select("*", _shard(F.col("_metadata.file_path")).alias("shard"))
-    sizes = index.groupBy("shard").agg(F.sum("length").alias("bytes"), F.count("*").alias("n"))
-    known = files.withColumn("here", F.lit(True)).join(sizes, "shard", "full").agg(
-        F.count("here").alias("files"), F.count("n").alias("indexes"), F.count_if(F.col("here").isNull()).alias("lost"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")
-    ).first()
-    if known.files == 1 and known.indexes <= 1:
-        files, index = files.withColumn("shard", F.lit("")), index.withColumn("shard", F.lit(""))
-    elif known.lost:
-        raise ValueError(f"{known.lost} of {known.indexes} index files have no data file of their name")
-    if not ranges:
-        whole = spark.read.format("binaryFile").load(data_path).select(F.col("path").alias("data"), "content")
-        cut = F.expr("substring(content, cast(offset + 1 as int), cast(length - 1 as int))")
-        return index.join(files, "shard").join(whole, "data").select("name", cut.alias("content"))
-    tasks = max(1, -(-int(known.bytes) // task_bytes))
-    places = index.join(files, "shard").select("name", "data", "offset", "length").repartitionByRange(tasks, "data", "offset").sortWithinPartitions("data", "offset")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, handle = None, None
-        for b in batches:
-            names, contents, held = [], [], 0
-            for name, data, offset, length in zip(*(c.to_pylist() for c in b.columns)):
-                if data != path:
-                    system, inner = _open(data)
-                    path, handle = data, system.open_input_file(inner)
-                content = handle.read_at(max(length - 1, 0), offset)
-                if len(content) != max(length - 1, 0):
-                    raise ValueError(f"{data} ends before entry {name}")
-                names.append(name)
-                contents.append(content)
-                held += len(content)
-                if held > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["name", "content"])
-                    names, contents, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["name", "content"])
-
-    return places.mapInArrow(run, "name string, content binary")
+    whole = spark.read.format("binaryFile").load(data_path).select(_shard(F.col("path")).alias("shard"), "content")
+    if len(known) == 1:
+        index, whole = index.withColumn("shard", F.lit("")), whole.withColumn("shard", F.lit(""))
+    cut = F.expr("substring(content, cast(offset + 1 as int), cast(length - 1 as int))")
+    return index.join(whole, "shard").select("name", cut.alias("content"))
 
 
 def write_archive(entries: DataFrame, out: str, shards: int = 1) -> DataFrame:
@@ -88,50 +53,19 @@ def write_archive(entries: DataFrame, out: str, shards: int = 1) -> DataFrame:
 
     Entries go to shards by a hash of their name and stand there in the order of their
     names; the last byte of each gives way to the zero byte, names are cut to 64 signs.
-    A shard is streamed by one task, which writes to files of its own and renames them
-    when they are whole, so a lost or repeated task leaves no half of one. Returns
-    (shard, data, index, entries, bytes) of what was written. out is on a store pyarrow can write.
+    A shard is streamed by one task; files get their names when all tasks have ended, and
+    a job that fails leaves none. Returns (shard, data, index, entries, bytes) of what was
+    written. out is on a store pyarrow can write.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, now, parts = [], None, None
-
-        def close() -> None:
-            data, index, at, n = parts
-            data.close()
-            index.close()
-            paths = []
-            for kind in ("ffdata", "ffindex"):
-                paths.append(f"{out}/part-{now:05d}.{kind}")
-                system, inner = _open(paths[-1])
-                system.move(f"{inner}.{mark}", inner)
-            made.append((now, *paths, n, at))
-
-        mark = uuid.uuid4().hex
-        for b in batches:
-            for shard, name, content in zip(*(c.to_pylist() for c in b.columns)):
-                if shard != now:
-                    if parts:
-                        close()
-                    now = shard
-                    system, inner = _open(f"{out}/part-{shard:05d}")
-                    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                    parts = [system.open_output_stream(f"{inner}.ffdata.{mark}"), system.open_output_stream(f"{inner}.ffindex.{mark}"), 0, 0]
-                payload = (content or b"")[:-1] + b"\0"
-                parts[0].write(payload)
-                parts[1].write(f"{name[:64]}\t{parts[2]}\t{len(payload)}\n".encode())
-                parts[2] += len(payload)
-                parts[3] += 1
-        if parts:
-            close()
-        for row in made:
-            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "data", "index", "entries", "bytes"), row))], schema)
-
-    schema = pa.schema([("shard", pa.int32()), ("data", pa.string()), ("index", pa.string()), ("entries", pa.int64()), ("bytes", pa.int64())])
+    spark = register(entries.sparkSession)
     rows = entries.select(F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"), "name", "content")
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "name")
-    done = dealt.mapInArrow(run, "shard int, data string, index string, entries long, bytes long").collect()  # one row a shard
-    return entries.sparkSession.createDataFrame(done, "shard int, data string, index string, entries long, bytes long")
+    rows.repartition(shards, "shard").sortWithinPartitions("shard", "name").write.format(FORMAT).mode("append").save(out)
+    system, inner = open_path(out)
+    if not any(i.base_name.endswith(".ffindex") for i in system.get_file_info(fs.FileSelector(inner, allow_not_found=True))):
+        return spark.createDataFrame([], "shard int, data string, index string, entries long, bytes long")
+    index = spark.read.csv(f"{out}/part-*.ffindex", sep="\t", schema="name string, offset long, length long").groupBy(F.col("_metadata.file_path").alias("index")).agg(F.count("*").alias("entries"), F.sum("length").alias("bytes"))
+    number = F.regexp_extract("index", r"part-(\d+)\.ffindex$", 1).cast("int").alias("shard")
+    return index.select(number, F.regexp_replace("index", r"ffindex$", "ffdata").alias("data"), "index", "entries", "bytes")
 
 
 def write_entry_to_file(entries: DataFrame, name: str, path: str) -> None:
@@ -139,7 +73,7 @@ def write_entry_to_file(entries: DataFrame, name: str, path: str) -> None:
     row = lines_of(entry_by_name(entries, name)).first()
     if row is None or row["lines"] is None:
         raise ValueError(f"no entry {name}" if row is None else f"entry {name} is not UTF-8")
-    system, inner = _open(path)
+    system, inner = open_path(path)
     with system.open_output_stream(inner) as out:
         for line in row["lines"]:
             out.write(f"{line}\n".encode())

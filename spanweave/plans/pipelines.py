@@ -13,13 +13,13 @@ from spanweave.sources import archive, text
 
 def similarity_graph(spark: SparkSession, data: str, index: str, predictions: str, p_low: float = 0.1, coverage: float = 0.8, four_decimals: bool = True) -> DataFrame:
     """(src, dst, w), both directions, from an archive of packed alignments and the predicted domains."""
-    entries = archive.read_archive(spark, data, index)
     fragments = text.read_fragments(spark, predictions)
-    found = archive.read_alignments(entries).withColumn("query", entry_query(F.col("entry")))
-    ali = F.concat_ws(":", "entry", F.col("idx").cast("string")).alias("ali")
-    alignments = scoring.prefix_stop(found, p_low).select(ali, "query", "template", "probability")
-    cells = archive.read_cells(entries).select(ali, "kind", "ord", "q", "t", "p")
-    scores = scoring.pair_scores(materialize(alignments, "alignments"), fragments, materialize(cells, "cells"), p_low, coverage)
+    ali = F.concat_ws(":", "entry", F.col("idx").cast("string"))
+    packed = materialize(archive.read_packed(archive.read_archive(spark, data, index)).withColumn("ali", ali), "packed")  # the archive is decoded once
+    found = packed.drop("cells").withColumn("query", entry_query(F.col("entry")))
+    alignments = materialize(scoring.prefix_stop(found, p_low).select("ali", "query", "template", "probability"), "alignments")
+    cells = packed.join(alignments.select("ali"), "ali", "left_semi").select("ali", F.inline("cells"))
+    scores = scoring.pair_scores(alignments, fragments, cells, p_low, coverage)
     named = scores.join(alignments.select("ali", "query", "template"), "ali").select(
         F.concat_ws("_", "query", F.col("q_domain").cast("string")).alias("src"), F.concat_ws("_", "template", F.col("t_domain").cast("string")).alias("dst"),
         (exact_4f("score").cast("double") if four_decimals else F.col("score")).alias("w"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -150,31 +150,43 @@ def decode_alignments(data: bytes) -> tuple[str | None, int | None, list]:
     return query, length, out
 
 
-def read_alignments(entries: DataFrame) -> DataFrame:
-    """entries(name, content) to alignment rows."""
+def _decoded(entries: DataFrame, with_cells: bool) -> DataFrame:
+    """Alignment rows, with their cells as an array of (kind, ord, q, t, p) if asked for."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    own = [f.split() for f in ALIGNMENTS.split(",")]
+    part = pa.struct([(f, kinds[k]) for f, k in (x.split() for x in CELLS.split(",")[2:])])
+    schema = pa.schema([*((f, kinds[k]) for f, k in own), *([("cells", pa.list_(part))] if with_cells else [])])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for name, data in zip(pdf["name"], pdf["content"]):
-                query, length, found = decode_alignments(bytes(data))
-                rows += [(name, query, length, i, t, n, p, s) for i, (t, n, p, s, _) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in ALIGNMENTS.split(",")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                query, length, found = decode_alignments(data)
+                rows = [(name, query, length, i, t, n, p, s) for i, (t, n, p, s, _) in enumerate(found)]
+                columns = [pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema) if f.name != "cells"]
+                if with_cells:
+                    each = [(kind, o, *cell) for *_, m in found for kind in "BFP" for o, cell in enumerate(m[kind])]
+                    ends = np.cumsum([0] + [sum(map(len, m.values())) for *_, m in found])
+                    flat = pa.StructArray.from_arrays([pa.array([x[c] for x in each], f.type) for c, f in enumerate(part)], fields=list(part))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return entries.where("length(content) > 0").select("name", "content").mapInPandas(run, ALIGNMENTS)
+    cells = ", cells array<struct<kind:string,ord:int,q:int,t:int,p:double>>" if with_cells else ""
+    return entries.where("length(content) > 0").select("name", "content").mapInArrow(run, ALIGNMENTS + cells)
 
 
-def read_cells(entries: DataFrame) -> DataFrame:
-    """entries(name, content) to cells of kinds B, F and P."""
+def read_packed(entries: DataFrame) -> DataFrame:
+    """entries(name, content) to alignment rows with their cells, an array of (kind, ord, q, t, p): one pass for both."""
+    return _decoded(entries, True)
+
+
+def read_alignments(entries: DataFrame) -> DataFrame:
+    """entries(name, content) to alignment rows."""
+    return _decoded(entries, False)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for name, data in zip(pdf["name"], pdf["content"]):
-                _, _, found = decode_alignments(bytes(data))
-                rows = [(name, i, kind, o, q, t, p) for i, (_, _, _, _, m) in enumerate(found) for kind in "BFP" for o, (q, t, p) in enumerate(m[kind])]
-                yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in CELLS.split(",")])
 
-    return entries.where("length(content) > 0").select("name", "content").mapInPandas(run, CELLS)
+def read_cells(entries: DataFrame) -> DataFrame:
+    """entries(name, content) to cells of kinds B, F and P."""
+    return read_packed(entries).select("entry", "idx", F.inline("cells"))
 
 
 def read_alignments_file(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.scalars import exact_4f, intervals_text
+from spanweave.operators.components import materialize
 
 HIT_FIELDS = (
     "query_id string, query_length int, query_neff double, template_id string, template_info string, template_neff double, query_ali string, "
@@ -195,6 +196,12 @@ def hit_errors(entries: DataFrame) -> DataFrame:
     return _parsed_hits(entries).where("error is not null").select("name", "error")
 
 
+def hits_and_errors(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What read_hits and hit_errors give, from one pass over the entries, which is written."""
+    parsed = materialize(_parsed_hits(entries), "hits")
+    return parsed.where("error is null").drop("error"), parsed.where("error is not null").select("name", "error")
+
+
 def read_hits_file(spark: SparkSession, path: str) -> DataFrame:
     """The hits of search results that are files of their own; the name is the file's path."""
     whole = spark.read.text(path, wholetext=True)

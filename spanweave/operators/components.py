@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from spanweave.session import intermediate_dir
 HUB_ROWS = 100_000
 #: So many hubs there may be for each copy of the rows; they are broadcast.
 HUBS = 50_000
+#: Edges that a task contracts at once, and edges at most that are left to one task: under 100 MB of ids of eight bytes.
+CHUNK_ROWS, TASK_ROWS = 2_000_000, 1_000_000
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,21 +56,76 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least it is connected to by the edges (u, v): roots are hooked to lesser ones, paths are halved."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        open_ = low < high
+        if not open_.any():
+            return root
+        u, v = u[open_], v[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def contracted(pairs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """pairs(u, v) of a task, chunk_rows at a time, as edges from each node to the least it is connected to there.
+
+    Components stay as they are; what is left of a chunk is an edge a node at most.
+    """
+    names = ["u", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def stars() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks()
+            coded = ends.dictionary_encode()
+            order = pc.array_sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            place = rank[coded.indices.to_numpy()]
+            root = forest(place[: len(table)], place[len(table) :], len(order))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            take = lambda at: coded.dictionary.take(pa.array(order[at]))
+            return pa.RecordBatch.from_arrays([take(moved), take(root[moved])], names)
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= chunk_rows:
+                yield stars()
+                held, rows = [], 0
+        if rows:
+            yield stars()
+
+    kind = pairs.schema["u"].dataType.simpleString()
+    return pairs.select(*names).mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, task_rows: int = TASK_ROWS) -> DataFrame:
     """Edges (u, v): v is the least node of u's component, u any other of its nodes.
 
-    Alternates the large-star and small-star steps until the edge set stays the
-    same. Each round is written to the shared folder, so lineage stays short.
+    Tasks contract their edges to stars before the first and in each round. Rounds of
+    the large-star and the small-star step go on until the edge set stays the same, or until it has
+    task_rows rows at most, which one task contracts to the end. Each round is written
+    to the shared folder, so lineage stays short.
     """
-    pairs = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where("u <> v").distinct()
-    now = materialize(pairs, "cc")
+    pairs = contracted(edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where("u <> v"))
+    now = materialize(pairs.distinct(), "cc")
     state = None
     for _ in range(max_rounds):
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(seen) == state or seen[0] == 0:
             return now
+        if seen[0] <= task_rows:
+            return materialize(contracted(now.coalesce(1), max(task_rows, 1)), "cc")
         state = tuple(seen)
-        now = materialize(_small_star(_large_star(now, seen[0]), seen[0]), "cc")
+        now = materialize(contracted(_small_star(_large_star(now, seen[0]), seen[0])).distinct(), "cc")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

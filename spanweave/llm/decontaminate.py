@@ -12,10 +12,11 @@ the greater weights) of ``similarity`` or more to the item.
    window loses no shared shingle. So windows are laid at all starts from the least to
    the greatest of the shared shingles that one window can hold, if these are enough;
    moved inside the document.
-2. Each window gets a 64-bit SimHash of its weighted shingles and meets the items
-   it was laid for in a multi-index: radius + 1 bit blocks, of which two
-   fingerprints within the radius share one at least. (So wide a radius needs blocks
-   of two or three bits, which alone would let most pairs pass.) Windows of similarity 0.8
+2. Each window gets a 64-bit SimHash of its weighted shingles and finds the items of
+   its length in a multi-index: radius + 1 bit blocks, of which two fingerprints
+   within the radius share one at least. So wide a radius needs blocks of two or three
+   bits, through which most items of that length pass; windows are few, as step 1 lays
+   them only where a leak may be. Windows of similarity 0.8
    share 8 of 9 shingles and differ in 10 bits, standard deviation 2.9; the
    default radius of 22 is over four of these away.
 3. The exact weighted similarity decides.
@@ -151,21 +152,21 @@ def keyed_leaks(
 
     found = found.select("did", "tk", "ik", "n", F.explode(F.array_distinct(F.filter(F.transform("hits", spans), lambda x: x.isNotNull()))).alias("span"))
     found = found.select("did", "tk", "ik", "n", F.explode(F.sequence("span.lo", "span.hi")).alias("start"))
-    found = written(found.groupBy("did", "tk").agg(F.collect_set(F.struct("ik", "n", "start")).alias("places")), "places")
+    found = written(found.groupBy("did", "tk").agg(F.collect_set(F.struct("n", "start")).alias("places")), "places")
     laid = only_keys(texts, found.select("did", "tk")).join(found, ["did", "tk"]).dropDuplicates(["did", "tk"])
 
     def lay(words: Column) -> Column:
         total = F.size(words)
 
         def cut(shingles: Column):
-            def at(ik: Column, n: Column, start: Column) -> Column:
+            def at(n: Column, start: Column) -> Column:
                 run = F.slice(shingles, start + 1, F.greatest(F.least(n, total) - (k - 1), F.lit(1)))
                 if short:
                     run = F.when(F.least(n, total) < k, shingles_of(F.slice(words, start + 1, F.least(n, total)), k)).otherwise(run)
-                return F.struct(ik.alias("ik"), n.alias("n"), start.alias("start"), run.alias("shingles"))
+                return F.struct(n.alias("n"), start.alias("start"), run.alias("shingles"))
 
-            moved = F.transform("places", lambda x: F.struct(x["ik"].alias("ik"), x["n"].alias("n"), F.greatest(F.least(x["start"], total - x["n"]), F.lit(0)).alias("start")))
-            return F.transform(F.array_distinct(moved), lambda x: at(x["ik"], x["n"], x["start"]))
+            moved = F.transform("places", lambda x: F.struct(x["n"].alias("n"), F.greatest(F.least(x["start"], total - x["n"]), F.lit(0)).alias("start")))
+            return F.transform(F.array_distinct(moved), lambda x: at(x["n"], x["start"]))
 
         return let(shingles_of(words, k), cut)
 
@@ -174,7 +175,7 @@ def keyed_leaks(
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     pairs = (
         windows.select("*", F.inline(_blocks(F.col("fp"), radius)))
-        .join(held(index), ["ik", "n", "block", "value"])
+        .join(held(index), ["n", "block", "value"])  # a window meets every item of its length that is within the radius
         .where(F.col("block") == _first_equal(apart, radius))  # a pair that shares several blocks is met once
         .withColumn("hamming", F.bit_count(apart))
         .where(F.col("hamming") <= radius)

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanweave.llm import common, decontaminate, rules, simhash, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,3 +77,21 @@ def test_pipeline_without_documents(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = pipeline.run(spark, str(tmp_path))
     assert out.collect() == [] and out.columns[:5] == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_leaks_are_found_by_the_index(spark, monkeypatch):
+    """A window finds any item of its length; with one of the 23 blocks in the index, only windows that agree there are left."""
+    rng = random.Random(4)
+    base = prose(rng, 60).split()
+    texts = [" ".join("new" if j in (k, 30 + k) else w for j, w in enumerate(base)) for k in range(12)]  # near copies of each other, all of one length
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{prose(rng, 20)} {' '.join(base)} {prose(rng, 20)}") for k in range(8)], "doc_id long, text string")
+    said = lambda: {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontaminate.leaks(docs, items, similarity=0.6).collect()}
+    whole = said()
+    assert len(whole) == 96 and {start for start, _ in whole.values()} == {20}
+    plain = decontaminate._blocks
+    monkeypatch.setattr(decontaminate, "_blocks", lambda fp, radius: F.slice(plain(fp, radius), 1, 1))
+    some = said()
+    assert some != whole and all(some[k][1] <= whole[k][1] for k in some)
+    monkeypatch.setattr(decontaminate, "_blocks", lambda fp, radius: F.slice(plain(fp, radius), 1, 0))
+    assert said() == {}

@@ -51,26 +51,31 @@ def template_key(template: Column) -> Column:
 
 
 def exact_4f(w: Column | str) -> Column:
-    """Four decimals, rounded half to even on the binary value (Spark's own formats round half up on the decimal).
+    """Four decimals, as exact_decimals gives them."""
+    return exact_decimals(w, 4)
 
-    The fraction times 10^4 is a double and the exact error of that product, by
+
+def exact_decimals(w: Column | str, digits: int) -> Column:
+    """A number's text with 1 to 7 decimals, rounded half to even on the binary value (Spark's own formats round half up on the decimal).
+
+    The fraction times 10^digits is a double and the exact error of that product, by
     splitting the factor into halves of 26 bits; the error tells which side of a half the
-    true product lies. As text of its whole part and its four digits; nan, inf and -inf
+    true product lies. As text of its whole part and its digits; nan, inf and -inf
     as such. Numbers from 2^63 on are refused with an error, null stays null.
     """
     x = (F.col(w) if isinstance(w, str) else w).cast("double")
     size = F.abs(x)
     whole = F.floor(size)
     part = size - whole.cast("double")
-    near = part * F.lit(10000.0)
+    near = part * F.lit(10.0**digits)
     spread = part * F.lit(134217729.0)
     high = spread - (spread - part)
-    error = (high * F.lit(10000.0) - near) + (part - high) * F.lit(10000.0)
+    error = (high * F.lit(10.0**digits) - near) + (part - high) * F.lit(10.0**digits)
     down = F.floor(near)
     over = near - down.cast("double") - F.lit(0.5)
     up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (down % 2 == 1))))
-    digits = down + up.cast("long")
+    number = down + up.cast("long")
     sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
-    text = F.concat(sign, (whole + F.when(digits == 10000, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((digits % 10000).cast("string"), 4, "0"))
-    large = F.raise_error(F.lit("four decimals of a number from 2^63 on")).cast("string")
+    text = F.concat(sign, (whole + F.when(number == 10**digits, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((number % 10**digits).cast("string"), digits, "0"))
+    large = F.raise_error(F.lit("decimals of a number from 2^63 on")).cast("string")
     return F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(size >= 2.0**63, large).otherwise(text)

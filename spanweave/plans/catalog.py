@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.functions import scalars
-from spanweave.operators import affinity, graph, hits, intervals, scoring
+from spanweave.operators import affinity, display, graph, hits, intervals, scoring
 from spanweave.operators.components import connected_components, materialize
 
 EDGES = """
@@ -318,6 +318,21 @@ def singleton_fill(spark, sf_dir):
     return affinity.fill_singletons(c, _tables(spark, sf_dir, "customer")["customer"].select("c_custkey")).select("exemplar", "member")
 
 
+# --- grids
+
+_NATIONS = 25
+
+
+@query(f"""with {SYM}, between_ as (select a.c_nationkey as src, b.c_nationkey as dst, max(w) as w from sym join customer a on a.c_custkey = src join customer b on b.c_custkey = dst group by 1, 2)
+select n_nationkey as id, {", ".join(f"coalesce(max(case when dst = {k} then printf('%.2f', w) end), '') as {chr(34)}{k}{chr(34)}" for k in range(_NATIONS))} from nation left join between_ on src = n_nationkey group by 1""")
+def adjacency_grid(spark, sf_dir):
+    """Nations, a column each, with the greatest weight between their customers."""
+    nation = _tables(spark, sf_dir, "customer")["customer"]
+    of = lambda end: nation.select(F.col("c_custkey").alias(end), F.col("c_nationkey").alias(f"{end}_nation"))
+    between = _symmetric(spark, sf_dir).join(of("src"), "src").join(of("dst"), "dst").groupBy(F.col("src_nation").alias("src"), F.col("dst_nation").alias("dst")).agg(F.max("w").alias("w"))
+    return display.adjacency_grid(between, sorted(r[0] for r in _tables(spark, sf_dir, "nation")["nation"].select("n_nationkey").collect()))
+
+
 # --- scalars
 
 
@@ -365,6 +380,12 @@ def position_profile(spark, sf_dir):
     return scoring.position_profile(_cells(spark, sf_dir).where("kind = 'B'"))
 
 
+@query(f"""with {_P} select ali, t, {", ".join(f"case when coalesce(max(p) filter (q = {k}), 0) = 0 then '0' else printf('%.1f', max(p) filter (q = {k})) end as q{k}" for k in range(1, 8))}
+from cells where kind = 'P' group by ali, t""")
+def posterior_grid(spark, sf_dir):
+    return display.posterior_grid(scoring.posterior(_cells(spark, sf_dir)), 7)
+
+
 def _shell_sql(k: str, r: str, c: str, guard: str, edge: str, name: str) -> str:
     return f"""with {_P}, {PAIRS}, post as (select ali, q, t, p, max(q) over (partition by ali) as ncol, max(t) over (partition by ali) as nrow from cells where kind = 'P'),
 sized as (select *, {k} as k from pairs join post using (ali)), block as (select ali, p, {r} as r, {c} as c from sized where {guard} and {r} >= 0 and {c} >= 0 and {r} < k and {c} < k),

@@ -44,5 +44,8 @@ def test_four_decimals_are_those_of_the_binary_value(spark):
     values += [k / 100_000 * (1 + e * 2.0**-52) for k in range(5, 40_000, 10) for e in (-1, 0, 1)]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalars.exact_4f("v").alias("t")).collect()
     assert len(rows) == len(values) and all(r.t == (None if r.v is None else format(r.v, ".4f")) for r in rows)
-    with pytest.raises(Exception, match="four decimals"):
+    for digits in (1, 2, 7):
+        told = spark.createDataFrame([(v,) for v in values[:3000]], "v double").select("v", scalars.exact_decimals("v", digits).alias("t")).collect()
+        assert all(r.t == format(r.v, f".{digits}f") for r in told)
+    with pytest.raises(Exception, match="from 2.63 on"):
         spark.range(1).select(scalars.exact_4f(F.col("id") + F.lit(1e19))).collect()

@@ -18,23 +18,29 @@ NO_ID = -(2**63)
 BROADCAST_KEYS = 500_000
 
 
+#: Bytes at most in a batch between Spark and a Python worker: rows that hold whole texts come in small batches, which bounds what either side holds at once.
+BATCH_BYTES = 8 << 20
+
+
 @contextlib.contextmanager
-def shuffle_files_released(spark: SparkSession):
-    """Jobs inside drop their shuffle files when they end, for their rows are in a table then."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def frugal(spark: SparkSession):
+    """Jobs inside drop their shuffle files when they end, for their rows are in a table then, and exchange small batches with Python workers."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(BATCH_BYTES))}
+    before = {key: spark.conf.get(key, default) for key, (default, _) in settings.items()}
+    for key, (_, own) in settings.items():
+        spark.conf.set(key, own)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{intermediate_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with shuffle_files_released(spark):
+    with frugal(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

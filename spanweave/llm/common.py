@@ -18,29 +18,33 @@ NO_ID = -(2**63)
 BROADCAST_KEYS = 500_000
 
 
-#: Bytes at most in a batch between Spark and a Python worker: rows that hold whole texts come in small batches, which bounds what either side holds at once.
+#: Bytes at most in a batch between Spark and a Python worker, where rows hold whole texts: it bounds what either side holds at once.
 BATCH_BYTES = 8 << 20
 
 
 @contextlib.contextmanager
-def frugal(spark: SparkSession):
-    """Jobs inside drop their shuffle files when they end, for their rows are in a table then, and exchange small batches with Python workers."""
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(BATCH_BYTES))}
-    before = {key: spark.conf.get(key, default) for key, (default, _) in settings.items()}
-    for key, (_, own) in settings.items():
-        spark.conf.set(key, own)
+def settings(spark: SparkSession, **values: str):
+    """Jobs inside run with these settings (``__`` stands for a point)."""
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
+def written(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again.
+
+    The job drops its shuffle files when it ends, for its rows are in a table then.
+    """
     spark = df.sparkSession
     path = f"{intermediate_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with frugal(spark):
+    small = {} if batch_bytes is None else {"spark__sql__execution__arrow__maxBytesPerBatch": str(batch_bytes)}
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **small):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

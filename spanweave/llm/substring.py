@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import BROADCAST_KEYS, doc_key, join_by_key, only_keys, written
+from spanweave.llm.common import BATCH_BYTES, BROADCAST_KEYS, doc_key, join_by_key, only_keys, written
 
 PHRASE = 8
 SHARD_STRETCHES = 20_000
@@ -298,7 +298,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if window < PHRASE:
         raise ValueError(f"window must have {PHRASE} words or more")
     texts = docs.select(*doc_key(docs, id_col, text_col), F.col(text_col).alias("text"))
-    seen = written(texts.mapInArrow(_anchors(window), "did long, tk long, n_words long, sha binary, anchors array<long>"), "anchors")
+    seen = written(texts.mapInArrow(_anchors(window), "did long, tk long, n_words long, sha binary, anchors array<long>"), "anchors", BATCH_BYTES)
     key = ["did", "tk"]
     first = seen.groupBy("sha").agg(F.min(F.struct(*key)).alias("f")).select("f.did", "f.tk")
     first = written(first, "firsts")
@@ -313,7 +313,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = cut.withColumn("k", F.pmod(F.xxhash64("a", part), F.lit(shards)))
     found = written(
         dealt.repartition("k").sortWithinPartitions("k", "a", "did", "tk", "start").mapInArrow(_shards(window), _LOST),
-        "lost-windows",
+        "lost-windows", BATCH_BYTES,
     )
     firsts = found.where("words is not null").select(*key, "lo", "words")
     earliest = firsts.groupBy("words").agg(F.min(F.struct(*key, "lo")).alias("f")).select("words", "f.*")

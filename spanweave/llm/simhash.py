@@ -237,7 +237,8 @@ def _components(fps: DataFrame, radius: int, shard_limit: int) -> DataFrame:
     """(fp, root, first) of each fingerprint of fps; first: the least row (no_id, doc_id, tk) that has it."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk"))
     classes = written(fps.groupBy("fp").agg(least.alias("first")), "classes")
-    stars = star_forest(near_links(classes.select("fp"), radius, shard_limit))
+    links = written(near_links(classes.select("fp"), radius, shard_limit), "links")  # so that no task has a Python worker for the search and one for the components
+    stars = star_forest(links)
     rooted = classes.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return written(rooted, "rooted")
 

@@ -6,6 +6,7 @@ array of structs (start, end, pos) by start; members(cluster, seq, domain, frags
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from spanweave.operators.components import connected_components, materialize
 from spanweave.operators.order import ranked
 
-#: A group of so many members at most is merged in one task.
-TASK_MEMBERS = 100_000
+#: A group of so many members of different shapes at most is merged in one task.
+TASK_MEMBERS = 1_000_000
+#: Numbers from here on are clusters with a name; numbered clusters come before them.
+_NAMED = 1 << 40
 RELATIONS = ["upstream", "downstream", "included", "encloses"]
 
 
@@ -198,10 +201,12 @@ def _wave_round(members: DataFrame, cut_off: float) -> tuple[DataFrame, DataFram
     Pairs of clusters act on each other only if they share a cluster. So in a wave all
     pairs are worked through at once that are the first left for both their clusters, by one join with
     their related members; what they take is gone for the next wave. Pairs without
-    related members take nothing and are passed over.
+    related members take nothing and are passed over. seq is a struct(shape, n), and a member
+    counts for the n sequences of its shape; domain is an array of numbers of members.
     """
+    n = F.col("seq.n")
     met = materialize(relations(members), "relations")
-    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    sizes = materialize(members.groupBy("cluster").agg(F.sum(n).alias("n")), "sizes")
     left = materialize(met.select("cluster_a", "cluster_b").distinct(), "pairs")
     gone = taken = None
     while not left.isEmpty():
@@ -213,8 +218,8 @@ def _wave_round(members: DataFrame, cut_off: float) -> tuple[DataFrame, DataFram
         if gone is not None:
             for x in "ab":
                 live = live.join(gone.select(F.col("cluster").alias(f"cluster_{x}"), "seq", F.col("domain").alias(f"domain_{x}")), [f"cluster_{x}", "seq", f"domain_{x}"], "left_anti")
-            now = sizes.join(gone.groupBy("cluster").agg(F.count("*").alias("less")), "cluster", "left").select("cluster", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"))
-        counts = live.groupBy("cluster_a", "cluster_b").agg(*[F.count_if(F.col("relation") == i).alias(f"c{i}") for i in range(4)])
+            now = sizes.join(gone.groupBy("cluster").agg(F.sum(n).alias("less")), "cluster", "left").select("cluster", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"))
+        counts = live.groupBy("cluster_a", "cluster_b").agg(*[F.sum(F.when(F.col("relation") == i, n).otherwise(0)).alias(f"c{i}") for i in range(4)])
         top = F.greatest(*[f"c{i}" for i in range(4)])
         which = F.when(F.col("c0") == top, 0).when(F.col("c1") == top, 1).when(F.col("c2") == top, 2).otherwise(3)
         passed = counts.join(now.withColumnRenamed("cluster", "cluster_b"), "cluster_b").where(top / F.col("n") > cut_off).select("cluster_a", "cluster_b", which.alias("relation"))
@@ -228,7 +233,7 @@ def _wave_round(members: DataFrame, cut_off: float) -> tuple[DataFrame, DataFram
     of = lambda x: members.select("seq", F.col("cluster").alias(f"cluster_{x}"), F.col("domain").alias(f"domain_{x}"), F.col("frags").alias(f"f{x}"))
     merged = taken.join(of("a"), ["seq", "cluster_a", "domain_a"]).join(of("b"), ["seq", "cluster_b", "domain_b"])
     stay = members.join(gone, ["cluster", "seq", "domain"], "left_anti")
-    return stay, merged.select(F.struct("cluster_a", "cluster_b").alias("pair"), "seq", F.concat_ws("+", "domain_a", "domain_b").alias("domain"), F.array_sort(F.concat("fa", "fb")).alias("frags"))
+    return stay, merged.select(F.struct("cluster_a", "cluster_b").alias("pair"), "seq", F.concat("domain_a", "domain_b").alias("domain"), F.array_sort(F.concat("fa", "fb")).alias("frags"))
 
 
 def _merge_in_waves(members: DataFrame, cut_off: float, compat_key_reuse: bool, rounds: int | None, max_rounds: int = 1000) -> DataFrame:
@@ -258,38 +263,125 @@ def _merge_in_waves(members: DataFrame, cut_off: float, compat_key_reuse: bool,
     return now.select("cluster.grp", name.alias("cluster"), "seq", "domain", "frags")
 
 
+def _met(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places with equal keys."""
+    order = np.argsort(right, kind="stable")
+    lo, hi = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
+    a = np.repeat(np.arange(len(left)), hi - lo)
+    nth = np.arange(len(a)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+    return a, order[lo[a] + nth]
+
+
+def _task_relations(seq: np.ndarray, cluster: np.ndarray, places: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """relations() of a task's members, by number: (a, b, relation); places: each member's positions in order."""
+    first, last = (np.array([p[k] for p in places], np.int64) for k in (0, -1))
+    room = [(i, x + 1, y - 1) for i, p in enumerate(places) for x, y in zip(p, p[1:]) if y > x + 1]
+    owner, lo, hi = np.array(room, np.int64).reshape(-1, 3).T
+    wide = int(last.max()) + 2
+    a, b = _met(seq * wide + last + 1, seq * wide + first)
+    start = np.unique(np.concatenate((seq * wide + first, seq[owner] * wide + lo)), return_inverse=True)[1]
+    c, d = _met(start[: len(seq)] * wide + last, start[len(seq) :] * wide + hi)
+    d = owner[d]
+    kinds = np.repeat(np.arange(4), [len(a), len(a), len(c), len(c)])
+    a, b = np.concatenate((a, b, c, d)), np.concatenate((b, a, d, c))
+    other = cluster[a] != cluster[b]
+    return a[other], b[other], kinds[other]
+
+
+def _task_round(seq: np.ndarray, cluster: np.ndarray, weight: np.ndarray, places: list, cut_off: float) -> tuple[np.ndarray, list]:
+    """merge_round() of members that count ``weight`` times: which stay, and for each merge its pairs of members (x, y)."""
+    code = np.unique(cluster, return_inverse=True)[1]
+    a, b, kind = _task_relations(seq, code, places)
+    order = np.lexsort((code[b], code[a]))
+    a, b, kind, n = a[order], b[order], kind[order], weight[a[order]]
+    stays, size = np.ones(len(seq), bool), np.bincount(code, weights=weight)
+    begins = np.flatnonzero(np.diff(code[a], prepend=-1) | np.diff(code[b], prepend=-1))
+    pair = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(a))))
+    most = np.bincount(pair * 4 + kind, weights=n, minlength=4 * len(begins)).reshape(-1, 4).max(1)  # what is left of a pair has no more
+    merges = []
+    for top, lo, hi, whole in zip(most, begins, np.append(begins[1:], len(a)), code[b[begins]]):
+        if not size[whole] or not top / size[whole] > cut_off:
+            continue
+        live = lo + np.flatnonzero(stays[a[lo:hi]] & stays[b[lo:hi]])
+        counts = np.bincount(kind[live], weights=n[live], minlength=4)
+        if not counts.max() / size[whole] > cut_off:
+            continue
+        live = live[kind[live] == counts.argmax()]
+        gone = np.unique(np.concatenate((a[live], b[live])))
+        stays[gone] = False
+        np.subtract.at(size, code[gone], weight[gone])
+        merges.append((a[live], b[live]))
+    return stays, merges
+
+
+def merge_weighted(names: list, seq: np.ndarray, weight: np.ndarray, places: list, cut_off: float, rounds: int | None = None, compat_key_reuse: bool = False, max_rounds: int = 1000) -> tuple[list, np.ndarray, list]:
+    """merge_group() of members that count ``weight`` times, over arrays: the clusters, sequences and parts (numbers of members) of what it leaves.
+
+    Relations are looked up once a round, and a pair of clusters sees its own only.
+    """
+    known, rank = np.unique(np.array(names, object), return_inverse=True)
+    cluster, parts, fresh = _NAMED + rank.astype(np.int64), [(i,) for i in range(len(names))], 0 if compat_key_reuse else 1
+    for _ in range(max_rounds if rounds is None else rounds):
+        stays, merges = _task_round(seq, cluster, weight, places, cut_off) if len(seq) else (None, None)
+        if not merges:
+            break
+        if compat_key_reuse:
+            stays &= cluster >= len(merges)
+        x, y = (np.concatenate(v) for v in zip(*merges))
+        left, number = np.flatnonzero(stays), np.repeat(np.arange(len(merges)), [len(m[0]) for m in merges])
+        places = [places[i] for i in left] + [sorted(places[i] + places[k]) for i, k in zip(x, y)]
+        parts = [parts[i] for i in left] + [parts[i] + parts[k] for i, k in zip(x, y)]
+        cluster, seq, weight = np.append(cluster[left], number + fresh), np.append(seq[left], seq[x]), np.append(weight[left], weight[x])
+        fresh += 0 if compat_key_reuse else len(merges)
+    else:
+        if rounds is None:
+            raise RuntimeError(f"clusters still merge after {max_rounds} rounds")
+    return [known[c - _NAMED] if c >= _NAMED else str(c) for c in cluster], seq, parts
+
+
 def merge_clusters(members: DataFrame, cut_off: float = 0.98, rounds: int | None = None, compat_key_reuse: bool = False, task_members: int = TASK_MEMBERS) -> DataFrame:
     """(grp, cluster, seq, domain, frags) after merging until nothing merges, or after so many rounds.
 
+    What happens on a sequence follows from its shape, the clusters and positions of its
+    members, and from the decisions on pairs of clusters, which count sequences. So sequences of one
+    shape fare alike: shapes are merged, each counting for all its sequences, and
+    each sequence's members are then put together as its shape's were.
+
     Clusters act on each other only through shared sequences, and a merged cluster
-    has only its parents' sequences, so the components of the cluster-sequence
-    graph stay apart: each is one group. Groups of up to task_members members are
+    has only its parents' sequences, so the components of the cluster-shape
+    graph stay apart: each is one group. Groups of up to task_members members of shapes are
     worked through in order, each in one task; larger ones in waves over all their
     members, with the same result. With compat_key_reuse keys must meet across groups,
     so all members are one group.
     """
-    links = members.select(F.concat(F.lit("c:"), "cluster").alias("src"), F.concat(F.lit("s:"), "seq").alias("dst")).distinct()
+    own = F.struct(F.col("cluster").cast("string").alias("cluster"), F.transform("frags", lambda f: f["pos"]).alias("at"), F.col("domain").cast("string").alias("domain"), "frags")
+    seqs = members.where("cluster is not null").groupBy("seq").agg(F.array_sort(F.collect_list(own)).alias("own"))
+    shape = F.transform("own", lambda m: F.struct(m["cluster"].alias("cluster"), F.transform(m["at"], lambda p: F.struct(p.alias("pos"))).alias("frags")))
+    seqs = materialize(seqs.withColumn("shape", F.sha2(F.to_json(shape), 256)), "sequences")
+    known = seqs.groupBy("shape").agg(F.count("*").alias("n"), F.first(shape).alias("of"))
+    known = materialize(known.select(F.struct("shape", "n").alias("seq"), F.posexplode("of").alias("no", "m")).select("seq", "no", "m.cluster", "m.frags"), "shapes")
+    links = known.select(F.concat(F.lit("c:"), "cluster").alias("src"), F.concat(F.lit("s:"), "seq.shape").alias("dst")).distinct()
     group = connected_components(links).where(F.col("node").startswith("c:")).select(F.substring("node", 3, 1 << 30).alias("cluster"), F.col("component").alias("grp"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: dict = {}
-        for c, s, d, f in zip(pdf["cluster"], pdf["seq"], pdf["domain"], pdf["frags"]):
-            clusters.setdefault(c, []).append((s, d, [(x["start"], x["end"], x["pos"]) for x in f]))
-        for c in clusters.values():
-            c.sort()
-        done = merge_group(clusters, cut_off, compat_key_reuse=compat_key_reuse, rounds=rounds)
-        rows = [(pdf["grp"].iloc[0], str(c), s, d, [{"start": a, "end": b, "pos": p} for a, b, p in f]) for c, v in done.items() for s, d, f in v]
-        return pd.DataFrame(rows, columns=["grp", "cluster", "seq", "domain", "frags"])
-
-    own = members.select("cluster", "seq", "domain", "frags")
-    grouped = materialize(own.withColumn("grp", F.lit("all")) if compat_key_reuse else own.join(group, "cluster"), "grouped")
+    grouped = materialize(known.withColumn("grp", F.lit("all")) if compat_key_reuse else known.join(group, "cluster"), "grouped")
     sizes = materialize(grouped.groupBy("grp").agg((F.count("*") > task_members).alias("large")), "groups")
     large = sizes.where("large").select("grp")
-    schema = "grp string, cluster string, seq string, domain string, frags array<struct<start:bigint,end:bigint,pos:int>>"
-    small = grouped.join(large, "grp", "left_anti").groupBy("grp").applyInPandas(run, schema)
-    if large.isEmpty():
-        return small
-    return small.unionByName(_merge_in_waves(grouped.join(large, "grp", "left_semi"), cut_off, compat_key_reuse, rounds))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        no, (seq, shapes) = pdf["no"].to_numpy(), pdf["shape"].factorize()
+        cluster, at, parts = merge_weighted(pdf["cluster"].tolist(), seq, pdf["n"].to_numpy(), [p.tolist() for p in pdf["at"]], cut_off, rounds, compat_key_reuse)
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "cluster": cluster, "shape": shapes[at], "parts": [no[list(p)] for p in parts]})
+
+    flat = grouped.join(large, "grp", "left_anti").select("grp", "cluster", "seq.shape", "seq.n", "no", F.transform("frags", lambda f: f["pos"]).alias("at"))
+    done = flat.groupBy("grp").applyInPandas(run, "grp string, cluster string, shape string, parts array<int>")
+    if not large.isEmpty():
+        waves = _merge_in_waves(grouped.join(large, "grp", "left_semi").withColumn("domain", F.array("no")), cut_off, compat_key_reuse, rounds)
+        done = done.unionByName(waves.select("grp", "cluster", "seq.shape", F.col("domain").alias("parts")))
+    told = materialize(done.groupBy("shape").agg(F.collect_list(F.struct("grp", "cluster", "parts")).alias("done")), "merged")
+    of = seqs.join(told, "shape").select("seq", "own", F.inline("done"))
+    part = lambda field: F.transform("parts", lambda i: F.get("own", i)[field])
+    domain = F.when(F.size("parts") == 1, F.get(part("domain"), 0)).otherwise(F.array_join(part("domain"), "+"))
+    frags = F.array_sort(F.flatten(part("frags"))).cast("array<struct<start:bigint,end:bigint,pos:int>>")
+    return of.select("grp", "cluster", F.col("seq").cast("string").alias("seq"), domain.alias("domain"), frags.alias("frags"))
 
 
 def renumbered(members: DataFrame) -> DataFrame:

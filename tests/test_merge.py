@@ -49,3 +49,22 @@ def test_groups_of_either_size(spark):
     rows += [(c, f"t{i}", f"{c}{i}", [(1 + 5 * k, 4 + 5 * k, 1 + k)]) for i in range(4) for k, c in enumerate("xy")]
     done = intervals.merge_clusters(spark.createDataFrame(rows, MEMBER), task_members=3)
     assert sorted((r.cluster, r.domain) for r in done.collect()) == [("1", "a1+b1"), *[("1", f"x{i}+y{i}") for i in range(4)]]
+
+
+def test_sequences_of_one_shape_are_merged_once(spark, monkeypatch):
+    """Copies of sequences, with other coordinates and domains, count but are not worked through; merged as each by itself."""
+    few = random_members(6, 12, list("xyz"))
+    rows = [(c, f"{s}.{k}", f"{d}.{k}", [(k + a, k + b, p) for a, b, p in f]) for c, s, d, f in few for k in range(9 if s < "s5" else 4)]
+    clusters = {}
+    for c, *m in rows:
+        clusters.setdefault(c, []).append(tuple(m))
+    want = intervals.merge_group(clusters, 0.2)
+    assert len(want) > 3
+    want = sorted((str(c), s, d, tuple(f)) for c, v in want.items() for s, d, f in v)
+    said = lambda df: sorted((r.cluster, r.seq, r.domain, tuple(map(tuple, r.frags))) for r in df.collect())
+    waves, seen = intervals._merge_in_waves, []
+    monkeypatch.setattr(intervals, "_merge_in_waves", lambda members, *more: seen.append(members.count()) or waves(members, *more))
+    members = spark.createDataFrame(rows, MEMBER)
+    assert said(intervals.merge_clusters(members, 0.2, task_members=len(few))) == want and not seen
+    assert said(intervals.merge_clusters(members.where("cluster < 'z'"), 0.2, rounds=1, task_members=0)) == said(intervals.merge_clusters(members.where("cluster < 'z'"), 0.2, rounds=1))
+    assert seen[0] <= len(few)

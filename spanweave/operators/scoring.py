@@ -43,41 +43,28 @@ def position_profile(cells: DataFrame) -> DataFrame:
     return by.select("ali", "q", F.try_divide("s", F.sum("s").over(Window.partitionBy("ali"))).alias("p"))
 
 
-def profiles(cells: DataFrame) -> DataFrame:
-    """(ali, bq, bt, fq, ft): of each alignment the running mass of its B cells from the first place on, and of its F cells from the last place back, by q and by t.
-
-    Entries (place, mass) stand by place, which is negative for F cells, so that
-    running_mass() reads either. An alignment has an entry for each of its places, 65,535
-    at most by the format. Masses are added up once, whatever the number of domain pairs.
-    """
-    back = F.when(F.col("kind") == "B", 1).otherwise(-1)
-    axes = F.inline(F.array(F.struct(F.lit("q").alias("axis"), (F.col("q") * back).alias("place")), F.struct(F.lit("t").alias("axis"), (F.col("t") * back).alias("place"))))
-    by = cells.where("kind in ('B', 'F')").select("ali", "kind", "p", axes).groupBy("ali", "kind", "axis", "place").agg(F.sum("p").alias("p"))
-    up_to = Window.partitionBy("ali", "kind", "axis").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    own = lambda kind, axis: F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & (F.col("axis") == axis), F.struct("place", "mass")))).alias(f"{kind.lower()}{axis}")
-    return by.withColumn("mass", F.sum("p").over(up_to)).groupBy("ali").agg(*[own(kind, axis) for kind in "BF" for axis in "qt"])
-
-
-def running_mass(profile: Column, place: Column) -> Column:
-    """The mass up to a place, found by halving steps; 0 without entries there."""
-    steps = F.array(*[F.lit(1 << b) for b in range(16, -1, -1)])
-    here = lambda at, step: (at + step <= F.size(profile)) & (F.get(profile, at + step - 1)["place"] <= place)
-    last = F.aggregate(steps, F.lit(0), lambda at, step: F.when(here(at, step), at + step).otherwise(at))
-    return F.coalesce(F.get(profile, last - 1)["mass"], F.lit(0.0))
+#: Masses of a pair: the kind and the axis of the cells, and the last place that counts; F cells are counted from the last place back, so theirs are negative.
+_MASSES = {"qstart": ("B", "q", "qs + off"), "qend": ("F", "q", "off - qe"), "tstart": ("B", "t", "ts + off"), "tend": ("F", "t", "off - te")}
 
 
-def _start(axis: str, at: str) -> Column:
-    return running_mass(F.col(f"b{axis}"), F.col(at) + F.col("off"))
+def masses(pairs: DataFrame, cells: DataFrame, *names: str) -> DataFrame:
+    """pairs(ali, qs, qe, ts, te, off, ...) with the masses qstart, qend, tstart and tend, or those named; 0 without cells.
 
-
-def _end(axis: str, at: str) -> Column:
-    return running_mass(F.col(f"f{axis}"), F.col("off") - F.col(at))
-
-
-def masses(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """pairs(ali, qs, qe, ts, te, off, ...) with qstart, qend, tstart, tend, each looked up in the alignment's profile."""
-    met = pairs.join(profiles(cells), "ali", "left")
-    return met.select(*pairs.columns, _start("q", "qs").alias("qstart"), _end("q", "qe").alias("qend"), _start("t", "ts").alias("tstart"), _end("t", "te").alias("tend"))
+    A pair's bounds stand among the cells of its alignment, by place, and are told the running
+    sum. So cells are added up once, whatever the number of pairs, and rows are linear in both.
+    """
+    names = names or tuple(_MASSES)
+    keys = pairs.columns
+    at = lambda kind: F.array(*[F.struct(F.lit(i).alias("of"), (F.col(axis) if k == "B" else -F.col(axis)).cast("long").alias("place")) for i, (k, axis, _) in enumerate(_MASSES[n] for n in names) if k == kind])
+    entries = cells.where("kind in ('B', 'F')").select("ali", "p", F.inline(F.when(F.col("kind") == "B", at("B")).otherwise(at("F"))))
+    bounds = F.array(*[F.struct(F.lit(i).alias("of"), F.expr(_MASSES[n][2]).cast("long").alias("place")) for i, n in enumerate(names)])
+    asked = pairs.repartition("ali").select("ali", F.lit(None).cast("double").alias("p"), F.struct(*keys).alias("pair"), F.inline(bounds))
+    both = entries.withColumn("pair", F.lit(None).cast(asked.schema["pair"].dataType)).unionByName(asked)
+    up_to = Window.partitionBy("ali", "of").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    told = both.withColumn("mass", F.coalesce(F.sum("p").over(up_to), F.lit(0.0))).where("pair is not null")
+    mass = [F.max(F.when(F.col("of") == i, F.col("mass"))).alias(n) for i, n in enumerate(names)]
+    met = told.groupBy("ali", "pair").agg(F.count_if(F.col("of") == 0).cast("int").alias("__same"), *mass)  # equal pairs are told as often as they are given
+    return met.withColumn("__same", F.explode(F.sequence(F.lit(1), "__same"))).select("pair.*", *names)
 
 
 def posterior(cells: DataFrame) -> DataFrame:
@@ -152,20 +139,21 @@ def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p
     Alignments that lack a kind of cells are passed over. The score is the product
     of the probability, the four masses and the two shell sums, in that order.
     """
-    known, post = materialize(profiles(cells), "profiles"), materialize(posterior(cells), "posterior")
+    kinds = cells.groupBy("ali").agg(*[F.max(F.col("kind") == k).alias(k) for k in "BFP"]).where("B and F and P").select("ali")
+    post = materialize(posterior(cells), "posterior")
     bounds = domain_bounds(fragments)
     q = bounds.select(F.col("seq").alias("query"), F.col("domain_no").alias("q_domain"), F.col("first").alias("qs"), F.col("last").alias("qe"), match_offset(F.col("len"), coverage).alias("off"), F.col("visit").alias("q_visit"))
     t = bounds.select(F.col("seq").alias("template"), F.col("domain_no").alias("t_domain"), F.col("first").alias("ts"), F.col("last").alias("te"), F.col("visit").alias("t_visit"))
-    own = alignments.join(post.select("ali"), "ali", "left_semi").select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob"))
+    own = alignments.join(kinds, "ali", "left_semi").select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob"))
     up_to = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # the query's side of the ladder first: a template's domains meet only what is left
-    m = own.join(known.where("size(bq) > 0 and size(fq) > 0").select("ali", "bq", "fq"), "ali").join(q, "query")
-    m = m.select("ali", "template", "prob", "q_domain", "qs", "qe", "off", "q_visit", _start("q", "qs").alias("qstart"), _end("q", "qe").alias("qend"))
+    m = own.join(q, "query").select("ali", "template", "prob", "q_domain", "qs", "qe", "off", "q_visit")
+    m = masses(m, cells, "qstart", "qend")
     m = m.withColumn("s1", F.col("prob") * F.col("qend")).withColumn("s2", F.col("s1") * F.col("qstart"))
     q_stop = F.max((F.col("s1") < p_low).cast("int")).over(up_to(Window.partitionBy("ali").orderBy("q_visit")))
     m = m.withColumn("q_stop", q_stop).where(F.col("q_stop") == 0).where(F.col("s2") >= p_low).select("ali", "template", "q_domain", "qs", "qe", "off", "s2")
-    m = m.join(known.select("ali", "bt", "ft"), "ali").join(t, "template")
-    m = m.select("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s2", "t_visit", _start("t", "ts").alias("tstart"), _end("t", "te").alias("tend"))
+    m = m.join(t, "template").select("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s2", "t_visit")
+    m = masses(m, cells, "tstart", "tend")
     m = m.withColumn("s3", F.col("s2") * F.col("tend")).withColumn("s4", F.col("s3") * F.col("tstart"))
     t_stop = F.max((F.col("s3") < p_low).cast("int")).over(up_to(Window.partitionBy("ali", "q_domain").orderBy("t_visit")))
     m = m.withColumn("t_stop", t_stop).where(F.col("t_stop") == 0).where(F.col("s4") >= p_low).select("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s4")

@@ -49,14 +49,30 @@ def scan_edges(rows: DataFrame, coverage_cut: float = 0.0) -> Graph:
     Nodes of every row stay. An edge needs another end, a weight and a coverage
     over the cut or none; of several rows of an edge the last counts.
     """
-    nodes = rows.select(F.col("src").alias("id")).union(rows.where("dst is not null").select("dst")).where("id is not null").distinct()
-    kept = rows.where((F.col("src") != F.col("dst")) & F.col("w").isNotNull() & (F.col("cov").isNull() | (F.col("cov") > coverage_cut)))
-    return Graph(nodes, kept.groupBy("src", "dst").agg(F.max_by("w", "line_no").alias("w")))
+    nodes = rows.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").distinct()
+    return Graph(nodes, _counting(rows, coverage_cut).groupBy("src", "dst").agg(F.max_by("w", "line_no").alias("w")))
+
+
+def _counting(rows: DataFrame, coverage_cut: float) -> DataFrame:
+    return rows.where((F.col("src") != F.col("dst")) & F.col("w").isNotNull() & (F.col("cov").isNull() | (F.col("cov") > coverage_cut)))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Edges in both directions of pairs(a, b, w)."""
+    return pairs.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))))
+
+
+def scan_symmetric(rows: DataFrame, coverage_cut: float = 0.0) -> DataFrame:
+    """symmetrize() of scan_edges()'s edges, with one shuffle: rows meet by their pair of ends."""
+    last = lambda forward: F.max_by(F.when(forward, F.col("w")), F.when(forward, F.col("line_no")))
+    pairs = _counting(rows, coverage_cut).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    pairs = pairs.agg(last(F.col("src") < F.col("dst")).alias("up"), last(F.col("src") > F.col("dst")).alias("down"))
+    return _both_ways(pairs.select("a", "b", F.when(F.col("up").isNull() | F.col("down").isNull(), F.greatest("up", "down", F.lit(0.0))).otherwise(F.greatest("up", "down")).alias("w")))
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
     """Both directions of each edge with the greater weight; a missing direction counts as 0."""
-    both = edges.select("src", "dst", "w", F.lit(1).alias("n")).union(edges.select("dst", "src", "w", F.lit(1)))
+    both = _both_ways(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")).withColumn("n", F.lit(1))
     top = both.groupBy("src", "dst").agg(F.max("w").alias("w"), F.count("n").alias("n"))
     return top.select("src", "dst", F.when(F.col("n") < 2, F.greatest("w", F.lit(0.0))).otherwise(F.col("w")).alias("w"))
 
@@ -66,7 +82,7 @@ def undirected_max(records: DataFrame) -> DataFrame:
     top = (
         records.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("w").alias("w"))
     )
-    return top.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))))
+    return _both_ways(top)
 
 
 def clean(edges: DataFrame, cut: float) -> DataFrame:
@@ -150,7 +166,7 @@ def triangle_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
 def closure(rows: DataFrame, coverage_cut: float = 0.0, pre_cut: float = 0.0, post_cut: float = 0.0) -> DataFrame:
     """Scan, symmetrize, cut, close, cut."""
-    edges = symmetrize(scan_edges(rows, coverage_cut).edges)
+    edges = scan_symmetric(rows, coverage_cut)
     if pre_cut:
         edges = clean(edges, pre_cut)
     edges = triangle_closure(edges)

@@ -17,8 +17,8 @@ from spanweave.session import intermediate_dir
 HUB_ROWS = 100_000
 #: So many hubs there may be for each copy of the rows; they are broadcast.
 HUBS = 50_000
-#: Edges that a task contracts at once, and edges at most that are left to one task: under 100 MB of ids of eight bytes.
-CHUNK_ROWS, TASK_ROWS = 2_000_000, 1_000_000
+#: Edges that a task contracts at once, and edges at most that are left to one task; the first bounds a Python worker's memory, whatever the number of edges.
+CHUNK_ROWS, TASK_ROWS = 500_000, 1_000_000
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.operators.components import connected_components, materialize
@@ -113,44 +113,56 @@ def stats(g: Graph, cut: float | None = None) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(i, m, t), i < t, each m a common neighbour; edges must be symmetric.
+    """(i, m, t), i < t, each m a common neighbour; edges must be symmetric, or have the direction src < dst only.
 
     Each triangle is found once, from its end of least (degree, id), so that hubs
     are not expanded, and then told in its three orientations.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
+    pairs = edges.where("src < dst").select("src", "dst")  # one direction says all
+    degree = pairs.select(F.explode(F.array("src", "dst")).alias("src")).groupBy("src").agg(F.count("*").alias("deg"))
     d2 = degree.withColumnsRenamed({"src": "dst", "deg": "deg2"})
-    out = edges.select("src", "dst").join(degree, "src").join(d2, "dst").where(F.struct("deg", "src") < F.struct("deg2", "dst")).select("src", "dst")
+    up = F.struct("deg", "src") < F.struct("deg2", "dst")
+    either = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
+    out = pairs.join(degree, "src").join(d2, "dst").select(either("src", "dst").alias("src"), either("dst", "src").alias("dst"))
     wedge = out.alias("x").join(out.alias("y"), F.col("x.src") == F.col("y.src")).where("x.dst < y.dst").select(
         F.col("x.src").alias("a"), F.col("x.dst").alias("b"), F.col("y.dst").alias("c")
     )
-    closed = wedge.join(edges.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"], "left_semi")
+    closed = wedge.join(pairs.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"], "left_semi")
     sides = [("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c")]
     rows = [F.struct(F.least(x, z).alias("i"), F.col(y).alias("m"), F.greatest(x, z).alias("t")) for x, y, z in sides]
     return closed.select(F.inline(F.array(*rows)))
 
 
-def _raised(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """Symmetric edges with w after one step over the given paths, and whether a greater weight arose."""
-    e1 = edges.select(F.col("src").alias("i"), F.col("dst").alias("m"), F.col("w").alias("w1"))
-    e2 = edges.select(F.col("src").alias("m"), F.col("dst").alias("t"), F.col("w").alias("w2"))
-    best = paths.join(e1, ["i", "m"]).join(e2, ["m", "t"]).groupBy("i", "t").agg(F.max(F.col("w1") * F.col("w2")).alias("p"))
-    both = best.select(F.inline(F.array(F.struct(F.col("i").alias("src"), F.col("t").alias("dst"), "p"), F.struct(F.col("t").alias("src"), F.col("i").alias("dst"), "p"))))
-    return edges.join(both, ["src", "dst"], "left").select("src", "dst", F.greatest("w", F.coalesce("p", "w")).alias("w"), F.coalesce(F.col("p") > F.col("w"), F.lit(False)).alias("raised"))
+def _on(x: str, y: str, low: str, high: str) -> Column:
+    """Whether the pair (low, high) is that of x and y."""
+    return (F.least(x, y) == F.col(low)) & (F.greatest(x, y) == F.col(high))
+
+
+def _raised(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """pairs(src, dst, w), src <= dst, of symmetric edges, with w after one step over the given paths, and whether a greater weight arose."""
+    pairs = pairs.where("src <= dst").select("src", "dst", "w")
+    e1, e2 = pairs.toDF("a1", "b1", "w1"), pairs.toDF("a2", "b2", "w2")
+    met = paths.join(e1, _on("i", "m", "a1", "b1")).select("i", "m", "t", "w1").join(e2, _on("m", "t", "a2", "b2"))
+    best = met.groupBy("i", "t").agg(F.max(F.col("w1") * F.col("w2")).alias("p"))
+    found = pairs.join(best.withColumnsRenamed({"i": "src", "t": "dst"}), ["src", "dst"], "left")
+    return found.select("src", "dst", F.greatest("w", F.coalesce("p", "w")).alias("w"), F.coalesce(F.col("p") > F.col("w"), F.lit(False)).alias("raised"))
 
 
 def closure_step(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """Symmetric edges after one step: w(i,t) becomes the greatest w(i,m) * w(m,t), if that is greater."""
-    return _raised(edges, paths).drop("raised")
+    """Both directions of symmetric edges, or of those with src <= dst only, after one step: w(i,t) becomes the greatest w(i,m) * w(m,t), if that is greater."""
+    there = F.struct("src", "dst", "w")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    return _raised(edges, paths).select(F.inline(F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back))))
 
 
 def triangle_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """closure_step until no weight changes; adds no edges. Weights over 1 are refused, for they need not settle.
 
-    From the second round on only paths over an edge raised in the round before are
-    followed: the others' products have been taken already, and weights only rise.
+    Edges are symmetric, so rounds go over pairs, src < dst. From the second round on only
+    paths over a pair raised in the round before are followed: the others' products have
+    been taken already, and weights only rise.
     """
-    now = materialize(edges.select("src", "dst", "w"), "closure")
+    now = materialize(edges.where("src <= dst").select("src", "dst", "w"), "closure")
     bad = now.agg(F.count_if(F.col("w") > 1), F.count_if(F.col("src") == F.col("dst"))).first()
     if bad[0]:
         raise ValueError("closure needs weights up to 1")
@@ -161,11 +173,10 @@ def triangle_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         new = materialize(_raised(now, follow), "closure")
         now, raised = new.drop("raised"), new.where("raised")
         if raised.isEmpty():
-            return now
-        first = raised.select(F.col("src").alias("i"), F.col("dst").alias("m"))
-        second = raised.select(F.col("src").alias("m"), F.col("dst").alias("t"))
-        # a path over two raised edges comes twice, which a maximum does not mind
-        follow = paths.join(first, ["i", "m"], "left_semi").unionByName(paths.join(second, ["m", "t"], "left_semi"))
+            return _both_ways(now.withColumnsRenamed({"src": "a", "dst": "b"}))
+        ends = raised.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        # a path over two raised pairs comes twice, which a maximum does not mind
+        follow = paths.join(ends, _on("i", "m", "a", "b"), "left_semi").unionByName(paths.join(ends, _on("m", "t", "a", "b"), "left_semi"))
     raise RuntimeError(f"closure did not settle in {max_rounds} rounds")
 
 

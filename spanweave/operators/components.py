@@ -144,3 +144,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         .join(stars.withColumnsRenamed({"u": "node", "v": "component"}), "node", "left")
         .select("node", F.coalesce("component", "node").alias("component"))
     )
+
+
+def component_count(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """One row, n_components, of connected_components(): the nodes less those that are not the least of their component, without joining labels."""
+    stars = star_forest(edges, src, dst)
+    own = edges.select(F.explode(F.array(src, dst)).alias("node"))
+    if nodes is not None:
+        own = own.union(nodes.select(F.col(nodes.columns[0]).alias("node")))
+    one = lambda n: F.lit(n).cast("long").alias("n")
+    counted = own.where("node is not null").distinct().select(one(1)).union(stars.select(one(-1)))
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_components"))

@@ -68,6 +68,53 @@ def test_symmetric_edges_take_two_shuffles_and_no_degrees(spark):
     assert plan.count("count(") == 0
 
 
+def random_pairs(spark, kind="long"):
+    rng = random.Random(11)
+    rows = {(a, b): rng.randrange(1, 100) / 100 for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.4}
+    rows = {tuple(sorted(map(str, k))): w for k, w in rows.items()} if kind == "string" else rows
+    return rows, spark.createDataFrame([(*k, w) for k, w in rows.items()], f"src {kind}, dst {kind}, w double")
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_closure_of_one_direction_is_that_of_both(spark, kind):
+    rows, pairs = random_pairs(spark, kind)
+    w = rows | {(b, a): v for (a, b), v in rows.items()}
+    ids = sorted({n for k in w for n in k})
+    paths = sorted((i, m, t) for i in ids for m in ids for t in ids if i < t and (i, t) in w and (i, m) in w and (m, t) in w)
+    want = {(i, t): max([v] + [w[i, m] * w[m, t] for m in ids if (i, m) in w and (m, t) in w]) for (i, t), v in w.items()}
+    both = pairs.union(pairs.select("dst", "src", "w"))
+    for edges in (pairs, both):
+        found = graph.triangles(edges)
+        assert sorted(map(tuple, found.collect())) == paths
+        stepped = graph.closure_step(edges, found).collect()
+        assert len(stepped) == len(w) and {(r.src, r.dst): r.w for r in stepped} == want
+    assert sorted(map(tuple, graph.triangle_closure(pairs).collect())) == sorted(map(tuple, graph.triangle_closure(both).collect()))
+
+
+def test_closure_step_shuffles_one_direction(spark, tmp_path):
+    """The weights of a path's two edges come from one shuffle of pairs, in whichever direction the path takes them."""
+    _, pairs = random_pairs(spark)
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    paths = spark.createDataFrame([(0, 1, 2)], "i long, m long, t long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = graph.closure_step(spark.read.parquet(f"{tmp_path}/pairs"), paths)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("FileScan") == 2 and "ReusedExchange" in plan
+
+
+def test_component_count_is_that_of_the_labels(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 5), (7, 7), (8, None)], "src long, dst long")
+    nodes = spark.createDataFrame([(1,), (9,), (9,), (10,)], "id long")
+    for more in (None, nodes):
+        labels = components.connected_components(edges, more)
+        assert components.component_count(edges, more).first()[0] == labels.select("component").distinct().where("component is not null").count()
+    assert components.component_count(edges.where("false")).first()[0] == 0
+
+
 def test_masses_of_equal_pairs_without_arrays(spark):
     cells = [(1, k, 0, q, t, 0.25) for k in "BF" for q in (1, 2, 3) for t in (1, 2)]
     pairs = spark.createDataFrame([(1, 1, 3, 1, 2, 1)] * 2 + [(2, 1, 1, 1, 1, 1)], "ali int, qs int, qe int, ts int, te int, off int")

@@ -62,17 +62,19 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))))
 
 
-def scan_symmetric(rows: DataFrame, coverage_cut: float = 0.0, ends: tuple[str, str] | None = None) -> DataFrame:
+def scan_symmetric(rows: DataFrame, coverage_cut: float = 0.0, ends: tuple[str, str] | None = None, cut: float | None = None) -> DataFrame:
     """symmetrize() of scan_edges()'s edges, with one shuffle: rows meet by their pair of ends.
 
     ends: columns that hold the lesser and the greater end already, where there are
     any; rows that stand by them are not shuffled again.
+    cut: as clean() of the result; a pair has one weight, so it is cut before it is told in both directions.
     """
     last = lambda forward: F.max_by(F.when(forward, F.col("w")), F.when(forward, F.col("line_no")))
     low, high = [F.col(c) for c in ends] if ends else (F.least("src", "dst"), F.greatest("src", "dst"))
     pairs = _counting(rows, coverage_cut).groupBy(low.alias("a"), high.alias("b"))
     pairs = pairs.agg(last(F.col("src") < F.col("dst")).alias("up"), last(F.col("src") > F.col("dst")).alias("down"))
-    return _both_ways(pairs.select("a", "b", F.when(F.col("up").isNull() | F.col("down").isNull(), F.greatest("up", "down", F.lit(0.0))).otherwise(F.greatest("up", "down")).alias("w")))
+    pairs = pairs.select("a", "b", F.when(F.col("up").isNull() | F.col("down").isNull(), F.greatest("up", "down", F.lit(0.0))).otherwise(F.greatest("up", "down")).alias("w"))
+    return _both_ways(pairs if cut is None else clean(pairs, cut))
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -182,10 +184,7 @@ def triangle_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
 def closure(rows: DataFrame, coverage_cut: float = 0.0, pre_cut: float = 0.0, post_cut: float = 0.0) -> DataFrame:
     """Scan, symmetrize, cut, close, cut."""
-    edges = scan_symmetric(rows, coverage_cut)
-    if pre_cut:
-        edges = clean(edges, pre_cut)
-    edges = triangle_closure(edges)
+    edges = triangle_closure(scan_symmetric(rows, coverage_cut, cut=pre_cut or None))
     return clean(edges, post_cut) if post_cut else edges
 
 

@@ -68,6 +68,29 @@ def test_symmetric_edges_take_two_shuffles_and_no_degrees(spark):
     assert plan.count("count(") == 0
 
 
+def test_customers_without_another_do_not_go_to_the_join(spark):
+    bought = spark.createDataFrame([(1, 5, 1.0), (2, 5, 1.0), (2, 5, 1.0), (3, 5, 1.0), (3, 5, 1.0), (None, 5, 1.0), (1, 5, 2.0), (1, 5, 2.0), (None, 6, 1.0), (4, 6, 1.0)], "c long, p long, n double")
+    said = lambda df: sorted((r.c, r.p, r.n) for r in df.collect())
+    lesser, greater = catalog._meeting(bought)
+    assert said(lesser) == [(1, 5, 1.0), (2, 5, 1.0)] and said(greater) == [(2, 5, 1.0), (3, 5, 1.0)]
+
+
+@pytest.mark.parametrize("cut", [-2.0, 0.0, 0.5, 2.0])
+def test_cut_while_scanning_is_that_of_clean(spark, cut):
+    rng = random.Random(5)
+    rows = [(rng.choice("abcdef"), rng.choice("abcd"), rng.choice([None, -0.5, 0.5, 0.7, float("nan")]), rng.choice([None, 0.0, 0.3]), i) for i in range(60)]
+    df = spark.createDataFrame(rows + [("x", "y", -1.0, None, 90)], "src string, dst string, w double, cov double, line_no long")
+    said = lambda edges: sorted(map(str, edges.collect()))
+    assert said(graph.scan_symmetric(df, 0.1, cut=cut)) == said(graph.clean(graph.scan_symmetric(df, 0.1), cut))
+
+
+def test_clean_edges_are_cut_before_they_are_told_in_both_directions(spark, odd):
+    got = catalog.QUERIES["graph_clean"](spark, odd)
+    assert same(got, catalog._derived(spark, odd, catalog.SYM, "select * from sym where w >= 0.5", "orders", "lineitem"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index(">= 0.5")
+
+
 def random_pairs(spark, kind="long"):
     rng = random.Random(11)
     rows = {(a, b): rng.randrange(1, 100) / 100 for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.4}

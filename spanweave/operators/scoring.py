@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.components import materialize
-
 
 def domain_bounds(fragments: DataFrame) -> DataFrame:
     """(seq, domain_no, first, last, len, end_key): bounds of a domain and its place in the order of visits.
@@ -54,9 +52,10 @@ def masses(pairs: DataFrame, cells: DataFrame, *names: str) -> DataFrame:
     sum. So cells are added up once, whatever the number of pairs, and rows are linear in both.
     """
     names = names or tuple(_MASSES)
-    keys = pairs.columns
+    keys = [c for c in pairs.columns if c != "ali"]
     at = lambda kind: F.array(*[F.struct(F.lit(i).alias("of"), (F.col(axis) if k == "B" else -F.col(axis)).cast("long").alias("place")) for i, (k, axis, _) in enumerate(_MASSES[n] for n in names) if k == kind])
-    entries = cells.where("kind in ('B', 'F')").select("ali", "p", F.inline(F.when(F.col("kind") == "B", at("B")).otherwise(at("F"))))
+    # both are dealt by ali, unless they are so already; the union, the sums and the groups then stay where they are
+    entries = cells.repartition("ali").where("kind in ('B', 'F')").select("ali", "p", F.inline(F.when(F.col("kind") == "B", at("B")).otherwise(at("F"))))
     bounds = F.array(*[F.struct(F.lit(i).alias("of"), F.expr(_MASSES[n][2]).cast("long").alias("place")) for i, n in enumerate(names)])
     asked = pairs.repartition("ali").select("ali", F.lit(None).cast("double").alias("p"), F.struct(*keys).alias("pair"), F.inline(bounds))
     both = entries.withColumn("pair", F.lit(None).cast(asked.schema["pair"].dataType)).unionByName(asked)
@@ -64,7 +63,7 @@ def masses(pairs: DataFrame, cells: DataFrame, *names: str) -> DataFrame:
     told = both.withColumn("mass", F.coalesce(F.sum("p").over(up_to), F.lit(0.0))).where("pair is not null")
     mass = [F.max(F.when(F.col("of") == i, F.col("mass"))).alias(n) for i, n in enumerate(names)]
     met = told.groupBy("ali", "pair").agg(F.count_if(F.col("of") == 0).cast("int").alias("__same"), *mass)  # equal pairs are told as often as they are given
-    return met.withColumn("__same", F.explode(F.sequence(F.lit(1), "__same"))).select("pair.*", *names)
+    return met.withColumn("__same", F.explode(F.sequence(F.lit(1), "__same"))).select(*["ali" if c == "ali" else f"pair.{c}" for c in pairs.columns], *names)
 
 
 def posterior(cells: DataFrame) -> DataFrame:
@@ -85,26 +84,34 @@ _BLOCKS = {
 }
 
 
-def _shells(pairs: DataFrame, post: DataFrame, *names: str) -> DataFrame:
-    """pairs with the greatest shell sum of each named block, 0 without any.
+def _greatest(sized: DataFrame, post: DataFrame, keys: list[str], *names: str) -> DataFrame:
+    """keys of sized(keys, bounds, ncol, nrow) with the greatest shell sum of each named block, 0 without any.
 
     A block asks for its k columns, so a pair meets the cells of these columns only, by
     (ali, q), and an alignment of many cells is not held by one task.
     """
-    keys, sized = pairs.columns, pairs.join(_sizes(post), "ali")
     blocks = []
     for name in names:
         q0, t0, k, counts, _ = _BLOCKS[name]
         q0, t0 = q0.replace("k", f"({k})"), t0.replace("k", f"({k})")
         blocks.append(f"if({counts} and {k} > 0, named_struct('of', '{name}', 'q0', cast({q0} as int), 't0', cast({t0} as int), 'k', cast({k} as int)), null)")
-    asked = sized.select(*keys, F.inline(F.filter(F.expr(f"array({', '.join(blocks)})"), lambda x: x.isNotNull())))
-    asked = asked.select(*keys, "of", "q0", "t0", "k", F.explode(F.expr("sequence(q0, q0 + k - 1)")).alias("q"))
+    asked = sized.select(*keys, F.inline_outer(F.filter(F.expr(f"array({', '.join(blocks)})"), lambda x: x.isNotNull())))
+    asked = asked.select(*keys, "of", "q0", "t0", "k", F.explode_outer(F.expr("sequence(q0, q0 + k - 1)")).alias("q"))
+    cells = post.select(F.col("ali").alias("__ali"), F.col("q").alias("__q"), "t", "p")
     r, c = F.col("t") - F.col("t0"), F.col("q") - F.col("q0")
     outer = F.col("of").isin([x for x in names if _BLOCKS[x][4] == "greatest"])
     shell = F.when(outer, F.greatest(r, c)).otherwise(F.least(r, c))
-    sums = asked.join(post, ["ali", "q"]).where((r >= 0) & (r < F.col("k"))).groupBy(*keys, "of", shell.alias("__shell")).agg(F.sum("p").alias("__s"))
-    best = sums.groupBy(*keys).agg(*[F.max(F.when(F.col("of") == x, F.col("__s"))).alias(x) for x in names])
-    return pairs.join(best, keys, "left").withColumns({x: F.coalesce(x, F.lit(0.0)) for x in names})
+    met = asked.join(cells, (F.col("ali") == F.col("__ali")) & (F.col("q") == F.col("__q")) & (r >= 0) & (r < F.col("k")), "left")
+    # dealt by ali once for both groups
+    sums = met.select(*keys, "of", shell.alias("__shell"), "p").repartition("ali").groupBy(*keys, "of", "__shell").agg(F.sum("p").alias("__s"))
+    return sums.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("of") == x, F.col("__s"))), F.lit(0.0)).alias(x) for x in names])
+
+
+def _shells(pairs: DataFrame, post: DataFrame, *names: str) -> DataFrame:
+    """pairs with the greatest shell sum of each named block, 0 without any; equal pairs are told as often as they are given."""
+    given = pairs.groupBy(*pairs.columns).agg(F.count("*").cast("int").alias("__same"))
+    best = _greatest(given.join(_sizes(post), "ali", "left"), post, given.columns, *names)
+    return best.withColumn("__same", F.explode(F.sequence(F.lit(1), "__same"))).select(*pairs.columns, *names)
 
 
 def starts_after(pairs: DataFrame, post: DataFrame) -> DataFrame:
@@ -139,12 +146,14 @@ def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p
     Alignments that lack a kind of cells are passed over. The score is the product
     of the probability, the four masses and the two shell sums, in that order.
     """
-    kinds = cells.groupBy("ali").agg(*[F.max(F.col("kind") == k).alias(k) for k in "BFP"]).where("B and F and P").select("ali")
-    post = materialize(posterior(cells), "posterior")
-    bounds = domain_bounds(fragments)
+    visits = F.dense_rank().over(Window.partitionBy("seq").orderBy("visit"))
+    bounds = domain_bounds(fragments).withColumn("visit", visits)
     q = bounds.select(F.col("seq").alias("query"), F.col("domain_no").alias("q_domain"), F.col("first").alias("qs"), F.col("last").alias("qe"), match_offset(F.col("len"), coverage).alias("off"), F.col("visit").alias("q_visit"))
     t = bounds.select(F.col("seq").alias("template"), F.col("domain_no").alias("t_domain"), F.col("first").alias("ts"), F.col("last").alias("te"), F.col("visit").alias("t_visit"))
-    own = alignments.join(kinds, "ali", "left_semi").select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob"))
+    cells = cells.where("ali is not null")  # said here, all steps read one shuffle
+    # alignments and cells are dealt by ali once, and steps stay there; a number, so that adaptive execution does not make few large tasks of the narrow rows
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = alignments.select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob")).repartition(parts, "ali")
     up_to = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # the query's side of the ladder first: a template's domains meet only what is left
     m = own.join(q, "query").select("ali", "template", "prob", "q_domain", "qs", "qe", "off", "q_visit")
@@ -157,7 +166,10 @@ def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p
     m = m.withColumn("s3", F.col("s2") * F.col("tend")).withColumn("s4", F.col("s3") * F.col("tstart"))
     t_stop = F.max((F.col("s3") < p_low).cast("int")).over(up_to(Window.partitionBy("ali", "q_domain").orderBy("t_visit")))
     m = m.withColumn("t_stop", t_stop).where(F.col("t_stop") == 0).where(F.col("s4") >= p_low).select("ali", "q_domain", "t_domain", "qs", "qe", "ts", "te", "off", "s4")
-    best = _shells(materialize(m, "ladder"), post, "sa", "eb")
+    p_cell = F.col("kind") == "P"
+    whole = cells.repartition("ali").groupBy("ali").agg(*[F.max(F.col("kind") == k).alias(k) for k in "BFP"], F.max(F.when(p_cell, F.col("q"))).alias("ncol"), F.max(F.when(p_cell, F.col("t"))).alias("nrow"))
+    sized = m.join(whole.where("B and F and P").select("ali", "ncol", "nrow"), "ali")
+    best = _greatest(sized, posterior(cells.repartition("ali")), ["ali", "q_domain", "t_domain", "s4"], "sa", "eb")
     return best.select("ali", "q_domain", "t_domain", (F.col("s4") * F.col("sa") * F.col("eb")).alias("score")).where("score <> 0")
 
 

@@ -1,6 +1,7 @@
 """What the catalog's inputs cost, and steps that do the work of two."""
 
 import random
+import re
 
 import pytest
 
@@ -140,3 +141,28 @@ def test_masses_of_equal_pairs_without_arrays(spark):
 
 def test_a_worker_holds_a_bounded_chunk():
     assert components.CHUNK_ROWS <= 500_000
+
+
+def test_cells_and_pairs_are_dealt_once(spark):
+    """Masses stay where lines and pairs of an alignment were dealt to; lines go with three columns, alike for all steps."""
+    plan = catalog.QUERIES["pair_score"](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    kinds = {re.sub(r"#\d+L?|, \[plan_id=\d+\]|^[ :+-]*", "", x) for x in plan if "Exchange hashpartitioning" in x}
+    assert {x for x in kinds if "(ali, " in x and not re.search(r"\(ali, \d+\)", x)} == set()
+    scans = {re.sub(r"#\d+L?|^[ :+*()\d-]*", "", x) for x in plan if "FileScan" in x and "lineitem" in x}
+    assert len(scans) == 1 and "FileScan parquet [l_orderkey,l_partkey,l_linenumber]" in scans.pop()
+    found = scoring.masses(catalog._pairs(spark, SF).repartition("ali"), catalog._cells(spark, SF))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 3  # lines, distinct orders of lines and these by ali
+
+
+def test_lines_alike_in_number_and_part_are_placed_as_in_the_sql(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(o, rng.choice([1, 2]), s, rng.choice([1, 2, 3]), float(s % 5), None) for s, o in enumerate([1, 2, 3] * 12)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = catalog._derived(spark, str(tmp_path), catalog.CELLS, "select ali, kind, 0 as ord, q, t, power(2.0D, floor(c / 16) - 15) * (1 + (c % 16) / 16.0D) as p from coded", "lineitem")
+    assert same(catalog._cells(spark, str(tmp_path)), want)
+
+
+def test_shells_of_equal_pairs_are_told_as_often_and_not_added_up(spark):
+    post = spark.createDataFrame([(1, 1, 1, 0.25), (1, 2, 2, 0.5)], "ali int, q int, t int, p double")
+    pairs = spark.createDataFrame([(1, 1, 1, 1)] * 2 + [(2, 1, 1, 1)], "ali int, qs int, ts int, off int")
+    assert sorted(map(tuple, scoring.starts_after(pairs, post).collect())) == [(1, 1, 1, 1, 0.25)] * 2 + [(2, 1, 1, 1, 0.0)]

@@ -6,7 +6,7 @@ template, ...); cells(ali, kind, ord, q, t, p), kind B, F or P.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,9 +53,15 @@ def masses(pairs: DataFrame, cells: DataFrame, *names: str) -> DataFrame:
     """
     names = names or tuple(_MASSES)
     keys = [c for c in pairs.columns if c != "ali"]
-    at = lambda kind: F.array(*[F.struct(F.lit(i).alias("of"), (F.col(axis) if k == "B" else -F.col(axis)).cast("long").alias("place")) for i, (k, axis, _) in enumerate(_MASSES[n] for n in names) if k == kind])
+    of = {kind: [F.struct(F.lit(i).alias("of"), (F.col(axis) if kind == "B" else -F.col(axis)).cast("long").alias("place")) for i, (k, axis, _) in enumerate(_MASSES[n] for n in names) if k == kind] for kind in "BF"}
+    told_in = lambda make: F.when(F.col("kind") == "B", make(of["B"])).otherwise(make(of["F"]))
+    once = len(of["B"]) == len(of["F"]) == 1
     # both are dealt by ali, unless they are so already; the union, the sums and the groups then stay where they are
-    entries = cells.repartition("ali").where("kind in ('B', 'F')").select("ali", "p", F.inline(F.when(F.col("kind") == "B", at("B")).otherwise(at("F"))))
+    entries = cells.repartition("ali").where("kind in ('B', 'F')")
+    if once:
+        entries = entries.select("ali", "p", *[told_in(lambda x: x[0][c]).alias(c) for c in ("of", "place")])  # noqa: B023
+    else:
+        entries = entries.select("ali", "p", F.inline(told_in(lambda x: F.array(*x))))
     bounds = F.array(*[F.struct(F.lit(i).alias("of"), F.expr(_MASSES[n][2]).cast("long").alias("place")) for i, n in enumerate(names)])
     asked = pairs.repartition("ali").select("ali", F.lit(None).cast("double").alias("p"), F.struct(*keys).alias("pair"), F.inline(bounds))
     both = entries.withColumn("pair", F.lit(None).cast(asked.schema["pair"].dataType)).unionByName(asked)
@@ -84,33 +90,35 @@ _BLOCKS = {
 }
 
 
-def _greatest(sized: DataFrame, post: DataFrame, keys: list[str], *names: str) -> DataFrame:
+def _greatest(sized: DataFrame, cells: DataFrame, keys: list[str], *names: str) -> DataFrame:
     """keys of sized(keys, bounds, ncol, nrow) with the greatest shell sum of each named block, 0 without any.
 
-    A block asks for its k columns, so a pair meets the cells of these columns only, by
-    (ali, q), and an alignment of many cells is not held by one task.
+    A block asks for its k columns, so a pair meets the P cells of these columns only, by
+    (ali, q), and an alignment of many cells is not held by one task. Of a repeated place the last
+    cell counts, as in posterior, but places are looked through only where a block meets them.
     """
     blocks = []
-    for name in names:
+    for of, name in enumerate(names):
         q0, t0, k, counts, _ = _BLOCKS[name]
         q0, t0 = q0.replace("k", f"({k})"), t0.replace("k", f"({k})")
-        blocks.append(f"if({counts} and {k} > 0, named_struct('of', '{name}', 'q0', cast({q0} as int), 't0', cast({t0} as int), 'k', cast({k} as int)), null)")
+        blocks.append(f"if({counts} and {k} > 0, named_struct('of', {of}, 'q0', cast({q0} as int), 't0', cast({t0} as int), 'k', cast({k} as int)), null)")
     asked = sized.select(*keys, F.inline_outer(F.filter(F.expr(f"array({', '.join(blocks)})"), lambda x: x.isNotNull())))
     asked = asked.select(*keys, "of", "q0", "t0", "k", F.explode_outer(F.expr("sequence(q0, q0 + k - 1)")).alias("q"))
-    cells = post.select(F.col("ali").alias("__ali"), F.col("q").alias("__q"), "t", "p")
+    cells = cells.select(F.col("ali").alias("__ali"), F.col("q").alias("__q"), "t", "p", F.col("ord").alias("__ord"))
     r, c = F.col("t") - F.col("t0"), F.col("q") - F.col("q0")
-    outer = F.col("of").isin([x for x in names if _BLOCKS[x][4] == "greatest"])
+    outer = F.col("of").isin([i for i, x in enumerate(names) if _BLOCKS[x][4] == "greatest"])
     shell = F.when(outer, F.greatest(r, c)).otherwise(F.least(r, c))
     met = asked.join(cells, (F.col("ali") == F.col("__ali")) & (F.col("q") == F.col("__q")) & (r >= 0) & (r < F.col("k")), "left")
-    # dealt by ali once for both groups
-    sums = met.select(*keys, "of", shell.alias("__shell"), "p").repartition("ali").groupBy(*keys, "of", "__shell").agg(F.sum("p").alias("__s"))
-    return sums.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("of") == x, F.col("__s"))), F.lit(0.0)).alias(x) for x in names])
+    met = met.select(*keys, "of", shell.alias("__shell"), "q", "t", "p", "__ord").repartition("ali")  # dealt once for all groups
+    last = met.groupBy(*keys, "of", "__shell", "q", "t").agg(F.max_by("p", "__ord").alias("p"))
+    sums = last.groupBy(*keys, "of", "__shell").agg(F.sum("p").alias("__s"))
+    return sums.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("of") == i, F.col("__s"))), F.lit(0.0)).alias(x) for i, x in enumerate(names)])
 
 
 def _shells(pairs: DataFrame, post: DataFrame, *names: str) -> DataFrame:
     """pairs with the greatest shell sum of each named block, 0 without any; equal pairs are told as often as they are given."""
     given = pairs.groupBy(*pairs.columns).agg(F.count("*").cast("int").alias("__same"))
-    best = _greatest(given.join(_sizes(post), "ali", "left"), post, given.columns, *names)
+    best = _greatest(given.join(_sizes(post), "ali", "left"), post.withColumn("ord", F.lit(0)), given.columns, *names)
     return best.withColumn("__same", F.explode(F.sequence(F.lit(1), "__same"))).select(*pairs.columns, *names)
 
 
@@ -138,6 +146,11 @@ def ends_after(pairs: DataFrame, post: DataFrame, strict: bool = False) -> DataF
     return _shells(pairs, post, "ea")
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions to deal narrow rows to by number, so that adaptive execution does not make few large tasks of them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p_low: float = 0.1, coverage: float = 0.8) -> DataFrame:
     """(ali, q_domain, t_domain, score) of the domain pairs that reach the end of the pruning ladder.
 
@@ -151,9 +164,8 @@ def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p
     q = bounds.select(F.col("seq").alias("query"), F.col("domain_no").alias("q_domain"), F.col("first").alias("qs"), F.col("last").alias("qe"), match_offset(F.col("len"), coverage).alias("off"), F.col("visit").alias("q_visit"))
     t = bounds.select(F.col("seq").alias("template"), F.col("domain_no").alias("t_domain"), F.col("first").alias("ts"), F.col("last").alias("te"), F.col("visit").alias("t_visit"))
     cells = cells.where("ali is not null")  # said here, all steps read one shuffle
-    # alignments and cells are dealt by ali once, and steps stay there; a number, so that adaptive execution does not make few large tasks of the narrow rows
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = alignments.select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob")).repartition(parts, "ali")
+    # alignments and cells are dealt by ali once, and steps stay there
+    own = alignments.select("ali", "query", "template", (F.col("probability") / F.lit(100.0)).alias("prob")).repartition(parts(cells.sparkSession), "ali")
     up_to = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # the query's side of the ladder first: a template's domains meet only what is left
     m = own.join(q, "query").select("ali", "template", "prob", "q_domain", "qs", "qe", "off", "q_visit")
@@ -169,7 +181,7 @@ def pair_scores(alignments: DataFrame, fragments: DataFrame, cells: DataFrame, p
     p_cell = F.col("kind") == "P"
     whole = cells.repartition("ali").groupBy("ali").agg(*[F.max(F.col("kind") == k).alias(k) for k in "BFP"], F.max(F.when(p_cell, F.col("q"))).alias("ncol"), F.max(F.when(p_cell, F.col("t"))).alias("nrow"))
     sized = m.join(whole.where("B and F and P").select("ali", "ncol", "nrow"), "ali")
-    best = _greatest(sized, posterior(cells.repartition("ali")), ["ali", "q_domain", "t_domain", "s4"], "sa", "eb")
+    best = _greatest(sized, cells.where(p_cell), ["ali", "q_domain", "t_domain", "s4"], "sa", "eb")
     return best.select("ali", "q_domain", "t_domain", (F.col("s4") * F.col("sa") * F.col("eb")).alias("score")).where("score <> 0")
 
 

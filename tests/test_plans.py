@@ -166,3 +166,12 @@ def test_shells_of_equal_pairs_are_told_as_often_and_not_added_up(spark):
     post = spark.createDataFrame([(1, 1, 1, 0.25), (1, 2, 2, 0.5)], "ali int, q int, t int, p double")
     pairs = spark.createDataFrame([(1, 1, 1, 1)] * 2 + [(2, 1, 1, 1)], "ali int, qs int, ts int, off int")
     assert sorted(map(tuple, scoring.starts_after(pairs, post).collect())) == [(1, 1, 1, 1, 0.25)] * 2 + [(2, 1, 1, 1, 0.0)]
+
+
+def test_scores_take_the_last_of_a_repeated_place_and_whole_alignments(spark):
+    cells = [("B", 0, 1, 1, 0.5), ("F", 0, 2, 2, 0.5), ("P", 1, 1, 1, 0.5), ("P", 0, 1, 1, 0.25), ("P", 0, 2, 2, 0.5), ("P", 0, 4, 4, 0.125)]
+    cells = [(a, *c) for a, lacks in ((1, ""), (2, "F"), (3, "P"), (4, "B")) for c in cells if c[0] != lacks]
+    cells = spark.createDataFrame(cells, "ali int, kind string, ord int, q int, t int, p double")
+    alignments = spark.createDataFrame([(a, "a", "b", 100) for a in (1, 2, 3, 4, 5)], "ali int, query string, template string, probability int")
+    fragments = spark.createDataFrame([("a", 1, 1, 0, 1, 2), ("b", 1, 2, 0, 1, 2)], "seq string, domain_no int, line_no int, frag_no int, start int, end int")
+    assert [tuple(r) for r in scoring.pair_scores(alignments, fragments, cells, 0.01).collect()] == [(1, 1, 1, 1 / 64)]
